@@ -225,3 +225,114 @@ ORDER BY risk_score DESC, account_id LIMIT 25""",
 SELECT severity, count(*) AS n_accounts, min(risk_score) AS min_score, max(risk_score) AS max_score
 FROM ({assess_select(SCORED, 0.45)}) x GROUP BY severity""",
 }
+
+
+# ---------------------------------------------------------------- cleaning / profiling
+RAW_FEATURES = ["F115", "F2956", "F670", "F2082", "F3043", "F3889", "F3891", "F3894",
+                "F527", "F531", "F1692", "F3912", "F9001", "F9002"]
+KEPT = [f for f in RAW_FEATURES if f not in ("F9001", "F9002")]
+OUT_FEATURES = KEPT + ["F3043_missing"]
+
+
+def _coerced(f: str) -> str:
+    if f == "F3889":
+        return ("CASE " + _strip("F3889") + " "
+                + " ".join(f"WHEN {q(v)} THEN {d(i)}" for i, v in enumerate(STANDING_ORDER)) + " END")
+    if f == "F3891":
+        return ("CASE lower(" + _strip("F3891") + ") "
+                + " ".join(f"WHEN {q(v)} THEN {d(i)}" for i, v in enumerate(OCCUPATION_ORDER)) + " END")
+    if f == "F9002":
+        return "TRY_CAST(CASE WHEN regexp_matches(F9002, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN F9002 END AS DOUBLE)"
+    return f"CAST({f} AS DOUBLE)"
+
+
+COERCED = f"""
+SELECT CAST(account_id AS VARCHAR) AS account_id, CAST(F3924 AS INTEGER) AS y,
+       {", ".join(f"{_coerced(f)} AS {f}" for f in RAW_FEATURES)}
+FROM ({ACCOUNTS}) a
+"""
+
+CLEAN = f"""
+SELECT account_id, y, {", ".join(KEPT)},
+       CAST(F3043 IS NULL AS INTEGER) AS F3043_missing
+FROM ({COERCED}) c
+"""
+
+
+def _unpivot(src: str, feats, extra: str = "") -> str:
+    sel = ", ".join(x for x in [extra] if x)
+    pre = f"{sel}, " if sel else ""
+    return "\nUNION ALL\n".join(
+        f"SELECT {pre}{q(f)} AS feature, CAST({f} AS DOUBLE) AS value FROM ({src}) u" for f in feats)
+
+
+def _null_rows(src: str, feats) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {q(f)} AS feature, count(*) AS n_rows, count({f}) AS n_non_null, "
+        f"{d(1)} - count({f}) / count(*) AS null_fraction FROM ({src}) n" for f in feats)
+
+
+_LABELS = "CASE feature " + " ".join(
+    f"WHEN {q(k)} THEN {q(v)}" for k, v in __import__('riskspark.config', fromlist=['x']).FEATURE_NAMES.items()) + " END"
+
+_HINTS = __import__('riskspark.config', fromlist=['x']).DOMAIN_HINT_FEATURES
+_MEANINGS = __import__('riskspark.config', fromlist=['x']).DOMAIN_HINT_MEANINGS
+_HINT_ROWS = " UNION ALL ".join(f"SELECT {i} AS hint_rank, {q(f)} AS feature, {q(_MEANINGS[f])} AS decoded_meaning"
+                                for i, f in enumerate(_HINTS))
+_PRESENT_HINTS = [f for f in _HINTS if f in OUT_FEATURES]
+
+_DISTINCT = "\nUNION ALL\n".join(
+    f"SELECT {q(f)} AS feature, count(DISTINCT {f}) AS n_distinct FROM ({CLEAN}) c" for f in OUT_FEATURES)
+_TYPES = f"""
+SELECT feature, least(n_distinct, 11) AS n_distinct_capped,
+  CASE WHEN feature IN ('F3889', 'F3891') THEN 'categorical' WHEN n_distinct <= 2 THEN 'binary'
+       WHEN n_distinct <= 10 THEN 'low_cardinality' ELSE 'continuous' END AS feature_type
+FROM ({_DISTINCT}) dd"""
+
+SQL.update({
+    "cleaned_accounts": CLEAN,
+    "null_profile": _null_rows(COERCED, RAW_FEATURES),
+    "dataset_summary": f"""
+WITH nf AS ({_null_rows(CLEAN, OUT_FEATURES)})
+SELECT (SELECT count(*) FROM ({CLEAN}) c) AS rows, {len(OUT_FEATURES)} AS features, 2 AS fully_null_columns,
+       CAST(sum(y) AS BIGINT) AS mule_count, CAST(count_if(y = 0) AS BIGINT) AS legit_count,
+       CASE WHEN sum(y) > 0 THEN CAST(CAST(round_even(CAST(count_if(y = 0) AS DOUBLE) / sum(y), 0) AS BIGINT) AS VARCHAR) || ':1'
+            ELSE 'n/a' END AS imbalance_ratio,
+       (SELECT avg(null_fraction) * {d(100)} FROM nf) AS sparsity_pct
+FROM ({CLEAN}) c""",
+    "feature_type_breakdown": _TYPES,
+    "feature_type_shares": f"""
+SELECT feature_type, count(*) AS n_features,
+       count(*) * {d(100)} / sum(count(*)) OVER () AS share_pct
+FROM ({_TYPES}) t GROUP BY feature_type""",
+    "hint_profile": f"""
+WITH long AS ({_unpivot(CLEAN, _PRESENT_HINTS, "y")}),
+means AS (SELECT feature, avg(CASE WHEN y = 1 THEN value END) AS mule_mean,
+                 avg(CASE WHEN y = 0 THEN value END) AS legit_mean FROM long GROUP BY feature),
+cnt AS (SELECT feature, value, count_if(y = 1) AS pos, count_if(y = 0) AS neg
+        FROM long WHERE value IS NOT NULL GROUP BY feature, value),
+cum AS (SELECT feature,
+          sum(pos) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+          sum(neg) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+          sum(pos) OVER (PARTITION BY feature) AS tp, sum(neg) OVER (PARTITION BY feature) AS tn FROM cnt),
+ks AS (SELECT feature, CASE WHEN max(tp) > 1 AND max(tn) > 1
+                            THEN max(abs(CAST(cp AS DOUBLE) / tp - CAST(cn AS DOUBLE) / tn)) END AS ks_stat
+       FROM cum GROUP BY feature)
+SELECT h.hint_rank, h.feature, h.decoded_meaning, m.mule_mean, m.legit_mean, k.ks_stat,
+       CASE WHEN k.ks_stat IS NULL THEN '—' WHEN k.ks_stat >= 0.5 THEN 'High'
+            WHEN k.ks_stat >= 0.25 THEN 'Medium' ELSE 'Low' END AS discriminative_power
+FROM ({_HINT_ROWS}) h LEFT JOIN means m ON m.feature = h.feature LEFT JOIN ks k ON k.feature = h.feature""",
+    "class_rate_by_occupation": f"""
+SELECT occupation, avg(CAST(F3924 AS DOUBLE)) AS positive_rate, count(*) AS n_accounts
+FROM ({indicator_select(ACCOUNTS)}) x GROUP BY occupation""",
+    "column_medians": f"""
+WITH long AS ({_unpivot(CLEAN, KEPT)}),
+r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
+             count(*) OVER (PARTITION BY feature) AS n FROM long WHERE value IS NOT NULL)
+SELECT feature, (max(CASE WHEN rn = floor((n - 1) / 2) + 1 THEN value END)
+               + max(CASE WHEN rn = floor(n / 2) + 1 THEN value END)) / {d(2)} AS median
+FROM r GROUP BY feature""",
+    "feature_labels": f"""
+SELECT feature, coalesce({_LABELS}, 'Feature ' || feature) AS label
+FROM (SELECT unnest({[f for f in RAW_FEATURES] + ['F3924']}) AS feature) f""",
+})

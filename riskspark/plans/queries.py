@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskspark.config import INDICATORS
 from riskspark.plans.analyze import assess, case_id, top_cases
-from riskspark.sources.fixtures import FIXED_THRESHOLD, accounts, scored
+from riskspark.sources.fixtures import FIXED_THRESHOLD, accounts, accounts_p, persisted, scored_p
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,7 +27,7 @@ def register(name: str):
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(scored(spark, sf_dir), "p", FIXED_THRESHOLD)
+    return assess(scored_p(spark, sf_dir), "p", FIXED_THRESHOLD)
 
 
 IND_COLS = [f"ind_{k}" for k, *_ in INDICATORS]
@@ -71,3 +71,96 @@ def q_severity_distribution(spark, sf_dir):
     return analysis(spark, sf_dir).groupBy("severity").agg(
         F.count(F.lit(1)).alias("n_accounts"),
         F.min("risk_score").alias("min_score"), F.max("risk_score").alias("max_score"))
+
+
+# ---------------------------------------------------------------- cleaning / profiling
+def accounts_as_text(spark, sf_dir) -> DataFrame:
+    """``accounts`` with every column as text, as a CSV read (A1) would deliver it."""
+    acc = accounts_p(spark, sf_dir)
+    return acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+
+
+_MODELS: dict = {}
+
+
+def cleaning(spark, sf_dir):
+    """Fit the cleaner on the text accounts once per application; persist the cleaned frame."""
+    from riskspark.operators.clean import Cleaner
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        raw = accounts_as_text(spark, sf_dir)
+        _MODELS[key] = Cleaner().fit(raw)
+    model = _MODELS[key]
+    clean = persisted(spark, sf_dir, "clean",
+                      lambda s, d: model.transform(accounts_as_text(s, d)))
+    return model, clean
+
+
+@register("cleaned_accounts")
+def q_cleaned(spark, sf_dir):
+    _, clean = cleaning(spark, sf_dir)
+    return clean
+
+
+@register("null_profile")
+def q_null_profile(spark, sf_dir):
+    from riskspark.operators.clean import coerced_columns
+    from riskspark.operators.profile import null_fractions
+    raw = accounts_as_text(spark, sf_dir)
+    feats = [c for c in raw.columns if c not in ("account_id", "F3924")]
+    return null_fractions(raw.select(*coerced_columns(raw, feats)), feats)
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, sf_dir):
+    from riskspark.operators.profile import dataset_stats
+    model, clean = cleaning(spark, sf_dir)
+    return dataset_stats(spark, clean, model.output_features, len(model.dropped_null_columns))
+
+
+@register("feature_type_breakdown")
+def q_feature_types(spark, sf_dir):
+    from riskspark.operators.profile import feature_types
+    model, clean = cleaning(spark, sf_dir)
+    return feature_types(clean, model.output_features)
+
+
+@register("feature_type_shares")
+def q_feature_type_shares(spark, sf_dir):
+    from riskspark.operators.profile import feature_types, type_breakdown
+    model, clean = cleaning(spark, sf_dir)
+    return type_breakdown(feature_types(clean, model.output_features))
+
+
+@register("hint_profile")
+def q_hint_profile(spark, sf_dir):
+    from riskspark.operators.profile import hint_table
+    _, clean = cleaning(spark, sf_dir)
+    return hint_table(spark, clean, "y")
+
+
+@register("class_rate_by_occupation")
+def q_class_rate(spark, sf_dir):
+    from riskspark.functions.scoring import decode_occupation
+    from riskspark.operators.profile import class_rate_by
+    acc = accounts_p(spark, sf_dir).select(decode_occupation(F.col("F3891")).alias("occupation"),
+                                         F.col("F3924").alias("y"))
+    return class_rate_by(acc, "occupation")
+
+
+@register("column_medians")
+def q_medians(spark, sf_dir):
+    from riskspark.operators.profile import exact_medians, to_long
+    model, clean = cleaning(spark, sf_dir)
+    return exact_medians(to_long(clean, model.features, []))
+
+
+@register("feature_labels")
+def q_feature_labels(spark, sf_dir):
+    from riskspark.functions.text import feature_label
+    from riskspark.operators.clean import coerced_columns
+    from riskspark.operators.profile import null_fractions
+    raw = accounts_as_text(spark, sf_dir)
+    feats = [c for c in raw.columns if c not in ("account_id",)]
+    nf = null_fractions(raw.select(*coerced_columns(raw, feats)), feats)
+    return nf.select("feature", feature_label(F.col("feature")).alias("label"))

@@ -165,3 +165,32 @@ def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.avg(F.when(F.col("event_type") == "error", F.lit(1.0)).otherwise(F.lit(0.0)))
     return ev.groupBy(F.col("user_id").alias("entity")).agg(
         F.least(F.lit(100.0), F.lit(100.0) * share * F.lit(2.0)).alias("score"))
+
+
+_PERSISTED: dict = {}
+
+
+def persisted(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Build a fixture once per Spark application and keep it persisted (memory + disk).
+
+    Persisted blocks lost with an executor are recomputed from lineage, so this
+    is a cache, never the only copy.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _PERSISTED.get(key)
+    if df is None:
+        df = build(spark, sf_dir).persist()
+        _PERSISTED[key] = df
+    return df
+
+
+def accounts_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted(spark, sf_dir, "accounts", accounts)
+
+
+def scored_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(s, d):
+        acc = accounts_p(s, d)
+        with_p = acc.select("*", fixed_probability(acc).alias("p"))
+        return with_p.select("*", (F.lit(0.9) * F.col("F3912") + F.lit(0.1) * F.col("p")).alias("p2"))
+    return persisted(spark, sf_dir, "scored", build)
