@@ -336,3 +336,64 @@ FROM r GROUP BY feature""",
 SELECT feature, coalesce({_LABELS}, 'Feature ' || feature) AS label
 FROM (SELECT unnest({[f for f in RAW_FEATURES] + ['F3924']}) AS feature) f""",
 })
+
+
+# ---------------------------------------------------------------- validation metrics
+MODEL_SCORES = f"""
+SELECT 'A' AS model, account_id, F3924 AS y, p2 AS p FROM ({SCORED}) s
+UNION ALL
+SELECT 'B' AS model, account_id, F3924 AS y, p FROM ({SCORED}) s
+"""
+
+CURVE = f"""
+SELECT model, score, pos, neg,
+  sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+  sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+  sum(pos) OVER (PARTITION BY model) AS n_pos, sum(neg) OVER (PARTITION BY model) AS n_neg
+FROM (SELECT model, p AS score, count_if(y = 1) AS pos, count_if(y <> 1) AS neg
+      FROM ({MODEL_SCORES}) m GROUP BY model, p) c
+"""
+
+CURVE_TERMS = f"""
+SELECT *,
+  CASE WHEN n_pos > 0 THEN (CAST(pos AS DOUBLE) / n_pos) * prec END AS ap_term,
+  CASE WHEN n_neg > 0 THEN (CAST(neg AS DOUBLE) / n_neg) * ((CAST(tp - pos AS DOUBLE) / n_pos) + rec) / {d(2)} END AS auc_term,
+  rec - CAST(fp AS DOUBLE) / n_neg AS ks_term,
+  CASE WHEN prec + rec > 0 THEN {d(2)} * prec * rec / (prec + rec) ELSE {d(0)} END AS f1
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE {d(0)} END AS prec,
+             CAST(tp AS DOUBLE) / n_pos AS rec FROM ({CURVE}) c0) c1
+"""
+
+
+def _p_at_k(k: int) -> str:
+    return f"""
+SELECT model, CAST(count(*) AS INTEGER) AS k_at_{k}, CAST(coalesce(sum(y), 0) AS BIGINT) AS hits_at_{k},
+       CASE WHEN count(*) > 0 THEN CAST(coalesce(sum(y), 0) AS DOUBLE) / count(*) ELSE {d(0)} END AS precision_at_{k}
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p DESC, account_id) AS rn FROM ({MODEL_SCORES}) m) r
+WHERE rn <= {k} GROUP BY model"""
+
+
+SQL.update({
+    "pr_curve": f"SELECT model, score, pos, neg, tp, fp, n_pos, n_neg FROM ({CURVE}) c",
+    "tuned_threshold": f"""
+SELECT model, min(score) AS threshold, max(f1) AS best_f1
+FROM (SELECT *, max(f1) OVER (PARTITION BY model) AS best FROM ({CURVE_TERMS}) t) b
+WHERE f1 = best GROUP BY model""",
+    "model_metrics": f"""
+WITH rank AS (SELECT model, sum(ap_term) AS pr_auc, sum(auc_term) AS roc_auc,
+                     greatest({d(0)}, max(ks_term)) AS ks_statistic FROM ({CURVE_TERMS}) t GROUP BY model),
+cm AS (SELECT model, count_if(p >= 0.45) FILTER (WHERE y = 1) AS tp, count_if(p >= 0.45 AND y <> 1) AS fp,
+              count_if(p < 0.45 AND y <> 1) AS tn, count_if(p < 0.45 AND y = 1) AS fn
+       FROM ({MODEL_SCORES}) m GROUP BY model),
+cm2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE {d(0)} END AS precision,
+               CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE {d(0)} END AS recall,
+               CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / (fp + tn) ELSE {d(0)} END AS false_positive_rate,
+               CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy FROM cm)
+SELECT cm2.model, {d(0.45)} AS threshold, rank.pr_auc, rank.roc_auc, rank.ks_statistic,
+       cm2.tp, cm2.fp, cm2.tn, cm2.fn, precision, recall,
+       CASE WHEN precision + recall > 0 THEN {d(2)} * precision * recall / (precision + recall) ELSE {d(0)} END AS f1,
+       false_positive_rate, accuracy,
+       precision_at_50, hits_at_50, k_at_50, precision_at_100, hits_at_100, k_at_100
+FROM cm2 JOIN rank ON rank.model = cm2.model
+JOIN ({_p_at_k(50)}) p50 ON p50.model = cm2.model JOIN ({_p_at_k(100)}) p100 ON p100.model = cm2.model""",
+})

@@ -164,3 +164,33 @@ def q_feature_labels(spark, sf_dir):
     feats = [c for c in raw.columns if c not in ("account_id",)]
     nf = null_fractions(raw.select(*coerced_columns(raw, feats)), feats)
     return nf.select("feature", feature_label(F.col("feature")).alias("label"))
+
+
+# ---------------------------------------------------------------- validation metrics
+def model_scores(spark, sf_dir) -> DataFrame:
+    """Long ``(model, account_id, y, p)``: model B = p, model A = p2 (leak-driven)."""
+    s = scored_p(spark, sf_dir)
+    b = s.select(F.lit("B").alias("model"), "account_id", F.col("F3924").alias("y"), "p")
+    a = s.select(F.lit("A").alias("model"), "account_id", F.col("F3924").alias("y"),
+                 F.col("p2").alias("p"))
+    return a.unionByName(b)
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    from riskspark.operators.metrics import curve
+    return curve(model_scores(spark, sf_dir), "y", "p", ["model"])
+
+
+@register("tuned_threshold")
+def q_tuned_threshold(spark, sf_dir):
+    from riskspark.operators.metrics import tune_threshold
+    return tune_threshold(model_scores(spark, sf_dir), "y", "p", ["model"])
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    from riskspark.operators.metrics import model_metrics
+    thr = spark.createDataFrame([("A", FIXED_THRESHOLD), ("B", FIXED_THRESHOLD)],
+                                "model string, threshold double")
+    return model_metrics(model_scores(spark, sf_dir), thr)
