@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                  descending: bool = False, n_buckets: int = 256,
-                 accuracy: int = 10000) -> DataFrame:
+                 accuracy: int = 1000) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) and ``tot_<c>`` (group total) per ``sum_cols``.
 
     Rows are ordered by ``order_col`` (ascending unless ``descending``) within

@@ -397,3 +397,77 @@ SELECT cm2.model, {d(0.45)} AS threshold, rank.pr_auc, rank.roc_auc, rank.ks_sta
 FROM cm2 JOIN rank ON rank.model = cm2.model
 JOIN ({_p_at_k(50)}) p50 ON p50.model = cm2.model JOIN ({_p_at_k(100)}) p100 ON p100.model = cm2.model""",
 })
+
+
+# ---------------------------------------------------------------- sampling / selection
+_MEDIANS = f"""
+SELECT feature, coalesce((max(CASE WHEN rn = floor((n - 1) / 2) + 1 THEN value END)
+               + max(CASE WHEN rn = floor(n / 2) + 1 THEN value END)) / {d(2)}, {d(0)}) AS median
+FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
+             count(*) OVER (PARTITION BY feature) AS n
+      FROM ({_unpivot(CLEAN, OUT_FEATURES)}) l WHERE value IS NOT NULL) r GROUP BY feature"""
+
+
+def _mi(feats) -> str:
+    return f"""
+WITH long AS ({_unpivot(CLEAN, feats, "y")}),
+imp AS (SELECT l.y, l.feature, coalesce(l.value, m.median, {d(0)}) AS value
+        FROM long l LEFT JOIN ({_MEDIANS}) m ON m.feature = l.feature),
+cnt AS (SELECT feature, value, count_if(y = 1) AS pos, count_if(y <> 1) AS neg, count(*) AS cnt
+        FROM imp GROUP BY feature, value),
+cum AS (SELECT *, sum(cnt) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+               sum(cnt) OVER (PARTITION BY feature) AS tot, count(*) OVER (PARTITION BY feature) AS nd FROM cnt),
+bins AS (SELECT feature, CASE WHEN nd <= 10 THEN value ELSE CAST(floor((c - cnt) * 20 / tot) AS DOUBLE) END AS bin,
+                sum(pos) AS pos, sum(neg) AS neg FROM cum GROUP BY 1, 2),
+b AS (SELECT *, sum(pos) OVER (PARTITION BY feature) AS P, sum(neg) OVER (PARTITION BY feature) AS Q FROM bins)
+SELECT feature, sum(
+  CASE WHEN pos > 0 THEN CAST(pos AS DOUBLE) / (P + Q) * ln(CAST(pos AS DOUBLE) * (P + Q) / ((pos + neg) * P)) ELSE {d(0)} END
++ CASE WHEN neg > 0 THEN CAST(neg AS DOUBLE) / (P + Q) * ln(CAST(neg AS DOUBLE) * (P + Q) / ((pos + neg) * Q)) ELSE {d(0)} END) AS mi
+FROM b GROUP BY feature"""
+
+
+def _selection_sql(include_leak: bool) -> str:
+    feats = [f for f in OUT_FEATURES if include_leak or f != "F3912"]
+    forced = [f for f in _HINTS if f in feats]
+    forced += [c for c in feats if c.endswith("_missing") and c[:-8] in _HINTS]
+    if include_leak and "F3912" in feats:
+        forced.append("F3912")
+    rows = " UNION ALL ".join(
+        f"SELECT {q(f)} AS feature, {i} AS position, "
+        f"{forced.index(f) if f in forced else 'CAST(NULL AS INTEGER)'} AS forced_rank" for i, f in enumerate(feats))
+    return f"""
+SELECT feature, rank, mi, forced FROM (
+  SELECT f.feature, m.mi, f.forced_rank IS NOT NULL AS forced, f.forced_rank,
+         row_number() OVER (ORDER BY f.forced_rank ASC NULLS LAST, m.mi DESC NULLS LAST, f.position) AS rank
+  FROM ({rows}) f LEFT JOIN ({_mi(feats)}) m ON m.feature = f.feature) r
+WHERE forced_rank IS NOT NULL OR rank <= {max(200, len(forced))}"""
+
+
+_ALLOC = f"""
+WITH c AS (SELECT y, count(*) AS n_rows FROM (SELECT F3924 AS y FROM ({ACCOUNTS}) a) s GROUP BY y),
+t AS (SELECT *, sum(n_rows) OVER () AS n, ceil({d(0.2)} * sum(n_rows) OVER ()) AS n_test_all FROM c),
+r AS (SELECT *, n_test_all * n_rows / n AS raw, floor(n_test_all * n_rows / n) AS base FROM t),
+k AS (SELECT *, row_number() OVER (ORDER BY raw - base DESC, n_rows DESC, y) AS ord,
+             n_test_all - sum(base) OVER () AS leftover FROM r)
+SELECT y, n_rows, CAST(base + CASE WHEN ord <= leftover THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM k"""
+
+_FOLDS = f"""
+WITH c AS (SELECT F3924 AS y, count(*) AS n FROM ({ACCOUNTS}) a GROUP BY 1),
+f AS (SELECT y, n, fold FROM c, range(0, 5) r(fold)),
+b AS (SELECT y, fold, CASE WHEN fold = 0 THEN 0 ELSE round_even(fold * n / 5, 0) END AS lo,
+             CASE WHEN fold = 4 THEN n ELSE round_even((fold + 1) * n / 5, 0) END AS hi FROM f)
+SELECT y, CAST(fold AS INTEGER) AS fold, CAST(hi - lo AS BIGINT) AS n_rows FROM b WHERE hi > lo"""
+
+SQL.update({
+    "stratified_split_counts": _ALLOC,
+    "stratified_fold_counts": _FOLDS,
+    "mutual_information": _mi(OUT_FEATURES),
+    "feature_selection_model_a": _selection_sql(True),
+    "feature_selection_model_b": _selection_sql(False),
+    "top_mi_features": f"SELECT feature, mi FROM ({_mi(OUT_FEATURES)}) m ORDER BY mi DESC, feature LIMIT 5",
+    "imputed_features": f"""
+SELECT account_id, y, {", ".join(f"coalesce(CAST({f} AS DOUBLE), (SELECT median FROM med WHERE feature = {q(f)})) AS {f}" for f in OUT_FEATURES)}
+FROM ({CLEAN}) c, (SELECT 1) one, LATERAL (SELECT 1) l2
+""".replace("FROM (", "FROM (", 1),
+})
+SQL["imputed_features"] = f"WITH med AS ({_MEDIANS})\n" + SQL["imputed_features"].replace(", (SELECT 1) one, LATERAL (SELECT 1) l2", "")

@@ -194,3 +194,73 @@ def q_model_metrics(spark, sf_dir):
     thr = spark.createDataFrame([("A", FIXED_THRESHOLD), ("B", FIXED_THRESHOLD)],
                                 "model string, threshold double")
     return model_metrics(model_scores(spark, sf_dir), thr)
+
+
+# ---------------------------------------------------------------- sampling / selection
+def labelled_accounts(spark, sf_dir) -> DataFrame:
+    return accounts_p(spark, sf_dir).select("*", F.col("F3924").alias("y"))
+
+
+@register("stratified_split_counts")
+def q_split_counts(spark, sf_dir):
+    from riskspark.operators.sampling import stratified_split
+    s = stratified_split(labelled_accounts(spark, sf_dir), "y", "account_id", 0.2, 42)
+    return s.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"),
+                              F.count_if("is_test").alias("n_test"))
+
+
+@register("stratified_fold_counts")
+def q_fold_counts(spark, sf_dir):
+    from riskspark.operators.sampling import stratified_folds
+    s = stratified_folds(labelled_accounts(spark, sf_dir), 5, "y", "account_id", 43)
+    return s.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _mi_inputs(spark, sf_dir):
+    from riskspark.operators.profile import exact_medians, to_long
+    from riskspark.operators.selection import impute_long
+    model, clean = cleaning(spark, sf_dir)
+    long = to_long(clean, model.output_features, ["y"])
+    return model, clean, long, exact_medians(long), impute_long
+
+
+@register("mutual_information")
+def q_mutual_information(spark, sf_dir):
+    from riskspark.operators.selection import mutual_information
+    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
+    return mutual_information(impute_long(long, med), "y")
+
+
+def _selection(spark, sf_dir, include_leakage):
+    from riskspark.operators.selection import mutual_information, select_features
+    model, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
+    feats = [f for f in model.output_features if include_leakage or f != "F3912"]
+    mi = mutual_information(impute_long(long.where(F.col("feature").isin(*feats)), med), "y")
+    return select_features(spark, mi, feats, include_leakage=include_leakage)
+
+
+@register("feature_selection_model_a")
+def q_selection_a(spark, sf_dir):
+    return _selection(spark, sf_dir, True)
+
+
+@register("feature_selection_model_b")
+def q_selection_b(spark, sf_dir):
+    return _selection(spark, sf_dir, False)
+
+
+@register("top_mi_features")
+def q_top_mi(spark, sf_dir):
+    from riskspark.operators.selection import mutual_information
+    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
+    return mutual_information(impute_long(long, med), "y") \
+        .orderBy(F.col("mi").desc(), F.col("feature")).limit(5)
+
+
+@register("imputed_features")
+def q_imputed(spark, sf_dir):
+    from riskspark.operators.selection import FeatureModel
+    model, clean, long, med, _ = _mi_inputs(spark, sf_dir)
+    medians = {r["feature"]: r["median"] for r in med.collect()}  # one row per column
+    fm = FeatureModel(list(model.output_features), medians)
+    return fm.transform(clean, keep=("account_id", "y"))
