@@ -471,3 +471,63 @@ FROM ({CLEAN}) c, (SELECT 1) one, LATERAL (SELECT 1) l2
 """.replace("FROM (", "FROM (", 1),
 })
 SQL["imputed_features"] = f"WITH med AS ({_MEDIANS})\n" + SQL["imputed_features"].replace(", (SELECT 1) one, LATERAL (SELECT 1) l2", "")
+
+
+# ---------------------------------------------------------------- learning
+SQL["smote_class_counts"] = """
+WITH j AS (SELECT 1 - l.quality AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+c AS (SELECT count_if(y = 1) AS n_pos, count_if(y <> 1) AS n_neg FROM j)
+SELECT CAST(1 - quality AS INTEGER) AS y, false AS synthetic, count(*) AS n_rows
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1
+UNION ALL
+SELECT 1 AS y, true AS synthetic, n_neg - n_pos AS n_rows FROM c WHERE n_pos >= 2 AND n_neg > n_pos
+"""
+SQL["model_training_summary"] = f"""
+WITH alloc AS ({_ALLOC})
+SELECT m.model, m.includes_leakage, m.n_features, (SELECT sum(n_rows - n_test) FROM alloc) AS n_train
+FROM (SELECT 'A' AS model, true AS includes_leakage, {len(OUT_FEATURES)} AS n_features
+      UNION ALL SELECT 'B', false, {len(OUT_FEATURES) - 1}) m
+"""
+
+
+# ---------------------------------------------------------------- network
+EDGES = """
+SELECT DISTINCT user_id AS entity,
+  json_extract_string(props, '$.k') || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H') || '|'
+    || CAST(CAST(floor(minute(ts) / 10) AS BIGINT) AS VARCHAR) AS attribute
+FROM events"""
+ESCORES = f"""
+SELECT user_id AS entity,
+  least({d(100)}, {d(100)} * avg(CASE WHEN event_type = 'error' THEN {d(1)} ELSE {d(0)} END) * {d(2)}) AS score
+FROM events GROUP BY user_id"""
+PAIRS = f"SELECT DISTINCT a.entity AS a, b.entity AS b FROM ({EDGES}) a JOIN ({EDGES}) b ON a.attribute = b.attribute AND a.entity <> b.entity"
+COMPONENTS = f"""
+WITH RECURSIVE nodes AS (SELECT DISTINCT entity FROM ({EDGES}) e),
+cc(entity, label) AS (
+  SELECT entity, entity FROM nodes
+  UNION
+  SELECT p.b, cc.label FROM cc JOIN ({PAIRS}) p ON p.a = cc.entity)
+SELECT entity, min(label) AS component FROM cc GROUP BY entity"""
+CSUMMARY = f"""
+WITH deg AS (SELECT entity, count(DISTINCT attribute) AS degree FROM ({EDGES}) e GROUP BY entity),
+j AS (SELECT c.component, c.entity, coalesce(s.score, {d(0)}) AS score, coalesce(deg.degree, 0) AS degree
+      FROM ({COMPONENTS}) c LEFT JOIN ({ESCORES}) s ON s.entity = c.entity LEFT JOIN deg ON deg.entity = c.entity)
+SELECT component, count(*) AS size, avg(score) AS mean_risk, count_if(score >= {d(60)}) AS mules,
+  coalesce(sum(CASE WHEN score >= {d(60)} THEN score * {d(0.18)} END), {d(0)}) AS exposure_lakh,
+  arg_max(entity, (degree, -entity)) AS hub
+FROM j GROUP BY component"""
+
+SQL.update({
+    "attribute_links": f"SELECT attribute, count(*) AS degree FROM ({EDGES}) e GROUP BY attribute",
+    "risk_propagation": f"""
+SELECT s.entity, s.score, least({d(100)}, coalesce(max(n.score), {d(0)}) * {d(0.8)}) AS propagated
+FROM ({ESCORES}) s LEFT JOIN ({PAIRS}) p ON p.a = s.entity LEFT JOIN ({ESCORES}) n ON n.entity = p.b
+GROUP BY s.entity, s.score""",
+    "risk_components": COMPONENTS,
+    "campaign_summary": CSUMMARY,
+    "campaign_lookup": f"""
+SELECT c.c_custkey AS entity, cc.component, coalesce(cs.mean_risk, {d(50)}) AS campaign_score,
+       coalesce(cs.size, 0) AS campaign_size
+FROM customer c LEFT JOIN ({COMPONENTS}) cc ON cc.entity = c.c_custkey
+LEFT JOIN ({CSUMMARY}) cs ON cs.component = cc.component""",
+})

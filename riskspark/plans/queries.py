@@ -264,3 +264,108 @@ def q_imputed(spark, sf_dir):
     medians = {r["feature"]: r["median"] for r in med.collect()}  # one row per column
     fm = FeatureModel(list(model.output_features), medians)
     return fm.transform(clean, keep=("account_id", "y"))
+
+
+# ---------------------------------------------------------------- learning
+QUERY_TREES = 10  # trees per fit in the registered queries (the library default is 300)
+_TRAINED: dict = {}
+
+
+def doc_features_p(spark, sf_dir) -> DataFrame:
+    from riskspark.sources.fixtures import doc_features
+    return persisted(spark, sf_dir, "doc_features", doc_features)
+
+
+DOC_FEATURES = ["n_chars", "n_spaces", "n_digits", "n_upper", "n_lines"]
+
+
+def trained_models(spark, sf_dir) -> dict:
+    """Models A and B trained once per application on the cleaned accounts."""
+    from riskspark.plans.learn import GBTParams, train_models
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        model, clean = cleaning(spark, sf_dir)
+        _TRAINED[key] = train_models(clean, model.output_features, params=GBTParams(max_iter=QUERY_TREES))
+    return _TRAINED[key]
+
+
+@register("smote_class_counts")
+def q_smote_counts(spark, sf_dir):
+    from riskspark.operators.smote import smote
+    docs = doc_features_p(spark, sf_dir)
+    return smote(docs, DOC_FEATURES, "y", "account_id").groupBy("y", "synthetic") \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("model_training_summary")
+def q_training_summary(spark, sf_dir):
+    from riskspark.plans.learn import training_summary
+    return training_summary(spark, trained_models(spark, sf_dir)).select(
+        "model", "includes_leakage", "n_features", "n_train")
+
+
+@register("held_out_scores")
+def q_held_out_scores(spark, sf_dir):
+    ms = trained_models(spark, sf_dir)
+    test = ms["split"].where(F.col("is_test"))
+    parts = [ms[m].predict(test).select(F.lit(m).alias("model"), "account_id", "y", "p") for m in ("A", "B")]
+    return parts[0].unionByName(parts[1])
+
+
+@register("held_out_metrics")
+def q_held_out_metrics(spark, sf_dir):
+    from riskspark.operators.metrics import model_metrics
+    ms = trained_models(spark, sf_dir)
+    thr = spark.createDataFrame([(m, float(ms[m].threshold)) for m in ("A", "B")],
+                                "model string, threshold double")
+    return model_metrics(q_held_out_scores(spark, sf_dir), thr)
+
+
+# ---------------------------------------------------------------- network
+def network_inputs(spark, sf_dir):
+    from riskspark.sources.fixtures import entity_attributes, entity_scores
+    edges = persisted(spark, sf_dir, "entity_attributes", entity_attributes)
+    scores = persisted(spark, sf_dir, "entity_scores", entity_scores)
+    return edges, scores
+
+
+def components_p(spark, sf_dir):
+    from riskspark.operators.network import connected_components
+    edges, _ = network_inputs(spark, sf_dir)
+    return persisted(spark, sf_dir, "components", lambda s, d: connected_components(edges))
+
+
+@register("attribute_links")
+def q_attribute_links(spark, sf_dir):
+    from riskspark.operators.network import attribute_degrees
+    edges, _ = network_inputs(spark, sf_dir)
+    return attribute_degrees(edges)
+
+
+@register("risk_propagation")
+def q_risk_propagation(spark, sf_dir):
+    from riskspark.operators.network import propagate_one_hop
+    edges, scores = network_inputs(spark, sf_dir)
+    return propagate_one_hop(edges, scores)
+
+
+@register("risk_components")
+def q_risk_components(spark, sf_dir):
+    return components_p(spark, sf_dir)
+
+
+@register("campaign_summary")
+def q_campaign_summary(spark, sf_dir):
+    from riskspark.operators.network import component_summary
+    edges, scores = network_inputs(spark, sf_dir)
+    return component_summary(components_p(spark, sf_dir), scores, edges)
+
+
+@register("campaign_lookup")
+def q_campaign_lookup(spark, sf_dir):
+    from riskspark.operators.network import campaign_lookup, component_summary
+    from riskspark.sources.fixtures import table
+    edges, scores = network_inputs(spark, sf_dir)
+    comps = components_p(spark, sf_dir)
+    req = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"))
+    return campaign_lookup(req, component_summary(comps, scores, edges), comps)
