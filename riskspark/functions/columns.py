@@ -69,3 +69,31 @@ def map_lookup(mapping: dict, key: Column, default=None) -> Column:
 def safe_div(a: Column, b: Column, zero=0.0) -> Column:
     """a / b with ``zero`` on zero or NULL division."""
     return F.coalesce(F.try_divide(a, b), F.lit(zero))
+
+
+def py_fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """Python ``f"{x:.{digits}f}"`` (``:+.{digits}f`` with ``plus``) for finite doubles.
+
+    Java's ``%.nf`` rounds the shortest decimal form half-up (0.38375 -> 0.3838);
+    Python rounds the exact binary value (0.38374999.. -> 0.3837). The product
+    ``|x| * 10^digits`` is made error-free with a Dekker split, so an apparent
+    tie at .5 is resolved by the sign of the rounding error (exact ties: even).
+    """
+    scale = float(10 ** digits)
+    a = F.abs(x)
+    hi = a * F.lit(scale)
+    c = F.lit(134217729.0) * a
+    a_hi = c - (c - a)
+    a_lo = a - a_hi
+    err = (a_hi * F.lit(scale) - hi) + a_lo * F.lit(scale)
+    fl = F.floor(hi)
+    frac = hi - fl
+    k = (F.when(frac > 0.5, fl + 1).when(frac < 0.5, fl)
+         .when(err > 0, fl + 1).when(err < 0, fl)
+         .when(fl % 2 == 0, fl).otherwise(fl + 1)).cast("long")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
+    if digits == 0:
+        return F.concat(sign, k.cast("string"))
+    int_part = (k / F.lit(10 ** digits)).cast("long").cast("string")
+    frac_part = F.lpad((k % F.lit(10 ** digits)).cast("string"), digits, "0")
+    return F.concat(sign, int_part, F.lit("."), frac_part)

@@ -52,7 +52,8 @@ def case_id(key: Column, prefix: str = "BOI-", width: int = 5) -> Column:
     k = key.cast(T.StringType())
     hashed = F.upper(F.substring(F.sha2(k, 256), 1, 8))
     return F.when(key.isNull(), F.concat(F.lit("ACC-"), hashed)) \
-        .otherwise(F.concat(F.lit(prefix), F.lpad(k, width, "0")))
+        .otherwise(F.concat(F.lit(prefix), F.when(F.length(k) >= width, k)  # lpad would truncate
+                            .otherwise(F.lpad(k, width, "0"))))
 
 
 def analysis_records(assessed: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,

@@ -531,3 +531,130 @@ SELECT c.c_custkey AS entity, cc.component, coalesce(cs.mean_risk, {d(50)}) AS c
 FROM customer c LEFT JOIN ({COMPONENTS}) cc ON cc.entity = c.c_custkey
 LEFT JOIN ({CSUMMARY}) cs ON cs.component = cc.component""",
 })
+
+
+# ---------------------------------------------------------------- case text / cases / stream
+from riskspark.operators import casetext as _ct  # noqa: E402
+
+_NL = "chr(10)"
+CASE_ID = "'BOI-' || CASE WHEN length(CAST(account_id AS VARCHAR)) >= 5 THEN CAST(account_id AS VARCHAR) ELSE lpad(CAST(account_id AS VARCHAR), 5, '0') END"
+
+
+def _unknown(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), 'unknown')"
+
+
+def _note(sev: str) -> str:
+    from riskspark.config import REGULATORY_NOTES
+    return "CASE " + sev + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in REGULATORY_NOTES.items()) \
+        + f" ELSE {q(REGULATORY_NOTES['LOW'])} END"
+
+
+REPORTS = f"""
+SELECT account_id, case_id, report, 'fallback' AS report_source FROM (
+SELECT account_id, {CASE_ID} AS case_id,
+ '1. EXECUTIVE SUMMARY' || {_NL} ||
+ 'Account ' || {CASE_ID} || ' scored ' || CAST(risk_score AS VARCHAR) || '/100 (' || severity || '). ' ||
+ CASE WHEN typology IS NOT NULL THEN 'It matches the ' || typology || ' mule typology and warrants action. '
+      ELSE 'It does not match a mule typology and appears legitimate. ' END ||
+ CASE WHEN coalesce(F3912 >= 1, false) THEN 'This account matches the fraud registry (F3912) — treat as confirmed. ' ELSE '' END ||
+ {_NL} || {_NL} || '2. RISK ASSESSMENT' || {_NL} || 'Risk score ' || CAST(risk_score AS VARCHAR) ||
+ '/100 places this account in the ' || severity || ' band' || {_NL} || '(model probability ' ||
+ printf('%.4f', risk_probability) || ', decision threshold applied). ' || recommended_action || '.' ||
+ {_NL} || {_NL} || '3. KEY FRAUD INDICATORS' || {_NL} || 'The model attributes the score primarily to:' || {_NL} ||
+ '   - No SHAP attributions available.' || {_NL} || {_NL} || '4. MULE TYPOLOGY ASSESSMENT' || {_NL} ||
+ CASE WHEN typology IS NOT NULL THEN 'Classified as ' || typology || ' with ' || printf('%.0f%%', confidence * 100)
+        || ' confidence.' || {_NL} || typology_description || {_NL} || 'Supporting evidence:' || {_NL} ||
+        CASE WHEN len(matched_indicators) > 0
+             THEN array_to_string(list_transform(matched_indicators, lambda m: '   - ' || m), {_NL})
+             ELSE '   - None matched.' END
+      ELSE {q(_ct.NO_TYPOLOGY)} END ||
+ {_NL} || {_NL} || '5. ACCOUNT PROFILE ANALYSIS' || {_NL} || 'Occupation: ' || {_unknown('occupation')} ||
+ '. Account standing period: ' || {_unknown('standing')} || '.' || {_NL} || 'Account holder age: ' ||
+ {_unknown('F3894')} || '. Account tenure: ' || {_unknown('F2956')} || '.' || {_NL} || {q(_ct.PROFILE_NOTE)} ||
+ {_NL} || {_NL} || '6. RECOMMENDED ACTIONS' || {_NL} || recommended_action || '. ' ||
+ CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN {q(_ct.ESCALATE)} ELSE {q(_ct.ROUTINE)} END ||
+ {_NL} || {_NL} || '7. REGULATORY NOTE' || {_NL} || {_note('severity')} AS report
+FROM ({ANALYSIS}) a) r
+"""
+
+
+def _sections(src: str, key: str, text: str) -> str:
+    hdr_clean = (f"upper(regexp_replace(regexp_replace(regexp_replace(line, '[*#]', '', 'g'), "
+                 f"'^\\s*\\d+\\.\\s*', ''), '^\\s+|\\s+$', '', 'g'))")
+    hdr = "CASE " + " ".join(f"WHEN starts_with(clean, {q(s)}) THEN {q(s)}" for s in REPORT_SECTIONS_) + " END"
+    return f"""
+WITH src AS ({src}),
+lines AS (SELECT {key} AS k, unnest(string_split({text}, chr(10))) AS line,
+                 generate_subscripts(string_split({text}, chr(10)), 1) AS pos FROM src),
+c AS (SELECT *, {hdr_clean} AS clean FROM lines),
+h AS (SELECT k, pos, line, {hdr} AS hdr FROM c),
+b AS (SELECT *, sum(CASE WHEN hdr IS NOT NULL THEN 1 ELSE 0 END)
+                OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM h),
+blocks AS (SELECT k, CAST(block AS BIGINT) AS block, max(hdr) AS header,
+                  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hdr IS NULL), '') AS raw
+           FROM b WHERE block > 0 GROUP BY k, block)
+SELECT k AS {key}, block, header, replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '**', '') AS body FROM blocks
+UNION ALL
+SELECT {key}, CAST(1 AS BIGINT) AS block, 'REPORT' AS header,
+       replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), '**', '') AS body
+FROM src WHERE {key} NOT IN (SELECT k FROM blocks)"""
+
+
+from riskspark.config import REPORT_SECTIONS as REPORT_SECTIONS_  # noqa: E402
+
+ASSISTANT = ("SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS text_id, text "
+             "FROM conversations WHERE role = 'assistant'")
+
+_V1 = f"""SELECT {CASE_ID} AS case_id, CAST(account_id AS BIGINT) AS account_id, risk_score, severity, typology,
+  confidence, account_id % 10 = 0 AS is_demo, CAST(1 AS BIGINT) AS version FROM ({ANALYSIS}) a"""
+_V2 = f"""SELECT case_id, account_id, risk_score / {d(2)} AS risk_score, 'LOW' AS severity, typology, confidence,
+  is_demo, CAST(2 AS BIGINT) AS version FROM ({_V1}) v WHERE account_id % 7 = 0"""
+_UPSERT = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY version DESC) AS rn
+                  FROM (SELECT * FROM ({_V1}) a UNION ALL SELECT * FROM ({_V2}) b) u) x WHERE rn = 1"""
+_PB = {k: "|".join(v) for k, v in _ct.PLAYBOOK_ACTIONS.items()}
+
+SQL.update({
+    "case_reports": REPORTS,
+    "report_sections": _sections(f"SELECT account_id, report FROM ({REPORTS}) r", "account_id", "report"),
+    "conversation_sections": _sections(ASSISTANT, "text_id", "text"),
+    "generated_text_gate": f"""
+SELECT text_id, s AS stripped,
+  CASE WHEN length(s2) > 200 AND contains(upper(s2), 'EXECUTIVE SUMMARY')
+       THEN CASE WHEN contains(upper(s2), 'REGULATORY NOTE') THEN s2
+                 ELSE s2 || chr(10) || chr(10) || '7. REGULATORY NOTE' || chr(10) || {_note("'HIGH'")} END
+       ELSE '<fallback report>' END AS final_text,
+  CASE WHEN length(s2) > 200 AND contains(upper(s2), 'EXECUTIVE SUMMARY') THEN 'ollama' ELSE 'fallback' END AS report_source
+FROM (SELECT text_id, regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS s,
+             regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS s2
+      FROM ({ASSISTANT}) t) g""",
+    "case_playbooks": f"""
+SELECT account_id, severity,
+  CASE severity {" ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _PB.items())} ELSE {q("|".join(_ct.PLAYBOOK_DEFAULT_ACTIONS))} END AS actions,
+  CASE severity {" ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _ct.PLAYBOOK_NOTES.items())} ELSE {q(_ct.PLAYBOOK_DEFAULT_NOTE)} END AS note,
+  CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN {q("|".join(_ct.WORKFLOW_ESCALATED))} ELSE {q("|".join(_ct.WORKFLOW_ROUTINE))} END AS workflow,
+  {_note('severity')} AS regulatory_note
+FROM ({ANALYSIS}) a""",
+    "case_store_upsert": f"SELECT case_id, account_id, risk_score, severity, is_demo, version FROM ({_UPSERT}) u",
+    "case_listing": f"SELECT case_id, risk_score, severity FROM ({_UPSERT}) u ORDER BY risk_score DESC, case_id",
+    "clear_uploaded_cases": f"SELECT count_if(is_demo) AS kept, count_if(NOT is_demo) AS removed FROM ({_V1}) v",
+    "demo_case_seeding": f"""SELECT count(*) AS new_demo_cases FROM ({_V1}) d
+WHERE is_demo AND case_id NOT IN (SELECT case_id FROM ({_V1}) e WHERE NOT is_demo)""",
+    "case_lookup_priority": f"""
+SELECT case_id, arg_min(risk_score, prio) AS risk_score, arg_min(source, prio) AS source FROM (
+  SELECT case_id, risk_score, 'demo' AS source, 0 AS prio FROM ({_V1}) a WHERE is_demo
+  UNION ALL SELECT case_id, risk_score, 'store' AS source, 1 AS prio FROM ({_V2}) b) u GROUP BY case_id""",
+    "high_severity_cases": f"SELECT {CASE_ID} AS case_id, severity, risk_score FROM ({ANALYSIS}) a WHERE severity IN ('CRITICAL', 'HIGH')",
+    "dashboard_kpis": f"""
+SELECT count(*) AS total, count_if(severity IN ('CRITICAL', 'HIGH')) AS mules,
+  CAST(CASE WHEN count(*) > 0 THEN round(avg(risk_score), 0) ELSE 0 END AS BIGINT) AS avg_risk,
+  count_if(severity IN ('CRITICAL', 'HIGH')) * {d(14.4)} AS exposure_lakh,
+  CAST(greatest(1, ceil(count_if(severity IN ('CRITICAL', 'HIGH')) / {d(3)})) AS BIGINT) AS active_campaigns
+FROM ({ANALYSIS}) a""",
+    "analytics_kpis": f"""
+SELECT count(*) AS flagged, CAST(ceil(count(*) / {d(3)}) AS BIGINT) AS networks_disrupted,
+  count(*) * {d(14.4)} AS fraud_prevented_lakh, CAST(ceil(count(*) / {d(5)}) AS BIGINT) AS high_risk_communities
+FROM ({ANALYSIS}) a WHERE risk_score >= {d(60)}""",
+})
+SQL["single_account_json"] = SQL["risk_assessment"]
+SQL["stream_scoring"] = SQL["risk_assessment"]

@@ -369,3 +369,178 @@ def q_campaign_lookup(spark, sf_dir):
     comps = components_p(spark, sf_dir)
     req = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"))
     return campaign_lookup(req, component_summary(comps, scores, edges), comps)
+
+
+# ---------------------------------------------------------------- case text / cases / stream
+def case_analysis(spark, sf_dir) -> DataFrame:
+    """X4 over the fixed-probability accounts (no model): flat analysis + report."""
+    from riskspark.plans.pipeline import analyze
+    return persisted(spark, sf_dir, "case_analysis",
+                     lambda s, d: analyze(scored_p(s, d), "p", FIXED_THRESHOLD))
+
+
+@register("case_reports")
+def q_case_reports(spark, sf_dir):
+    return case_analysis(spark, sf_dir).select("account_id", "case_id", "report", "report_source")
+
+
+@register("report_sections")
+def q_report_sections(spark, sf_dir):
+    from riskspark.operators.casetext import report_sections
+    return report_sections(case_analysis(spark, sf_dir).select("account_id", "report"), "account_id", "report")
+
+
+def assistant_texts(spark, sf_dir) -> DataFrame:
+    from riskspark.sources.fixtures import table
+    conv = table(spark, sf_dir, "conversations")
+    return conv.where(F.col("role") == "assistant").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text_id"),
+        F.col("text"))
+
+
+@register("conversation_sections")
+def q_conversation_sections(spark, sf_dir):
+    from riskspark.operators.casetext import report_sections
+    return report_sections(assistant_texts(spark, sf_dir), "text_id", "text")
+
+
+@register("generated_text_gate")
+def q_generated_text_gate(spark, sf_dir):
+    from riskspark.functions.text import strip_reasoning
+    from riskspark.operators.casetext import gate_generated
+    t = assistant_texts(spark, sf_dir)
+    text, source = gate_generated(F.col("text"), F.lit("HIGH"), F.lit("<fallback report>"))
+    return t.select("text_id", strip_reasoning(F.col("text")).alias("stripped"),
+                    text.alias("final_text"), source.alias("report_source"))
+
+
+@register("case_prompts")
+def q_case_prompts(spark, sf_dir):
+    from riskspark.operators.casetext import build_prompt
+    a = case_analysis(spark, sf_dir)
+    return a.select("account_id", build_prompt(a).alias("prompt"))
+
+
+@register("str_drafts")
+def q_str_drafts(spark, sf_dir):
+    from riskspark.operators.casetext import str_draft
+    a = case_analysis(spark, sf_dir)
+    return a.select("account_id", str_draft(a).alias("str_draft"))
+
+
+@register("case_playbooks")
+def q_case_playbooks(spark, sf_dir):
+    from riskspark.operators.casetext import playbook, regulatory_note
+    a = case_analysis(spark, sf_dir).select("account_id", "severity", playbook(F.col("severity")).alias("pb"))
+    return a.select("account_id", "severity", F.array_join("pb.actions", "|").alias("actions"),
+                    F.col("pb.note").alias("note"), F.array_join("pb.workflow", "|").alias("workflow"),
+                    regulatory_note(F.col("severity")).alias("regulatory_note"))
+
+
+def case_rows(spark, sf_dir) -> DataFrame:
+    """FIXTURES §4.5: cases from the analysis; demo = id % 10 = 0; v2 for id % 7 = 0."""
+    a = case_analysis(spark, sf_dir)
+    v1 = a.select("case_id", F.col("account_id").cast("long").alias("account_id"), "risk_score", "severity",
+                  "typology", "confidence", ((F.col("account_id") % 10) == 0).alias("is_demo"),
+                  F.lit(1).cast("long").alias("version"), "report")
+    v2 = v1.where((F.col("account_id") % 7) == 0).select(
+        "case_id", "account_id", (F.col("risk_score") / 2).alias("risk_score"), F.lit("LOW").alias("severity"),
+        "typology", "confidence", "is_demo", F.lit(2).cast("long").alias("version"), "report")
+    return v1, v2
+
+
+@register("case_store_upsert")
+def q_case_upsert(spark, sf_dir):
+    from riskspark.operators.cases import upsert
+    v1, v2 = case_rows(spark, sf_dir)
+    return upsert(v1, v2).select("case_id", "account_id", "risk_score", "severity", "is_demo", "version")
+
+
+@register("case_listing")
+def q_case_listing(spark, sf_dir):
+    from riskspark.operators.cases import list_cases, upsert
+    v1, v2 = case_rows(spark, sf_dir)
+    return list_cases(upsert(v1, v2)).select("case_id", "risk_score", "severity")
+
+
+@register("clear_uploaded_cases")
+def q_clear_uploaded(spark, sf_dir):
+    from riskspark.operators.cases import clear_uploaded
+    v1, _ = case_rows(spark, sf_dir)
+    kept, removed = clear_uploaded(v1)
+    # two one-row aggregates zipped on a constant key
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select("kept", F.lit(1).alias("_k")) \
+        .join(removed.select("removed", F.lit(1).alias("_k")), "_k").drop("_k")
+
+
+@register("demo_case_seeding")
+def q_demo_seeding(spark, sf_dir):
+    from riskspark.operators.cases import new_cases
+    v1, v2 = case_rows(spark, sf_dir)
+    existing = v1.where(~F.col("is_demo"))
+    demo = v1.where(F.col("is_demo"))
+    return new_cases(existing, demo).agg(F.count(F.lit(1)).alias("new_demo_cases"))
+
+
+@register("case_lookup_priority")
+def q_case_lookup(spark, sf_dir):
+    from riskspark.operators.cases import lookup_with_fallback
+    v1, v2 = case_rows(spark, sf_dir)
+    demo = v1.where(F.col("is_demo")).select("case_id", "risk_score", F.lit("demo").alias("source"))
+    store = v2.select("case_id", "risk_score", F.lit("store").alias("source"))
+    return lookup_with_fallback([(0, demo), (1, store)]).select("case_id", "risk_score", "source")
+
+
+@register("high_severity_cases")
+def q_high_severity(spark, sf_dir):
+    from riskspark.operators.cases import high_severity
+    return high_severity(case_analysis(spark, sf_dir)).select("case_id", "severity", "risk_score")
+
+
+@register("dashboard_kpis")
+def q_dashboard_kpis(spark, sf_dir):
+    from riskspark.operators.cases import dashboard_kpis
+    return dashboard_kpis(case_analysis(spark, sf_dir))
+
+
+@register("analytics_kpis")
+def q_analytics_kpis(spark, sf_dir):
+    from riskspark.operators.cases import analytics_kpis
+    from riskspark.plans.analyze import flagged
+    return analytics_kpis(flagged(case_analysis(spark, sf_dir)))
+
+
+@register("single_account_json")
+def q_single_account_json(spark, sf_dir):
+    """A5: accounts round-tripped through JSON feature dicts score exactly like the batch."""
+    from riskspark.plans.pipeline import parse_feature_json
+    s = scored_p(spark, sf_dir)
+    lines = s.select(F.to_json(F.struct(*[F.col(c) for c in s.columns])).alias("value"))
+    parsed = parse_feature_json(lines, s.schema)
+    return assess(parsed, "p", FIXED_THRESHOLD).select(
+        "account_id", "risk_score", "risk_probability", "severity", "recommended_action",
+        "occupation", "standing", *IND_COLS)
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """Accounts written as JSON files, scored by Structured Streaming (availableNow)."""
+    import uuid
+    from riskspark.session import shared_dir
+    from riskspark.streaming.scoring import read_account_stream, score_stream, write_scores
+    s = scored_p(spark, sf_dir)
+    base = shared_dir(spark, f"stream-{uuid.uuid4().hex}")
+    s.repartition(4).write.json(f"{base}/in")
+    stream = read_account_stream(spark, f"{base}/in", s.schema, max_files_per_trigger=2)
+    out = score_stream(stream, lambda df: assess(df, "p", FIXED_THRESHOLD).select(
+        "account_id", "risk_score", "risk_probability", "severity", "recommended_action",
+        "occupation", "standing", *IND_COLS))
+    q = write_scores(out, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("dataset_fingerprint")
+def q_fingerprint(spark, sf_dir):
+    from riskspark.plans.pipeline import dataset_fingerprint
+    return dataset_fingerprint(accounts_p(spark, sf_dir))
