@@ -36,7 +36,7 @@ def _class_counts(df: DataFrame, y: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(y).count().collect()}
 
 
-def test_allocation(class_counts: dict, test_fraction: float) -> dict:
+def holdout_allocation(class_counts: dict, test_fraction: float) -> dict:
     """Per-class test sizes: ceil(fraction * n) split by class share, remainders
     to the largest fractional parts (ties: larger class, then class value)."""
     n = sum(class_counts.values())
@@ -68,10 +68,10 @@ def _cutoffs(spark: SparkSession, ranked: DataFrame, borders: dict) -> DataFrame
 
 def stratified_split(df: DataFrame, y: str = "y", key: str = "account_id",
                      test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """D3: add ``is_test``; exact per-class test counts (see ``test_allocation``)."""
+    """D3: add ``is_test``; exact per-class test counts (see ``holdout_allocation``)."""
     spark = df.sparkSession
     counts = _class_counts(df, y)
-    alloc = test_allocation(counts, test_fraction)
+    alloc = holdout_allocation(counts, test_fraction)
     cuts = _cutoffs(spark, _ranked(df, y, key, seed), {c: [a] for c, a in alloc.items()})
     return df.join(F.broadcast(cuts), F.col(y).cast("long") == F.col("_cls"), "left") \
         .select(*[F.col(c) for c in df.columns],
