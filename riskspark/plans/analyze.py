@@ -91,8 +91,9 @@ def top_cases(df: DataFrame, key: str = "account_id", n: int = TOP_CASES,
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Rows violating a schema range (score 0-100, probability/confidence 0-1)."""
+    """Rows of ``analysis_records`` output violating a range (score 0-100,
+    probability / confidence / indicator values 0-1)."""
     bad = (~F.col("risk_score").between(0, 100)) | (~F.col("risk_probability").between(0, 1)) \
-        | (~F.col("confidence").between(0, 1)) \
+        | (~F.col("classification.confidence").between(0, 1)) \
         | F.exists("behavioural_indicators", lambda s: ~s["value"].between(0, 1))
     return df.filter(F.coalesce(bad, F.lit(True)))

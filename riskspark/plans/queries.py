@@ -544,3 +544,34 @@ def q_stream_scoring(spark, sf_dir):
 def q_fingerprint(spark, sf_dir):
     from riskspark.plans.pipeline import dataset_fingerprint
     return dataset_fingerprint(accounts_p(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- explanation
+def _scored_by_b(spark, sf_dir):
+    ms = trained_models(spark, sf_dir)
+    _, clean = cleaning(spark, sf_dir)
+    b = ms["B"]
+    p = b.predict(clean, "account_id", keep=("y",)).select("account_id", "p")
+    return ms, b, clean.join(p, "account_id")
+
+
+@register("shap_top_cases")
+def q_shap_top_cases(spark, sf_dir):
+    """X1 + K5 + F17: top-10 attributions of model B for its 25 highest flagged accounts."""
+    from riskspark.operators.explain import explain_rows, top_attributions
+    ms, b, joined = _scored_by_b(spark, sf_dir)
+    top = top_cases(assess(joined, "p", b.threshold), "account_id", 25)
+    prepared = b.features.transform(top, keep=("account_id",))
+    return top_attributions(explain_rows(prepared, b.model, b.features.selected), 10)
+
+
+@register("global_importance")
+def q_global_importance(spark, sf_dir):
+    """X2 + K6 + K9: mean |attribution| over a 400-row hash sample of held-out accounts."""
+    from riskspark.operators.explain import explain_rows, global_importance
+    from riskspark.operators.sampling import hash_sample
+    ms = trained_models(spark, sf_dir)
+    b = ms["B"]
+    test = ms["split"].where(F.col("is_test"))
+    sample = hash_sample(b.features.transform(test, keep=("account_id",)), 400, "account_id", 0)
+    return global_importance(explain_rows(sample, b.model, b.features.selected), 20)

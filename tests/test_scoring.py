@@ -88,3 +88,13 @@ def test_decode_codes_and_labels(spark):
     occ = [r[0] for r in spark.createDataFrame([(" Student\t",), ("6",)], "v string")
            .select(decode_occupation(F.col("v"))).collect()]
     assert occ == ["student", "others"]
+
+
+def test_analysis_records_validate(spark):
+    from riskspark.plans.analyze import analysis_records, validate
+    cfg = __import__("riskspark").RiskConfig(key="case_id")
+    rec = analysis_records(assess(demo_frame(spark).withColumn("p", F.lit(0.7)), "p", 0.5, cfg), cfg)
+    assert rec.count() == 5 and validate(rec).count() == 0
+    first = rec.where(F.col("case_id") == "Alpha-001").first()
+    assert first["account_profile"]["occupation"] == "student"
+    assert [b["key"] for b in first["behavioural_indicators"]][:2] == ["dormancy_signal", "activity_flag"]
