@@ -136,18 +136,14 @@ class FeatureSelector:
         spark = df.sparkSession
         present = self.cfg.leakage in features
         feats = [f for f in features if self.include_leakage or f != self.cfg.leakage]  # B8
-        long = to_long(df, feats, [y]).persist()
-        try:
-            # feature-sized results (one row per column) come back to the driver
-            medians = {r["feature"]: r["median"] for r in exact_medians(long).collect()}
-            filled = long.select(y, "feature", F.coalesce(
-                F.col("value"), map_lookup(medians, F.col("feature")), F.lit(0.0)).alias("value"))
-            mi = mutual_information(filled, y).persist()
-            mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
-            sel = select_features(spark, mi, feats, self.cfg, self.include_leakage, self.top_k)
-            chosen = [r["feature"] for r in sel.orderBy("rank").collect()]
-            mi.unpersist()
-        finally:
-            long.unpersist()
+        long = to_long(df, feats, [y]).checkpoint()  # shared folder; short plans below
+        # feature-sized results (one row per column) come back to the driver
+        medians = {r["feature"]: r["median"] for r in exact_medians(long).collect()}
+        filled = long.select(y, "feature", F.coalesce(
+            F.col("value"), map_lookup(medians, F.col("feature")), F.lit(0.0)).alias("value"))
+        mi = mutual_information(filled, y).checkpoint()
+        mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
+        sel = select_features(spark, mi, feats, self.cfg, self.include_leakage, self.top_k)
+        chosen = [r["feature"] for r in sel.orderBy("rank").collect()]
         return FeatureModel(chosen, {f: medians.get(f, 0.0) for f in chosen}, mi_scores,
                             present, self.include_leakage)

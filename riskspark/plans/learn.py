@@ -4,8 +4,9 @@
 stratified hold-out, feature selection fitted on training rows only, k-fold
 out-of-fold predictions with SMOTE applied strictly inside each fold's training
 part, F1-tuned threshold, then a final fit on the (oversampled) training split.
-Every fit is a distributed ``GBTClassifier``; the prepared frame is persisted
-once and reused by all folds.
+Every fit is a distributed ``GBTClassifier``; the prepared frame, each
+fold's oversampled training part and the out-of-fold scores are checkpointed
+to the shared folder, which keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -122,40 +123,51 @@ def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: s
     params = params or GBTParams()
     key = cfg.key
     t0 = time.time()
-    split = stratified_split(df, y, key, 0.2, cfg.seed).persist()
+    marks: dict = {}
+
+    def mark(label):
+        marks[label] = round(time.time() - t0, 2)
+    # intermediate frames are checkpointed (shared folder): short plans, no recomputation
+    split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
     train = split.where(~F.col("is_test"))
+    mark("split")
     fm = FeatureSelector(cfg, include_leakage, top_k).fit(train, features, y)
+    mark("selection")
     feats = fm.selected
     prepared = stratified_folds(fm.transform(train, keep=(key, y)), n_folds, y, key, cfg.seed + 1) \
-        .persist()
+        .checkpoint()
     weight = class_weight(prepared, y, cfg)
+    mark("folds")
 
     oof_parts = []
     for f in range(n_folds):
         fold_train = prepared.where(F.col("fold") != f).drop("fold")
         fold_val = prepared.where(F.col("fold") == f).drop("fold")
         if use_smote:
-            fold_train = smote(fold_train, feats, y, key, seed=cfg.seed + 10 + f)
+            fold_train = smote(fold_train, feats, y, key, seed=cfg.seed + 10 + f).checkpoint()
+            mark(f"smote_{f}")
         m = fit_gbt(fold_train, feats, y, params, weight)
+        mark(f"fit_{f}")
         oof_parts.append(predict_proba(m, fold_val).select(key, y, "p"))
     oof = oof_parts[0]
     for part in oof_parts[1:]:
         oof = oof.unionByName(part)
-    oof = oof.persist()
+    oof = oof.checkpoint()
     cv = ranking_metrics(oof, y, "p").first()
     thr_row = tune_threshold(oof, y, "p").first()
     threshold = float(thr_row["threshold"]) if thr_row and thr_row["threshold"] is not None else 0.5
+    mark("oof_metrics")
 
     final_train = prepared.drop("fold")
     if use_smote:
-        final_train = smote(final_train, feats, y, key, seed=cfg.seed)
+        final_train = smote(final_train, feats, y, key, seed=cfg.seed).checkpoint()
     model = fit_gbt(final_train, feats, y, params, weight)
+    mark("final_fit")
     n_train = prepared.count()
-    oof.unpersist()
-    prepared.unpersist()
     bundle = TrainedModel(name, include_leakage, fm, model, threshold,
                           float(cv["pr_auc"] or 0.0), round(time.time() - t0, 2), n_train,
-                          {"pos_weight": weight, "n_features": len(feats), "trees": params.max_iter})
+                          {"pos_weight": weight, "n_features": len(feats), "trees": params.max_iter,
+                           "phase_seconds": marks})
     return bundle, split
 
 

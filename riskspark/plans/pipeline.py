@@ -70,12 +70,12 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
 
     t0 = time.time()
     cleaner = Cleaner(cfg).fit(raw)
-    clean = cleaner.transform(raw, cfg).persist()
+    clean = cleaner.transform(raw, cfg).checkpoint()  # written once to the shared folder
     labelled = "y" in clean.columns
     if models is None:
         models = train_models(clean, cleaner.output_features, cfg, params)
     b = models["B"]
-    scored = b.predict(clean, cfg.key, keep=("y",) if labelled else ()).persist()
+    scored = b.predict(clean, cfg.key, keep=("y",) if labelled else ()).checkpoint()
     joined = clean.join(scored.select(cfg.key, "p"), cfg.key)
     assessed = assess(joined, "p", b.threshold, cfg)
     top = top_cases(assessed, cfg.key, top_n)
