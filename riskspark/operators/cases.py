@@ -11,8 +11,6 @@ map-side before the shuffle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +44,11 @@ def get_case(cases: DataFrame, case_id: str) -> DataFrame:
 
 
 def clear_uploaded(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keep demo cases; also return the number removed as a one-row frame."""
+    """Keep demo cases; also return ``(kept, removed)`` counts as a one-row frame."""
     kept = cases.where(F.col("is_demo"))
-    removed = cases.agg(F.count_if(~F.col("is_demo")).alias("removed"))
-    return kept, removed
+    counts = cases.agg(F.count_if(F.col("is_demo")).alias("kept"),
+                       F.count_if(~F.col("is_demo")).alias("removed"))
+    return kept, counts
 
 
 def new_cases(existing: DataFrame, candidates: DataFrame, key: str = "case_id") -> DataFrame:
@@ -154,5 +153,3 @@ def campaign_exposure(score) -> F.Column:
     """Exposure in lakh attributed to one mule of a campaign."""
     return score * F.lit(CAMPAIGN_EXPOSURE_FACTOR)
 
-
-assert math.isfinite(EXPOSURE_PER_MULE_LAKH)

@@ -156,20 +156,30 @@ def class_rate_by(df: DataFrame, col: str, y: str = "y") -> DataFrame:
 
 
 def dataset_stats(spark: SparkSession, df: DataFrame, features: list[str], n_dropped: int,
-                  y: str = "y", fingerprint: DataFrame | None = None) -> DataFrame:
-    """One summary row (rows, features, classes, ratio, sparsity, dropped columns)."""
-    cc = class_counts(df, y) if y in df.columns else spark.createDataFrame(
-        [(0, 0, "n/a")], "mule_count long, legit_count long, imbalance_ratio string")
-    sp = sparsity_pct(null_fractions(df, features))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    merged = rows.select("rows", F.lit(len(features)).alias("features"),
-                         F.lit(n_dropped).alias("fully_null_columns"))
-    # all three inputs are single-row aggregates: zip them with a constant key
-    k = F.lit(1).alias("_k")
-    out = merged.select("*", k).join(cc.select("*", k), "_k").join(sp.select("*", k), "_k")
-    if fingerprint is not None:
-        out = out.join(fingerprint.select("*", k), "_k")
-    return out.drop("_k")
+                  y: str = "y") -> DataFrame:
+    """One summary row (rows, features, classes, ratio, sparsity, dropped columns).
+
+    A single aggregate pass: row count, class counts and every column's non-NULL
+    count; sparsity is then the mean NULL share computed from those counts.
+    """
+    has_y = y in df.columns
+    agg = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.coalesce(F.sum(F.col(y)), F.lit(0)) if has_y else F.lit(0)).cast(T.LongType()).alias("mule_count"),
+        (F.count_if(F.col(y) == 0) if has_y else F.lit(0)).cast(T.LongType()).alias("legit_count"),
+        *[F.count(F.col(f"`{c}`")).alias(f"_nn{i}") for i, c in enumerate(features)])
+    n = F.col("rows").cast("double")
+    shares = [F.lit(1.0) - F.col(f"_nn{i}") / n for i in range(len(features))]
+    total = shares[0] if shares else F.lit(0.0)
+    for s_ in shares[1:]:
+        total = total + s_
+    ratio = F.try_divide(F.col("legit_count").cast("double"), F.col("mule_count"))
+    return agg.select(
+        "rows", F.lit(len(features)).alias("features"), F.lit(n_dropped).alias("fully_null_columns"),
+        "mule_count", "legit_count",
+        F.when(F.col("mule_count") > 0, F.concat(F.bround(ratio, 0).cast(T.LongType()).cast("string"),
+                                                 F.lit(":1"))).otherwise(F.lit("n/a")).alias("imbalance_ratio"),
+        (total / F.lit(float(max(1, len(features)))) * F.lit(100.0)).alias("sparsity_pct"))
 
 
 def exact_medians(long: DataFrame, n_buckets: int = 64) -> DataFrame:

@@ -42,15 +42,13 @@ def smote(df: DataFrame, features: list[str], y: str = "y", key: str = "account_
     # replicas per row: floor share, +1 for the (n_syn mod n_pos) rows with the smallest hashes
     share, extra = divmod(n_syn, n_pos)
     tagged = pos.select("*", F.lit(1).alias("_one"))
+    # the hash cut-off is one number: fetched once and used as a literal
     cut = _cutoffs(df.sparkSession, _ranked(tagged, "_one", key, seed), {1: [extra]}) \
-        .select(F.element_at("_cuts", 1).alias("_cut"))
+        .select(F.element_at("_cuts", 1).alias("_cut")).first()["_cut"]
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     with_pid = pos.join(points.select("vec", "pid"), "vec")
-    # one-row cut-off table: joined on a constant key (broadcast)
-    reps = with_pid.select("*", F.lit(1).alias("_one")).join(
-        F.broadcast(cut.select("*", F.lit(1).alias("_one"))), "_one") \
-        .select(key, "vec", "pid",
-                (F.lit(share) + F.when(h <= F.col("_cut"), 1).otherwise(0)).alias("n_rep"))
+    reps = with_pid.select(key, "vec", "pid",
+                           (F.lit(share) + F.when(h <= F.lit(cut), 1).otherwise(0)).alias("n_rep"))
     exploded = reps.where(F.col("n_rep") > 0).select(
         key, "vec", "pid", F.explode(F.sequence(F.lit(0), F.col("n_rep") - 1)).alias("rep"))
     hk = F.xxhash64(F.col(key).cast("string"), F.col("rep"), F.lit(seed))

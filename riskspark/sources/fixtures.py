@@ -50,7 +50,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("n_urgent"),
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
-        F.max_by("o_orderstatus", "o_orderkey").alias("last_status"),
+        # numeric buffer keeps this a HashAggregate (a string max_by forces a sort aggregate)
+        F.max_by(F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.lit(1.0)),
+                 F.col("o_orderkey")).alias("last_open"),
         F.count_if(F.col("o_orderdate") > F.lit(RECENT_SINCE).cast(T.TimestampNTZType()))
         .alias("n_recent"),
     )
@@ -90,8 +92,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f115.alias("F115"),
         F.floor(_days_to_ref(F.col("first_order")) / F.lit(30.0)).cast(T.DoubleType()).alias("F2956"),
         F.when(F.col("c_acctbal") < 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("F670"),
-        F.when(F.col("last_status").isNull(), F.lit(None).cast(T.DoubleType()))
-        .when(F.col("last_status") == "F", F.lit(0.0)).otherwise(F.lit(1.0)).alias("F2082"),
+        F.col("last_open").alias("F2082"),
         F.nullif(F.col("n_recent"), F.lit(0)).cast(T.DoubleType()).alias("F3043"),
         standing.alias("F3889"),
         occupation.alias("F3891"),
