@@ -95,6 +95,6 @@ def test_analysis_records_validate(spark):
     cfg = __import__("riskspark").RiskConfig(key="case_id")
     rec = analysis_records(assess(demo_frame(spark).withColumn("p", F.lit(0.7)), "p", 0.5, cfg), cfg)
     assert rec.count() == 5 and validate(rec).count() == 0
-    first = rec.where(F.col("case_id") == "Alpha-001").first()
+    first = rec.where(F.col("account_id") == "Alpha-001").first()
     assert first["account_profile"]["occupation"] == "student"
     assert [b["key"] for b in first["behavioural_indicators"]][:2] == ["dormancy_signal", "activity_flag"]
