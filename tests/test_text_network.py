@@ -72,3 +72,11 @@ def test_components_and_propagation_vs_brute_force(spark):
         nb = {o for a, es in by_attr.items() if e in es for o in es if o != e}
         want = min(100.0, 0.8 * max((sc[o] for o in nb), default=0.0))
         assert abs(got[e] - want) < 1e-9
+
+
+def test_components_on_a_long_chain(spark):
+    # entity i shares attribute c<i> with entity i+1: one component, diameter ~ 2 x 300
+    edges = [(i, f"c{i}") for i in range(300)] + [(i + 1, f"c{i}") for i in range(299)]
+    E = spark.createDataFrame(edges, "entity long, attribute string")
+    comp = {r["component"] for r in connected_components(E).collect()}
+    assert comp == {0}
