@@ -658,3 +658,50 @@ FROM ({ANALYSIS}) a WHERE risk_score >= {d(60)}""",
 })
 SQL["single_account_json"] = SQL["risk_assessment"]
 SQL["stream_scoring"] = SQL["risk_assessment"]
+
+
+# ---------------------------------------------------------------- prompts and STR drafts
+def _js(c: str) -> str:
+    return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+
+
+def _bul(indent: str, fallback: str) -> str:
+    return (f"CASE WHEN len(matched_indicators) > 0 THEN array_to_string(list_transform(matched_indicators, "
+            f"lambda m: '{indent}- ' || m), chr(10)) ELSE {q(fallback)} END")
+
+
+SQL["case_prompts"] = f"""
+SELECT account_id,
+ 'Produce a mule-account investigation report for the account below.' || chr(10) || chr(10) ||
+ 'STRUCTURED ANALYSIS' || chr(10) || 'Case ID: ' || {CASE_ID} || chr(10) ||
+ 'Risk score: ' || CAST(risk_score AS VARCHAR) || '/100' || chr(10) || 'Severity: ' || severity || chr(10) ||
+ 'Model risk probability: ' || printf('%.4f', risk_probability) || chr(10) ||
+ 'Fraud-registry (F3912) match: ' || CASE WHEN coalesce(F3912 >= 1, false) THEN 'YES' ELSE 'no' END ||
+ chr(10) || chr(10) || 'Top SHAP fraud indicators:' || chr(10) || '  - (no SHAP attribution available)' ||
+ chr(10) || chr(10) || 'Mule typology: ' || coalesce(typology, 'None (legitimate profile)') ||
+ ' (confidence ' || printf('%.0f%%', confidence * 100) || ')' || chr(10) ||
+ 'Matched typology evidence:' || chr(10) || {_bul("  ", "  - none")} || chr(10) || chr(10) ||
+ 'Account profile:' || chr(10) || '  - Occupation: ' || {_unknown('occupation')} || chr(10) ||
+ '  - Account standing period: ' || {_unknown('standing')} || chr(10) ||
+ '  - Account holder age: ' || {_unknown('F3894')} || chr(10) ||
+ '  - Account tenure: ' || {_unknown('F2956')} || chr(10) || chr(10) || {q(_ct.PROMPT_INSTRUCTIONS)} AS prompt
+FROM ({ANALYSIS}) a"""
+
+SQL["str_drafts"] = f"""
+SELECT account_id,
+ 'SUSPICIOUS TRANSACTION REPORT (STR) — DRAFT' || chr(10) ||
+ 'Filed under the Prevention of Money Laundering Act, 2002 (FIU-IND)' || chr(10) || chr(10) ||
+ 'REPORTING ENTITY      : Bank of India' || chr(10) || 'SUBJECT ACCOUNT       : ' || {CASE_ID} || chr(10) ||
+ 'RISK SCORE / SEVERITY : ' || {_js('risk_score')} || '/100 (' || severity || ')' || chr(10) ||
+ 'MULE TYPOLOGY         : ' || coalesce(typology, 'None') || ' (' ||
+   CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR) || '% confidence)' || chr(10) ||
+ 'FRAUD REGISTRY MATCH  : ' || CASE WHEN coalesce(F3912 >= 1, false) THEN 'YES (F3912 = 1)' ELSE 'No' END || chr(10) ||
+ 'MODEL                 : B (SHAP-attributed)' || chr(10) || chr(10) ||
+ 'GROUNDS FOR SUSPICION' || chr(10) || {_bul("  ", "  - Elevated model risk score")} || chr(10) || chr(10) ||
+ 'TOP CONTRIBUTING SIGNALS (SHAP)' || chr(10) || '' || chr(10) || chr(10) ||
+ 'ACCOUNT PROFILE' || chr(10) || '  Occupation       : ' || {_unknown('occupation')} || chr(10) ||
+ '  Account standing : ' || {_unknown('standing')} || chr(10) ||
+ '  Account age      : ' || coalesce({_js('F3894')}, 'unknown') || chr(10) || chr(10) ||
+ 'RECOMMENDED ACTION    : ' || CASE severity {" ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _ct.STR_ACTIONS.items())}
+   ELSE {q(_ct.STR_DEFAULT_ACTION)} END || chr(10) || chr(10) || {q(_ct.STR_FOOTER)} AS str_draft
+FROM ({ANALYSIS}) a"""
