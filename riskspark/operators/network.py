@@ -64,6 +64,23 @@ def propagate_one_hop(edges: DataFrame, scores: DataFrame, factor: float = 0.8,
         F.least(F.lit(cap), F.coalesce(F.col("nb"), F.lit(0.0)) * F.lit(factor)).alias("propagated"))
 
 
+def propagate(edges: DataFrame, scores: DataFrame, rounds: int = 3, factor: float = 0.8,
+              cap: float = 100.0) -> DataFrame:
+    """N2, r rounds: ``risk = max(own, factor x best neighbour risk)`` repeated (max-product
+    paths of up to ``rounds`` hops). Each round is the one-hop operator on the previous
+    round's risk, checkpointed to the shared folder; stops early when nothing changes."""
+    cur = scores.select("entity", F.col("score").alias("risk")).checkpoint()
+    for _ in range(rounds):
+        hop = propagate_one_hop(edges, cur.select("entity", F.col("risk").alias("score")), factor, cap)
+        nxt = hop.select("entity", F.greatest(F.col("score"), F.col("propagated")).alias("risk")).checkpoint()
+        changed = nxt.join(cur.withColumnRenamed("risk", "old"), "entity") \
+            .where(F.col("risk") != F.col("old")).limit(1).count()
+        cur = nxt
+        if changed == 0:
+            break
+    return scores.join(cur, "entity", "left").select("entity", "score", "risk")
+
+
 def _node_ids(edges: DataFrame) -> DataFrame:
     """Bipartite edges -> undirected long-id edges; attribute nodes get unique negative ids.
 

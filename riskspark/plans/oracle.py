@@ -705,3 +705,14 @@ SELECT account_id,
  'RECOMMENDED ACTION    : ' || CASE severity {" ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _ct.STR_ACTIONS.items())}
    ELSE {q(_ct.STR_DEFAULT_ACTION)} END || chr(10) || chr(10) || {q(_ct.STR_FOOTER)} AS str_draft
 FROM ({ANALYSIS}) a"""
+
+
+def _round(prev: str) -> str:
+    return f"""SELECT s.entity, greatest(s.risk, least({d(100)}, coalesce(max(n.risk), {d(0)}) * {d(0.8)})) AS risk
+FROM ({prev}) s LEFT JOIN ({PAIRS}) p ON p.a = s.entity LEFT JOIN ({prev}) n ON n.entity = p.b
+GROUP BY s.entity, s.risk"""
+
+
+_R0 = f"SELECT entity, score AS risk FROM ({ESCORES}) e"
+SQL["risk_propagation_rounds"] = f"""
+SELECT e.entity, e.score, r.risk FROM ({ESCORES}) e JOIN ({_round(_round(_round(_R0)))}) r ON r.entity = e.entity"""

@@ -573,3 +573,11 @@ def q_global_importance(spark, sf_dir):
     test = ms["split"].where(F.col("is_test"))
     sample = hash_sample(b.features.transform(test, keep=("account_id",)), 400, "account_id", 0)
     return global_importance(explain_rows(sample, b.model, b.features.selected), 20)
+
+
+@register("risk_propagation_rounds")
+def q_risk_propagation_rounds(spark, sf_dir):
+    """N2 over three rounds: risk = max(own, 0.8 x best neighbour risk), repeated."""
+    from riskspark.operators.network import propagate
+    edges, scores = network_inputs(spark, sf_dir)
+    return propagate(edges, scores, rounds=3)

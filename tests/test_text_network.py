@@ -80,3 +80,34 @@ def test_components_on_a_long_chain(spark):
     E = spark.createDataFrame(edges, "entity long, attribute string")
     comp = {r["component"] for r in connected_components(E).collect()}
     assert comp == {0}
+
+
+def test_multi_round_propagation_vs_brute_force(spark):
+    from riskspark.operators.network import propagate
+    edges = [(0, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (4, "d")]
+    scores = [(0, 100.0), (1, 0.0), (2, 10.0), (3, 0.0), (4, 50.0)]
+    E = spark.createDataFrame(edges, "entity long, attribute string")
+    S = spark.createDataFrame(scores, "entity long, score double")
+    got = {r["entity"]: r["risk"] for r in propagate(E, S, rounds=5).collect()}
+    # chain 0-1-2-3: 100 -> 80 -> 64 -> 51.2; entity 4 alone keeps its score
+    for k, v in {0: 100.0, 1: 80.0, 2: 64.0, 3: 51.2, 4: 50.0}.items():
+        assert abs(got[k] - v) < 1e-9
+
+
+def test_stream_persists_cases_idempotently(spark):
+    import uuid
+    from riskspark.operators.cases import CaseStore
+    from riskspark.session import shared_dir
+    from riskspark.streaming.scoring import persist_cases, read_account_stream
+    base = shared_dir(spark, f"s2-{uuid.uuid4().hex}")
+    rows = spark.createDataFrame([(f"C{i}", i, float(i), "LOW", None, 0.0, False, "r") for i in range(6)],
+                                 "case_id string, account_id long, risk_score double, severity string, "
+                                 "typology string, confidence double, is_demo boolean, report string")
+    rows.repartition(3).write.json(f"{base}/in")
+    stream = read_account_stream(spark, f"{base}/in", rows.schema, max_files_per_trigger=1)
+    store = CaseStore(spark, f"{base}/store")
+    persist_cases(stream, store, f"{base}/ckpt").awaitTermination()
+    assert store.read().count() == 6
+    # a rerun on the same checkpoint finds nothing new and leaves the store unchanged
+    persist_cases(read_account_stream(spark, f"{base}/in", rows.schema), store, f"{base}/ckpt").awaitTermination()
+    assert store.read().count() == 6
