@@ -19,23 +19,27 @@ from pyspark.sql import functions as F
 
 def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                  descending: bool = False, n_buckets: int = 256,
-                 accuracy: int = 1000) -> DataFrame:
+                 accuracy: int = 1000, broadcast_groups: bool = True) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) and ``tot_<c>`` (group total) per ``sum_cols``.
 
     Rows are ordered by ``order_col`` (ascending unless ``descending``) within
     ``group_cols``; ``order_col`` values must be distinct within a group.
+    The per-group cut points and bucket offsets (groups x n_buckets rows) are
+    broadcast when ``broadcast_groups`` (groups = features, models, classes:
+    schema-sized); pass False when the number of groups grows with the data.
     """
     g = list(group_cols)
     if not g:  # one constant group instead of a cross join
         return running_sums(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols,
-                            descending, n_buckets, accuracy).drop("_g")
+                            descending, n_buckets, accuracy, broadcast_groups).drop("_g")
     key = F.col(order_col)
     okey = -key if descending else key
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.groupBy(*g).agg(F.percentile_approx(okey, probs, accuracy).alias("_cuts"))
     # one row per group with n_buckets-1 doubles: bounded by the number of groups
     # (features or models), never by the number of rows
-    withcuts = df.join(F.broadcast(cuts), g, "inner")
+    small = F.broadcast if broadcast_groups else (lambda x: x)
+    withcuts = df.join(small(cuts), g, "inner")
     bucketed = withcuts.select(
         "*", F.size(F.filter("_cuts", lambda c: c < okey)).alias("_bucket")).drop("_cuts")
 
@@ -47,8 +51,8 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
         *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
         *[F.sum(f"_bt_{c}").over(wt).alias(f"tot_{c}") for c in sum_cols],
     )
-    # offsets: groups x n_buckets rows at most — broadcast-sized by construction
-    joined = bucketed.join(F.broadcast(offsets), [*g, "_bucket"], "inner")
+    # offsets: groups x n_buckets rows (broadcast only when groups are schema-sized)
+    joined = bucketed.join(small(offsets), [*g, "_bucket"], "inner")
     wr = Window.partitionBy(*g, "_bucket").orderBy(okey.asc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(

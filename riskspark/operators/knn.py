@@ -51,7 +51,8 @@ def _box(df: DataFrame, cell: str, d: int) -> DataFrame:
 
 def _median_by_cell(df: DataFrame) -> DataFrame:
     counts = df.groupBy("cell", F.col("proj").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_sums(counts, ["cell"], "value", ["cnt"], n_buckets=32)
+    # cells grow with the data: no forced broadcast of their cut points
+    cum = running_sums(counts, ["cell"], "value", ["cnt"], n_buckets=32, broadcast_groups=False)
     n = F.col("tot_cnt")
     lo, hi = F.floor((n - 1) / 2) + 1, F.floor(n / 2) + 1
     first = F.col("cum_cnt") - F.col("cnt")
@@ -62,6 +63,8 @@ def _median_by_cell(df: DataFrame) -> DataFrame:
 
 def build_tree(points: DataFrame, d: int, leaf_size: int = 256, seed: int = 7):
     """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels)."""
+    from riskspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(points.sparkSession)
     n = points.count()
     levels = max(0, math.ceil(math.log2(max(1, n) / leaf_size)))
     rng = np.random.default_rng(seed)

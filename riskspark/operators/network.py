@@ -69,6 +69,8 @@ def propagate(edges: DataFrame, scores: DataFrame, rounds: int = 3, factor: floa
     """N2, r rounds: ``risk = max(own, factor x best neighbour risk)`` repeated (max-product
     paths of up to ``rounds`` hops). Each round is the one-hop operator on the previous
     round's risk, checkpointed to the shared folder; stops early when nothing changes."""
+    from riskspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scores.sparkSession)
     cur = scores.select("entity", F.col("score").alias("risk")).checkpoint()
     for _ in range(rounds):
         hop = propagate_one_hop(edges, cur.select("entity", F.col("risk").alias("score")), factor, cap)
@@ -128,6 +130,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     round is checkpointed to the shared folder; it stops when the two ends of
     every edge have the same parent (smallest node of the closed neighbourhood).
     """
+    from riskspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(edges.sparkSession)
     e = _node_ids(edges).checkpoint()
     for _ in range(max_rounds):
         e = _small_star(_large_star(e)).checkpoint()

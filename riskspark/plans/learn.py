@@ -128,6 +128,8 @@ def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: s
     def mark(label):
         marks[label] = round(time.time() - t0, 2)
     # intermediate frames are checkpointed (shared folder): short plans, no recomputation
+    from riskspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
     train = split.where(~F.col("is_test"))
     mark("split")

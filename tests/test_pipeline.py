@@ -35,3 +35,16 @@ def test_pipeline_store_and_model_roundtrip(spark):
     p1 = {r["account_id"]: r["p"] for r in b.predict(out["clean"]).collect()}
     p2 = {r["account_id"]: r["p"] for r in again.predict(out["clean"]).collect()}
     assert p1 == p2 and again.threshold == b.threshold
+
+
+def test_tables_roundtrip_and_missing(spark):
+    from riskspark.sources.tables import export_per_case, load_table, save_table
+    base = shared_dir(spark, f"tables-{uuid.uuid4().hex}")
+    schema = "model string, pr_auc double"
+    assert load_table(spark, f"{base}/absent", schema).count() == 0
+    df = spark.createDataFrame([("A", 0.9), ("B", 0.8)], schema)
+    save_table(df, f"{base}/metrics")
+    assert sorted(r["model"] for r in load_table(spark, f"{base}/metrics", schema).collect()) == ["A", "B"]
+    cases = spark.createDataFrame([("C1", 1.0), ("C2", 2.0)], "case_id string, risk_score double")
+    export_per_case(cases, f"{base}/cases")
+    assert spark.read.json(f"{base}/cases").count() == 2
