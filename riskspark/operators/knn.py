@@ -23,7 +23,6 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskspark.operators.cumulative import running_sums
 

@@ -202,3 +202,8 @@ def exact_medians(long: DataFrame, n_buckets: int = 64) -> DataFrame:
     feats = long.select("feature").distinct()
     return feats.join(picked, "feature", "left").select(
         "feature", F.coalesce((F.col("lo") + F.col("hi")) / F.lit(2.0), F.lit(0.0)).alias("median"))
+
+
+def rank_hints_by_ks(hints: DataFrame) -> DataFrame:
+    """K8: hint rows by KS statistic, strongest first (NULL KS last, then config order)."""
+    return hints.orderBy(F.col("ks_stat").desc_nulls_last(), F.col("hint_rank"))

@@ -716,3 +716,10 @@ GROUP BY s.entity, s.risk"""
 _R0 = f"SELECT entity, score AS risk FROM ({ESCORES}) e"
 SQL["risk_propagation_rounds"] = f"""
 SELECT e.entity, e.score, r.risk FROM ({ESCORES}) e JOIN ({_round(_round(_round(_R0)))}) r ON r.entity = e.entity"""
+
+SQL["stream_case_persistence"] = f"SELECT case_id, account_id, risk_score, severity, is_demo FROM ({_V1}) v"
+
+SQL["schema_violations"] = f"""
+SELECT account_id, risk_score, risk_probability, confidence FROM ({ANALYSIS}) a
+WHERE NOT (risk_score BETWEEN 0 AND 100 AND risk_probability BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1
+           AND least({INDICATOR_COLS}) >= 0 AND greatest({INDICATOR_COLS}) <= 1)"""

@@ -581,3 +581,28 @@ def q_risk_propagation_rounds(spark, sf_dir):
     from riskspark.operators.network import propagate
     edges, scores = network_inputs(spark, sf_dir)
     return propagate(edges, scores, rounds=3)
+
+
+@register("stream_case_persistence")
+def q_stream_case_persistence(spark, sf_dir):
+    """Case rows arriving as JSON files are upserted batch by batch into a versioned store."""
+    import uuid
+    from riskspark.operators.cases import CaseStore
+    from riskspark.session import shared_dir
+    from riskspark.streaming.scoring import persist_cases, read_account_stream
+    v1, _ = case_rows(spark, sf_dir)
+    rows = v1.drop("version")
+    base = shared_dir(spark, f"stream-cases-{uuid.uuid4().hex}")
+    rows.repartition(4).write.json(f"{base}/in")
+    store = CaseStore(spark, f"{base}/store")
+    persist_cases(read_account_stream(spark, f"{base}/in", rows.schema, max_files_per_trigger=2),
+                  store, f"{base}/ckpt").awaitTermination()
+    return store.read().select("case_id", "account_id", "risk_score", "severity", "is_demo")
+
+
+@register("schema_violations")
+def q_schema_violations(spark, sf_dir):
+    """Analysis records outside their ranges (expected: none)."""
+    from riskspark.plans.analyze import analysis_records, validate
+    return validate(analysis_records(analysis(spark, sf_dir))).select(
+        "account_id", "risk_score", "risk_probability", F.col("classification.confidence").alias("confidence"))
