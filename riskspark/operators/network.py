@@ -132,7 +132,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(edges.sparkSession)
+    distinct_edges = edges.select("entity", "attribute").distinct()
+    # an attribute held by one entity links nothing: dropping those leaves is exact and
+    # usually removes most of the graph (near-unique attribute values)
+    shared = distinct_edges.groupBy("attribute").agg(F.count(F.lit(1)).alias("_d")) \
+        .where(F.col("_d") >= 2).select("attribute")
+    linked = distinct_edges.join(shared, "attribute", "left_semi")
+    entities = distinct_edges.select("entity").distinct()
+    return entities.join(_components_of(linked, max_rounds), "entity", "left") \
+        .select("entity", F.coalesce(F.col("component"), F.col("entity")).alias("component"))
+
+
+def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
     e = _node_ids(edges).checkpoint()
+    parent = e.select("src", F.col("src").alias("p"))
     for _ in range(max_rounds):
         e = _small_star(_large_star(e)).checkpoint()
         parent = e.groupBy("src").agg(F.min("dst").alias("p")) \
