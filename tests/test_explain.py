@@ -57,3 +57,24 @@ def test_additivity_on_spark_gbt(spark):
     for key, g in long.groupby("account_id"):
         x = g.set_index("feature").loc[["a", "b", "c"], "feature_value"].to_numpy()
         assert g["shap_value"].sum() + base == pytest.approx(margin(trees, x), abs=1e-9)
+
+
+def test_vectorised_equals_recursive():
+    from riskspark.operators.explain import compile_trees, shap_matrix
+    rng = np.random.default_rng(11)
+    tree = {  # feature 0 split twice on one path, as in boosted trees
+        "feature": np.array([0, 1, -1, 0, -1, -1, 2, -1, -1]),
+        "threshold": np.array([.5, .3, 0, .2, 0, 0, .1, 0, 0]),
+        "left": np.array([1, 2, -1, 4, -1, -1, 7, -1, -1]),
+        "right": np.array([6, 3, -1, 5, -1, -1, 8, -1, -1]),
+        "value": np.array([0, 0, 1.0, 0, 3.0, -1.5, 0, 5.0, 0.5]),
+        "cover": np.array([100., 40., 10., 30., 12., 18., 60., 15., 45.]),
+    }
+    trees = [(1.0, tree), (0.05, tree)]
+    X = rng.random((50, 3))
+    fast = shap_matrix(X, compile_trees(trees))
+    for r in range(len(X)):
+        phi = np.zeros(3)
+        for w, t in trees:
+            tree_shap(X[r], t, phi, 2.0 * w)
+        assert np.allclose(fast[r], phi)
