@@ -207,3 +207,19 @@ def exact_medians(long: DataFrame, n_buckets: int = 64) -> DataFrame:
 def rank_hints_by_ks(hints: DataFrame) -> DataFrame:
     """K8: hint rows by KS statistic, strongest first (NULL KS last, then config order)."""
     return hints.orderBy(F.col("ks_stat").desc_nulls_last(), F.col("hint_rank"))
+
+
+def leakage_report(long: DataFrame, mi: DataFrame | None = None, y: str = "y") -> DataFrame:
+    """How well "value >= 1" alone flags the positives, per feature (precision,
+    recall, flagged count), with the feature's MI when given. A column with
+    near-perfect precision is a leakage suspect (the registry flag in the reference)."""
+    flag = F.col("value") >= 1
+    pos = F.col(y) == 1
+    rep = long.groupBy("feature").agg(
+        F.count_if(flag).alias("n_flagged"),
+        F.count_if(flag & pos).alias("tp"),
+        F.count_if(pos).alias("n_pos"))
+    rep = rep.select("feature", "n_flagged",
+                     F.try_divide(F.col("tp").cast("double"), F.col("n_flagged")).alias("flag_precision"),
+                     F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("flag_recall"))
+    return rep.join(mi, "feature", "left") if mi is not None else rep

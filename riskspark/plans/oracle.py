@@ -723,3 +723,12 @@ SQL["schema_violations"] = f"""
 SELECT account_id, risk_score, risk_probability, confidence FROM ({ANALYSIS}) a
 WHERE NOT (risk_score BETWEEN 0 AND 100 AND risk_probability BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1
            AND least({INDICATOR_COLS}) >= 0 AND greatest({INDICATOR_COLS}) <= 1)"""
+
+SQL["leakage_report"] = f"""
+WITH long AS ({_unpivot(CLEAN, OUT_FEATURES, "y")}),
+rep AS (SELECT feature, count_if(value >= 1) AS n_flagged, count_if(value >= 1 AND y = 1) AS tp,
+               count_if(y = 1) AS n_pos FROM long GROUP BY feature)
+SELECT r.feature, r.n_flagged,
+  CASE WHEN r.n_flagged > 0 THEN CAST(r.tp AS DOUBLE) / r.n_flagged END AS flag_precision,
+  CASE WHEN r.n_pos > 0 THEN CAST(r.tp AS DOUBLE) / r.n_pos END AS flag_recall, m.mi
+FROM rep r LEFT JOIN ({_mi(OUT_FEATURES)}) m ON m.feature = r.feature"""

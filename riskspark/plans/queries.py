@@ -606,3 +606,12 @@ def q_schema_violations(spark, sf_dir):
     from riskspark.plans.analyze import analysis_records, validate
     return validate(analysis_records(analysis(spark, sf_dir))).select(
         "account_id", "risk_score", "risk_probability", F.col("classification.confidence").alias("confidence"))
+
+
+@register("leakage_report")
+def q_leakage_report(spark, sf_dir):
+    """Per feature, precision / recall of value >= 1 as a mule flag, with its MI."""
+    from riskspark.operators.profile import leakage_report
+    from riskspark.operators.selection import mutual_information
+    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
+    return leakage_report(long, mutual_information(impute_long(long, med), "y"), "y")
