@@ -128,7 +128,8 @@ class CaseStore:
     def write_version(self, df: DataFrame) -> int:
         vs = self._versions()
         n = (vs[-1] + 1) if vs else 1
-        df.write.mode("errorifexists").parquet(f"{self.root}/v={n}")
+        # partitioned by is_demo: demo lookups and clears read one partition (pruned)
+        df.write.mode("errorifexists").partitionBy("is_demo").parquet(f"{self.root}/v={n}")
         return n
 
     def save(self, new: DataFrame) -> int:

@@ -48,3 +48,20 @@ def test_cleaner_learns_on_train_and_replays(spark):
     # replay on a frame lacking a learned column: it appears as NULL
     again = m.transform(raw.drop("F1"))
     assert "F1" in again.columns and again.where(F.col("F1").isNotNull()).count() == 0
+
+
+def test_csv_source_with_index_and_null_tokens(spark):
+    import uuid
+    from riskspark.operators.clean import read_accounts_csv
+    from riskspark.session import shared_dir
+    path = shared_dir(spark, f"csv-{uuid.uuid4().hex}")
+    lines = [",F3924,F115,F3889,F3891,F2", "0,1,0.5,L7D, Student,NA", "1,0,#N/A,G365D,retired,",
+             "2,x,1e-1,L90D,others,null"]
+    spark.createDataFrame([(l,) for l in lines], "v string").coalesce(1).write.text(path)
+    raw = read_accounts_csv(spark, path)
+    assert raw.columns[0] == "_c0"                       # blank header of the saved index
+    m = Cleaner().fit(raw)
+    assert "_c0" not in m.features and m.dropped_null_columns == ["F2"]
+    rows = sorted(m.transform(raw).collect(), key=lambda r: r["F3889"])  # L7D=0, L90D=3, G365D=6
+    assert [r["y"] for r in rows] == [1, 0, 0]          # 'x' -> 0
+    assert [r["F115"] for r in rows] == [0.5, 0.1, None]  # '1e-1' parsed, '#N/A' is NULL
