@@ -615,3 +615,12 @@ def q_leakage_report(spark, sf_dir):
     from riskspark.operators.selection import mutual_information
     _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
     return leakage_report(long, mutual_information(impute_long(long, med), "y"), "y")
+
+
+@register("pipeline_cases")
+def q_pipeline_cases(spark, sf_dir):
+    """The batch pipeline (clean -> score with model B -> top cases -> TreeSHAP -> reports)."""
+    from riskspark.plans.pipeline import run_pipeline
+    out = run_pipeline(spark, accounts_as_text(spark, sf_dir), models=trained_models(spark, sf_dir))
+    return out["cases"].select("account_id", "case_id", "risk_score", "severity", "typology",
+                               F.size("shap_values").alias("n_attributions"), "report")
