@@ -149,7 +149,7 @@ def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
     for _ in range(max_rounds):
         e = _small_star(_large_star(e)).checkpoint()
         parent = e.groupBy("src").agg(F.min("dst").alias("p")) \
-            .select("src", F.least(F.col("p"), F.col("src")).alias("p")).checkpoint()
+            .select("src", F.least(F.col("p"), F.col("src")).alias("p"))  # short plan over checkpointed e
         # converged when every edge joins two nodes with the same parent: labels are
         # then constant on each component (a forest of stars satisfies it)
         ends = e.join(parent, "src").join(
