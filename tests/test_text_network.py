@@ -111,3 +111,15 @@ def test_stream_persists_cases_idempotently(spark):
     # a rerun on the same checkpoint finds nothing new and leaves the store unchanged
     persist_cases(read_account_stream(spark, f"{base}/in", rows.schema), store, f"{base}/ckpt").awaitTermination()
     assert store.read().count() == 6
+
+
+def test_ego_network_and_case_lookup(spark):
+    from riskspark.operators.cases import get_case
+    from riskspark.operators.network import ego_network
+    E = spark.createDataFrame([(1, "d1"), (2, "d1"), (2, "ip9"), (3, "ip9"), (4, "x")], "entity long, attribute string")
+    S = spark.createDataFrame([(1, 90.0), (2, 10.0)], "entity long, score double")
+    ego = {(r["entity"], r["attribute"], r["score"]) for r in ego_network(E, S, 2).collect()}
+    assert ego == {(1, "d1", 90.0), (2, "d1", 10.0), (2, "ip9", 10.0), (3, "ip9", 0.0)}
+    assert ego_network(E, S, 99).count() == 0              # unknown entity: empty network
+    cases = spark.createDataFrame([("C1", 1.0), ("C2", 2.0)], "case_id string, risk_score double")
+    assert get_case(cases, "C2").first()["risk_score"] == 2.0 and get_case(cases, "C9").count() == 0
