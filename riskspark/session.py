@@ -33,11 +33,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...). Only a
-    session without one (a local test run) gets a fresh temporary folder.
+    On a cluster the setting names a shared folder (HDFS/S3/...) and is
+    required. Only a local-mode session without one (tests) gets a fresh
+    temporary folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster; "
+                               "a machine-local scratch folder is only used in local mode")
         current = tempfile.mkdtemp(prefix="riskspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
