@@ -98,3 +98,15 @@ def test_analysis_records_validate(spark):
     first = rec.where(F.col("account_id") == "Alpha-001").first()
     assert first["account_profile"]["occupation"] == "student"
     assert [b["key"] for b in first["behavioural_indicators"]][:2] == ["dormancy_signal", "activity_flag"]
+
+
+def test_nan_behaves_as_null(spark):
+    from riskspark.functions.scoring import with_indicators
+    cfg = __import__("riskspark").RiskConfig(key="case_id")
+    nan = float("nan")
+    df = spark.createDataFrame([("n", nan, nan, nan, nan, nan), ("z", None, None, None, None, None)],
+                               "case_id string, F2956 double, F115 double, F2082 double, F3043 double, F670 double")
+    rows = {r["case_id"]: r for r in with_indicators(df, cfg).collect()}
+    for key in ("dormancy_signal", "activity_flag", "legitimacy_gap", "missingness_pattern", "high_risk_flag"):
+        assert rows["n"][f"ind_{key}"] == rows["z"][f"ind_{key}"], key
+    assert rows["n"]["ind_dormancy_signal"] == 0.5 and rows["n"]["ind_missingness_pattern"] == 0.85
