@@ -29,9 +29,8 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     schema-sized); pass False when the number of groups grows with the data.
     """
     g = list(group_cols)
-    if not g:  # one constant group instead of a cross join
-        return running_sums(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols,
-                            descending, n_buckets, accuracy, broadcast_groups).drop("_g")
+    if not g:
+        return _running_sums_global(df, order_col, sum_cols, descending, n_buckets, accuracy)
     key = F.col(order_col)
     okey = -key if descending else key
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -60,3 +59,33 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
         *[(F.col(f"_off_{c}") + F.sum(c).over(wr)).alias(f"cum_{c}") for c in sum_cols],
         *[F.col(f"tot_{c}") for c in sum_cols],
     )
+
+
+def _running_sums_global(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool,
+                         n_buckets: int, accuracy: int) -> DataFrame:
+    """No groups: the n_buckets-1 cut points and the bucket offsets are fetched once
+    (bounded by ``n_buckets``) and inlined as literals — no join on a constant key,
+    which the optimizer would turn into a cartesian product."""
+    key = F.col(order_col)
+    okey = -key if descending else key
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cut_vals = df.agg(F.percentile_approx(okey, probs, accuracy)).first()[0] or []
+    cuts = F.array(*[F.lit(v) for v in cut_vals]) if cut_vals else F.array().cast("array<double>")
+    bucketed = df.select("*", F.size(F.filter(cuts, lambda c: c < okey)).alias("_bucket"))
+    totals = {r["_bucket"]: r for r in bucketed.groupBy("_bucket")
+              .agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()}  # <= n_buckets rows
+    wr = Window.partitionBy("_bucket").orderBy(okey.asc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = [c for c in df.columns]
+    extra = []
+    for c in sum_cols:
+        offsets, acc = {}, 0
+        for b in sorted(totals):
+            offsets[b] = acc
+            acc += totals[b][c] or 0
+        off_map = F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))]) \
+            if offsets else F.create_map().cast("map<int,bigint>")
+        extra.append((F.coalesce(F.element_at(off_map, F.col("_bucket")), F.lit(0)) + F.sum(c).over(wr))
+                     .alias(f"cum_{c}"))
+        extra.append(F.lit(acc).alias(f"tot_{c}"))
+    return bucketed.select(*out, *extra)

@@ -63,9 +63,11 @@ def tune_threshold(df: DataFrame, y: str = "y", p: str = "p", group: list[str] |
                    n_buckets: int = 256) -> DataFrame:
     """The score maximising F1 on the PR curve, lowest such score on ties."""
     g = list(group or [])
-    if not g:  # a constant group keeps every join keyed
-        return tune_threshold(df.withColumn("_g", F.lit(0)), y, p, ["_g"], n_buckets).drop("_g")
     t = _curve_terms(curve(df, y, p, g, n_buckets))
+    if not g:  # one group: the best F1 is a single number, used as a literal (no constant-key join)
+        best_f1 = t.agg(F.max("f1")).first()[0]
+        return t.where(F.col("f1") == F.lit(best_f1)).agg(
+            F.min("score").alias("threshold"), F.first("f1").alias("best_f1"))
     best = t.groupBy(*g).agg(F.max("f1").alias("best_f1"))
     # one row per group: a small broadcast side by construction
     picked = t.join(F.broadcast(best), g, "inner")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.operators.knn import exact_knn
-from riskspark.operators.sampling import _cutoffs, _ranked
+from riskspark.operators.cumulative import running_sums
 
 
 def smote(df: DataFrame, features: list[str], y: str = "y", key: str = "account_id",
@@ -41,10 +41,13 @@ def smote(df: DataFrame, features: list[str], y: str = "y", key: str = "account_
 
     # replicas per row: floor share, +1 for the (n_syn mod n_pos) rows with the smallest hashes
     share, extra = divmod(n_syn, n_pos)
-    tagged = pos.select("*", F.lit(1).alias("_one"))
-    # the hash cut-off is one number: fetched once and used as a literal
-    cut = _cutoffs(df.sparkSession, _ranked(tagged, "_one", key, seed), {1: [extra]}) \
-        .select(F.element_at("_cuts", 1).alias("_cut")).first()["_cut"]
+    # rows whose hash rank is within ``extra`` get one more replica; the cut-off hash is one
+    # number, fetched once and used as a literal (no join on a constant key)
+    hashes = pos.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_h")) \
+        .groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(hashes, [], "_h", ["_n"], n_buckets=64)
+    cut = ranked.agg(F.max(F.when(F.col("cum__n") <= F.lit(extra), F.col("_h")))).first()[0]
+    cut = -(2 ** 63) if cut is None else cut
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     with_pid = pos.join(points.select("vec", "pid"), "vec")
     reps = with_pid.select(key, "vec", "pid",

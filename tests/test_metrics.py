@@ -69,3 +69,21 @@ def test_running_sums_match_naive(spark):
         for r in sorted((r for r in local if r["g"] == g), key=lambda r: r["v"]):
             acc += r["c"]
             assert got[(g, r["v"])] == acc
+
+
+def test_global_running_sums_and_ungrouped_metrics(spark):
+    rng = np.random.default_rng(8)
+    vals = rng.permutation(500).astype(float)
+    df = spark.createDataFrame([(float(v), int(v) % 3 + 1) for v in vals], "v double, c int")
+    got = {r["v"]: (r["cum_c"], r["tot_c"]) for r in running_sums(df, [], "v", ["c"], n_buckets=9).collect()}
+    acc = 0
+    for v in sorted(vals):
+        acc += int(v) % 3 + 1
+        assert got[v] == (acc, sum(int(x) % 3 + 1 for x in vals))
+    scored = spark.createDataFrame([(i, int(i % 4 == 0), float(i % 17)) for i in range(200)],
+                                   "account_id long, y int, p double")
+    plan = tune_threshold(scored)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    y = [int(i % 4 == 0) for i in range(200)]
+    p = [float(i % 17) for i in range(200)]
+    assert tune_threshold(scored).first()["threshold"] == pytest.approx(brute(y, p)[3])
