@@ -67,7 +67,8 @@ def build_tree(points: DataFrame, d: int, leaf_size: int = 256, seed: int = 7):
     n = points.count()
     levels = max(0, math.ceil(math.log2(max(1, n) / leaf_size)))
     rng = np.random.default_rng(seed)
-    cur = points.select("*", F.lit(0).cast("long").alias("cell"))
+    # checkpointed so ``cell`` is data, not a literal the optimizer would fold into a cross join
+    cur = points.select("*", F.lit(0).cast("long").alias("cell")).checkpoint()
     boxes = [_box(cur, "cell", d).checkpoint()]
     for _ in range(levels):
         u = rng.standard_normal(d)
@@ -114,6 +115,9 @@ def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = 256, seed: int
         "*", F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(F.lit(float("inf")))
         .alias("r")).checkpoint()
 
+    if levels == 0:  # a single leaf holds every point: step 1 was already exhaustive
+        return first.select("pid", F.col("top").alias("neighbours"))
+
     # 2. descend: keep cells whose box is within r of the point
     frontier = first.select("pid", "vec", "r", F.col("cell").alias("own"), F.lit(0).cast("long").alias("node"))
     for lvl in range(1, levels + 1):
