@@ -65,3 +65,17 @@ def test_csv_source_with_index_and_null_tokens(spark):
     rows = sorted(m.transform(raw).collect(), key=lambda r: r["F3889"])  # L7D=0, L90D=3, G365D=6
     assert [r["y"] for r in rows] == [1, 0, 0]          # 'x' -> 0
     assert [r["F115"] for r in rows] == [0.5, 0.1, None]  # '1e-1' parsed, '#N/A' is NULL
+
+
+def test_hash_sample_and_class_weight(spark):
+    from riskspark.config import RiskConfig
+    from riskspark.operators.sampling import hash_sample
+    from riskspark.plans.learn import class_weight
+    df = spark.range(1000).select(F.col("id").alias("account_id"),
+                                  F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("y"))
+    a = sorted(r[0] for r in hash_sample(df, 400).select("account_id").collect())
+    b = sorted(r[0] for r in hash_sample(df.repartition(13), 400).select("account_id").collect())
+    assert len(a) == 400 and a == b
+    assert hash_sample(df.limit(50), 400).count() == 50          # fewer rows than n: all of them
+    assert class_weight(df, "y", RiskConfig()) == 900 / 100       # measured legit / mule ratio
+    assert class_weight(df, "y", RiskConfig(pos_weight=112)) == 112.0
