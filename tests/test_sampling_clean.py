@@ -79,3 +79,17 @@ def test_hash_sample_and_class_weight(spark):
     assert hash_sample(df.limit(50), 400).count() == 50          # fewer rows than n: all of them
     assert class_weight(df, "y", RiskConfig()) == 900 / 100       # measured legit / mule ratio
     assert class_weight(df, "y", RiskConfig(pos_weight=112)) == 112.0
+
+
+def test_cleaning_model_roundtrip(spark):
+    import uuid
+    from riskspark.operators.clean import CleaningModel
+    from riskspark.session import shared_dir
+    raw = spark.createDataFrame([("1", "0.5", "L7D", None), ("0", None, "L14D", None)],
+                                "F3924 string, F1 string, F3889 string, F2 string")
+    m = Cleaner().fit(raw)
+    path = shared_dir(spark, f"clean-{uuid.uuid4().hex}")
+    m.save(path, spark)
+    again = CleaningModel.load(path, spark)
+    assert again == m
+    assert again.transform(raw).collect() == m.transform(raw).collect()

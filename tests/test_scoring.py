@@ -110,3 +110,12 @@ def test_nan_behaves_as_null(spark):
     for key in ("dormancy_signal", "activity_flag", "legitimacy_gap", "missingness_pattern", "high_risk_flag"):
         assert rows["n"][f"ind_{key}"] == rows["z"][f"ind_{key}"], key
     assert rows["n"]["ind_dormancy_signal"] == 0.5 and rows["n"]["ind_missingness_pattern"] == 0.85
+
+
+def test_validate_flags_out_of_range(spark):
+    from riskspark.plans.analyze import analysis_records, validate
+    cfg = __import__("riskspark").RiskConfig(key="case_id")
+    rec = analysis_records(assess(demo_frame(spark).withColumn("p", F.lit(0.7)), "p", 0.5, cfg), cfg)
+    broken = rec.withColumn("risk_score", F.when(F.col("account_id") == "Alpha-007", F.lit(101.0))
+                            .otherwise(F.col("risk_score")))
+    assert [r["account_id"] for r in validate(broken).collect()] == ["Alpha-007"]
