@@ -85,11 +85,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
                                         keep=(cfg.key,))
     shap = shap_struct_array(top_attributions(explain_rows(prepared_top, b.model, b.features.selected, cfg.key),
                                               10, cfg.key), cfg.key)
-    cases = analyze(top.drop(*[c for c in top.columns if c.startswith(("x_", "ind_", "conf_"))
-                               or c in ("occupation", "standing", "risk_score", "risk_probability",
-                                        "severity", "recommended_action", "typology", "rule_confidence",
-                                        "matched_indicators", "confidence", "typology_description")]),
-                    "p", b.threshold, cfg, shap)
+    # re-analyse the top rows from their input columns (features + p), now with attributions
+    cases = analyze(top.select(*joined.columns), "p", b.threshold, cfg, shap)
     metrics = None
     if labelled:
         test = models["split"].where(F.col("is_test"))
