@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskspark.session import ensure_checkpoint_dir
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 #: Most sources whose table is sent to all executors; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
