@@ -101,8 +101,9 @@ class Texts:
 
 
 def text_pieces(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20,
-                separator: int = 32) -> Iterator[Texts]:
-    """Cut a text column into pieces of whole texts of about ``max_bytes`` (null: empty)."""
+                separator: int = 32, max_rows: int = 4096) -> Iterator[Texts]:
+    """Cut a text column into pieces of whole texts, at most ``max_rows`` and about
+    ``max_bytes`` each (null: empty)."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     base = 0
     for chunk in chunks:
@@ -116,7 +117,7 @@ def text_pieces(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20,
         lo = 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, "right")) - 1)
-            hi = min(hi, n)
+            hi = min(hi, n, lo + max_rows)
             lengths = np.diff(offsets[lo:hi + 1])
             start = np.cumsum(lengths + 1) - lengths - 1
             out = np.full(int(lengths.sum()) + hi - lo, separator, np.uint8)

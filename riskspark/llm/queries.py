@@ -105,3 +105,83 @@ FROM dw LEFT JOIN pos ON dw.doc_id = pos.doc_id LEFT JOIN its ON dw.doc_id = its
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.quality import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.pii import personal_data
+    return personal_data(table(spark, sf_dir, "documents")).withColumn(
+        "base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.secret_scan import secrets
+    return secrets(table(spark, sf_dir, "documents")).withColumn(
+        "base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.suffix import remove_repeated_bytes, removed_bytes
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed_bytes(F.col("removed")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op5_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s
+      FROM (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 50)) AS i FROM d WHERE length(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+st AS (SELECT w.doc_id, i FROM w JOIN m ON w.s = m.s WHERE m.first < w.doc_id),
+runs AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 50, true) AS new FROM st),
+numbered AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM runs),
+sp AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM sp),
+agg AS (SELECT gaps.doc_id, sum(b - a) AS rem, count(*) AS n, max(b) AS last,
+               string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept
+        FROM gaps JOIN d ON gaps.doc_id = d.doc_id GROUP BY gaps.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(rem, 0)::BIGINT AS n_removed,
+       coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id
+"""
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.substring import remove_repeated_words
+    return remove_repeated_words(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+st AS (SELECT s.doc_id, i FROM s JOIN m ON s.s = m.s WHERE m.first < s.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM st),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.p) AS k
+         FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) u
+         LEFT JOIN gone ON u.doc_id = gone.doc_id AND u.p = gone.p WHERE gone.p IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
