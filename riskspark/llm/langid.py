@@ -186,6 +186,30 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
                  np.array([r["trust"] for r in fitted]))
 
 
+def language_column(text, model: Model) -> F.Column:
+    """``struct(lang_pred, score, ambiguous)`` of a text column; other columns stay where they are."""
+    names = np.array([*model.langs, UNKNOWN], object)
+
+    def predict(texts: pa.Array) -> pa.Array:
+        parts = []
+        for piece in text_pieces(texts, max_rows=128):
+            n = piece.hi - piece.lo
+            letters = np.array([bool(t and _LETTER.search(t)) for t in texts.slice(piece.lo, n).to_pylist()])
+            known = letters & bool(model.langs)
+            nearest, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
+            if known.any():
+                found = model.decode(grams(piece))
+                nearest, score, unsure = (np.where(known, a, b) for a, b in zip(found, (nearest, score, unsure)))
+            parts.append((nearest, score, unsure))
+        nearest, score, unsure = (np.concatenate(p) for p in zip(*parts)) if parts else ([], [], [])
+        return pa.StructArray.from_arrays(
+            [pa.array(list(names[nearest]) if len(nearest) else [], pa.string()), pa.array(score, pa.float64()),
+             pa.array(unsure, pa.bool_())], names=["lang_pred", "score", "ambiguous"])
+
+    return F.arrow_udf(predict, "lang_pred string, score double, ambiguous boolean",
+                       F.ArrowUDFType.SCALAR)(F.col(text) if isinstance(text, str) else text)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Language of every document of ``docs(doc_id, text, lang)``; ``lang`` is only learned from.
 
@@ -197,25 +221,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows; other columns are ignored.
     """
     fitted = model or train(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*fitted.langs, UNKNOWN], object)
-        for batch in batches:
-            for piece in text_pieces(batch.column(2), max_rows=128):
-                n = piece.hi - piece.lo
-                letters = np.array([bool(t and _LETTER.search(t))
-                                    for t in batch.column(2).slice(piece.lo, n).to_pylist()])
-                known = letters & bool(fitted.langs)
-                nearest, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
-                if known.any():
-                    at, s, u = fitted.decode(grams(piece))
-                    nearest, score, unsure = (np.where(known, a, b) for a, b in (
-                        (at, nearest), (s, score), (u, unsure)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.lo, n), batch.column(1).slice(piece.lo, n),
-                     pa.array(list(names[nearest]), pa.string()), pa.array(score), pa.array(unsure)],
-                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", held_out("doc_id").alias("held_out"),
+                       language_column("text", fitted).alias("_found")).select(
+        "doc_id", "held_out", "_found.lang_pred", "_found.score", "_found.ambiguous")
