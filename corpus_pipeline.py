@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps;
 a caller may write a stage's result and read it again as the next one's input.
+All stages but the last return the columns of ``documents``. Rows with a null
+``doc_id`` or text, repeated rows and empty tables go through; what each stage
+does with them stands in its docstring.
 """
 
 from __future__ import annotations
@@ -9,21 +12,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskspark.llm.decontam import decontaminate
+from riskspark.llm.langid import UNKNOWN, language_column, train
+from riskspark.llm.line_dedup import remove_aligned_lines
+from riskspark.llm.mixing import mix_sources
+from riskspark.llm.simhash import simhash_components
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: An ambiguous text goes if its score is below this.
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language: null text, texts without a letter, and
+    ambiguous texts of a low score go. The model is learned from the input's ``lang``;
+    if there is none to learn from, only texts without a letter go."""
+    model = train(docs)
+    found = docs.withColumn("_found", language_column("text", model))
+    known = F.col("_found.lang_pred") != UNKNOWN
+    if not model.langs:
+        known = F.col("text").rlike(r"\p{L}")
+    unsure = F.col("_found.ambiguous") & (F.col("_found.score") < MIN_SCORE)
+    return found.filter(known & ~unsure).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts blocks of lines that an earlier document has; ``n_chars`` follows. A
+    document of which no line is left goes; one that never had a line stays."""
+    cut = remove_aligned_lines(docs)
+    stays = (F.col("n_removed") == 0) | (F.col("kept_lines") > 0)
+    out = cut.filter(stays)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights: each taken document with the number of words taken."""
-    from pyspark.sql import functions as F
 
-    from riskspark.llm.mixing import mix_sources
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest ``doc_id`` of each near-duplicate component.
+    Of rows with one ``doc_id`` the one with the first text stays; rows without a
+    ``doc_id`` can't be told apart and all stay."""
+    found = simhash_components(docs).checkpoint()
+    keep = (found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("_rows")).select(F.col("doc_id").alias("_keep"), "_rows").checkpoint())
+    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"))
+    single = kept.filter(F.col("_rows") == 1).select(*docs.columns)
+    single = single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    if keep.filter(F.col("_rows") > 1).isEmpty():
+        return single
+    rest = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    several = (kept.filter(F.col("_rows") > 1).groupBy("doc_id")
+               .agg(F.min(F.struct(*rest)).alias("_first")).select("doc_id", "_first.*"))
+    return single.unionByName(several.select(*docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark phrase; null texts stay."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights: each document it takes, with ``size, source_size,
+    target, taken`` (words) and ``epochs`` (whole repeats; the rest of ``taken`` is the
+    first words of the text)."""
     return mix_sources(docs).filter(F.col("taken") > 0)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mixing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+]
 
-#: Language ID, patience alignment and fingerprint linking are not expressible in SQL.
+#: Language ID, alignment and fingerprint links can't be expressed in SQL; tested by brute force.
 ORACLE_SQL: str | None = None
 
 
