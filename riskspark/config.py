@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 TARGET_COLUMN = "F3924"
 LEAKAGE_FEATURE = "F3912"
 INDEX_COLUMN = "Unnamed: 0"
-SCALE_POS_WEIGHT = 112
 TOP_K_FEATURES = 200
 RANDOM_STATE = 42
 MISSING_INDICATOR_THRESHOLD = 0.05  # strictly greater than

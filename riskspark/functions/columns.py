@@ -71,26 +71,45 @@ def safe_div(a: Column, b: Column, zero=0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(zero))
 
 
-def py_fixed(x: Column, digits: int, plus: bool = False) -> Column:
-    """Python ``f"{x:.{digits}f}"`` (``:+.{digits}f`` with ``plus``) for finite doubles.
+def _tie_goes_up(a: Column, scale: float) -> Column:
+    """Whether ``a * scale``, computed as a tie at .5, lies above it (exact ties: odd ones go up).
+
+    A Dekker split gives the rounding error of the product.
+    """
+    t = a * F.lit(scale)
+    c = F.lit(134217729.0) * a
+    high = c - (c - a)
+    error = (high * F.lit(scale) - t) + (a - high) * F.lit(scale)
+    return F.when(error != 0, error > 0).otherwise(F.floor(t) % 2 == 1)
+
+
+def _units(x: Column, digits: int) -> Column:
+    """``|x|`` in units of ``10^-digits``, rounded as Python does: by the exact binary value.
 
-    Java's ``%.nf`` rounds the shortest decimal form half-up (0.38375 -> 0.3838);
-    Python rounds the exact binary value (0.38374999.. -> 0.3837). The product
-    ``|x| * 10^digits`` is made error-free with a Dekker split, so an apparent
-    tie at .5 is resolved by the sign of the rounding error (exact ties: even).
+    Spark's ``round`` and ``bround`` and Java's ``%.nf`` round the shortest decimal
+    form (0.38375 -> 0.3838, though the double is 0.38374999..). Off a tie the
+    computed product is on the right side of .5; a computed tie is settled by the
+    product's rounding error. That rare branch is a lambda, which keeps the
+    generated code small.
     """
     scale = float(10 ** digits)
     a = F.abs(x)
-    hi = a * F.lit(scale)
-    c = F.lit(134217729.0) * a
-    a_hi = c - (c - a)
-    a_lo = a - a_hi
-    err = (a_hi * F.lit(scale) - hi) + a_lo * F.lit(scale)
-    fl = F.floor(hi)
-    frac = hi - fl
-    k = (F.when(frac > 0.5, fl + 1).when(frac < 0.5, fl)
-         .when(err > 0, fl + 1).when(err < 0, fl)
-         .when(fl % 2 == 0, fl).otherwise(fl + 1)).cast("long")
+    t = a * F.lit(scale)
+    whole = F.floor(t)
+    part = t - whole
+    tie = F.element_at(F.transform(F.array(a), lambda v: _tie_goes_up(v, scale)), 1)
+    return (whole + F.when((part > 0.5) | ((part == 0.5) & tie), 1).otherwise(0)).cast("long")
+
+
+def py_round(x: Column, digits: int) -> Column:
+    """Python ``round(x, digits)`` for finite doubles; NULL stays NULL."""
+    k = _units(x, digits).cast(T.DoubleType()) / F.lit(float(10 ** digits))
+    return F.when(x < 0, -k).otherwise(k)
+
+
+def py_fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """Python ``f"{x:.{digits}f}"`` (``:+.{digits}f`` with ``plus``) for finite doubles."""
+    k = _units(x, digits)
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
     if digits == 0:
         return F.concat(sign, k.cast("string"))

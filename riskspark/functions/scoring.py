@@ -23,7 +23,7 @@ from riskspark.config import (
     STANDING_RATE_SCALE,
     RiskConfig,
 )
-from riskspark.functions.columns import NUMERIC_PATTERN, clip01, map_lookup, num_col, strip_ws
+from riskspark.functions.columns import NUMERIC_PATTERN, clip01, map_lookup, num_col, py_round, strip_ws
 
 _LO_THR = 1e-6
 
@@ -114,7 +114,7 @@ def indicator_values(cfg: RiskConfig = DEFAULT_CONFIG, rounded: bool = True) ->
         "account_standing": clip01(st_rate / F.lit(STANDING_RATE_SCALE)),
     }
     if rounded:
-        raw = {k: F.bround(v, 3) for k, v in raw.items()}
+        raw = {k: py_round(v, 3) for k, v in raw.items()}
     return raw
 
 
@@ -165,7 +165,7 @@ def indicator_array(cfg: RiskConfig = DEFAULT_CONFIG) -> Column:
 
 
 def with_indicators(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
-    """``indicator_inputs`` + one ``ind_<key>`` column per indicator (3 dp, bround)."""
+    """``indicator_inputs`` + one ``ind_<key>`` column per indicator (3 dp, as Python rounds)."""
     base = indicator_inputs(df, cfg)
     vals = indicator_values(cfg)
     return base.select("*", *[v.alias(f"ind_{k}") for k, v in vals.items()])

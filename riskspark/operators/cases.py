@@ -4,9 +4,11 @@ The store is a directory of immutable versions ``<root>/v=<n>`` (parquet),
 written under the shared checkpoint/warehouse folder. An upsert reads the
 newest version, merges and writes the next one, so a reader never sees a
 half-written path and a failed job leaves the previous version intact.
-"Last write wins" is ``max_by(row, version)`` per ``case_id``: a partial
+"Last write wins" is the greatest ``(version, row)`` per ``case_id``: a partial
 aggregate, so a case id repeated by millions of versions is still combined
-map-side before the shuffle.
+map-side before the shuffle. Row versions are issued by the store, so writers
+(batch runs, streams, restarts) need no common clock; the name of a version's
+folder also records which stream batch it holds, which outlives any process.
 """
 
 from __future__ import annotations
@@ -14,18 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.config import (CAMPAIGN_EXPOSURE_FACTOR, EXPOSURE_PER_MULE_LAKH,
-                              MULES_PER_CAMPAIGN, MULES_PER_COMMUNITY)
+from riskspark.config import EXPOSURE_PER_MULE_LAKH, MULES_PER_CAMPAIGN, MULES_PER_COMMUNITY
 
 CASE_SCHEMA = ("case_id string, account_id long, risk_score double, severity string, typology string, "
                "confidence double, is_demo boolean, version long, report string")
 
 
 def latest_versions(cases: DataFrame, key: str = "case_id", version: str = "version") -> DataFrame:
-    """One row per case, the highest version (ties: any, deterministic by struct order)."""
-    others = [c for c in cases.columns if c not in (key,)]
-    packed = F.struct(*[F.col(c) for c in others])
-    return cases.groupBy(key).agg(F.max_by(packed, F.col(version)).alias("_r")).select(key, "_r.*")
+    """One row per case, the highest version; of rows with one version the greatest
+    by their other columns in order, so the choice never depends on the partitioning."""
+    others = [c for c in cases.columns if c not in (key, version)]
+    return (cases.groupBy(key).agg(F.max(F.struct(version, *others)).alias("_r"))
+            .select(key, "_r.*").select(*cases.columns))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "case_id", version: str = "version") -> DataFrame:
@@ -103,7 +105,8 @@ class CaseStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _published(self) -> list[tuple[int, str]]:
+        """Complete versions in order: number and stream batch (empty for other writes)."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -115,26 +118,41 @@ class CaseStore:
             name = st.getPath().getName()
             if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(
                     st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
+                number, _, batch = name[2:].partition("+")
+                out.append((int(number), batch))
         return sorted(out)
 
+    def has_batch(self, batch: str) -> bool:
+        return any(b == batch for _, b in self._published())
+
+    @staticmethod
+    def _folder(version: int, batch: str) -> str:
+        return f"v={version}+{batch}" if batch else f"v={version}"
+
     def read(self) -> DataFrame:
         """The newest complete version; an absent store reads as empty."""
-        vs = self._versions()
-        if not vs:
+        published = self._published()
+        if not published:
             return self.spark.createDataFrame([], CASE_SCHEMA)
-        return self.spark.read.schema(CASE_SCHEMA).parquet(f"{self.root}/v={vs[-1]}")
+        return self.spark.read.schema(CASE_SCHEMA).parquet(f"{self.root}/{self._folder(*published[-1])}")
+
+    def _next(self) -> int:
+        published = self._published()
+        return published[-1][0] + 1 if published else 1
 
-    def write_version(self, df: DataFrame) -> int:
-        vs = self._versions()
-        n = (vs[-1] + 1) if vs else 1
-        # partitioned by is_demo: demo lookups and clears read one partition (pruned)
-        df.write.mode("errorifexists").partitionBy("is_demo").parquet(f"{self.root}/v={n}")
+    def write_version(self, df: DataFrame, batch: str = "") -> int:
+        n = self._next()
+        # partitioned by is_demo: demo lookups and clears read one partition (pruned);
+        # what a failed write left under the number is replaced
+        df.write.mode("overwrite").partitionBy("is_demo").parquet(f"{self.root}/{self._folder(n, batch)}")
         return n
 
-    def save(self, new: DataFrame) -> int:
-        """Upsert and publish as the next version."""
-        return self.write_version(upsert(self.read(), new))
+    def save(self, new: DataFrame, batch: str = "") -> int:
+        """Upsert as the next version; a stream batch that is published already is skipped."""
+        if batch and self.has_batch(batch):
+            return self._published()[-1][0]
+        versioned = new.withColumn("version", F.lit(self._next()).cast("long"))
+        return self.write_version(upsert(self.read(), versioned), batch)
 
     def seed(self, demo: DataFrame) -> int:
         """Upsert demo cases, return how many were new."""
@@ -149,8 +167,3 @@ class CaseStore:
         self.write_version(kept)
         return int(n)
 
-
-def campaign_exposure(score) -> F.Column:
-    """Exposure in lakh attributed to one mule of a campaign."""
-    return score * F.lit(CAMPAIGN_EXPOSURE_FACTOR)
-

@@ -3,7 +3,7 @@
 ``Cleaner.fit`` learns, on training rows only, which columns are all-NULL and
 which get a ``_missing`` twin; ``CleaningModel.transform`` replays exactly that
 schema on any later data (batch, one row or a stream), so train and serve
-cannot drift. Fitting is one wide aggregate pass; transforming is a single
+cannot drift. Fitting counts columns in chunks; transforming is a single
 ``select`` (never a ``withColumn`` loop).
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from riskspark.config import DEFAULT_CONFIG, OCCUPATION_ORDER, STANDING_ORDER, RiskConfig
 from riskspark.functions.columns import map_lookup, null_token, num, strip_ws
+from riskspark.operators.profile import non_null_counts
 
 MISSING_SUFFIX = "_missing"
 
@@ -127,22 +128,33 @@ class CleaningModel:
 class Cleaner:
     """B2 + B5 + B6 estimator: learn dropped columns and ``_missing`` twins on training rows."""
 
-    def __init__(self, cfg: RiskConfig = DEFAULT_CONFIG, threshold: float | None = None):
+    def __init__(self, cfg: RiskConfig = DEFAULT_CONFIG, threshold: float | None = None, chunk: int = 200):
         self.cfg = cfg
+        self.chunk = chunk
         self.threshold = cfg.missing_threshold if threshold is None else threshold
 
+    def fit_on_training_rows(self, raw: DataFrame) -> CleaningModel:
+        """Fit without the rows that ``stratified_split`` holds out (all rows if there is no target)."""
+        from riskspark.operators.sampling import stratified_split
+        cfg = self.cfg
+        if cfg.target not in raw.columns or cfg.key not in raw.columns:
+            return self.fit(raw)
+        rows = raw.withColumn("_split_y", target_column(F.col(cfg.target)))
+        split = stratified_split(rows, "_split_y", cfg.key, 0.2, cfg.seed)
+        return self.fit(split.where(~F.col("is_test")).drop("_split_y", "is_test"))
+
     def fit(self, df: DataFrame) -> CleaningModel:
         cfg = self.cfg
         df = drop_index_column(df, cfg)
         key = cfg.key if cfg.key in df.columns else None
         target = cfg.target if cfg.target in df.columns else None
         features = [c for c in df.columns if c not in (key, target, "y")]
-        coerced = df.select(*coerced_columns(df, features, cfg))
-        # one pass: row count + non-NULL count of every (coerced) column
-        counts = coerced.agg(F.count(F.lit(1)).alias("__n"),
-                             *[F.count(F.col(f"`{c}`")).alias(c) for c in features]).first()
-        n = int(counts["__n"])
-        frac = {c: (1.0 - counts[c] / n) if n else 1.0 for c in features}
+        # chunks of columns keep the coercion expressions small on wide tables; one row per column comes back
+        counts = {r["feature"]: r for lo in range(0, len(features), self.chunk)
+                  for r in non_null_counts(df.select(*coerced_columns(df, features[lo:lo + self.chunk], cfg)),
+                                           features[lo:lo + self.chunk], self.chunk).collect()}
+        n = int(next(iter(counts.values()))["n_rows"]) if counts else df.count()
+        frac = {c: (1.0 - counts[c]["n_non_null"] / n) if n else 1.0 for c in features}
         dropped = [c for c in features if frac[c] >= 1.0]
         kept = [c for c in features if c not in dropped]
         missing = [c for c in kept if frac[c] > self.threshold]

@@ -13,22 +13,43 @@ need no special handling and a hot value is one row).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BUCKET = 20_000
+
+
+def buckets_for(df: DataFrame, group_cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets that hold about ``rows_per_bucket`` rows of the largest group."""
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
+    return max(1, math.ceil((counts.agg(F.max("n")).first()[0] or 0) / rows_per_bucket))
+
+
 def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                 descending: bool = False, n_buckets: int = 256,
-                 accuracy: int = 1000, broadcast_groups: bool = True) -> DataFrame:
+                 descending: bool = False, n_buckets: int | None = None,
+                 accuracy: int | None = None, broadcast_groups: bool = True) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) and ``tot_<c>`` (group total) per ``sum_cols``.
 
     Rows are ordered by ``order_col`` (ascending unless ``descending``) within
     ``group_cols``; ``order_col`` values must be distinct within a group.
-    The per-group cut points and bucket offsets (groups x n_buckets rows) are
+    ``n_buckets`` follows the largest group's rows unless given, so a window task
+    sorts about ``ROWS_PER_BUCKET`` rows at any size; the input is read several times
+    and should be a written table. The per-group cut points and bucket offsets (groups x n_buckets rows) are
     broadcast when ``broadcast_groups`` (groups = features, models, classes:
     schema-sized); pass False when the number of groups grows with the data.
     """
     g = list(group_cols)
+    n_buckets = n_buckets or buckets_for(df, g)
+    accuracy = accuracy or max(1000, 10 * n_buckets)
+    if n_buckets == 1 and g:
+        by = Window.partitionBy(*g)
+        upto = by.orderBy((-F.col(order_col) if descending else F.col(order_col)).asc()) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sum_cols],
+                         *[F.sum(c).over(by).alias(f"tot_{c}") for c in sum_cols])
     if not g:
         return _running_sums_global(df, order_col, sum_cols, descending, n_buckets, accuracy)
     key = F.col(order_col)
@@ -69,7 +90,7 @@ def _running_sums_global(df: DataFrame, order_col: str, sum_cols: list[str], des
     key = F.col(order_col)
     okey = -key if descending else key
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cut_vals = df.agg(F.percentile_approx(okey, probs, accuracy)).first()[0] or []
+    cut_vals = (df.agg(F.percentile_approx(okey, probs, accuracy)).first()[0] or []) if probs else []
     cuts = F.array(*[F.lit(v) for v in cut_vals]) if cut_vals else F.array().cast("array<double>")
     bucketed = df.select("*", F.size(F.filter(cuts, lambda c: c < okey)).alias("_bucket"))
     totals = {r["_bucket"]: r for r in bucketed.groupBy("_bucket")

@@ -51,7 +51,7 @@ def _box(df: DataFrame, cell: str, d: int) -> DataFrame:
 def _median_by_cell(df: DataFrame) -> DataFrame:
     counts = df.groupBy("cell", F.col("proj").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
     # cells grow with the data: no forced broadcast of their cut points
-    cum = running_sums(counts, ["cell"], "value", ["cnt"], n_buckets=32, broadcast_groups=False)
+    cum = running_sums(counts, ["cell"], "value", ["cnt"], broadcast_groups=False)
     n = F.col("tot_cnt")
     lo, hi = F.floor((n - 1) / 2) + 1, F.floor(n / 2) + 1
     first = F.col("cum_cnt") - F.col("cnt")
@@ -85,7 +85,7 @@ def build_tree(points: DataFrame, d: int, leaf_size: int = 256, seed: int = 7):
 def _top_slots(cands: Column, k: int) -> Column:
     """Sorted (dist, nid, mult) candidates -> first k neighbour slots (multiplicity expanded)."""
     expanded = F.flatten(F.transform(F.array_sort(cands), lambda c: F.array_repeat(
-        F.struct(c["dist"].alias("dist"), c["nid"].alias("nid")), c["mult"].cast("int"))))
+        F.struct(c["dist"].alias("dist"), c["nid"].alias("nid")), F.least(c["mult"], F.lit(k)).cast("int"))))
     return F.slice(expanded, 1, k)
 
 
@@ -111,7 +111,8 @@ def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = 256, seed: int
         "pid", "vec", "mult", "cell",
         F.concat(self_slot, F.coalesce(F.col("cands"), F.array().cast(
             "array<struct<dist:double,nid:long,mult:bigint>>"))).alias("cands"))
-    first = first.select("*", _top_slots(F.col("cands"), k).alias("top")).select(
+    # only the k best slots go on: a farther candidate can't come back
+    first = first.select("pid", "vec", "cell", _top_slots(F.col("cands"), k).alias("top")).select(
         "*", F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(F.lit(float("inf")))
         .alias("r")).checkpoint()
 
@@ -135,7 +136,9 @@ def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = 256, seed: int
                              F.col("nid"), F.col("nmult").alias("mult")).alias("c")) \
         .where(F.col("c.dist") <= F.col("r"))  # farther points cannot enter the top k
     extra = extra.groupBy("pid").agg(F.collect_list("c").alias("more"))
+    held = F.transform("top", lambda s: F.struct(s["dist"].alias("dist"), s["nid"].alias("nid"),
+                                                 F.lit(1).cast("long").alias("mult")))
     merged = first.join(extra, "pid", "left").select(
-        "pid", _top_slots(F.concat(F.col("cands"), F.coalesce(F.col("more"), F.array().cast(
+        "pid", _top_slots(F.concat(held, F.coalesce(F.col("more"), F.array().cast(
             "array<struct<dist:double,nid:long,mult:bigint>>"))), k).alias("neighbours"))
     return merged

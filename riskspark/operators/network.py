@@ -83,17 +83,19 @@ def propagate(edges: DataFrame, scores: DataFrame, rounds: int = 3, factor: floa
     return scores.join(cur, "entity", "left").select("entity", "score", "risk")
 
 
-def _node_ids(edges: DataFrame) -> DataFrame:
-    """Bipartite edges -> undirected long-id edges; attribute nodes get unique negative ids.
+def _node_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bipartite edges -> undirected edges of long ids, and ``(entity, nid)``.
 
-    Ids come from ``monotonically_increasing_id`` over the distinct attributes,
-    checkpointed once so they are stable (unique, unlike a hash).
+    Entities (of any type) get even ids and attributes odd ones, from
+    ``monotonically_increasing_id`` over the distinct values, checkpointed once so
+    they are stable (unique, unlike a hash).
     """
-    attrs = edges.select("attribute").distinct() \
-        .select("attribute", (-(F.monotonically_increasing_id() + 1)).alias("aid")).checkpoint()
-    e = edges.select("entity", "attribute").distinct().join(attrs, "attribute")
-    fwd = e.select(F.col("entity").alias("src"), F.col("aid").alias("dst"))
-    return fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    unique = F.monotonically_increasing_id() * 2
+    entities = edges.select("entity").distinct().select("entity", unique.alias("nid")).checkpoint()
+    attrs = edges.select("attribute").distinct().select("attribute", (unique + 1).alias("aid")).checkpoint()
+    e = edges.join(entities, "entity").join(attrs, "attribute")
+    fwd = e.select(F.col("nid").alias("src"), F.col("aid").alias("dst"))
+    return fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), entities
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def _undirected(pairs: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(entity, component)`` = smallest entity id reachable through shared attributes.
 
     Alternating large-star / small-star on the bipartite graph (Kiveris et al.,
@@ -128,7 +130,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     instead of one round per hop of the diameter, and every step emits edges
     linear in a node's degree (a hot attribute is a star, never a clique). Each
     round is checkpointed to the shared folder; it stops when the two ends of
-    every edge have the same parent (smallest node of the closed neighbourhood).
+    every edge have the same parent (smallest node of the closed neighbourhood)
+    and raises if that doesn't come about in ``max_rounds``. Entity ids may be of
+    any type that has an order.
     """
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(edges.sparkSession)
@@ -144,8 +148,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
-    e = _node_ids(edges).checkpoint()
-    parent = e.select("src", F.col("src").alias("p"))
+    e, entities = _node_ids(edges)
+    e = e.checkpoint()
     for _ in range(max_rounds):
         e = _small_star(_large_star(e)).checkpoint()
         parent = e.groupBy("src").agg(F.min("dst").alias("p")) \
@@ -154,19 +158,21 @@ def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
         # then constant on each component (a forest of stars satisfies it)
         ends = e.join(parent, "src").join(
             parent.select(F.col("src").alias("dst"), F.col("p").alias("p_dst")), "dst")
-        if ends.where(F.col("p") != F.col("p_dst")).limit(1).count() == 0:
+        if ends.where(F.col("p") != F.col("p_dst")).isEmpty():
             break
-    roots = parent.where(F.col("src") >= 0)  # entities only; parent may be an attribute node
-    # component label: the smallest entity id sharing the root
-    label = roots.groupBy("p").agg(F.min("src").alias("component"))
-    return roots.join(label, "p").select(F.col("src").alias("entity"), "component")
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    # component label: the smallest entity sharing the root (which may be an attribute node)
+    rooted = entities.join(parent, F.col("nid") == F.col("src")).select("entity", "p")
+    label = rooted.groupBy("p").agg(F.min("entity").alias("component"))
+    return rooted.join(label, "p").select("entity", "component")
 
 
 def component_summary(components: DataFrame, scores: DataFrame, edges: DataFrame,
                       flag: float = FLAG_THRESHOLD) -> DataFrame:
     """Per component size, mean risk, mules (score >= flag), exposure and hub.
 
-    The hub is the entity with most attributes (ties: smallest id), via ``max_by``.
+    The hub is the entity with most attributes (ties: smallest id).
     """
     deg = edges.groupBy("entity").agg(F.countDistinct("attribute").alias("degree"))
     j = components.join(scores, "entity", "left").join(deg, "entity", "left") \
@@ -179,7 +185,8 @@ def component_summary(components: DataFrame, scores: DataFrame, edges: DataFrame
         F.count_if(is_mule).alias("mules"),
         F.coalesce(F.sum(F.when(is_mule, F.col("score") * F.lit(CAMPAIGN_EXPOSURE_FACTOR))), F.lit(0.0))
         .alias("exposure_lakh"),
-        F.max_by(F.col("entity"), F.struct(F.col("degree"), -F.col("entity"))).alias("hub"))
+        F.min(F.struct((-F.col("degree")).alias("d"), "entity")).alias("_hub")) \
+        .withColumn("hub", F.col("_hub.entity")).drop("_hub")
 
 
 def campaign_lookup(requested: DataFrame, summary: DataFrame, components: DataFrame,

@@ -7,6 +7,8 @@ form ``(key, y, feature, value)`` with partial aggregation before any shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,72 +19,66 @@ from riskspark.operators.cumulative import running_sums
 
 
 def to_long(df: DataFrame, features: list[str], id_cols: list[str]) -> DataFrame:
-    """Wide -> long ``(*id_cols, feature, value)`` with one Generate (no union of selects)."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               F.col(f"`{f}`").cast(T.DoubleType()).alias("value"))
-                      for f in features])
-    return df.select(*id_cols, F.inline(pairs))
+    """Wide -> long ``(*id_cols, feature, value)`` with one Generate (no union of selects).
 
+    The generated rows carry a position; its name comes from one literal array, so
+    the expression stays small at thousands of columns.
+    """
+    values = F.array(*[F.col(f"`{f}`").cast(T.DoubleType()) for f in features]) if features \
+        else F.array().cast("array<double>")
+    names = F.array(*map(F.lit, features)) if features else F.array().cast("array<string>")
+    return df.select(*id_cols, F.posexplode(values).alias("_pos", "value")).select(
+        *id_cols, F.get(names, F.col("_pos")).alias("feature"), "value")
 
-def class_counts(df: DataFrame, y: str = "y") -> DataFrame:
-    """mule/legit counts and the imbalance ratio text (``n:1`` or ``n/a``)."""
-    agg = df.agg(F.coalesce(F.sum(F.col(y)), F.lit(0)).cast(T.LongType()).alias("mule_count"),
-                 F.count_if(F.col(y) == 0).cast(T.LongType()).alias("legit_count"))
-    ratio = F.try_divide(F.col("legit_count").cast("double"), F.col("mule_count"))
-    return agg.select("*", F.when(F.col("mule_count") > 0, F.concat(
-        F.bround(ratio, 0).cast(T.LongType()).cast("string"), F.lit(":1")))
-        .otherwise(F.lit("n/a")).alias("imbalance_ratio"))
 
+def value_counts(df: DataFrame, features: list[str], y: str = "y") -> DataFrame:
+    """``(feature, value, pos, neg)``: how often each value (NULL too) occurs with either label.
 
-def null_fractions(df: DataFrame, features: list[str]) -> DataFrame:
-    """``(feature, n_rows, n_non_null, null_fraction)`` from one aggregate pass."""
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[F.count(F.col(f"`{c}`")).alias(c) for c in features])
-    long = wide.unpivot(["n_rows"], features, "feature", "n_non_null")
-    return long.select("feature", "n_rows", F.col("n_non_null").cast(T.LongType()).alias("n_non_null"),
-                       (F.lit(1.0) - F.col("n_non_null") / F.col("n_rows")).alias("null_fraction"))
+    The one pass over the data behind medians, KS, MI and leakage; counts are
+    combined in the map tasks, so a value of a third of all rows is one row per task.
+    """
+    return to_long(df, features, [y]).groupBy("feature", "value").agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(~F.col(y).eqNullSafe(1)).alias("neg"))
 
 
-def sparsity_pct(nulls: DataFrame) -> DataFrame:
-    """Mean NULL share over columns, in percent (unrounded)."""
-    return nulls.agg((F.avg("null_fraction") * F.lit(100.0)).alias("sparsity_pct"))
+def non_null_counts(df: DataFrame, features: list[str], chunk: int = 200) -> DataFrame:
+    """``(feature, n_rows, n_non_null)``: aggregates of ``chunk`` columns each, so that
+    plans stay small on tables of thousands of columns."""
+    parts = []
+    for lo in range(0, max(len(features), 1), chunk):
+        part = features[lo:lo + chunk]
+        wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                      *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(part)])
+        names = F.array(*map(F.lit, part)) if part else F.array().cast("array<string>")
+        counts = F.array(*[F.col(f"_{i}") for i in range(len(part))]) if part else F.array().cast("array<bigint>")
+        parts.append(wide.select("n_rows", F.posexplode(counts).alias("_pos", "n_non_null"))
+                     .select(F.get(names, F.col("_pos")).alias("feature"), "n_rows", "n_non_null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_counts(df: DataFrame, features: list[str], exact_below: int = 64) -> DataFrame:
-    """``(feature, n_distinct)``, exact wherever it is small enough to matter.
+def null_fractions(df: DataFrame, features: list[str]) -> DataFrame:
+    """``(feature, n_rows, n_non_null, null_fraction)``."""
+    return non_null_counts(df, features).select(
+        "feature", "n_rows", F.col("n_non_null").cast(T.LongType()).alias("n_non_null"),
+        (F.lit(1.0) - F.col("n_non_null") / F.col("n_rows")).alias("null_fraction"))
 
-    One HyperLogLog pass sizes every column; columns estimated below
-    ``exact_below`` are then counted exactly on ``(feature, value)`` pairs,
-    which are at most that many per feature — so the exact shuffle is bounded.
-    Larger counts stay approximate (only "> 10" matters to the type breakdown);
-    a 5 % sketch cannot misplace a column across 10 vs 64.
-    """
-    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in features]) \
-        .unpivot([], features, "feature", "approx").select("feature", F.col("approx").cast("long"))
-    small = [r["feature"] for r in approx.filter(F.col("approx") < exact_below).collect()]
-    if not small:
-        return approx.select("feature", F.col("approx").alias("n_distinct"))
-    exact = to_long(df.select(*[F.col(f"`{c}`") for c in small]), small, []) \
-        .where(F.col("value").isNotNull()).distinct() \
-        .groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return approx.join(exact, "feature", "left").select(
-        "feature", F.coalesce(F.col("n_distinct"), F.when(F.col("feature").isin(*small), F.lit(0))
-                              .otherwise(F.col("approx"))).alias("n_distinct"))
 
+def distinct_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """``(feature, n_distinct)``, exact: distinct values are combined in the map tasks first."""
+    counted = (to_long(df, features, []).where(F.col("value").isNotNull()).distinct()
+               .groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")))
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(counted, "feature", "left").select(
+        "feature", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
 
-def feature_types(df: DataFrame, features: list[str], cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
-    """``(feature, n_distinct_capped, feature_type)``; configured categoricals first.
 
-    The distinct count is exact up to 10 and reported as 11 above that (the
-    only thing the breakdown depends on), so no full distinct shuffle is needed.
-    """
-    dc = distinct_counts(df, features)
+def feature_types(df: DataFrame, features: list[str], cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
+    """``(feature, n_distinct, feature_type)``; configured categoricals first."""
     t = (F.when(F.col("feature").isin(*cfg.categorical), F.lit("categorical"))
          .when(F.col("n_distinct") <= 2, F.lit("binary"))
          .when(F.col("n_distinct") <= 10, F.lit("low_cardinality"))
          .otherwise(F.lit("continuous")))
-    return dc.select("feature", F.least(F.col("n_distinct"), F.lit(11)).cast("long")
-                     .alias("n_distinct_capped"), t.alias("feature_type"))
+    return distinct_counts(df, features).select("feature", "n_distinct", t.alias("feature_type"))
 
 
 def type_breakdown(types: DataFrame) -> DataFrame:
@@ -94,27 +90,24 @@ def type_breakdown(types: DataFrame) -> DataFrame:
                                     F.lit(0.0)).alias("share_pct"))
 
 
-def class_means(long: DataFrame, y: str = "y") -> DataFrame:
-    """Per feature mean among mules and legit accounts (NULLs skipped)."""
+def class_means(counts: DataFrame) -> DataFrame:
+    """Per feature mean among mules and legit accounts (NULLs skipped), from ``value_counts``."""
     v = F.col("value")
-    return long.groupBy("feature").agg(
-        F.avg(F.when(F.col(y) == 1, v)).alias("mule_mean"),
-        F.avg(F.when(F.col(y) == 0, v)).alias("legit_mean"),
-        F.count(F.when(F.col(y) == 1, v)).alias("n_mule"),
-        F.count(F.when(F.col(y) == 0, v)).alias("n_legit"))
+    some = counts.where(v.isNotNull())
+    return some.groupBy("feature").agg(
+        F.try_divide(F.sum(v * F.col("pos")), F.sum("pos")).alias("mule_mean"),
+        F.try_divide(F.sum(v * F.col("neg")), F.sum("neg")).alias("legit_mean"),
+        F.sum("pos").alias("n_mule"), F.sum("neg").alias("n_legit"))
 
 
-def ks_statistic(long: DataFrame, y: str = "y", n_buckets: int = 64) -> DataFrame:
-    """Two-sample KS per feature = max |ECDF_mule - ECDF_legit|.
+def ks_statistic(counts: DataFrame) -> DataFrame:
+    """Two-sample KS per feature = max |ECDF_mule - ECDF_legit|, from ``value_counts``.
 
-    Values are first aggregated to (feature, value) counts, so ties are exact
-    and a hot value is one row; the running counts come from the bucketed
-    ``running_sums`` (no single-partition window). NULL when either class has
-    fewer than two values.
+    A value is one row, so ties are exact; the running counts come from the
+    bucketed ``running_sums`` (no single-partition window). NULL when either class
+    has fewer than two values.
     """
-    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    cum = running_sums(counts, ["feature"], "value", ["pos", "neg"], n_buckets=n_buckets)
+    cum = running_sums(counts.where(F.col("value").isNotNull()), ["feature"], "value", ["pos", "neg"])
     diff = F.abs(F.try_divide(F.col("cum_pos"), F.col("tot_pos"))
                  - F.try_divide(F.col("cum_neg"), F.col("tot_neg")))
     return cum.groupBy("feature").agg(
@@ -129,15 +122,17 @@ def discriminative_power(ks: Column) -> Column:
 
 
 def hint_table(spark: SparkSession, df: DataFrame, y: str = "y",
-               cfg: RiskConfig = DEFAULT_CONFIG, ks_buckets: int = 64) -> DataFrame:
+               cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
     """G10 + B12: one row per hint feature in config order; absent features give NULL stats."""
     present = [f for f in cfg.hints if f in df.columns]
     hints = spark.createDataFrame([(i, f) for i, f in enumerate(cfg.hints)], "hint_rank int, feature string")
     meaning = F.coalesce(map_lookup(cfg.hint_meanings, F.col("feature")),
                          F.concat(F.lit("Feature "), F.col("feature")))
     if present and y in df.columns:
-        long = to_long(df, present, [y])
-        stats = class_means(long, y).join(ks_statistic(long, y, ks_buckets), "feature", "left")
+        from riskspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        counts = value_counts(df, present, y).checkpoint()
+        stats = class_means(counts).join(ks_statistic(counts), "feature", "left")
     else:
         stats = spark.createDataFrame([], "feature string, mule_mean double, legit_mean double, "
                                           "n_mule long, n_legit long, ks_stat double")
@@ -157,41 +152,43 @@ def class_rate_by(df: DataFrame, col: str, y: str = "y") -> DataFrame:
 
 def dataset_stats(spark: SparkSession, df: DataFrame, features: list[str], n_dropped: int,
                   y: str = "y") -> DataFrame:
-    """One summary row (rows, features, classes, ratio, sparsity, dropped columns).
+    """One summary row (rows, features, classes, ratio, sparsity,
+    dropped columns) with the table's fingerprint (A4).
 
-    A single aggregate pass: row count, class counts and every column's non-NULL
-    count; sparsity is then the mean NULL share computed from those counts.
+    Sparsity is the mean NULL share over the columns' non-NULL counts, which are
+    taken in chunks of columns.
     """
+    from riskspark.operators.fingerprint import dataset_fingerprint
     has_y = y in df.columns
-    agg = df.agg(
+    classes = df.agg(
         F.count(F.lit(1)).alias("rows"),
         (F.coalesce(F.sum(F.col(y)), F.lit(0)) if has_y else F.lit(0)).cast(T.LongType()).alias("mule_count"),
-        (F.count_if(F.col(y) == 0) if has_y else F.lit(0)).cast(T.LongType()).alias("legit_count"),
-        *[F.count(F.col(f"`{c}`")).alias(f"_nn{i}") for i, c in enumerate(features)])
-    n = F.col("rows").cast("double")
-    shares = [F.lit(1.0) - F.col(f"_nn{i}") / n for i in range(len(features))]
-    total = shares[0] if shares else F.lit(0.0)
-    for s_ in shares[1:]:
-        total = total + s_
+        (F.count_if(F.col(y) == 0) if has_y else F.lit(0)).cast(T.LongType()).alias("legit_count"))
+    sparsity = null_fractions(df, features).agg(
+        (F.coalesce(F.avg("null_fraction"), F.lit(0.0)) * F.lit(100.0)).alias("sparsity_pct"))
+    digest = dataset_fingerprint(df).select("xor_digest", "sum_digest")
+    one, two, three = (part.first().asDict() for part in (classes, sparsity, digest))  # one row each
+    row = spark.createDataFrame([{**one, **two, **three}], "rows long, mule_count long, legit_count long, "
+                                "sparsity_pct double, xor_digest long, sum_digest string")
     ratio = F.try_divide(F.col("legit_count").cast("double"), F.col("mule_count"))
-    return agg.select(
+    return row.select(
         "rows", F.lit(len(features)).alias("features"), F.lit(n_dropped).alias("fully_null_columns"),
         "mule_count", "legit_count",
         F.when(F.col("mule_count") > 0, F.concat(F.bround(ratio, 0).cast(T.LongType()).cast("string"),
                                                  F.lit(":1"))).otherwise(F.lit("n/a")).alias("imbalance_ratio"),
-        (total / F.lit(float(max(1, len(features)))) * F.lit(100.0)).alias("sparsity_pct"))
+        "sparsity_pct", "xor_digest", "sum_digest")
 
 
-def exact_medians(long: DataFrame, n_buckets: int = 64) -> DataFrame:
-    """Exact median per feature (mean of the two middle values), NULLs skipped.
+def exact_medians(counts: DataFrame) -> DataFrame:
+    """Exact median per feature (mean of the two middle values), NULLs skipped, from ``value_counts``.
 
-    Distributed selection: values are counted per (feature, value), ranked by
-    bucketed running counts, and the rows holding the middle ranks are kept —
-    no group is ever materialised in one task. All-NULL features give 0.0.
+    Distributed selection: distinct values are ranked by bucketed running counts,
+    and the rows holding the middle ranks are kept; no group is ever materialised
+    in one task. All-NULL features give 0.0.
     """
-    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value") \
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_sums(counts, ["feature"], "value", ["cnt"], n_buckets=n_buckets)
+    some = counts.where(F.col("value").isNotNull()).select(
+        "feature", "value", (F.col("pos") + F.col("neg")).alias("cnt"))
+    cum = running_sums(some, ["feature"], "value", ["cnt"])
     n = F.col("tot_cnt")
     lo_rank = F.floor((n - 1) / 2) + 1
     hi_rank = F.floor(n / 2) + 1
@@ -199,7 +196,7 @@ def exact_medians(long: DataFrame, n_buckets: int = 64) -> DataFrame:
     picked = cum.groupBy("feature").agg(
         F.max(F.when((first < lo_rank) & (lo_rank <= F.col("cum_cnt")), F.col("value"))).alias("lo"),
         F.max(F.when((first < hi_rank) & (hi_rank <= F.col("cum_cnt")), F.col("value"))).alias("hi"))
-    feats = long.select("feature").distinct()
+    feats = counts.select("feature").distinct()
     return feats.join(picked, "feature", "left").select(
         "feature", F.coalesce((F.col("lo") + F.col("hi")) / F.lit(2.0), F.lit(0.0)).alias("median"))
 
@@ -209,16 +206,16 @@ def rank_hints_by_ks(hints: DataFrame) -> DataFrame:
     return hints.orderBy(F.col("ks_stat").desc_nulls_last(), F.col("hint_rank"))
 
 
-def leakage_report(long: DataFrame, mi: DataFrame | None = None, y: str = "y") -> DataFrame:
+def leakage_report(counts: DataFrame, mi: DataFrame | None = None) -> DataFrame:
     """How well "value >= 1" alone flags the positives, per feature (precision,
-    recall, flagged count), with the feature's MI when given. A column with
-    near-perfect precision is a leakage suspect (the registry flag in the reference)."""
+    recall, flagged count), with the feature's MI when given; from ``value_counts``. A
+    column with near-perfect precision is a leakage suspect (the registry flag)."""
     flag = F.col("value") >= 1
-    pos = F.col(y) == 1
-    rep = long.groupBy("feature").agg(
-        F.count_if(flag).alias("n_flagged"),
-        F.count_if(flag & pos).alias("tp"),
-        F.count_if(pos).alias("n_pos"))
+    n = F.col("pos") + F.col("neg")
+    rep = counts.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(flag, n)), F.lit(0)).alias("n_flagged"),
+        F.coalesce(F.sum(F.when(flag, F.col("pos"))), F.lit(0)).alias("tp"),
+        F.sum("pos").alias("n_pos"))
     rep = rep.select("feature", "n_flagged",
                      F.try_divide(F.col("tp").cast("double"), F.col("n_flagged")).alias("flag_precision"),
                      F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("flag_recall"))

@@ -1,9 +1,9 @@
 """Deterministic stratified split and folds (D3, D4) and the K9 sample.
 
 All randomness is ``xxhash64(key, seed)``, never ``rand()`` (which changes
-with partitioning). Within each class, rows are ranked by that hash through
-the bucketed ``running_sums``; split and fold borders become one hash cut-off
-per (class, border), a table of classes x folds rows that is broadcast back.
+with partitioning). Split and fold borders become one hash cut-off per (class,
+border), found by a histogram of hashes; the table of classes x folds rows is
+broadcast back.
 No row-level join and no single-partition window are needed, and class
 shares are exact (up to 64-bit hash collisions sitting exactly on a border).
 """
@@ -12,12 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.operators.cumulative import running_sums
-
 _MIN_LONG = -(2 ** 63)
 
 
@@ -25,12 +23,6 @@ def row_hash(key: str, seed: int):
     return F.xxhash64(F.col(key).cast(T.StringType()), F.lit(seed))
 
 
-def _ranked(df: DataFrame, y: str, key: str, seed: int) -> DataFrame:
-    counts = df.select(F.col(y).alias("_cls"), row_hash(key, seed).alias("_h")) \
-        .groupBy("_cls", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    return running_sums(counts, ["_cls"], "_h", ["_n"], n_buckets=128)
-
-
 def _class_counts(df: DataFrame, y: str) -> dict:
     # one row per class: a config-sized result
     return {r[0]: r[1] for r in df.groupBy(y).count().collect()}
@@ -50,29 +42,51 @@ def holdout_allocation(class_counts: dict, test_fraction: float) -> dict:
     return alloc
 
 
-def _cutoffs(spark: SparkSession, ranked: DataFrame, borders: dict) -> DataFrame:
+def _cutoffs(df: DataFrame, y: str, key: str, seed: int, counts: dict, borders: dict,
+             rows_per_bucket: int = 20_000) -> DataFrame:
     """``borders``: class -> list of inclusive rank borders. Returns ``(_cls, _cuts)``:
-    for each border the largest hash whose running count is within it."""
-    rows = [(c, i, int(b)) for c, bs in borders.items() for i, b in enumerate(bs)]
-    bdf = spark.createDataFrame(rows, "_cls long, _i int, _b long")
-    joined = ranked.select(F.col("_cls").cast("long").alias("_cls"), "_h", "cum__n") \
-        .join(F.broadcast(bdf), "_cls")
-    cut = joined.groupBy("_cls", "_i", "_b").agg(
-        F.max(F.when(F.col("cum__n") <= F.col("_b"), F.col("_h"))).alias("_cut"))
-    full = bdf.join(cut, ["_cls", "_i", "_b"], "left").select(
-        "_cls", "_i", F.coalesce("_cut", F.lit(_MIN_LONG).cast("long")).alias("_cut"))
-    return full.groupBy("_cls").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_cut"))), lambda s: s["_cut"])
-        .alias("_cuts"))
+    for each border the largest hash whose running count is within it.
+
+    A histogram of hash prefixes finds the bucket that holds each border; only the
+    rows of these buckets (about ``rows_per_bucket`` each) are then ranked.
+    """
+    spark = df.sparkSession
+    bits = max(0, math.ceil(math.log2(max(1, max(counts.values(), default=1) / rows_per_bucket))))
+    hashed = df.select(F.col(y).cast("long").alias("_cls"), row_hash(key, seed).alias("_h"))
+    bucket = F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("long")
+    hashed = hashed.withColumn("_bucket", bucket)
+    upto = Window.partitionBy("_cls").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = hashed.groupBy("_cls", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    rows = [(int(c), i, int(b)) for c, bs in borders.items() for i, b in enumerate(bs)]
+    wanted = spark.createDataFrame(rows, "_cls long, _i int, _b long")  # classes x borders rows
+    inside = (F.col("_before") < F.col("_b")) & (F.col("_b") <= F.col("_before") + F.col("_n"))
+    found = {(r["_cls"], r["_i"]): (r["_bucket"], r["_b"] - r["_before"]) for r in
+             histogram.join(F.broadcast(wanted), "_cls").where(inside).collect()}
+    held = spark.createDataFrame([(c, b, i, r) for (c, i), (b, r) in found.items()],
+                                 "_cls long, _bucket long, _i int, _rest long")
+    ranked = hashed.join(F.broadcast(held.select("_cls", "_bucket").distinct()), ["_cls", "_bucket"]) \
+        .groupBy("_cls", "_bucket", "_h").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_cum", F.sum("_n").over(Window.partitionBy("_cls", "_bucket").orderBy("_h")))
+    top = {(r["_cls"], r["_i"]): r["_cut"] for r in ranked.join(F.broadcast(held), ["_cls", "_bucket"])
+           .groupBy("_cls", "_i").agg(F.max(F.when(F.col("_cum") <= F.col("_rest"), F.col("_h"))).alias("_cut"))
+           .collect()}
+
+    def cut(c, i):
+        if (c, i) not in found:  # a border at rank 0
+            return _MIN_LONG
+        low = (found[c, i][0] << (64 - bits)) if bits else _MIN_LONG
+        return top[c, i] if top.get((c, i)) is not None else max(_MIN_LONG, low - 1)
+    return spark.createDataFrame([(int(c), [cut(int(c), i) for i in range(len(bs))]) for c, bs in borders.items()],
+                                 "_cls long, _cuts array<long>")
 
 
 def stratified_split(df: DataFrame, y: str = "y", key: str = "account_id",
                      test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """D3: add ``is_test``; exact per-class test counts (see ``holdout_allocation``)."""
-    spark = df.sparkSession
     counts = _class_counts(df, y)
     alloc = holdout_allocation(counts, test_fraction)
-    cuts = _cutoffs(spark, _ranked(df, y, key, seed), {c: [a] for c, a in alloc.items()})
+    cuts = _cutoffs(df, y, key, seed, counts, {c: [a] for c, a in alloc.items()})
     return df.join(F.broadcast(cuts), F.col(y).cast("long") == F.col("_cls"), "left") \
         .select(*[F.col(c) for c in df.columns],
                 F.coalesce(row_hash(key, seed) <= F.element_at("_cuts", 1), F.lit(False)).alias("is_test"))
@@ -81,12 +95,11 @@ def stratified_split(df: DataFrame, y: str = "y", key: str = "account_id",
 def stratified_folds(df: DataFrame, k: int = 5, y: str = "y", key: str = "account_id",
                      seed: int = 43) -> DataFrame:
     """Add ``fold`` in [0, k): each class cut into k hash-ordered chunks of equal size (+-1)."""
-    spark = df.sparkSession
     counts = _class_counts(df, y)
     borders = {c: [round(j * n / k) for j in range(1, k)] for c, n in counts.items()}
     if k == 1:
         return df.select("*", F.lit(0).alias("fold"))
-    cuts = _cutoffs(spark, _ranked(df, y, key, seed), borders)
+    cuts = _cutoffs(df, y, key, seed, counts, borders)
     h = row_hash(key, seed)
     return df.join(F.broadcast(cuts), F.col(y).cast("long") == F.col("_cls"), "left") \
         .select(*[F.col(c) for c in df.columns],

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.config import DEFAULT_CONFIG, RiskConfig
-from riskspark.functions.columns import map_lookup, num
+from riskspark.functions.columns import num
 from riskspark.operators.clean import MISSING_SUFFIX
 from riskspark.operators.cumulative import running_sums
-from riskspark.operators.profile import exact_medians, to_long
+from riskspark.operators.profile import exact_medians, value_counts
 
 
 def impute_long(long: DataFrame, medians: DataFrame) -> DataFrame:
@@ -29,19 +29,18 @@ def impute_long(long: DataFrame, medians: DataFrame) -> DataFrame:
         F.coalesce(F.col("value"), F.col("median"), F.lit(0.0)).alias("value"))
 
 
-def mutual_information(long: DataFrame, y: str = "y", n_bins: int = 20,
-                       discrete_max: int = 10) -> DataFrame:
-    """Plug-in MI (nats) of each feature with the label.
+def mutual_information(counts: DataFrame, n_bins: int = 20, discrete_max: int = 10) -> DataFrame:
+    """Plug-in MI (nats) of each feature with the label, from imputed value counts
+    (``profile.value_counts`` with NULLs replaced: ``feature, value, pos, neg``).
 
     Features with at most ``discrete_max`` distinct values use each value as a
     bin; others use ``n_bins`` equal-frequency bins over exact ranks, where a
     value's bin is ``floor(rows_below * n_bins / n)`` so ties share a bin.
     The ranking, not the estimator, is the contract with the reference.
     """
-    counts = long.groupBy("feature", "value").agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    counts = counts.groupBy("feature", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.select("*", (F.col("pos") + F.col("neg")).alias("cnt"))
-    cum = running_sums(counts, ["feature"], "value", ["cnt"], n_buckets=64)
+    cum = running_sums(counts, ["feature"], "value", ["cnt"])
     nd = cum.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
     # one row per feature: broadcast
     binned = cum.join(F.broadcast(nd), "feature").select(
@@ -67,31 +66,28 @@ def mutual_information(long: DataFrame, y: str = "y", n_bins: int = 20,
 def select_features(spark: SparkSession, mi: DataFrame, features: list[str],
                     cfg: RiskConfig = DEFAULT_CONFIG, include_leakage: bool = True,
                     top_k: int | None = None) -> DataFrame:
-    """K3: forced hints (config order), their ``_missing`` twins, the leak column if
-    allowed, then MI order (ties by column position) until ``top_k``; forced may exceed it.
+    """K3: ``(feature, rank, mi, forced)`` of the selected columns.
 
-    Works on the feature table (one row per column: schema-sized, not data-sized).
+    The column table (one row per column) is joined with the hint table, once by
+    the column itself and once by the column a ``_missing`` flag belongs to. That
+    gives each column a tier: hint, flag of a hint, leak column (if allowed), other.
+    Tiers come in this order, hints as configured, others by MI (ties by place);
+    the first ``top_k`` ranks and every forced column are kept.
     """
     k = cfg.top_k if top_k is None else top_k
-    hints = list(cfg.hints)
-    forced = [f for f in hints if f in features]
-    forced += [c for c in features if c.endswith(MISSING_SUFFIX) and c[:-len(MISSING_SUFFIX)] in hints]
-    if include_leakage and cfg.leakage in features:
-        forced.append(cfg.leakage)
-    seen, order = set(), []
-    for f in forced:
-        if f not in seen:
-            order.append(f)
-            seen.add(f)
-    rows = [(f, i, order.index(f) if f in seen else None) for i, f in enumerate(features)]
-    ft = spark.createDataFrame(rows, "feature string, position int, forced_rank int")
-    j = ft.join(mi, "feature", "left")
-    w = Window.orderBy(F.col("forced_rank").asc_nulls_last(), F.col("mi").desc_nulls_last(),
-                       F.col("position"))  # schema-sized table: one small partition is fine
-    ranked = j.select("*", F.row_number().over(w).alias("rank"))
-    n_forced = len(order)
-    keep = F.col("forced_rank").isNotNull() | (F.col("rank") <= F.lit(max(k, n_forced)))
-    return ranked.where(keep).select("feature", "rank", "mi", F.col("forced_rank").isNotNull().alias("forced"))
+    columns = spark.createDataFrame(list(enumerate(features)), "place int, feature string")
+    hints = spark.createDataFrame(list(enumerate(cfg.hints)), "hint_place int, hint string")
+    flags = hints.select(F.concat("hint", F.lit(MISSING_SUFFIX)).alias("flag"))
+    leak = F.lit(include_leakage) & (F.col("feature") == cfg.leakage)
+    tiered = (columns.join(hints, F.col("feature") == F.col("hint"), "left")
+              .join(flags, F.col("feature") == F.col("flag"), "left")
+              .withColumn("tier", F.when(F.col("hint").isNotNull(), 0).when(F.col("flag").isNotNull(), 1)
+                          .when(leak, 2)).join(mi, "feature", "left"))
+    forced = F.col("tier").isNotNull()
+    order = Window.orderBy(F.col("tier").asc_nulls_last(), F.col("hint_place").asc_nulls_last(),
+                           F.when(~forced, F.col("mi")).desc_nulls_last(), F.col("place"))  # one row per column
+    return (tiered.withColumn("rank", F.row_number().over(order)).where(forced | (F.col("rank") <= k))
+            .select("feature", "rank", "mi", forced.alias("forced")))
 
 
 @dataclass
@@ -138,12 +134,11 @@ class FeatureSelector:
         feats = [f for f in features if self.include_leakage or f != self.cfg.leakage]  # B8
         from riskspark.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
-        long = to_long(df, feats, [y]).checkpoint()  # shared folder; short plans below
+        counts = value_counts(df, feats, y).checkpoint()  # one pass over the data
+        median_rows = exact_medians(counts).checkpoint()
         # feature-sized results (one row per column) come back to the driver
-        medians = {r["feature"]: r["median"] for r in exact_medians(long).collect()}
-        filled = long.select(y, "feature", F.coalesce(
-            F.col("value"), map_lookup(medians, F.col("feature")), F.lit(0.0)).alias("value"))
-        mi = mutual_information(filled, y).checkpoint()
+        medians = {r["feature"]: r["median"] for r in median_rows.collect()}
+        mi = mutual_information(impute_long(counts, median_rows)).checkpoint()
         mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
         sel = select_features(spark, mi, feats, self.cfg, self.include_leakage, self.top_k)
         chosen = [r["feature"] for r in sel.orderBy("rank").collect()]

@@ -45,7 +45,7 @@ def smote(df: DataFrame, features: list[str], y: str = "y", key: str = "account_
     # number, fetched once and used as a literal (no join on a constant key)
     hashes = pos.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_h")) \
         .groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(hashes, [], "_h", ["_n"], n_buckets=64)
+    ranked = running_sums(hashes, [], "_h", ["_n"])
     cut = ranked.agg(F.max(F.when(F.col("cum__n") <= F.lit(extra), F.col("_h")))).first()[0]
     cut = -(2 ** 63) if cut is None else cut
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.config import DEFAULT_CONFIG, FLAG_THRESHOLD, TOP_CASES, RiskConfig
+from riskspark.functions.columns import py_round
 from riskspark.functions.scoring import (
     indicator_array,
     recommended_action,
@@ -26,7 +27,7 @@ def assess(df: DataFrame, prob_col: str = "p", threshold=0.5,
     """F15 + T1-T10: risk_score, risk_probability, severity, action, indicators, typology."""
     x = with_indicators(df, cfg)
     x = x.select("*", score_from_proba(F.col(prob_col), threshold).alias("risk_score"),
-                 F.bround(F.col(prob_col), 6).alias("risk_probability"))
+                 py_round(F.col(prob_col), 6).alias("risk_probability"))
     x = x.select("*", severity(F.col("risk_score")).alias("severity"))
     x = x.select("*", recommended_action(F.col("severity")).alias("recommended_action"))
     return classify(x, "risk_score", cfg)
@@ -47,10 +48,16 @@ def account_profile(cfg: RiskConfig = DEFAULT_CONFIG) -> Column:
     )
 
 
-def case_id(key: Column, prefix: str = "BOI-", width: int = 5) -> Column:
-    """Deterministic case id from the account key (never from row position)."""
+def row_content(df: DataFrame) -> Column:
+    """The whole row as JSON text, which identifies a row without a key."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+
+def case_id(key: Column, content: Column | None = None, prefix: str = "BOI-", width: int = 5) -> Column:
+    """Deterministic case id from the account key (never from row position); without
+    a key ``ACC-`` and a digest of the row's ``content``."""
     k = key.cast(T.StringType())
-    hashed = F.upper(F.substring(F.sha2(k, 256), 1, 8))
+    hashed = F.upper(F.substring(F.sha2(F.coalesce(content if content is not None else F.lit(""), F.lit("")), 256), 1, 8))
     return F.when(key.isNull(), F.concat(F.lit("ACC-"), hashed)) \
         .otherwise(F.concat(F.lit(prefix), F.when(F.length(k) >= width, k)  # lpad would truncate
                             .otherwise(F.lpad(k, width, "0"))))
@@ -68,7 +75,7 @@ def analysis_records(assessed: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,
             "direction:string,feature_value:double>>").alias("shap_values"))
     return assessed.select(
         F.col(cfg.key).alias("account_id"),
-        case_id(F.col(cfg.key)).alias("case_id"),
+        case_id(F.col(cfg.key), row_content(assessed)).alias("case_id"),
         "risk_score", "risk_probability", "severity", "recommended_action",
         classification_struct().alias("classification"),
         indicator_array(cfg).alias("behavioural_indicators"),

@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ class GBTParams:
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
     min_instances_per_node: int = 1
-    max_bins: int = 64
+    max_bins: int = 256
     seed: int = 42
 
 
@@ -94,6 +97,14 @@ class TrainedModel:
         prepared = self.features.transform(df, keep=(key, *keep))
         return predict_proba(self.model, prepared)
 
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """``df`` with the model's probability; its own columns stay as they are (no join)."""
+        own = [F.col(f"`{c}`").alias(f"_in_{c}") for c in df.columns]
+        kept = df.select("*", *own)
+        prepared = self.features.transform(kept, keep=tuple(f"_in_{c}" for c in df.columns))
+        scored = predict_proba(self.model, prepared, out)
+        return scored.select(*[F.col(f"`_in_{c}`").alias(c) for c in df.columns], out)
+
     def save(self, path: str, spark: SparkSession) -> None:
         """Spark ML persistence for the booster, one JSON row for the rest."""
         self.model.write().overwrite().save(f"{path}/model")
@@ -116,8 +127,12 @@ class TrainedModel:
 def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: str,
               cfg: RiskConfig = DEFAULT_CONFIG, params: GBTParams | None = None,
               n_folds: int = 5, use_smote: bool = True, y: str = "y",
-              top_k: int | None = None) -> tuple[TrainedModel, DataFrame]:
-    """Returns the trained bundle and the split frame (``is_test`` column)."""
+              top_k: int | None = None, split: DataFrame | None = None) -> tuple[TrainedModel, DataFrame]:
+    """Returns the trained bundle and the split frame (``is_test`` column).
+
+    The folds' fits and the final one don't depend on each other, so their jobs run
+    side by side: one fit of a few hundred small trees can't keep a cluster busy.
+    """
     from riskspark.operators.smote import smote
 
     params = params or GBTParams()
@@ -130,7 +145,8 @@ def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: s
     # intermediate frames are checkpointed (shared folder): short plans, no recomputation
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
+    if split is None:
+        split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
     train = split.where(~F.col("is_test"))
     mark("split")
     fm = FeatureSelector(cfg, include_leakage, top_k).fit(train, features, y)
@@ -141,30 +157,27 @@ def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: s
     weight = class_weight(prepared, y, cfg)
     mark("folds")
 
-    oof_parts = []
-    for f in range(n_folds):
-        fold_train = prepared.where(F.col("fold") != f).drop("fold")
-        fold_val = prepared.where(F.col("fold") == f).drop("fold")
+    def fit_without(fold: int | None) -> PipelineModel:
+        """Fit on all training rows but one fold's (None: on all)."""
+        rows = prepared if fold is None else prepared.where(F.col("fold") != fold)
+        rows = rows.drop("fold")
         if use_smote:
-            fold_train = smote(fold_train, feats, y, key, seed=cfg.seed + 10 + f).checkpoint()
-            mark(f"smote_{f}")
-        m = fit_gbt(fold_train, feats, y, params, weight)
-        mark(f"fit_{f}")
-        oof_parts.append(predict_proba(m, fold_val).select(key, y, "p"))
-    oof = oof_parts[0]
-    for part in oof_parts[1:]:
-        oof = oof.unionByName(part)
-    oof = oof.checkpoint()
+            rows = smote(rows, feats, y, key, seed=cfg.seed if fold is None else cfg.seed + 10 + fold).checkpoint()
+        m = fit_gbt(rows, feats, y, params, weight)
+        mark("final_fit" if fold is None else f"fit_{fold}")
+        return m
+
+    with ThreadPoolExecutor(n_folds + 1) as pool:
+        *fold_models, model = pool.map(inheritable_thread_target(df.sparkSession)(fit_without),
+                                       [*range(n_folds), None])
+    oof = reduce(DataFrame.unionByName, [
+        predict_proba(m, prepared.where(F.col("fold") == f).drop("fold")).select(key, y, "p")
+        for f, m in enumerate(fold_models)]).checkpoint()
     cv = ranking_metrics(oof, y, "p").first()
     thr_row = tune_threshold(oof, y, "p").first()
     threshold = float(thr_row["threshold"]) if thr_row and thr_row["threshold"] is not None else 0.5
     mark("oof_metrics")
 
-    final_train = prepared.drop("fold")
-    if use_smote:
-        final_train = smote(final_train, feats, y, key, seed=cfg.seed).checkpoint()
-    model = fit_gbt(final_train, feats, y, params, weight)
-    mark("final_fit")
     n_train = prepared.count()
     bundle = TrainedModel(name, include_leakage, fm, model, threshold,
                           float(cv["pr_auc"] or 0.0), round(time.time() - t0, 2), n_train,
@@ -179,7 +192,7 @@ def train_models(df: DataFrame, features: list[str], cfg: RiskConfig = DEFAULT_C
     if "y" not in df.columns:
         raise ValueError("training needs a label column 'y'")
     a, split = train_one(df, features, True, "A", cfg, params, **kw)
-    b, _ = train_one(df, features, False, "B", cfg, params, **kw)
+    b, _ = train_one(df, features, False, "B", cfg, params, split=split, **kw)
     return {"A": a, "B": b, "split": split}
 
 

@@ -2,7 +2,8 @@
 
 Written directly from the operator semantics, not generated from the Spark
 plans. Literals are cast to DOUBLE so DuckDB does not fall back to DECIMAL
-arithmetic, and rounding uses ``round_even`` (Spark ``bround``).
+arithmetic. Indicators and probabilities are rounded by ``printf``, which rounds
+the binary value.
 """
 
 from __future__ import annotations
@@ -113,14 +114,14 @@ def indicator_select(src: str) -> str:
     st_rate = _case_map("standing", STANDING_MULE_RATE, 0.006)
     return f"""
 SELECT i0.*,
-  round_even(CASE WHEN F2956 IS NULL THEN {d(0.5)} ELSE {_clip(f'({d(80)} - F2956) / {d(80)}')} END, 3) AS ind_dormancy_signal,
-  round_even(CASE WHEN F115 IS NULL THEN {d(0.5)} ELSE {_clip('F115')} END, 3) AS ind_activity_flag,
-  round_even(CASE WHEN F2082 IS NULL THEN {d(0.6)} WHEN F2082 = 0 THEN {d(1)} ELSE {d(0.2)} END, 3) AS ind_legitimacy_gap,
-  round_even(CASE WHEN F3043 IS NULL THEN {d(0.85)} ELSE {d(0.25)} END, 3) AS ind_missingness_pattern,
-  round_even(CASE WHEN F670 IS NULL THEN {d(0.4)} WHEN F670 >= 1 THEN {d(1)} ELSE {d(0.1)} END, 3) AS ind_high_risk_flag,
-  round_even(CASE WHEN F115 IS NULL THEN {d(0.5)} ELSE {_clip('F115')} END, 3) AS ind_risk_score,
-  round_even({_clip(f'{occ_rate} / {d(0.02)}')}, 3) AS ind_occupation_risk,
-  round_even({_clip(f'{st_rate} / {d(0.0126)}')}, 3) AS ind_account_standing,
+  CAST(printf('%.3f', CASE WHEN F2956 IS NULL THEN {d(0.5)} ELSE {_clip(f'({d(80)} - F2956) / {d(80)}')} END) AS DOUBLE) AS ind_dormancy_signal,
+  CAST(printf('%.3f', CASE WHEN F115 IS NULL THEN {d(0.5)} ELSE {_clip('F115')} END) AS DOUBLE) AS ind_activity_flag,
+  CAST(printf('%.3f', CASE WHEN F2082 IS NULL THEN {d(0.6)} WHEN F2082 = 0 THEN {d(1)} ELSE {d(0.2)} END) AS DOUBLE) AS ind_legitimacy_gap,
+  CAST(printf('%.3f', CASE WHEN F3043 IS NULL THEN {d(0.85)} ELSE {d(0.25)} END) AS DOUBLE) AS ind_missingness_pattern,
+  CAST(printf('%.3f', CASE WHEN F670 IS NULL THEN {d(0.4)} WHEN F670 >= 1 THEN {d(1)} ELSE {d(0.1)} END) AS DOUBLE) AS ind_high_risk_flag,
+  CAST(printf('%.3f', CASE WHEN F115 IS NULL THEN {d(0.5)} ELSE {_clip('F115')} END) AS DOUBLE) AS ind_risk_score,
+  CAST(printf('%.3f', {_clip(f'{occ_rate} / {d(0.02)}')}) AS DOUBLE) AS ind_occupation_risk,
+  CAST(printf('%.3f', {_clip(f'{st_rate} / {d(0.0126)}')}) AS DOUBLE) AS ind_account_standing,
   {occ_rate} AS occupation_rate, {st_rate} AS standing_rate
 FROM (SELECT *,
         CASE WHEN {occ} IN ({_in_list(OCCUPATION_ORDER)}) THEN {occ} END AS occupation,
@@ -139,7 +140,7 @@ def assess_select(src: str, threshold: float) -> str:
     return f"""
 SELECT a2.*, {action} AS recommended_action FROM (
   SELECT a1.*, {sev} AS severity FROM (
-    SELECT ind.*, {score} AS risk_score, round_even(p, 6) AS risk_probability
+    SELECT ind.*, {score} AS risk_score, CAST(printf('%.6f', p) AS DOUBLE) AS risk_probability
     FROM ({indicator_select(src)}) ind) a1) a2
 """
 
@@ -217,7 +218,8 @@ SELECT account_id, risk_score, typology, rule_confidence, confidence,
 FROM ({ANALYSIS}) x""",
     "indicator_records": _indicator_long(),
     "top_flagged_cases": f"""
-SELECT account_id, 'BOI-' || lpad(CAST(account_id AS VARCHAR), 5, '0') AS case_id,
+SELECT account_id, 'BOI-' || CASE WHEN length(CAST(account_id AS VARCHAR)) >= 5 THEN CAST(account_id AS VARCHAR)
+         ELSE lpad(CAST(account_id AS VARCHAR), 5, '0') END AS case_id,
        risk_score, severity, typology, confidence
 FROM ({ANALYSIS}) x WHERE risk_score >= {d(60)}
 ORDER BY risk_score DESC, account_id LIMIT 25""",
@@ -284,7 +286,7 @@ _PRESENT_HINTS = [f for f in _HINTS if f in OUT_FEATURES]
 _DISTINCT = "\nUNION ALL\n".join(
     f"SELECT {q(f)} AS feature, count(DISTINCT {f}) AS n_distinct FROM ({CLEAN}) c" for f in OUT_FEATURES)
 _TYPES = f"""
-SELECT feature, least(n_distinct, 11) AS n_distinct_capped,
+SELECT feature, n_distinct,
   CASE WHEN feature IN ('F3889', 'F3891') THEN 'categorical' WHEN n_distinct <= 2 THEN 'binary'
        WHEN n_distinct <= 10 THEN 'low_cardinality' ELSE 'continuous' END AS feature_type
 FROM ({_DISTINCT}) dd"""
@@ -333,8 +335,8 @@ SELECT feature, (max(CASE WHEN rn = floor((n - 1) / 2) + 1 THEN value END)
                + max(CASE WHEN rn = floor(n / 2) + 1 THEN value END)) / {d(2)} AS median
 FROM r GROUP BY feature""",
     "feature_labels": f"""
-SELECT feature, coalesce({_LABELS}, 'Feature ' || feature) AS label
-FROM (SELECT unnest({[f for f in RAW_FEATURES] + ['F3924']}) AS feature) f""",
+SELECT feature, coalesce({_LABELS}, 'Feature ' || feature) AS label, n_non_null
+FROM ({_null_rows(COERCED, RAW_FEATURES)}) f""",
 })
 
 
@@ -426,21 +428,24 @@ SELECT feature, sum(
 FROM b GROUP BY feature"""
 
 
-def _selection_sql(include_leak: bool) -> str:
+def _selection_sql(include_leak: bool, hints=None, top_k: int = 200) -> str:
+    """Hints in their order, then missing flags of hints, then the leak column; the rest by MI."""
+    hints = _HINTS if hints is None else hints
     feats = [f for f in OUT_FEATURES if include_leak or f != "F3912"]
-    forced = [f for f in _HINTS if f in feats]
-    forced += [c for c in feats if c.endswith("_missing") and c[:-8] in _HINTS]
-    if include_leak and "F3912" in feats:
-        forced.append("F3912")
-    rows = " UNION ALL ".join(
-        f"SELECT {q(f)} AS feature, {i} AS position, "
-        f"{forced.index(f) if f in forced else 'CAST(NULL AS INTEGER)'} AS forced_rank" for i, f in enumerate(feats))
+    listed = lambda names: ", ".join(f"({i}, {q(f)})" for i, f in enumerate(names))
+    leak = "WHEN c.name = 'F3912' THEN 2" if include_leak else ""
     return f"""
+WITH c(place, name) AS (VALUES {listed(feats)}), hint(place, name) AS (VALUES {listed(hints)}),
+tiers AS (
+  SELECT c.name, c.place, h.place AS hint_place,
+         CASE WHEN h.name IS NOT NULL THEN 0 WHEN t.name IS NOT NULL THEN 1 {leak} END AS tier
+  FROM c LEFT JOIN hint h ON h.name = c.name LEFT JOIN hint t ON c.name = t.name || '_missing')
 SELECT feature, rank, mi, forced FROM (
-  SELECT f.feature, m.mi, f.forced_rank IS NOT NULL AS forced, f.forced_rank,
-         row_number() OVER (ORDER BY f.forced_rank ASC NULLS LAST, m.mi DESC NULLS LAST, f.position) AS rank
-  FROM ({rows}) f LEFT JOIN ({_mi(feats)}) m ON m.feature = f.feature) r
-WHERE forced_rank IS NOT NULL OR rank <= {max(200, len(forced))}"""
+  SELECT t.name AS feature, m.mi, t.tier IS NOT NULL AS forced,
+         row_number() OVER (ORDER BY t.tier NULLS LAST, t.hint_place NULLS LAST,
+                            CASE WHEN t.tier IS NULL THEN m.mi END DESC NULLS LAST, t.place) AS rank
+  FROM tiers t LEFT JOIN ({_mi(feats)}) m ON m.feature = t.name) r
+WHERE forced OR rank <= {top_k}"""
 
 
 _ALLOC = f"""
@@ -464,6 +469,7 @@ SQL.update({
     "mutual_information": _mi(OUT_FEATURES),
     "feature_selection_model_a": _selection_sql(True),
     "feature_selection_model_b": _selection_sql(False),
+    "feature_selection_cut": _selection_sql(True, ("F115", "F3043"), 6),
     "top_mi_features": f"SELECT feature, mi FROM ({_mi(OUT_FEATURES)}) m ORDER BY mi DESC, feature LIMIT 5",
     "imputed_features": f"""
 SELECT account_id, y, {", ".join(f"coalesce(CAST({f} AS DOUBLE), (SELECT median FROM med WHERE feature = {q(f)})) AS {f}" for f in OUT_FEATURES)}

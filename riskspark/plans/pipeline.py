@@ -15,17 +15,8 @@ from pyspark.sql import types as T
 
 from riskspark.config import DEFAULT_CONFIG, TOP_CASES, RiskConfig
 from riskspark.operators.casetext import fallback_report
-from riskspark.plans.analyze import account_profile, assess, case_id, registry_flag, top_cases
-
-
-def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """A4: order-free digest of a table: row count, XOR and sum of per-row xxhash64
-    of the row's SHA-256 over its JSON form. Equal tables give equal digests."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
-    h = F.xxhash64(row)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.bit_xor(h).alias("xor_digest"),
-                  F.sum(h.cast(T.DecimalType(38, 0))).cast("string").alias("sum_digest"))
+from riskspark.operators.fingerprint import dataset_fingerprint
+from riskspark.plans.analyze import account_profile, assess, case_id, registry_flag, row_content, top_cases
 
 
 def parse_feature_json(lines: DataFrame, schema: T.StructType, col: str = "value") -> DataFrame:
@@ -36,7 +27,7 @@ def parse_feature_json(lines: DataFrame, schema: T.StructType, col: str = "value
 def flat_analysis(assessed: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG, model_used: str = "B") -> DataFrame:
     """Flat columns used by the text operators (case id, profile fields, flag)."""
     return assessed.select(
-        "*", case_id(F.col(cfg.key)).alias("case_id"), registry_flag(cfg).alias("f3912_flag"),
+        "*", case_id(F.col(cfg.key), row_content(assessed)).alias("case_id"), registry_flag(cfg).alias("f3912_flag"),
         F.col(f"x_{cfg.age_col}").alias("age"), F.col(f"x_{cfg.tenure_col}").alias("tenure"),
         F.lit(model_used).alias("model_used"),
         account_profile(cfg).alias("account_profile"))
@@ -66,19 +57,22 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
     from riskspark.operators.clean import Cleaner
     from riskspark.operators.explain import explain_rows, shap_struct_array, top_attributions
     from riskspark.operators.metrics import model_metrics
+    from riskspark.operators.sampling import stratified_split
     from riskspark.plans.learn import train_models
 
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     t0 = time.time()
-    cleaner = Cleaner(cfg).fit(raw)
+    cleaner = Cleaner(cfg).fit_on_training_rows(raw)
     clean = cleaner.transform(raw, cfg).checkpoint()  # written once to the shared folder
     labelled = "y" in clean.columns
+    split = None
     if models is None:
         models = train_models(clean, cleaner.output_features, cfg, params)
+        split = models["split"]
     b = models["B"]
-    scored = b.predict(clean, cfg.key, keep=("y",) if labelled else ()).checkpoint()
-    joined = clean.join(scored.select(cfg.key, "p"), cfg.key)
+    scored = b.score(clean).checkpoint()  # the cleaned columns and p, one projection
+    joined = scored
     assessed = assess(joined, "p", b.threshold, cfg)
     top = top_cases(assessed, cfg.key, top_n)
     prepared_top = b.features.transform(top.select(cfg.key, *[c for c in clean.columns if c != cfg.key]),
@@ -89,7 +83,9 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
     cases = analyze(top.select(*joined.columns), "p", b.threshold, cfg, shap)
     metrics = None
     if labelled:
-        test = models["split"].where(F.col("is_test"))
+        # models from elsewhere are measured on this table's own held-out rows
+        split = stratified_split(clean, "y", cfg.key, 0.2, cfg.seed) if split is None else split
+        test = split.where(F.col("is_test"))
         parts = [models[m].predict(test, cfg.key).select(F.lit(m).alias("model"), cfg.key, "y", "p")
                  for m in ("A", "B")]
         thr = spark.createDataFrame([(m, float(models[m].threshold)) for m in ("A", "B")],
@@ -97,13 +93,14 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
         metrics = model_metrics(parts[0].unionByName(parts[1]), thr, key=cfg.key)
     flagged_n = assessed.where(F.col("risk_score") >= cfg.flag_threshold).count()
     summary = spark.createDataFrame(
-        [(cleaner.n_rows, len(b.features.selected), flagged_n,
+        [(clean.count(), len(b.features.selected), flagged_n,
           int(clean.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]) if labelled else 0,
           float(b.threshold), round(time.time() - t0, 2))],
         "rows long, features_selected int, flagged long, mules long, threshold double, seconds double")
     if store is not None:
+        store.clear_uploaded()  # a run replaces the uploaded cases of the run before
         store.save(cases.select("case_id", F.col(cfg.key).cast("long").alias("account_id"), "risk_score",
                                 "severity", "typology", "confidence", F.lit(False).alias("is_demo"),
-                                F.lit(int(time.time())).cast("long").alias("version"), "report"))
+                                "report"))
     return {"clean": clean, "scored": scored, "assessed": assessed, "cases": cases,
             "metrics": metrics, "summary": summary, "models": models}

@@ -7,11 +7,12 @@ tables; column names match the oracle SQL in ``riskspark.plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.config import INDICATORS
+from riskspark.config import DEFAULT_CONFIG, INDICATORS
 from riskspark.plans.analyze import assess, case_id, top_cases
 from riskspark.sources.fixtures import FIXED_THRESHOLD, accounts, accounts_p, persisted, scored_p
 
@@ -89,7 +90,7 @@ def cleaning(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         raw = accounts_as_text(spark, sf_dir)
-        _MODELS[key] = Cleaner().fit(raw)
+        _MODELS[key] = Cleaner().fit_on_training_rows(raw)
     model = _MODELS[key]
     clean = persisted(spark, sf_dir, "clean",
                       lambda s, d: model.transform(accounts_as_text(s, d)))
@@ -115,7 +116,8 @@ def q_null_profile(spark, sf_dir):
 def q_dataset_summary(spark, sf_dir):
     from riskspark.operators.profile import dataset_stats
     model, clean = cleaning(spark, sf_dir)
-    return dataset_stats(spark, clean, model.output_features, len(model.dropped_null_columns))
+    return dataset_stats(spark, clean, model.output_features, len(model.dropped_null_columns)).drop(
+        "xor_digest", "sum_digest")
 
 
 @register("feature_type_breakdown")
@@ -150,9 +152,9 @@ def q_class_rate(spark, sf_dir):
 
 @register("column_medians")
 def q_medians(spark, sf_dir):
-    from riskspark.operators.profile import exact_medians, to_long
+    from riskspark.operators.profile import exact_medians, value_counts
     model, clean = cleaning(spark, sf_dir)
-    return exact_medians(to_long(clean, model.features, []))
+    return exact_medians(value_counts(clean, model.features))
 
 
 @register("feature_labels")
@@ -161,9 +163,9 @@ def q_feature_labels(spark, sf_dir):
     from riskspark.operators.clean import coerced_columns
     from riskspark.operators.profile import null_fractions
     raw = accounts_as_text(spark, sf_dir)
-    feats = [c for c in raw.columns if c not in ("account_id",)]
+    feats = [c for c in raw.columns if c not in ("account_id", "F3924")]
     nf = null_fractions(raw.select(*coerced_columns(raw, feats)), feats)
-    return nf.select("feature", feature_label(F.col("feature")).alias("label"))
+    return nf.select("feature", feature_label(F.col("feature")).alias("label"), "n_non_null")
 
 
 # ---------------------------------------------------------------- validation metrics
@@ -216,27 +218,41 @@ def q_fold_counts(spark, sf_dir):
     return s.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _mi_inputs(spark, sf_dir):
-    from riskspark.operators.profile import exact_medians, to_long
-    from riskspark.operators.selection import impute_long
-    model, clean = cleaning(spark, sf_dir)
-    long = to_long(clean, model.output_features, ["y"])
-    return model, clean, long, exact_medians(long), impute_long
+def value_counts_p(spark, sf_dir) -> DataFrame:
+    """Counts of each feature's values by label, the input of medians, MI and leakage."""
+    from riskspark.operators.profile import value_counts
+
+    def build(s, d):
+        model, clean = cleaning(s, d)
+        return value_counts(clean, model.output_features)
+    return persisted(spark, sf_dir, "value_counts", build)
+
+
+def _mi(spark, sf_dir, features=None) -> DataFrame:
+    from riskspark.operators.profile import exact_medians
+    from riskspark.operators.selection import impute_long, mutual_information
+    counts = value_counts_p(spark, sf_dir)
+    if features is not None:
+        counts = counts.where(F.col("feature").isin(*features))
+    return mutual_information(impute_long(counts, exact_medians(counts)))
 
 
 @register("mutual_information")
 def q_mutual_information(spark, sf_dir):
-    from riskspark.operators.selection import mutual_information
-    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
-    return mutual_information(impute_long(long, med), "y")
+    return _mi(spark, sf_dir)
 
 
-def _selection(spark, sf_dir, include_leakage):
-    from riskspark.operators.selection import mutual_information, select_features
-    model, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
+def _selection(spark, sf_dir, include_leakage, cfg=DEFAULT_CONFIG, top_k=None):
+    from riskspark.operators.selection import select_features
+    model, _ = cleaning(spark, sf_dir)
     feats = [f for f in model.output_features if include_leakage or f != "F3912"]
-    mi = mutual_information(impute_long(long.where(F.col("feature").isin(*feats)), med), "y")
-    return select_features(spark, mi, feats, include_leakage=include_leakage)
+    return select_features(spark, _mi(spark, sf_dir, feats), feats, cfg, include_leakage, top_k)
+
+
+@register("feature_selection_cut")
+def q_selection_cut(spark, sf_dir):
+    """K3 with fewer hints and ranks than columns, so that the MI order decides."""
+    return _selection(spark, sf_dir, True, replace(DEFAULT_CONFIG, hints=("F115", "F3043")), 6)
 
 
 @register("feature_selection_model_a")
@@ -251,23 +267,22 @@ def q_selection_b(spark, sf_dir):
 
 @register("top_mi_features")
 def q_top_mi(spark, sf_dir):
-    from riskspark.operators.selection import mutual_information
-    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
-    return mutual_information(impute_long(long, med), "y") \
+    return _mi(spark, sf_dir) \
         .orderBy(F.col("mi").desc(), F.col("feature")).limit(5)
 
 
 @register("imputed_features")
 def q_imputed(spark, sf_dir):
+    from riskspark.operators.profile import exact_medians
     from riskspark.operators.selection import FeatureModel
-    model, clean, long, med, _ = _mi_inputs(spark, sf_dir)
-    medians = {r["feature"]: r["median"] for r in med.collect()}  # one row per column
+    model, clean = cleaning(spark, sf_dir)
+    medians = {r["feature"]: r["median"]  # one row per column
+               for r in exact_medians(value_counts_p(spark, sf_dir)).collect()}
     fm = FeatureModel(list(model.output_features), medians)
     return fm.transform(clean, keep=("account_id", "y"))
 
 
 # ---------------------------------------------------------------- learning
-QUERY_TREES = 10  # trees per fit in the registered queries (the library default is 300)
 _TRAINED: dict = {}
 
 
@@ -281,11 +296,11 @@ DOC_FEATURES = ["n_chars", "n_spaces", "n_digits", "n_upper", "n_lines"]
 
 def trained_models(spark, sf_dir) -> dict:
     """Models A and B trained once per application on the cleaned accounts."""
-    from riskspark.plans.learn import GBTParams, train_models
+    from riskspark.plans.learn import train_models
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         model, clean = cleaning(spark, sf_dir)
-        _TRAINED[key] = train_models(clean, model.output_features, params=GBTParams(max_iter=QUERY_TREES))
+        _TRAINED[key] = train_models(clean, model.output_features)
     return _TRAINED[key]
 
 
@@ -549,8 +564,7 @@ def _scored_by_b(spark, sf_dir):
     ms = trained_models(spark, sf_dir)
     _, clean = cleaning(spark, sf_dir)
     b = ms["B"]
-    p = b.predict(clean, "account_id", keep=("y",)).select("account_id", "p")
-    return ms, b, clean.join(p, "account_id")
+    return ms, b, b.score(clean)
 
 
 @register("shap_top_cases")
@@ -565,14 +579,13 @@ def q_shap_top_cases(spark, sf_dir):
 
 @register("global_importance")
 def q_global_importance(spark, sf_dir):
-    """X2 + K6 + K9: mean |attribution| over a 400-row hash sample of held-out accounts."""
+    """X2 + K6: mean |attribution| over all held-out accounts."""
     from riskspark.operators.explain import explain_rows, global_importance
-    from riskspark.operators.sampling import hash_sample
     ms = trained_models(spark, sf_dir)
     b = ms["B"]
     test = ms["split"].where(F.col("is_test"))
-    sample = hash_sample(b.features.transform(test, keep=("account_id",)), 400, "account_id", 0)
-    return global_importance(explain_rows(sample, b.model, b.features.selected), 20)
+    held_out = b.features.transform(test, keep=("account_id",))
+    return global_importance(explain_rows(held_out, b.model, b.features.selected), 20)
 
 
 @register("risk_propagation_rounds")
@@ -612,9 +625,7 @@ def q_schema_violations(spark, sf_dir):
 def q_leakage_report(spark, sf_dir):
     """Per feature, precision / recall of value >= 1 as a mule flag, with its MI."""
     from riskspark.operators.profile import leakage_report
-    from riskspark.operators.selection import mutual_information
-    _, _, long, med, impute_long = _mi_inputs(spark, sf_dir)
-    return leakage_report(long, mutual_information(impute_long(long, med), "y"), "y")
+    return leakage_report(value_counts_p(spark, sf_dir), _mi(spark, sf_dir))
 
 
 @register("pipeline_cases")

@@ -2,21 +2,20 @@
 
 Scoring is row-local (projections and literal lookups only), so the batch
 ``assess`` transform runs unchanged on a stream. Cases are persisted with
-``foreachBatch``: each micro-batch becomes one store version tagged with its
-batch id, and a batch id already published is skipped, so a replayed batch
-after a failure is idempotent.
+``foreachBatch``: each micro-batch becomes one store version that records the
+batch, and a batch already published is skipped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from riskspark.operators.cases import CaseStore, upsert
+from riskspark.operators.cases import CaseStore
 
 
 def read_account_stream(spark: SparkSession, source_dir: str, schema: StructType,
@@ -44,15 +43,16 @@ def write_scores(scored: DataFrame, sink_dir: str, checkpoint_dir: str,
 
 def persist_cases(scored_cases: DataFrame, store: CaseStore, checkpoint_dir: str,
                   available_now: bool = True) -> StreamingQuery:
-    """Upsert each micro-batch into the case store; replays of a batch are skipped."""
-    published: set = set()
+    """Upsert each micro-batch into the case store.
+
+    A batch is known by the stream's checkpoint folder and its number, which the
+    store keeps with the version it wrote; a replay, also by a new process, is
+    skipped.
+    """
+    stream = hashlib.sha1(checkpoint_dir.rstrip("/").encode()).hexdigest()[:16]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in published:
-            return
-        versioned = batch.withColumn("version", F.lit(batch_id).cast("long"))
-        store.write_version(upsert(store.read(), versioned))
-        published.add(batch_id)
+        store.save(batch, f"{stream}-{batch_id}")
 
     w = scored_cases.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

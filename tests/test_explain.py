@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from riskspark.operators.explain import base_value, explain_rows, extract_trees, margin, tree_shap
+from recursive_tree_shap import tree_shap
+from riskspark.operators.explain import base_value, explain_rows, extract_trees, margin
 from riskspark.plans.learn import GBTParams, fit_gbt
 
 
