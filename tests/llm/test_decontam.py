@@ -66,7 +66,7 @@ def test_odd_rows(spark, documents, odd_rows, clashing):
 def test_proximity(spark, documents):
     bench = spark.createDataFrame([(1, "the rare1 of the a rare2 in to")], "item_id long, text string")
     docs = documents([(1, "the rare1 of the a rare2 in to"), (2, "x rare1 one two three rare2"),
-                      (3, "x rare1 of the a b c d rare2"), (4, "rare2 rare1"), (5, "the the of a in to")])
+                      (3, "x rare1 of the a b c d rare2"), (4, "rare2 rare1"), (5, "the of a in to " * 5)])
     phrases, _ = benchmark_phrases(bench)
     index = build_index(docs, phrases)
     assert [r["doc_id"] for r in phrase_matches(index).collect()] == [1]

@@ -1,0 +1,91 @@
+"""The corpus pipeline: each stage on its own input, and the whole."""
+
+import pytest
+
+import corpus_pipeline
+from tests_llm_helpers import brute_components, brute_decontaminated, brute_fingerprint
+
+SF = "/root/testdata/sf0.01"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    """Input and output rows of each stage, written and read again."""
+    top = tmp_path_factory.mktemp("pipeline")
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{top}/{name}")
+        result = spark.read.parquet(f"{top}/{name}")
+        out[name] = (docs.collect(), result.collect(), result.columns)
+        docs = result
+    return out
+
+
+def test_order_and_columns(steps):
+    assert list(steps) == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "mixing"]
+    assert all(sorted(c) == sorted(COLUMNS) for name, (_, _, c) in steps.items() if name != "mixing")
+
+
+def test_language_id_keeps_texts_with_a_language(steps):
+    before, after, _ = steps["language_id"]
+    assert {r["doc_id"] for r in before if any(c.isalpha() for c in r["text"] or "")} == {r["doc_id"] for r in after}
+
+
+def test_line_dedup_cuts_and_counts(steps):
+    before, after, _ = steps["line_dedup"]
+    was = {r["doc_id"]: r["text"] for r in before}
+    assert all(r["n_chars"] == len(r["text"]) <= len(was[r["doc_id"]]) for r in after)
+    first = {}
+    for r in sorted(before, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"], r["doc_id"])
+    kept = {r["doc_id"] for r in after}
+    assert all(i in kept for t, i in first.items() if not any(x in was[j] for x in t.split("\n") if len(x) > 20
+                                                             for j in was if j < i))
+
+
+def test_one_document_of_each_group_stays(steps):
+    before, after, _ = steps["simhash_near_dedup"]
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before}
+    assert {r["doc_id"] for r in after} == set(brute_components(prints).values())
+
+
+def test_contaminated_documents_go(spark, steps):
+    before, after, _ = steps["benchmark_decontamination"]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = brute_decontaminated([(r["doc_id"], r["text"]) for r in before], items)
+    assert hit and {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - hit
+
+
+def test_mixture_meets_its_targets(steps):
+    before, after, _ = steps["mixing"]
+    by_source = {}
+    for r in after:
+        by_source.setdefault(r["source"], []).append(r)
+    assert {r["source"] for r in before} == set(by_source)
+    for rows in by_source.values():
+        assert sum(r["taken"] for r in rows) == int(rows[0]["target"])
+
+
+def test_odd_rows(spark, documents, odd_rows, clashing):
+    for docs in (documents(odd_rows), clashing, documents([])):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "mixing":
+                assert out.columns == docs.columns
+            rows = out.collect()
+            assert len(rows) <= len(odd_rows)
+            if docs.isEmpty():
+                assert not rows
+    kept = [r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, documents(odd_rows), SF).collect()]
+    assert kept.count(6) == 1 and kept.count(None) == 2 and 1 in kept and 2 not in kept
+    kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, documents(odd_rows), SF).collect()]
+    assert not {1, 2, 3, 9} & set(kept) and kept.count(6) == 2 and 8 in kept
+
+
+def test_run(spark):
+    from riskspark.llm.queries import QUERIES
+    import __spark_entry__
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
