@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.config import CAMPAIGN_EXPOSURE_FACTOR, FLAG_THRESHOLD
+from riskspark.functions.columns import map_lookup
 
 
 def build_links(df: DataFrame, entity: str, attribute_cols: list[str]) -> DataFrame:
@@ -38,30 +39,34 @@ def attribute_degrees(edges: DataFrame) -> DataFrame:
 
 
 def propagate_one_hop(edges: DataFrame, scores: DataFrame, factor: float = 0.8,
-                      cap: float = 100.0) -> DataFrame:
-    """``(entity, score, propagated)``: best ``factor x score`` over entities sharing an attribute.
-
-    Per attribute the top score, how many hold it, and the best score below it
-    are partial aggregates; an entity's view of an attribute excludes itself.
+                      cap: float = 100.0, factors: dict | None = None) -> DataFrame:
+    """``(entity, score, propagated, is_mule)``: best ``factor x score`` over entities
+    sharing an attribute.
+
+    ``factors`` gives a factor per link type (``attr_type`` of ``build_links``), others
+    count ``factor``. Per attribute the top score, how many hold it, and the best
+    score below it are partial aggregates; an entity's view of an attribute excludes
+    itself. ``is_mule`` marks entities whose own score reaches the flag threshold.
     """
-    s = edges.join(scores, "entity", "left").select(
-        "entity", "attribute", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    top = s.groupBy("attribute").agg(F.max("score").alias("m1"))
-    s2 = s.join(top, "attribute")
-    stats = s2.groupBy("attribute").agg(
+    kind = F.col("attr_type") if "attr_type" in edges.columns else F.lit(None).cast("string")
+    weight = F.coalesce(map_lookup(factors, kind), F.lit(factor)) if factors else F.lit(factor)
+    s = edges.withColumns({"_kind": F.coalesce(kind, F.lit("")), "_factor": weight}).join(
+        scores, "entity", "left").select(
+        "entity", "_kind", "_factor", "attribute", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    on = ["_kind", "attribute"]
+    top = s.groupBy(*on).agg(F.max("score").alias("m1"))
+    s2 = s.join(top, on)
+    stats = s2.groupBy(*on).agg(
         F.first("m1").alias("m1"),
         F.count_if(F.col("score") == F.col("m1")).alias("c1"),
         F.max(F.when(F.col("score") < F.col("m1"), F.col("score"))).alias("m2"),
         F.count(F.lit(1)).alias("n"))
-    view = s.join(stats, "attribute").select(
-        "entity",
-        F.when(F.col("n") < 2, F.lit(None).cast("double"))
-        .when((F.col("score") < F.col("m1")) | (F.col("c1") > 1), F.col("m1"))
-        .otherwise(F.col("m2")).alias("other_best"))
-    best = view.groupBy("entity").agg(F.max("other_best").alias("nb"))
+    other_best = F.when(F.col("n") < 2, F.lit(None).cast("double")) \
+        .when((F.col("score") < F.col("m1")) | (F.col("c1") > 1), F.col("m1")).otherwise(F.col("m2"))
+    best = s.join(stats, on).groupBy("entity").agg(F.max(other_best * F.col("_factor")).alias("nb"))
     return scores.join(best, "entity", "left").select(
-        "entity", "score",
-        F.least(F.lit(cap), F.coalesce(F.col("nb"), F.lit(0.0)) * F.lit(factor)).alias("propagated"))
+        "entity", "score", F.least(F.lit(cap), F.coalesce(F.col("nb"), F.lit(0.0))).alias("propagated"),
+        (F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(FLAG_THRESHOLD)).alias("is_mule"))
 
 
 def propagate(edges: DataFrame, scores: DataFrame, rounds: int = 3, factor: float = 0.8,

@@ -738,3 +738,61 @@ SELECT r.feature, r.n_flagged,
   CASE WHEN r.n_flagged > 0 THEN CAST(r.tp AS DOUBLE) / r.n_flagged END AS flag_precision,
   CASE WHEN r.n_pos > 0 THEN CAST(r.tp AS DOUBLE) / r.n_pos END AS flag_recall, m.mi
 FROM rep r LEFT JOIN ({_mi(OUT_FEATURES)}) m ON m.feature = r.feature"""
+
+
+# ---------------------------------------------------------------- metadata, weights, attributions, typed links
+SQL["table_fingerprint"] = """
+SELECT count(*) AS n_rows, bit_xor(h) AS xor_digest, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum_digest
+FROM (SELECT CAST('0x' || substr(sha256(CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name,
+        'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment}) AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM customer) r"""
+
+SQL["cleaning_metadata"] = f"""
+WITH nf AS ({_null_rows(COERCED, RAW_FEATURES)}), alloc AS ({_ALLOC}),
+place AS (SELECT unnest({RAW_FEATURES}) AS feature, unnest(range({len(RAW_FEATURES)})) AS place),
+g AS (SELECT string_agg(nf.feature, '|' ORDER BY place) FILTER (WHERE null_fraction >= 1) AS dropped,
+             string_agg(nf.feature, '|' ORDER BY place) FILTER (WHERE null_fraction > 0.05 AND null_fraction < 1) AS missing,
+             count_if(null_fraction >= 1) AS nd,
+             count_if(null_fraction > 0.05 AND null_fraction < 1) AS nm, count(*) AS n
+      FROM nf JOIN place ON place.feature = nf.feature)
+SELECT (SELECT CAST(sum(n_rows - n_test) AS BIGINT) FROM alloc) AS n_rows, CAST(n - nd + nm AS INTEGER) AS n_features,
+       CAST(nd AS INTEGER) AS n_dropped, CAST(nm AS INTEGER) AS n_missing_indicators, dropped, missing FROM g"""
+
+SQL["hints_by_ks"] = f"SELECT feature, ks_stat, discriminative_power FROM ({SQL['hint_profile']}) h"
+
+SQL["class_weights"] = f"""
+WITH a AS (SELECT account_id, F3924 AS y FROM ({ACCOUNTS}) x),
+c AS (SELECT CAST(count_if(y = 0) AS DOUBLE) / count_if(y = 1) AS w FROM a)
+SELECT account_id, y, CASE WHEN y = 1 THEN w ELSE {d(1)} END AS weight FROM a, c"""
+
+SQL["case_lookup"] = f"""SELECT case_id, account_id, risk_score, severity, version FROM ({_UPSERT}) u
+WHERE case_id = 'BOI-00014'"""
+
+_ATTRIBUTIONS = f"""SELECT account_id, feature, (coalesce(value, {d(0)}) - {d(0.5)}) * {d(0.25)} AS shap_value,
+  coalesce(value, {d(0)}) AS feature_value FROM ({_unpivot(CLEAN, KEPT, "account_id")}) u"""
+_LABELLED = f"coalesce({_LABELS}, 'Feature ' || feature)"
+
+SQL["top_attributions"] = f"""
+SELECT account_id, rank, {_LABELLED} AS label, feature AS raw_feature, shap_value,
+       CASE WHEN shap_value >= 0 THEN 'increases_risk' ELSE 'reduces_risk' END AS direction, feature_value
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(shap_value) DESC, feature) AS rank
+      FROM ({_ATTRIBUTIONS}) a) r WHERE rank <= 10"""
+
+SQL["attribution_importance"] = f"""
+SELECT {_LABELLED} AS label, feature AS raw_feature, mean_abs_shap,
+       CASE WHEN mean_shap >= 0 THEN 'increases_risk' ELSE 'reduces_risk' END AS direction
+FROM (SELECT feature, avg(abs(shap_value)) AS mean_abs_shap, avg(shap_value) AS mean_shap
+      FROM ({_ATTRIBUTIONS}) a GROUP BY feature ORDER BY 2 DESC, feature LIMIT 8) g"""
+
+SQL["risk_propagation_typed"] = f"""
+WITH links AS (
+  SELECT DISTINCT user_id AS entity, {d(0.8)} AS f, 'd' AS t, json_extract_string(props, '$.k') || '|'
+    || strftime(date_trunc('hour', ts), '%Y-%m-%d %H') || '|' || CAST(CAST(floor(minute(ts) / 10) AS BIGINT) AS VARCHAR) AS a
+  FROM events
+  UNION ALL
+  SELECT DISTINCT user_id, {d(0.4)}, 't', event_type || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H') || '|'
+    || CAST(CAST(floor(minute(ts) / 10) AS BIGINT) AS VARCHAR) FROM events WHERE event_type = 'purchase'),
+s AS ({ESCORES}),
+nb AS (SELECT x.entity, max(s.score * x.f) AS best FROM links x JOIN links y
+         ON x.t = y.t AND x.a = y.a AND x.entity <> y.entity JOIN s ON s.entity = y.entity GROUP BY x.entity)
+SELECT s.entity, s.score, least({d(100)}, coalesce(nb.best, {d(0)})) AS propagated, s.score >= {d(60)} AS is_mule
+FROM s LEFT JOIN nb ON nb.entity = s.entity"""

@@ -361,7 +361,7 @@ def q_attribute_links(spark, sf_dir):
 def q_risk_propagation(spark, sf_dir):
     from riskspark.operators.network import propagate_one_hop
     edges, scores = network_inputs(spark, sf_dir)
-    return propagate_one_hop(edges, scores)
+    return propagate_one_hop(edges, scores).select("entity", "score", "propagated")
 
 
 @register("risk_components")
@@ -635,3 +635,87 @@ def q_pipeline_cases(spark, sf_dir):
     out = run_pipeline(spark, accounts_as_text(spark, sf_dir), models=trained_models(spark, sf_dir))
     return out["cases"].select("account_id", "case_id", "risk_score", "severity", "typology",
                                F.size("shap_values").alias("n_attributions"), "report")
+
+
+@register("table_fingerprint")
+def q_table_fingerprint(spark, sf_dir):
+    """A4 over a table whose JSON form SQL can write too."""
+    from riskspark.operators.fingerprint import dataset_fingerprint
+    from riskspark.sources.fixtures import table
+    return dataset_fingerprint(table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@register("cleaning_metadata")
+def q_cleaning_metadata(spark, sf_dir):
+    """What the cleaner learned from the training rows."""
+    model, _ = cleaning(spark, sf_dir)
+    return model.metadata(spark).select(
+        "n_rows", "n_features", "n_dropped", "n_missing_indicators",
+        F.array_join("dropped_null_columns", "|").alias("dropped"),
+        F.array_join("missing_indicator_columns", "|").alias("missing"))
+
+
+@register("hints_by_ks")
+def q_hints_by_ks(spark, sf_dir):
+    """K8: hint features by their KS statistic."""
+    from riskspark.operators.profile import hint_table, rank_hints_by_ks
+    _, clean = cleaning(spark, sf_dir)
+    return rank_hints_by_ks(hint_table(spark, clean, "y")).select("feature", "ks_stat", "discriminative_power")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    """Each account's training weight (positives weigh the measured ratio)."""
+    from riskspark.plans.learn import class_weight, with_weight
+    rows = labelled_accounts(spark, sf_dir).select("account_id", "y")
+    return with_weight(rows, "y", class_weight(rows, "y", DEFAULT_CONFIG)).withColumnRenamed("_w", "weight")
+
+
+@register("case_lookup")
+def q_case_lookup_one(spark, sf_dir):
+    """The latest version of one case."""
+    from riskspark.operators.cases import get_case, upsert
+    v1, v2 = case_rows(spark, sf_dir)
+    return get_case(upsert(v1, v2), "BOI-00014").select("case_id", "account_id", "risk_score", "severity", "version")
+
+
+def attribution_rows(spark, sf_dir) -> DataFrame:
+    """Given attributions (not a model's): each value's distance from one half, scaled."""
+    from riskspark.operators.profile import to_long
+    model, clean = cleaning(spark, sf_dir)
+    long = to_long(clean, model.features, ["account_id"])
+    return long.select("account_id", "feature",
+                       ((F.coalesce("value", F.lit(0.0)) - 0.5) * 0.25).alias("shap_value"),
+                       F.coalesce("value", F.lit(0.0)).alias("feature_value"))
+
+
+@register("top_attributions")
+def q_top_attributions(spark, sf_dir):
+    """K5 + F17: the ten largest attributions of each account."""
+    from riskspark.operators.explain import top_attributions
+    return top_attributions(attribution_rows(spark, sf_dir), 10)
+
+
+@register("attribution_importance")
+def q_attribution_importance(spark, sf_dir):
+    """X2 + K6: mean size and sign of the attributions of each feature."""
+    from riskspark.operators.explain import global_importance
+    return global_importance(attribution_rows(spark, sf_dir), 8)
+
+
+@register("risk_propagation_typed")
+def q_risk_propagation_typed(spark, sf_dir):
+    """N1 + N2: links of two types built from the events, each with its own factor."""
+    from riskspark.config import PROPAGATION_FACTORS
+    from riskspark.operators.network import build_links, propagate_one_hop
+    from riskspark.sources.fixtures import entity_scores, table
+    slot = F.concat_ws("|", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH"),
+                       F.floor(F.minute("ts") / 10).cast("string"))
+    k = F.get_json_object("props", "$.k")
+    events = table(spark, sf_dir, "events").select(
+        "user_id", F.concat_ws("|", k, slot).alias("shares_device"),
+        F.when(F.col("event_type") == "purchase", F.concat_ws("|", F.col("event_type"), slot)).alias("transferred_to"))
+    links = build_links(events, "user_id", ["shares_device", "transferred_to"])
+    scores = persisted(spark, sf_dir, "entity_scores", entity_scores)
+    return propagate_one_hop(links, scores, factors=PROPAGATION_FACTORS)
