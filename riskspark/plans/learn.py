@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.config import DEFAULT_CONFIG, RiskConfig
+from riskspark.operators.clean import CleaningModel
 from riskspark.operators.metrics import ranking_metrics, tune_threshold
 from riskspark.operators.sampling import stratified_folds, stratified_split
 from riskspark.operators.selection import FeatureModel, FeatureSelector
@@ -80,7 +81,11 @@ def predict_proba(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFr
 
 @dataclass
 class TrainedModel:
-    """D10 result: fitted selection + booster + tuned threshold + summary."""
+    """D10 result: fitted cleaning + selection + booster + tuned threshold + summary.
+
+    The whole bundle is saved and loaded together, so raw data of a batch, a single
+    account or a stream is cleaned and scored by what the training rows taught.
+    """
 
     name: str
     include_leakage: bool
@@ -91,6 +96,13 @@ class TrainedModel:
     train_time_s: float = 0.0
     n_train: int = 0
     meta: dict = field(default_factory=dict)
+    cleaner: CleaningModel | None = None
+
+    def score_raw(self, raw: DataFrame, out: str = "p") -> DataFrame:
+        """Clean raw accounts with the fitted cleaner and score them; row by row, so also on a stream."""
+        if self.cleaner is None:
+            raise ValueError(f"model {self.name} was trained on cleaned data and has no cleaner")
+        return self.score(self.cleaner.transform(raw), out)
 
     def predict(self, df: DataFrame, key: str = "account_id", keep: tuple = ("y",)) -> DataFrame:
         """The same transform for one row or a whole table."""
@@ -111,7 +123,8 @@ class TrainedModel:
         meta = {"name": self.name, "include_leakage": self.include_leakage,
                 "features": self.features.to_json(), "threshold": self.threshold,
                 "cv_pr_auc": self.cv_pr_auc, "train_time_s": self.train_time_s,
-                "n_train": self.n_train, "meta": self.meta}
+                "n_train": self.n_train, "meta": self.meta,
+                "cleaner": asdict(self.cleaner) if self.cleaner else None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/meta")
 
@@ -121,7 +134,26 @@ class TrainedModel:
         return TrainedModel(meta["name"], meta["include_leakage"],
                             FeatureModel.from_json(meta["features"]),
                             PipelineModel.load(f"{path}/model"), meta["threshold"],
-                            meta["cv_pr_auc"], meta["train_time_s"], meta["n_train"], meta["meta"])
+                            meta["cv_pr_auc"], meta["train_time_s"], meta["n_train"], meta["meta"],
+                            CleaningModel(**meta["cleaner"]) if meta.get("cleaner") else None)
+
+
+def load_models(path: str, spark: SparkSession) -> dict:
+    """The models saved under ``path/A`` and ``path/B``, those that are there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = {}
+    for name in ("A", "B"):
+        where = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}/meta/_SUCCESS")
+        if where.getFileSystem(conf).exists(where):
+            found[name] = TrainedModel.load(f"{path.rstrip('/')}/{name}", spark)
+    return found
+
+
+def choose_model(models: dict, name: str = "B") -> TrainedModel:
+    """Model A or B; an error names the model that isn't loaded."""
+    if not isinstance(models.get(name), TrainedModel):
+        raise KeyError(f"model {name} is not loaded")
+    return models[name]
 
 
 def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: str,

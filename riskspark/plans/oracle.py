@@ -796,3 +796,5 @@ nb AS (SELECT x.entity, max(s.score * x.f) AS best FROM links x JOIN links y
          ON x.t = y.t AND x.a = y.a AND x.entity <> y.entity JOIN s ON s.entity = y.entity GROUP BY x.entity)
 SELECT s.entity, s.score, least({d(100)}, coalesce(nb.best, {d(0)})) AS propagated, s.score >= {d(60)} AS is_mule
 FROM s LEFT JOIN nb ON nb.entity = s.entity"""
+
+SQL["csv_accounts"] = SQL["cleaned_accounts"]

@@ -47,14 +47,16 @@ def analyze(df: DataFrame, prob_col: str, threshold: float, cfg: RiskConfig = DE
     return a.select("*", fallback_report(a).alias("report"), F.lit("fallback").alias("report_source"))
 
 
-def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,
+def run_pipeline(spark: SparkSession, raw: DataFrame | str, cfg: RiskConfig = DEFAULT_CONFIG,
                  models: dict | None = None, params=None, top_n: int = TOP_CASES,
                  store=None) -> dict:
     """Clean -> train (or reuse) -> score all -> metrics if labelled -> top cases.
 
-    Returns the frames of each stage plus a one-row run summary (G17).
+    ``raw`` is a table or the path of a CSV file (A6). Models that carry a cleaner
+    bring it along; otherwise one is fitted on the training rows. Returns the frames
+    of each stage plus a one-row run summary (G17).
     """
-    from riskspark.operators.clean import Cleaner
+    from riskspark.operators.clean import Cleaner, drop_index_column, read_accounts_csv
     from riskspark.operators.explain import explain_rows, shap_struct_array, top_attributions
     from riskspark.operators.metrics import model_metrics
     from riskspark.operators.sampling import stratified_split
@@ -63,13 +65,17 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     t0 = time.time()
-    cleaner = Cleaner(cfg).fit_on_training_rows(raw)
+    if isinstance(raw, str):
+        raw = drop_index_column(read_accounts_csv(spark, raw), cfg)
+    given = models["B"].cleaner if models else None
+    cleaner = given or Cleaner(cfg).fit_on_training_rows(raw)
     clean = cleaner.transform(raw, cfg).checkpoint()  # written once to the shared folder
     labelled = "y" in clean.columns
     split = None
     if models is None:
         models = train_models(clean, cleaner.output_features, cfg, params)
         split = models["split"]
+        models["A"].cleaner = models["B"].cleaner = cleaner
     b = models["B"]
     scored = b.score(clean).checkpoint()  # the cleaned columns and p, one projection
     joined = scored
@@ -92,11 +98,13 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT_
                                     "model string, threshold double")
         metrics = model_metrics(parts[0].unionByName(parts[1]), thr, key=cfg.key)
     flagged_n = assessed.where(F.col("risk_score") >= cfg.flag_threshold).count()
+    digest = dataset_fingerprint(raw).first()
     summary = spark.createDataFrame(
         [(clean.count(), len(b.features.selected), flagged_n,
           int(clean.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]) if labelled else 0,
-          float(b.threshold), round(time.time() - t0, 2))],
-        "rows long, features_selected int, flagged long, mules long, threshold double, seconds double")
+          float(b.threshold), digest["xor_digest"], digest["sum_digest"], round(time.time() - t0, 2))],
+        "rows long, features_selected int, flagged long, mules long, threshold double, "
+        "xor_digest long, sum_digest string, seconds double")
     if store is not None:
         store.clear_uploaded()  # a run replaces the uploaded cases of the run before
         store.save(cases.select("case_id", F.col(cfg.key).cast("long").alias("account_id"), "risk_score",

@@ -300,7 +300,9 @@ def trained_models(spark, sf_dir) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         model, clean = cleaning(spark, sf_dir)
-        _TRAINED[key] = train_models(clean, model.output_features)
+        models = train_models(clean, model.output_features)
+        models["A"].cleaner = models["B"].cleaner = model
+        _TRAINED[key] = models
     return _TRAINED[key]
 
 
@@ -719,3 +721,46 @@ def q_risk_propagation_typed(spark, sf_dir):
     links = build_links(events, "user_id", ["shares_device", "transferred_to"])
     scores = persisted(spark, sf_dir, "entity_scores", entity_scores)
     return propagate_one_hop(links, scores, factors=PROPAGATION_FACTORS)
+
+
+@register("csv_accounts")
+def q_csv_accounts(spark, sf_dir):
+    """A1 + A6: accounts written as CSV, read as text and cleaned by the fitted cleaner."""
+    import uuid
+    from riskspark.operators.clean import drop_index_column, read_accounts_csv
+    from riskspark.session import shared_dir
+    path = shared_dir(spark, f"csv-{uuid.uuid4().hex}")
+    accounts_as_text(spark, sf_dir).write.option("header", True).csv(path)
+    model, _ = cleaning(spark, sf_dir)
+    return model.transform(drop_index_column(read_accounts_csv(spark, path)))
+
+
+MODEL_SCORES = ["account_id", "risk_score", "risk_probability", "severity", "typology"]
+
+
+@register("json_model_scores")
+def q_json_model_scores(spark, sf_dir):
+    """A5 + D13: accounts as JSON feature dicts, cleaned and scored by model B."""
+    from riskspark.plans.learn import choose_model
+    from riskspark.plans.pipeline import parse_feature_json
+    b = choose_model(trained_models(spark, sf_dir))
+    raw = accounts_as_text(spark, sf_dir)
+    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+    return assess(b.score_raw(parse_feature_json(lines, raw.schema)), "p", b.threshold).select(*MODEL_SCORES)
+
+
+@register("stream_model_scores")
+def q_stream_model_scores(spark, sf_dir):
+    """Accounts arriving as JSON files, cleaned and scored by model B in the stream."""
+    import uuid
+    from riskspark.plans.learn import choose_model
+    from riskspark.session import shared_dir
+    from riskspark.streaming.scoring import read_account_stream, score_stream, write_scores
+    b = choose_model(trained_models(spark, sf_dir))
+    raw = accounts_as_text(spark, sf_dir)
+    base = shared_dir(spark, f"stream-model-{uuid.uuid4().hex}")
+    raw.repartition(4).write.json(f"{base}/in")
+    out = score_stream(read_account_stream(spark, f"{base}/in", raw.schema, max_files_per_trigger=2),
+                       lambda df: assess(b.score_raw(df), "p", b.threshold).select(*MODEL_SCORES))
+    write_scores(out, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out")

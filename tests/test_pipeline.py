@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -36,6 +37,30 @@ def test_pipeline_store_and_model_roundtrip(spark):
     p2 = {r["account_id"]: r["p"] for r in again.predict(out["clean"]).collect()}
     assert p1 == p2 and again.threshold == b.threshold
 
+    # the loaded bundle scores raw accounts as the batch did: as JSON, as a stream, and in a new run from CSV
+    from riskspark.plans.learn import choose_model, load_models
+    from riskspark.plans.pipeline import parse_feature_json
+    from riskspark.streaming.scoring import read_account_stream, write_scores
+    assert again.cleaner == b.cleaner
+    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+    p3 = {r["account_id"]: r["p"] for r in again.score_raw(parse_feature_json(lines, raw.schema)).collect()}
+    assert p3 == p1
+    base = shared_dir(spark, f"pipe-{uuid.uuid4().hex}")
+    raw.repartition(2).write.json(f"{base}/in")
+    stream = again.score_raw(read_account_stream(spark, f"{base}/in", raw.schema)).select("account_id", "p")
+    write_scores(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    assert {r["account_id"]: r["p"] for r in spark.read.parquet(f"{base}/out").collect()} == p1
+    b.save(f"{base}/models/B", spark)
+    models = load_models(f"{base}/models", spark)
+    assert set(models) == {"B"} and choose_model(models).threshold == b.threshold
+    with pytest.raises(KeyError):
+        choose_model(models, "A")
+    raw.write.option("header", True).csv(f"{base}/csv")
+    rerun = run_pipeline(spark, f"{base}/csv", models={"A": models["B"], "B": models["B"]})
+    assert rerun["summary"].first()["rows"] == 150 and rerun["summary"].first()["sum_digest"]
+    assert {r["model"] for r in rerun["metrics"].collect()} == {"A", "B"}
+    assert [r["case_id"] for r in rerun["cases"].orderBy("case_id").collect()] == sorted(c["case_id"] for c in cases)
+
 
 def test_tables_roundtrip_and_missing(spark):
     from riskspark.sources.tables import export_per_case, load_table, save_table
