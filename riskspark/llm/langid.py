@@ -42,6 +42,11 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter (the pattern also meets signs such as a raised 2)."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def grams(piece: Texts) -> np.ndarray:
     """Feature vectors (square roots of n-gram shares, unit length), one row per text."""
     data = _FOLD[piece.data]
@@ -194,7 +199,7 @@ def language_column(text, model: Model) -> F.Column:
         parts = []
         for piece in text_pieces(texts, max_rows=128):
             n = piece.hi - piece.lo
-            letters = np.array([bool(t and _LETTER.search(t)) for t in texts.slice(piece.lo, n).to_pylist()])
+            letters = np.array([has_letter(t) for t in texts.slice(piece.lo, n).to_pylist()])
             known = letters & bool(model.langs)
             nearest, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
             if known.any():

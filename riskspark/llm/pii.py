@@ -88,10 +88,13 @@ _SPELLED = "|".join(_DIGITS)
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT, _DOT = "(?:at|arroba)", "(?:dot|punto|punkt)"
 _PART = r"[A-Za-z0-9-]+"
+_SAID_DOT = rf"(?:\s+{_DOT}\s+|\s*{_OPEN}{_DOT}{_CLOSE}\s*)"
+# Last labels of addresses that are spoken out; without one, "at .. dot .." is prose.
+_LAST = "(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|me|tv|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pl|ru|cn|jp|in|br)"
 _DISGUISE = re.compile(
     rf"(?P<hidden>[{_HIDDEN}]+)"
     rf"|(?P<at>\s*{_OPEN}(?:{_AT}|@){_CLOSE}\s*"
-    rf"|(?<=[A-Za-z0-9])\s+{_AT}\s+(?={_PART}(?:\s+{_DOT}\s+|\s*{_OPEN}{_DOT}{_CLOSE}\s*){_PART}))"
+    rf"|(?<=[A-Za-z0-9])\s+{_AT}\s+(?={_PART}(?:{_SAID_DOT}{_PART}){{0,4}}?{_SAID_DOT}{_LAST}\b))"
     rf"|(?P<dot>\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*|(?<=[A-Za-z0-9])\s+{_DOT}\s+(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus\s+(?=(?:{_SPELLED})\b))"
     rf"|(?P<digits>\b(?:{_SPELLED})(?:[\s,-]{{1,3}}(?:{_SPELLED}))+\b)", re.I | re.A)

@@ -47,7 +47,7 @@ def test_odd_rows(documents, odd_rows, clashing):
     assert not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert identify(clashing).count() == len(odd_rows)
     assert identify(documents([])).count() == 0
-    no_labels = identify(documents([(1, "some words", None), (2, "12 34", None)])).collect()
+    no_labels = identify(documents([(1, "some words", None), (2, "12 34 ² ½", None)])).collect()
     assert {r["lang_pred"] for r in no_labels} == {UNKNOWN}
     one = identify(documents([(k, "some words", "en") for k in range(9)] + [(20, "12", "en")])).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in one} == {**{k: "en" for k in range(9)}, 20: UNKNOWN}
