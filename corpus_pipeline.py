@@ -26,16 +26,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.5
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the input doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language: null text, texts without a letter, and
     ambiguous texts of a low score go. The model is learned from the input's ``lang``;
     if there is none to learn from, only texts without a letter go."""
     model = train(docs)
-    found = docs.withColumn("_found", language_column("text", model))
-    known = F.col("_found.lang_pred") != UNKNOWN
+    name = _unused(docs, "_found")
+    found = docs.withColumn(name, language_column("text", model))
+    known = F.col(f"{name}.lang_pred") != UNKNOWN
     if not model.langs:
         known = F.col("text").rlike(r"\p{L}")
-    unsure = F.col("_found.ambiguous") & (F.col("_found.score") < MIN_SCORE)
+    unsure = F.col(f"{name}.ambiguous") & (F.col(f"{name}.score") < MIN_SCORE)
     return found.filter(known & ~unsure).select(*docs.columns)
 
 
@@ -56,15 +64,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of rows with one ``doc_id`` the one with the first text stays; rows without a
     ``doc_id`` can't be told apart and all stay."""
     found = simhash_components(docs).checkpoint()
+    id_, n = _unused(docs, "_keep"), _unused(docs, "_rows")
     keep = (found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
-            .agg(F.count(F.lit(1)).alias("_rows")).select(F.col("doc_id").alias("_keep"), "_rows").checkpoint())
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"))
-    single = kept.filter(F.col("_rows") == 1).select(*docs.columns)
+            .agg(F.count(F.lit(1)).alias(n)).select(F.col("doc_id").alias(id_), n).checkpoint())
+    kept = docs.join(keep, F.col("doc_id") == F.col(id_))
+    single = kept.filter(F.col(n) == 1).select(*docs.columns)
     single = single.unionByName(docs.filter(F.col("doc_id").isNull()))
-    if keep.filter(F.col("_rows") > 1).isEmpty():
+    if keep.filter(F.col(n) > 1).isEmpty():
         return single
     rest = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    several = (kept.filter(F.col("_rows") > 1).groupBy("doc_id")
+    several = (kept.filter(F.col(n) > 1).groupBy("doc_id")
                .agg(F.min(F.struct(*rest)).alias("_first")).select("doc_id", "_first.*"))
     return single.unionByName(several.select(*docs.columns))
 
@@ -72,8 +81,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark phrase; null texts stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    name = _unused(docs, "_hit")
+    hit = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
