@@ -12,6 +12,7 @@ to the shared folder, which keeps plans short and survives lost executors.
 from __future__ import annotations
 
 import json
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -32,6 +33,7 @@ from riskspark.operators.sampling import stratified_folds, stratified_split
 from riskspark.operators.selection import FeatureModel, FeatureSelector
 
 DEFAULT_TREES = 300
+ROWS_PER_PARTITION = 20_000
 
 
 @dataclass
@@ -70,6 +72,8 @@ def fit_gbt(df: DataFrame, features: list[str], y: str, params: GBTParams, weigh
                         minInstancesPerNode=params.min_instances_per_node,
                         maxBins=params.max_bins, seed=params.seed)
     data = with_weight(df, y, weight).select(*features, F.col(y).cast("double").alias(y), "_w")
+    # a fit runs a job per tree level; partitions of a size keep its tasks from being mostly overhead
+    data = data.coalesce(max(1, math.ceil(data.count() / ROWS_PER_PARTITION)))
     return Pipeline(stages=[asm, gbt]).fit(data)
 
 
