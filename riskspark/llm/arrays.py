@@ -43,13 +43,13 @@ class PrefixHash:
     """Prefix polynomial hashes of a sequence of 64-bit codes; any range's hash in O(1)."""
 
     def __init__(self, codes: np.ndarray):
-        up, self._down = _powers(len(codes) + 1)
-        self._sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[:len(codes)], dtype=np.uint64, out=self._sums[1:])
+        up, self.down = _powers(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[:len(codes)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the ranges ``[start, end)``."""
-        return (self._sums[end] - self._sums[start]) * self._down[start]
+        return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

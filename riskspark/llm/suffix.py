@@ -22,11 +22,14 @@ WINDOW, GRAM = 50, 24
 
 def common_prefix(prefix: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to ``limit``, of the common prefix of the suffixes at ``a`` and ``b``."""
+    sums, down = prefix.sums, prefix.down
+    sum_a, down_a, sum_b, down_b = sums[a], down[a], sums[b], down[b]
     length = np.zeros(len(a), np.int64)
     step = 1 << (limit.bit_length() - 1)
     while step:
         longer = np.minimum(length + step, limit)
-        length = np.where(prefix.of(a + length, a + longer) == prefix.of(b + length, b + longer), longer, length)
+        same = (sums[a + longer] - sum_a) * down_a == (sums[b + longer] - sum_b) * down_b
+        length = np.where(same, longer, length)
         step >>= 1
     return length
 

@@ -6,11 +6,11 @@ are dealt into batches of a few megabytes, the unit in which tasks work:
 
 1. Each batch tells which minimisers it has (5 bytes each, dealt by hash); the
    answer, two bits each, says which occur in two documents or more, and which
-   in very many.
-2. Stretches with such a minimiser travel as packed strings, equal ones of a
-   batch once, to the bucket of their minimiser. Where a minimiser is in very
-   many documents its stretches are cut into single windows, dealt by their own
-   hash, so no bucket grows with one passage.
+   have very many windows.
+2. Stretches with a shared minimiser travel as packed strings, equal ones of a
+   batch once, to the bucket of their minimiser. Where a minimiser has very many
+   windows its stretches are cut into single windows, dealt by their own hash,
+   equal ones of a batch once, so no bucket grows with one passage.
 3. A bucket groups equal windows exactly and answers each batch with the
    smallest document of each window.
 
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ from riskspark.llm.arrays import BYTE_CODE, PrefixHash, Texts, mix, ranges, slid
 
 #: Bytes of text in a batch; a task's memory is some tens of times this.
 BATCH_BYTES = 4 << 20
-#: From so many documents on, the stretches of a minimiser are dealt as single windows.
-HOT_DOCUMENTS = 1000
-_KEY_BITS = 36
+#: From so many windows on, those of a minimiser are dealt one by one.
+HOT_WINDOWS = 1 << 14
+_KEY_BITS = 35
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -82,10 +83,9 @@ class Stretches:
     first: np.ndarray    # first unit
     windows: np.ndarray  # number of windows
     value: np.ndarray    # the minimiser
-    prefix: PrefixHash
 
-    def hashes(self, window: int) -> np.ndarray:
-        return mix(self.prefix.of(self.first, self.first + self.windows - 1 + window))
+    def hashes(self, prefix: PrefixHash, window: int) -> np.ndarray:
+        return mix(prefix.of(self.first, self.first + self.windows - 1 + window))
 
 
 def stretches(units: Units, plan: Plan) -> Stretches | None:
@@ -99,7 +99,7 @@ def stretches(units: Units, plan: Plan) -> Stretches | None:
     low = sliding_min(mix(prefix.of(at, at + plan.gram)), plan.window - plan.gram + 1)[win]
     text = np.repeat(np.arange(len(counts)), counts)
     cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])]))
-    return Stretches(text[cut], win[cut], np.diff(np.append(cut, len(win))), low[cut], prefix)
+    return Stretches(text[cut], win[cut], np.diff(np.append(cut, len(win))), low[cut])
 
 
 def _deal(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,28 +115,37 @@ def _pieces(docs: pa.Table) -> Iterator[tuple[np.ndarray, Texts]]:
         yield ids[piece.lo:piece.hi], piece
 
 
-def _census(docs: pa.Table, plan: Plan, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bucket, key) of a batch, in order, and in about how many documents each is."""
-    buckets, keys, owners = [], [], []
-    for n, (_, piece) in enumerate(_pieces(docs)):
-        found = stretches(plan.units(piece), plan)
-        if found:
-            b, k = _deal(found.value, bits)
-            buckets.append(b)
-            keys.append(k)
-            owners.append(found.text + (n << 32))
-    if not buckets:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    b, k, o = map(np.concatenate, (buckets, keys, owners))
-    joint = (b.astype(np.uint64) << np.uint64(_KEY_BITS)) | k
-    order = np.lexsort((o, joint))
-    joint, o = joint[order], o[order]
-    new = np.concatenate([[True], joint[1:] != joint[:-1]])
-    documents = np.add.reduceat(np.concatenate([[True], new[1:] | (o[1:] != o[:-1])]).astype(np.int64),
-                                np.flatnonzero(new))
-    joint = joint[new]
-    return ((joint >> np.uint64(_KEY_BITS)).astype(np.int64),
-            joint & np.uint64((1 << _KEY_BITS) - 1), documents)
+@dataclass
+class _Census:
+    """A batch's stretches by piece, and its distinct (bucket, key) in order: in two
+    documents of the batch or more, and how many windows."""
+
+    pieces: list[Stretches | None]
+    bucket: np.ndarray
+    key: np.ndarray
+    several: np.ndarray
+    count: np.ndarray
+
+
+def _joint(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (bucket.astype(np.uint64) << np.uint64(_KEY_BITS)) | key
+
+
+def _census(docs: pa.Table, plan: Plan, bits: int) -> _Census:
+    pieces = [stretches(plan.units(piece), plan) for _, piece in _pieces(docs)]
+    some = [(n, p) for n, p in enumerate(pieces) if p]
+    if not some:
+        return _Census(pieces, *[np.zeros(0, t) for t in (np.int64, np.uint64, bool, np.int64)])
+    joint = np.concatenate([_joint(*_deal(p.value, bits)) for _, p in some])
+    owner = np.concatenate([p.text + (n << 32) for n, p in some])
+    windows = np.concatenate([p.windows for _, p in some])
+    order = np.argsort(joint, kind="stable")  # owners ascend within a key
+    joint, owner, windows = joint[order], owner[order], windows[order]
+    at = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1]]))
+    several = np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at)
+    joint, count = joint[at], np.add.reduceat(windows, at)
+    return _Census(pieces, (joint >> np.uint64(_KEY_BITS)).astype(np.int64),
+                   joint & np.uint64((1 << _KEY_BITS) - 1), several, count)
 
 
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -157,125 +166,146 @@ MESSAGE = "batch long, bucket long, kind int, body binary"
 _FLAGS, _FOUND = 0, 1
 
 
-def _packed(keys: np.ndarray, documents: np.ndarray) -> bytes:
-    """Five bytes a key: 36 bits and the binary logarithm of the document count."""
-    size = np.minimum(np.log2(documents).astype(np.uint64), np.uint64(15))
-    return ((keys << np.uint64(4)) | size).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _packed(key: np.ndarray, several: np.ndarray, count: np.ndarray) -> bytes:
+    """Five bytes a key: 35 bits, one for several documents, four for the logarithm of the count."""
+    size = np.minimum(np.log2(count).astype(np.uint64), np.uint64(15))
+    both = (key << np.uint64(5)) | (several.astype(np.uint64) << np.uint64(4)) | size
+    return both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, documents (1 or 2: several) and windows (rounded down to a power of two)."""
     raw = np.zeros((len(body) // 5, 8), np.uint8)
     raw[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
     both = raw.view("<u8").ravel()
-    return both >> np.uint64(4), np.int64(1) << (both & np.uint64(15)).astype(np.int64)
+    return (both >> np.uint64(5), 1 + (both >> np.uint64(4) & np.uint64(1)).astype(np.int64),
+            np.int64(1) << (both & np.uint64(15)).astype(np.int64))
 
 
 def _tell(plan: Plan, bits: int):
     def run(docs: pa.Table) -> pa.Table:
-        bucket, key, documents = _census(docs, plan, bits)
+        census = _census(docs, plan, bits)
         batch = docs.column("batch")[0].as_py()
-        return _rows(_MESSAGE, [(batch, b, 0, _packed(key[lo:hi], documents[lo:hi]))
-                                for b, lo, hi in _cuts(bucket)])
+        return _rows(_MESSAGE, [
+            (batch, b, 0, _packed(census.key[lo:hi], census.several[lo:hi], census.count[lo:hi]))
+            for b, lo, hi in _cuts(census.bucket)])
     return run
 
 
 def _count(bucket_rows: pa.Table) -> pa.Table:
-    """For each batch's keys, two bits each: in two documents or more, in very many."""
-    bodies = bucket_rows.column("body").to_pylist()
-    parts = [_unpacked(b) for b in bodies]
-    key, documents = (np.concatenate(p) for p in zip(*parts))
+    """For each batch's keys, two bits each: in two documents or more, very many windows."""
+    parts = [_unpacked(b) for b in bucket_rows.column("body").to_pylist()]
+    key, documents, count = (np.concatenate(p) for p in zip(*parts))
     _, at = np.unique(key, return_inverse=True)
-    total = np.bincount(at, weights=documents)[at]
-    flags = np.stack([total >= 2, total >= HOT_DOCUMENTS], axis=1)
+    flags = np.stack([np.bincount(at, weights=documents)[at] >= 2,
+                      np.bincount(at, weights=count)[at] >= HOT_WINDOWS], axis=1)
     rows, lo = [], 0
     bucket = bucket_rows.column("bucket")[0].as_py()
-    for batch, (k, _) in zip(bucket_rows.column("batch").to_pylist(), parts):
+    for batch, (k, _, _) in zip(bucket_rows.column("batch").to_pylist(), parts):
         rows.append((batch, bucket, _FLAGS, np.packbits(flags[lo:lo + len(k)].ravel()).tobytes()))
         lo += len(k)
     return _rows(_MESSAGE, rows)
 
 
 class _Shared:
-    """Which minimisers of a batch are shared, from the answers to its census."""
+    """The stretches of a batch whose minimiser is shared, from the answers to its census."""
 
     def __init__(self, docs: pa.Table, answers: pa.Table, plan: Plan, bits: int):
-        bucket, key, _ = _census(docs, plan, bits)
-        self._joint = (bucket.astype(np.uint64) << np.uint64(_KEY_BITS)) | key
-        self._flags = np.zeros((len(key), 2), bool)
+        self._census = census = _census(docs, plan, bits)
+        self._joint = _joint(census.bucket, census.key)
+        self._flags = np.zeros((len(census.key), 2), bool)
         body = {b: x for b, k, x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "body")))
                 if k == _FLAGS}
-        for b, lo, hi in _cuts(bucket):
+        for b, lo, hi in _cuts(census.bucket):
             bits_of = np.unpackbits(np.frombuffer(body[b], np.uint8))[:2 * (hi - lo)]
             self._flags[lo:hi] = bits_of.reshape(-1, 2)
-        self._bits = bits
-
-    def of(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b, k = _deal(value, self._bits)
-        at = np.searchsorted(self._joint, (b.astype(np.uint64) << np.uint64(_KEY_BITS)) | k)
-        return self._flags[at, 0], self._flags[at, 1]
-
-
-def _candidates(units: Units, plan: Plan, shared: _Shared) -> Stretches | None:
-    """The stretches with a shared minimiser; those of a hot one cut into single
-    windows, whose own hash takes the minimiser's place."""
-    found = stretches(units, plan)
-    if not found:
-        return None
-    dup, hot = shared.of(found.value)
-    cold, warm = np.flatnonzero(dup & ~hot), np.flatnonzero(dup & hot)
-    n = found.windows[warm]
-    single = ranges(found.first[warm], n)
-    window_hash = mix(found.prefix.of(single, single + plan.window))
-    return Stretches(np.concatenate([found.text[cold], np.repeat(found.text[warm], n)]),
-                     np.concatenate([found.first[cold], single]),
-                     np.concatenate([found.windows[cold], np.ones(len(single), np.int64)]),
-                     np.concatenate([found.value[cold], window_hash]), found.prefix)
+        self._plan, self._bits = plan, bits
+
+    def candidates(self, docs: pa.Table) -> Iterator[tuple[np.ndarray, Texts, Units, Stretches, np.ndarray]]:
+        """Each piece's ids, texts and units, its stretches with a shared minimiser and
+        their hashes. Stretches of a hot minimiser are cut into single windows, whose
+        own hash takes the minimiser's place."""
+        window = self._plan.window
+        for found, (ids, piece) in zip(self._census.pieces, _pieces(docs)):
+            units = self._plan.units(piece)
+            if not found:
+                none = np.zeros(0, np.int64)
+                yield ids, piece, units, Stretches(none, none, none, none.view(np.uint64)), none.view(np.uint64)
+                continue
+            flags = self._flags[np.searchsorted(self._joint, _joint(*_deal(found.value, self._bits)))]
+            cold, hot = np.flatnonzero(flags[:, 0] & ~flags[:, 1]), np.flatnonzero(flags[:, 0] & flags[:, 1])
+            prefix = PrefixHash(units.codes)
+            n = found.windows[hot]
+            single = ranges(found.first[hot], n)
+            own = mix(prefix.of(single, single + window))
+            some = Stretches(np.concatenate([found.text[cold], np.repeat(found.text[hot], n)]),
+                             np.concatenate([found.first[cold], single]),
+                             np.concatenate([found.windows[cold], np.ones(len(single), np.int64)]),
+                             np.concatenate([found.value[cold], own]))
+            yield ids, piece, units, some, some.hashes(prefix, window)
 
 
-_STRETCH = np.dtype([("value", "<u8"), ("hash", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u4")])
+@dataclass
+class _Strings:
+    """Distinct packed strings: hash, minimiser (32 bits), least and greatest id, and length."""
+
+    hash: np.ndarray
+    family: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+    texts: list[bytes]
+
+    def body(self, at: np.ndarray) -> bytes:
+        columns = (self.hash, self.family, self.low, self.high - self.low, self.size)
+        return zstandard.compress(b"".join([*[c[at].tobytes() for c in columns],
+                                            *[self.texts[k] for k in at.tolist()]]), 1)
+
+    @staticmethod
+    def read(body: bytes, n: int) -> _Strings:
+        raw, at, columns = zstandard.decompress(body), 0, []
+        for kind in ("<u8", "<u4", "<i8", "<i8", "<u4"):
+            columns.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        hashes, family, low, above, size = columns
+        ends = (np.cumsum(size, dtype=np.int64) + at).tolist()
+        return _Strings(hashes, family, low, low + above, size, [raw[s:e] for s, e in zip([at, *ends], ends)])
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash, and where in it each distinct hash begins."""
+    order = np.argsort(h, kind="stable")
+    return order, np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
 
 
 def _send(plan: Plan, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows(_MESSAGE, [])
-        shared = _Shared(docs, answers, plan, bits)
-        heads, strings = [], []
-        for ids, piece in _pieces(docs):
-            units = plan.units(piece)
-            found = _candidates(units, plan, shared)
-            if not found or not len(found.first):
+        columns, texts = [], []
+        for ids, _, units, found, h in _Shared(docs, answers, plan, bits).candidates(docs):
+            if not len(h):
                 continue
-            h = found.hashes(plan.window)
-            order = np.argsort(h, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            own = ids[found.text[order]]
-            pick = order[at]
+            order, at = _distinct(h)
+            pick, own = order[at], ids[found.text[order]]
             start = units.start[found.first[pick]]
             end = units.end[found.first[pick] + found.windows[pick] + plan.window - 2]
-            head = np.zeros(len(pick), _STRETCH)
-            head["value"], head["hash"], head["size"] = found.value[pick], h[pick], end - start
-            head["low"], head["high"] = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
-            heads.append(head)
+            columns.append((h[pick], found.value[pick], np.minimum.reduceat(own, at), np.maximum.reduceat(own, at),
+                            (end - start).astype(np.uint32)))
             raw = units.data.tobytes()
-            strings += [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
-        if not heads:
+            texts += [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+        if not columns:
             return _rows(_MESSAGE, [])
-        head = np.concatenate(heads)
-        # equal strings of several pieces once
-        order = np.argsort(head["hash"], kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], head["hash"][order][1:] != head["hash"][order][:-1]]))
-        one = head[order[at]]
-        one["low"], one["high"] = (np.minimum.reduceat(head["low"][order], at),
-                                   np.maximum.reduceat(head["high"][order], at))
-        chosen = order[at]
-        bucket, _ = _deal(one["value"], bits)
-        order = np.argsort(bucket, kind="stable")
-        one, chosen, bucket = one[order], chosen[order], bucket[order]
+        h, value, low, high, size = (np.concatenate(c) for c in zip(*columns))
+        order, at = _distinct(h)  # equal strings of several pieces once
+        pick = order[at]
+        bucket, _ = _deal(value[pick], bits)
+        strings = _Strings(h[pick], value[pick].astype(np.uint32), np.minimum.reduceat(low[order], at),
+                           np.maximum.reduceat(high[order], at), size[pick], [texts[k] for k in pick.tolist()])
+        dealt = np.argsort(bucket, kind="stable")
         batch = docs.column("batch")[0].as_py()
-        return _rows(_MESSAGE, [
-            (batch, b, hi - lo, one[lo:hi].tobytes() + b"".join(strings[k] for k in chosen[lo:hi].tolist()))
-            for b, lo, hi in _cuts(bucket)])
+        return _rows(_MESSAGE, [(batch, b, hi - lo, strings.body(dealt[lo:hi]))
+                                for b, lo, hi in _cuts(bucket[dealt])])
     return run
 
 
@@ -285,24 +315,21 @@ _RUN = np.dtype([("hash", "<u8"), ("skip", "<u4"), ("windows", "<u4"), ("low", "
 def _match(plan: Plan):
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        batches = np.array(rows.column("batch").to_pylist())
-        counts = np.array(rows.column("kind").to_pylist())
-        bodies = rows.column("body").to_pylist()
-        head = np.concatenate([np.frombuffer(b, _STRETCH, n) for b, n in zip(bodies, counts.tolist())])
-        sender = np.repeat(np.arange(len(batches)), counts)
-        offsets = np.concatenate([np.cumsum(np.frombuffer(b, _STRETCH, n)["size"].astype(np.int64))
-                                  + n * _STRETCH.itemsize for b, n in zip(bodies, counts.tolist())])
-        order = np.argsort(head["hash"], kind="stable")
-        new = np.concatenate([[True], head["hash"][order][1:] != head["hash"][order][:-1]])
-        at = np.flatnonzero(new)
-        string_of = np.empty(len(head), np.int64)
-        string_of[order] = np.cumsum(new) - 1
-        low = np.minimum.reduceat(head["low"][order], at)
-        high = np.maximum.reduceat(head["high"][order], at)
+        batches = rows.column("batch").to_pylist()
+        counts = rows.column("kind").to_pylist()
+        parts = [_Strings.read(b, n) for b, n in zip(rows.column("body").to_pylist(), counts)]
+        h, value, ids_low, ids_high, _ = (np.concatenate([getattr(p, f) for p in parts])
+                                          for f in ("hash", "family", "low", "high", "size"))
+        every = [t for p in parts for t in p.texts]
+        del parts
+        order, at = _distinct(h)
+        string_of = np.empty(len(h), np.int64)
+        string_of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+        low = np.minimum.reduceat(ids_low[order], at)
+        high = np.maximum.reduceat(ids_high[order], at)
         pick = order[at]
-        texts = []
-        for k in pick.tolist():
-            texts.append(bodies[sender[k]][offsets[k] - int(head["size"][k]):offsets[k]])
+        texts = [every[k] for k in pick.tolist()]
+        del every
         lengths = np.array([len(t) for t in texts], np.int64)
         start = np.cumsum(lengths + 1) - lengths - 1
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -310,7 +337,7 @@ def _match(plan: Plan):
         windows = units.last - units.first - plan.window + 1
         least = np.repeat(low, windows)
         # a minimiser with one string only has no other windows to compare
-        _, family = np.unique(head["value"][pick], return_inverse=True)
+        _, family = np.unique(value[pick], return_inverse=True)
         several = np.bincount(family)[family] > 1
         compared = np.flatnonzero(np.repeat(several, windows))
         if len(compared):
@@ -330,16 +357,16 @@ def _match(plan: Plan):
         run_lo, run_hi = np.searchsorted(owner, np.arange(len(texts))), np.searchsorted(
             owner, np.arange(len(texts)), "right")
         out, lo = [], 0
-        for batch, n in zip(batches.tolist(), counts.tolist()):
+        for batch, n in zip(batches, counts):
             mine = string_of[lo:lo + n]
             per = run_hi[mine] - run_lo[mine]
             r = ranges(run_lo[mine], per)
             which = np.repeat(np.arange(lo, lo + n), per)
-            useful = least[cut[r]] < head["high"][which]
+            useful = least[cut[r]] < ids_high[which]
             r, which = r[useful], which[useful]
             if len(r):
                 reply = np.zeros(len(r), _RUN)
-                reply["hash"], reply["low"] = head["hash"][which], least[cut[r]]
+                reply["hash"], reply["low"] = h[which], least[cut[r]]
                 reply["skip"], reply["windows"] = cut[r] - first[owner[r]], size[r]
                 out.append((batch, bucket, _FOUND, reply.tobytes()))
             lo += n
@@ -349,17 +376,13 @@ def _match(plan: Plan):
 
 def _covered(docs: pa.Table, answers: pa.Table, plan: Plan, bits: int) -> Iterator[tuple[Texts, Units, np.ndarray]]:
     """Each piece of the batch with its units and which of them an earlier document covers."""
-    shared = _Shared(docs, answers, plan, bits)
     bodies = [x for k, x in zip(answers.column("kind").to_pylist(), answers.column("body").to_pylist())
               if k == _FOUND]
     runs = np.concatenate([np.frombuffer(b, _RUN) for b in bodies]) if bodies else np.zeros(0, _RUN)
     runs = runs[np.argsort(runs["hash"], kind="stable")]
-    for ids, piece in _pieces(docs):
-        units = plan.units(piece)
+    for ids, piece, units, found, h in _Shared(docs, answers, plan, bits).candidates(docs):
         steps = np.zeros(len(units.codes) + 1, np.int64)
-        found = _candidates(units, plan, shared) if len(runs) else None
-        if found and len(found.first):
-            h = found.hashes(plan.window)
+        if len(runs) and len(h):
             lo, hi = np.searchsorted(runs["hash"], h), np.searchsorted(runs["hash"], h, "right")
             which = np.repeat(np.arange(len(h)), hi - lo)
             run = runs[ranges(lo, hi - lo)]

@@ -32,5 +32,6 @@ def clashing(documents, odd_rows):
     """The odd rows with columns named like helper columns of the operators."""
     from pyspark.sql import functions as F
     names = ["id", "batch", "row", "size", "fp", "root", "bucket", "kind", "body", "n", "first", "_key",
-             "_words", "start", "taken", "target", "_id", "_row", "lines", "hashes", "removed", "kept"]
+             "_words", "start", "taken", "target", "_id", "_row", "lines", "hashes", "removed", "kept", "_in",
+             "_found", "_keep", "_rows", "_hit", "_first", "_text_row", "n_words"]
     return documents(odd_rows).withColumns({c: F.lit("clash") for c in names})

@@ -94,10 +94,10 @@ def found_words(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_words", "n_removed", "kept").collect()), key=key)
 
 
-@pytest.mark.parametrize("batch_bytes, hot", [(4 << 20, 1000), (3000, 3)])
+@pytest.mark.parametrize("batch_bytes, hot", [(4 << 20, 1 << 14), (3000, 40)])
 def test_against_brute_force(documents, monkeypatch, batch_bytes, hot):
     """Also with many small batches and minimisers dealt as single windows."""
-    monkeypatch.setattr(windows, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(windows, "HOT_WINDOWS", hot)
     monkeypatch.setattr(windows.covered_by_earlier, "__defaults__", (batch_bytes,))
     rows = corpus()
     docs = documents(rows)
