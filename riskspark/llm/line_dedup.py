@@ -139,9 +139,12 @@ def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
         "doc_id", "row", "e.lines", "e.key")
     # the smallest id comes first, a null one last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    # written, so that the join's two sides are plain shuffles, which adaptive execution
+    # can split where very many documents have one line
     shared = (evidence.groupBy("lines", "key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
               .filter((F.col("n") > 1) & ((F.col("lines") > 1) | (F.col("n") <= rare)))
-              .select("lines", "key", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")))
+              .select("lines", "key", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
+              .checkpoint())
     return (evidence.join(shared, ["lines", "key"])
             .filter((F.col("first_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("first_id").isNotNull()))
             .select("doc_id", "row", "first_id", "first_row").distinct())
@@ -173,15 +176,19 @@ def remove_aligned_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN
                .groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"))
                .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_places"))
     added = ("n_lines", "n_removed", "kept_lines")
-    rows = docs.drop(*added).withColumn("_text_row", F.xxhash64("text"))
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
+    # the input's other columns travel as one, so their names can't clash
+    others = [c for c in docs.columns if c not in ("text", *added)]
+    rows = docs.select("text", F.struct(*others).alias("_in")).withColumns({
+        "_text_id": F.col("_in.doc_id"), "_text_row": F.xxhash64("text")})
+    joined = rows.join(removed, F.col("_text_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")),
+                       "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_places", i))
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     full = F.size(F.filter(lines, lambda x: F.char_length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) > 0))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), full), F.lit(0)).cast("long")
-    n_removed = F.coalesce(F.size("_places"), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(n_removed)
-    return joined.withColumns({"n_lines": n_lines, "n_removed": n_removed}).withColumns({
-        "kept_lines": F.col("n_lines") - F.col("n_removed"), "text": text}).select(
-        *[c for c in docs.columns if c not in added], *added)
+    n_removed = F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.size("_places")).cast("long")
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col("_in").getField(c).alias(c)
+          for c in docs.columns if c not in added],
+        n_lines.alias("n_lines"), n_removed.alias("n_removed"), (n_lines - n_removed).alias("kept_lines"))
