@@ -144,8 +144,10 @@ def references(docs: DataFrame) -> References:
     whole = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     rows = (counts.filter(F.col("lang").isNotNull()).select("lang", "kind", "key", "n", F.lit(False).alias("whole"))
             .unionByName(whole.select(F.lit("").alias("lang"), "kind", "key", "n", F.lit(True).alias("whole"))))
-    rank = F.row_number().over(Window.partitionBy("whole", "lang", "kind").orderBy(F.desc("n"), "key"))
-    top = rows.withColumn("rank", rank).filter((F.col("kind") != 1) | (F.col("rank") <= COMMON_WORDS))
+    # the rank is cut in the map tasks already, so a language's many words don't meet in one task
+    rank = F.row_number().over(Window.partitionBy("whole", "lang").orderBy(F.desc("n"), "key"))
+    words = rows.filter(F.col("kind") == 1).withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS)
+    top = words.unionByName(rows.filter(F.col("kind") != 1).withColumn("rank", F.lit(0)))
     refs = References({}, {}, {})
     for row in top.orderBy("whole", "lang", "kind", "rank").collect():
         lang = None if row["whole"] else row["lang"]
