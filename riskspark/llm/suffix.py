@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskspark.llm.arrays import PrefixHash, Texts, mix, sliding_min
 from riskspark.llm.windows import Plan, Units, byte_units, covered_by_earlier
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 
 
 def common_prefix(prefix: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:

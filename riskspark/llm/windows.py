@@ -259,7 +259,7 @@ class _Strings:
     def body(self, at: np.ndarray) -> bytes:
         columns = (self.hash, self.family, self.low, self.high - self.low, self.size)
         return zstandard.compress(b"".join([*[c[at].tobytes() for c in columns],
-                                            *[self.texts[k] for k in at.tolist()]]), 1)
+                                            *[self.texts[k] for k in at.tolist()]]), 3)
 
     @staticmethod
     def read(body: bytes, n: int) -> _Strings:
@@ -309,7 +309,21 @@ def _send(plan: Plan, bits: int):
     return run
 
 
-_RUN = np.dtype([("hash", "<u8"), ("skip", "<u4"), ("windows", "<u4"), ("low", "<i8")])
+#: An answer's columns: string, windows to skip, windows, and their smallest document.
+_RUN = (("hash", "<u8"), ("skip", "<u4"), ("windows", "<u4"), ("low", "<i8"))
+
+
+def _runs(bodies: list[bytes]) -> dict[str, np.ndarray]:
+    """The answers' columns, ordered by string."""
+    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in _RUN}
+    for raw in map(zstandard.decompress, bodies):
+        n, at = len(raw) // sum(np.dtype(t).itemsize for _, t in _RUN), 0
+        for name, t in _RUN:
+            parts[name].append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    columns = {name: np.concatenate([*parts[name], np.zeros(0, t)]) for name, t in _RUN}
+    order = np.argsort(columns["hash"], kind="stable")
+    return {name: c[order] for name, c in columns.items()}
 
 
 def _match(plan: Plan):
@@ -365,10 +379,9 @@ def _match(plan: Plan):
             useful = least[cut[r]] < ids_high[which]
             r, which = r[useful], which[useful]
             if len(r):
-                reply = np.zeros(len(r), _RUN)
-                reply["hash"], reply["low"] = h[which], least[cut[r]]
-                reply["skip"], reply["windows"] = cut[r] - first[owner[r]], size[r]
-                out.append((batch, bucket, _FOUND, reply.tobytes()))
+                columns = (h[which], cut[r] - first[owner[r]], size[r], least[cut[r]])
+                out.append((batch, bucket, _FOUND, zstandard.compress(
+                    b"".join([c.astype(t).tobytes() for c, (_, t) in zip(columns, _RUN)]), 1)))
             lo += n
         return _rows(_MESSAGE, out)
     return run
@@ -378,19 +391,18 @@ def _covered(docs: pa.Table, answers: pa.Table, plan: Plan, bits: int) -> Iterat
     """Each piece of the batch with its units and which of them an earlier document covers."""
     bodies = [x for k, x in zip(answers.column("kind").to_pylist(), answers.column("body").to_pylist())
               if k == _FOUND]
-    runs = np.concatenate([np.frombuffer(b, _RUN) for b in bodies]) if bodies else np.zeros(0, _RUN)
-    runs = runs[np.argsort(runs["hash"], kind="stable")]
+    runs = _runs(bodies)
     for ids, piece, units, found, h in _Shared(docs, answers, plan, bits).candidates(docs):
         steps = np.zeros(len(units.codes) + 1, np.int64)
-        if len(runs) and len(h):
+        if len(runs["hash"]) and len(h):
             lo, hi = np.searchsorted(runs["hash"], h), np.searchsorted(runs["hash"], h, "right")
             which = np.repeat(np.arange(len(h)), hi - lo)
-            run = runs[ranges(lo, hi - lo)]
-            earlier = run["low"] < ids[found.text[which]]
+            run = ranges(lo, hi - lo)
+            earlier = runs["low"][run] < ids[found.text[which]]
             run, which = run[earlier], which[earlier]
-            first = found.first[which] + run["skip"]
+            first = found.first[which] + runs["skip"][run]
             np.add.at(steps, first, 1)
-            np.add.at(steps, first + run["windows"].astype(np.int64) + plan.window - 1, -1)
+            np.add.at(steps, first + runs["windows"][run].astype(np.int64) + plan.window - 1, -1)
         yield piece, units, np.cumsum(steps[:-1]) > 0
 
 
