@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment: shared lines find the pairs, patience diff aligns them.
 
-Documents become sequences of line hashes. A line in at most ``RARE`` documents,
-or two consecutive lines however frequent, is evidence of overlap: each document
+Documents become sequences of line hashes. A line, or two consecutive
+lines, however frequent, is evidence of overlap: each document
 that has it is paired with the first document that has it, so a line shared by
 n documents gives n - 1 pairs. Each pair's sequences are aligned with patience
 diff, and the common blocks go from the later document. Only hashes travel; the
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from riskspark.session import ensure_checkpoint_dir
 
-#: A line in more documents is evidence only together with its neighbour.
-RARE = 100
 #: Characters that a common block must have to be deleted.
 MIN_BLOCK_CHARS = 50
 
@@ -128,9 +126,9 @@ def line_sequences(docs: DataFrame) -> DataFrame:
                     F.col("lines.place").alias("places")))
 
 
-def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
+def overlapping_pairs(sequences: DataFrame, rare: int | None = None) -> DataFrame:
     """``doc_id, row, first_id, first_row``: each document with the first documents
-    it shares a rare line or two consecutive lines with."""
+    it shares a line (in at most ``rare`` documents, if given) or two consecutive lines with."""
     following = F.transform(F.col("hashes"), lambda x, i: F.struct(
         F.lit(2).alias("lines"), F.xxhash64(x, F.get("hashes", i + 1)).alias("key")))
     single = F.transform(F.col("hashes"), lambda x: F.struct(F.lit(1).alias("lines"), x.alias("key")))
@@ -142,7 +140,7 @@ def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
     # written, so that the join's two sides are plain shuffles, which adaptive execution
     # can split where very many documents have one line
     shared = (evidence.groupBy("lines", "key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-              .filter((F.col("n") > 1) & ((F.col("lines") > 1) | (F.col("n") <= rare)))
+              .filter((F.col("n") > 1) & (F.lit(rare is None) | (F.col("lines") > 1) | (F.col("n") <= (rare or 0))))
               .select("lines", "key", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
               .checkpoint())
     return (evidence.join(shared, ["lines", "key"])
@@ -150,7 +148,7 @@ def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
             .select("doc_id", "row", "first_id", "first_row").distinct())
 
 
-def remove_aligned_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+def remove_aligned_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """Delete from each document of ``docs(doc_id, text)`` the blocks of lines that it
     has in common with an earlier document.
 

@@ -97,3 +97,13 @@ def test_odd_rows(documents, odd_rows, clashing):
     out = remove_aligned_lines(clashing)
     assert out.count() == len(odd_rows) and set(clashing.columns) <= set(out.columns)
     assert remove_aligned_lines(documents([])).count() == 0
+
+
+def removed_of(documents, texts):
+    return [r["n_removed"] for r in sorted(remove_aligned_lines(documents(list(enumerate(texts)))).collect(),
+                                           key=lambda r: r["doc_id"])]
+
+
+def test_a_long_line_goes_however_frequent(documents):
+    notice = "This very common notice stands in all of the documents."
+    assert removed_of(documents, [f"own line {k}\n{notice}\nother line {k}" for k in range(150)]) == [0] + [1] * 149
