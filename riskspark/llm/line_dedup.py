@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment: shared lines find the pairs, patience diff aligns them.
 
-Documents become sequences of line hashes. A line, or two consecutive
-lines, however frequent, is evidence of overlap: each document
-that has it is paired with the first document that has it, so a line shared by
-n documents gives n - 1 pairs. Each pair's sequences are aligned with patience
-diff, and the common blocks go from the later document. Only hashes travel; the
-texts are shuffled once, to be cut.
+Documents become sequences of line hashes. The shortest runs of lines, forward
+and backward from each line, that reach the size of a block are evidence of
+overlap: each document that has a run is paired with the first document that has
+it, so a run shared by n documents gives n - 1 pairs. Every line of a block that
+two documents share lies in such a run of it, so each block has a partner that
+holds it. Each pair's sequences are aligned with patience diff; the common blocks,
+and those that moved or are repeated, go from the later document. Only hashes
+travel; the texts are shuffled once, to be cut.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.arrays import PrefixHash, mix
 from riskspark.session import ensure_checkpoint_dir
 
 #: Characters that a common block must have to be deleted.
@@ -81,9 +84,54 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def shortest_runs(sizes: np.ndarray, starts: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges ``[start, end)`` of the shortest runs of at least ``min_chars`` characters
+    that begin at each line, and of those that end at each line.
+
+    ``starts`` are the sequences' first lines, and the end. A run lies in one
+    sequence. Each line of a longer run lies in a shortest one inside it.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    least = max(min_chars, 1)
+    lines = np.arange(len(sizes))
+    which = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    end = np.searchsorted(upto, upto[:-1] + least)
+    ahead = end <= starts[1:][which]
+    start = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    back = start >= starts[:-1][which]
+    return np.concatenate([lines[ahead], start[back]]), np.concatenate([end[ahead], lines[back] + 1])
+
+
+def _tuples(seq: list[int], sizes: list[int], min_chars: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    start, end = shortest_runs(np.array(sizes, np.int64), np.array([0, len(seq)]), min_chars)
+    return [(s, e, tuple(seq[s:e])) for s, e in zip(start.tolist(), end.tolist())]
+
+
+def _elsewhere(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> set[int]:
+    """Places in ``a`` inside runs of at least ``min_chars`` characters that ``b`` has anywhere."""
+    size = dict(zip(a, sizes))
+    has: set[tuple[int, ...]] = set()
+    part: list[int] = []
+    for x in [*b, None]:
+        if x in size:
+            part.append(x)
+        elif part:
+            has.update(run for _, _, run in _tuples(part, [size[k] for k in part], min_chars))
+            part = []
+    return {k for s, e, run in _tuples(a, sizes, min_chars) if run in has for k in range(s, e)}
+
+
 def common_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> list[int]:
-    """Places in ``a`` inside common blocks (runs matched without a gap on either
-    side) of at least ``min_chars`` characters."""
+    """Places in ``a`` inside common blocks (runs that both sides have without a gap) of
+    at least ``min_chars`` characters: those of the alignment, and where that leaves
+    some of ``a``, those that stand in another order or are repeated."""
+    aligned = _aligned_blocks(a, sizes, b, min_chars)
+    if len(aligned) == len(a):
+        return aligned
+    return sorted(_elsewhere(a, sizes, b, min_chars).union(aligned))
+
+
+def _aligned_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> list[int]:
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -126,15 +174,54 @@ def line_sequences(docs: DataFrame) -> DataFrame:
                     F.col("lines.place").alias("places")))
 
 
-def overlapping_pairs(sequences: DataFrame, rare: int | None = None) -> DataFrame:
-    """``doc_id, row, first_id, first_row``: each document with the first documents
-    it shares a line (in at most ``rare`` documents, if given) or two consecutive lines with."""
+def _run_keys(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = batch.column(2), batch.column(3)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            codes = mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            start, end = shortest_runs(sizes.flatten().to_numpy(zero_copy_only=False), starts, min_chars)
+            key = PrefixHash(codes).of(start, end)
+            doc = np.searchsorted(starts, start, "right") - 1
+            order = np.lexsort((key, doc))
+            doc, key, lines = doc[order], key[order], np.minimum(end - start, 2)[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+            if len(doc):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc[new])), batch.column(1).take(pa.array(doc[new])),
+                     pa.array(lines[new].astype(np.int32)), pa.array(key[new].view(np.int64))],
+                    ["doc_id", "row", "lines", "key"])
+    return run
+
+
+def block_evidence(sequences: DataFrame, min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """``doc_id, row, lines, key``: the different shortest runs of ``min_chars`` characters
+    of each document; ``lines`` is 1 for one line, else 2."""
+    kind = sequences.schema["doc_id"].dataType.simpleString()
+    return sequences.select("doc_id", "row", "hashes", "sizes").mapInArrow(
+        _run_keys(min_chars), f"doc_id {kind}, row long, lines int, key long")
+
+
+def rare_evidence(sequences: DataFrame) -> DataFrame:
+    """``doc_id, row, lines, key``: the different lines and pairs of consecutive lines of
+    each document, of any size."""
     following = F.transform(F.col("hashes"), lambda x, i: F.struct(
         F.lit(2).alias("lines"), F.xxhash64(x, F.get("hashes", i + 1)).alias("key")))
     single = F.transform(F.col("hashes"), lambda x: F.struct(F.lit(1).alias("lines"), x.alias("key")))
-    evidence = sequences.select("doc_id", "row", F.explode(F.array_distinct(F.concat(
+    return sequences.select("doc_id", "row", F.explode(F.array_distinct(F.concat(
         single, F.slice(following, 1, F.greatest(F.size("hashes") - 1, F.lit(0)))))).alias("e")).select(
         "doc_id", "row", "e.lines", "e.key")
+
+
+def overlapping_pairs(sequences: DataFrame, rare: int | None = None, min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """``doc_id, row, first_id, first_row``: each document with the first documents it
+    shares evidence with, by default every shortest run of ``min_chars`` characters.
+
+    With ``rare`` the evidence is instead any line in at most so many documents and any
+    two consecutive lines; a block may then lack a partner that holds it.
+    """
+    evidence = block_evidence(sequences, min_chars) if rare is None else rare_evidence(sequences)
     # the smallest id comes first, a null one last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # written, so that the join's two sides are plain shuffles, which adaptive execution
@@ -150,7 +237,8 @@ def overlapping_pairs(sequences: DataFrame, rare: int | None = None) -> DataFram
 
 def remove_aligned_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """Delete from each document of ``docs(doc_id, text)`` the blocks of lines that it
-    has in common with an earlier document.
+    has in common with an earlier document: with ``rare`` None all of them, however
+    frequent, else those of the pairs that ``overlapping_pairs`` finds with it.
 
     Returns all columns of ``docs`` with ``text`` cut, and ``n_lines`` (lines that
     aren't blank), ``n_removed`` and ``kept_lines``, one row per input row. Blocks
@@ -165,7 +253,7 @@ def remove_aligned_lines(docs: DataFrame, rare: int | None = None, min_chars: in
     first = sequences.select(F.col("doc_id").alias("_fid"), F.col("row").alias("_frow"),
                              F.col("hashes").alias("_first")).dropDuplicates(["_fid", "_frow"])
     later = later.dropDuplicates(["_id", "_row"])
-    pairs = overlapping_pairs(sequences, rare)
+    pairs = overlapping_pairs(sequences, rare, min_chars)
     aligned = (pairs.join(first, (F.col("first_id") == F.col("_fid")) & (F.col("first_row") == F.col("_frow")))
                .join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
                .select("doc_id", "row", "hashes", "sizes", "places", "_first"))

@@ -99,6 +99,37 @@ def test_odd_rows(documents, odd_rows, clashing):
     assert remove_aligned_lines(documents([])).count() == 0
 
 
+def all_pairs(rows, min_chars):
+    """Lines inside runs of ``min_chars`` characters that any earlier document has."""
+    removed = []
+    for doc_id, text in rows:
+        a, gone = lines_of(text), set()
+        for other, earlier in rows:
+            if other is None or (doc_id is not None and other >= doc_id):
+                continue
+            b = [x for _, x in lines_of(earlier)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n]:
+                        n += 1
+                    if sum(len(x) for _, x in a[i:i + n]) >= min_chars:
+                        gone |= {k for k, _ in a[i:i + n]}
+        removed.append(gone)
+    return removed
+
+
+def test_against_all_pairs(documents):
+    rng = random.Random(31)
+    pool = [f"l{k} " + "y" * rng.choice([0, 3, 8, 15, 30]) for k in range(14)]
+    rows = [(k if k < 50 else None, "\n".join(rng.choices(pool, k=rng.randint(0, 9)) + [f"own {k}"])) for k in range(53)]
+    want = dict(zip(rows, all_pairs(rows, 25)))
+    assert sum(map(bool, want.values())) > 10
+    got = remove_aligned_lines(documents(rows), min_chars=25).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in got) == sorted(
+        (i is None, i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i, t])) for i, t in rows)
+
+
 def removed_of(documents, texts):
     return [r["n_removed"] for r in sorted(remove_aligned_lines(documents(list(enumerate(texts)))).collect(),
                                            key=lambda r: r["doc_id"])]
@@ -107,3 +138,11 @@ def removed_of(documents, texts):
 def test_a_long_line_goes_however_frequent(documents):
     notice = "This very common notice stands in all of the documents."
     assert removed_of(documents, [f"own line {k}\n{notice}\nother line {k}" for k in range(150)]) == [0] + [1] * 149
+
+
+def test_a_block_is_found_in_a_document_that_holds_it_whole(documents):
+    a, b, c = ("a" * 20, "b" * 20, "c" * 20)
+    texts = [f"{a}\n{b}", f"{b}\n{c}", f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}"]
+    assert removed_of(documents, texts) == [0, 0, 0, 3]
+    x, y = "x" * 60, "y" * 60
+    assert removed_of(documents, [f"{y}\none\n{x}", f"{x}\ntwo\n{y}", f"{x}\nthree\n{y}"]) == [0, 2, 2]
