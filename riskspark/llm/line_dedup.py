@@ -31,7 +31,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched places ``(i, j)``, ascending in both, of patience diff.
 
     Equal ends are matched; then the elements that occur once on each side and
-    of these a longest increasing chain; then what lies between, the same way.
+    of these a longest increasing chain; then what lies between, the same way. In
+    a range without such an element the rarest common one's occurrences are matched
+    in their order.
     """
     matched = []
     todo = [(0, len(a), 0, len(b))]
@@ -53,6 +55,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             if place.get(a[i], -1) >= 0:
                 mine[a[i]] = -1 if a[i] in mine else i
         chain = _longest_chain([(i, place[x]) for x, i in mine.items() if i >= 0])
+        if not chain:
+            chain = _rarest_common(a, a0, a1, b, b0, b1)
         if not chain:
             continue
         matched += chain
@@ -62,6 +66,21 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _rarest_common(a: list[int], a0: int, a1: int, b: list[int], b0: int, b1: int) -> list[tuple[int, int]]:
+    """The occurrences in both ranges of the common element that has fewest, in their order."""
+    left: dict[int, list[int]] = {}
+    right: dict[int, list[int]] = {}
+    for i in range(a0, a1):
+        left.setdefault(a[i], []).append(i)
+    for j in range(b0, b1):
+        if b[j] in left:
+            right.setdefault(b[j], []).append(j)
+    if not right:
+        return []
+    rarest = min(right, key=lambda x: (len(left[x]) + len(right[x]), left[x][0]))
+    return list(zip(left[rarest], right[rarest]))
+
+
 def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest chain ascending in both places, by patience sorting."""
     tops: list[int] = []

@@ -146,3 +146,11 @@ def test_a_block_is_found_in_a_document_that_holds_it_whole(documents):
     assert removed_of(documents, texts) == [0, 0, 0, 3]
     x, y = "x" * 60, "y" * 60
     assert removed_of(documents, [f"{y}\none\n{x}", f"{x}\ntwo\n{y}", f"{x}\nthree\n{y}"]) == [0, 2, 2]
+
+
+def test_a_block_that_a_document_holds_twice(documents):
+    block = ["first line of the block, long enough", "second line of the block"]
+    a, b = ["u1", *block, "u2"], ["v1", *block, "v2", *block, "v3"]
+    assert patience(list(range(4)), [7, 1, 2, 8, 1, 2, 9]) == [(1, 1), (2, 2)]
+    assert removed_of(documents, ["\n".join(b), "\n".join(a)]) == [0, 2]
+    assert removed_of(documents, ["\n".join(a), "\n".join(b)]) == [0, 4]
