@@ -1,7 +1,7 @@
 """Quality rules: counts of a text and its distance from its language's usual histograms.
 
 Reference histograms are made per language over all documents: character
-classes, and the language's most common short words with all others as one
+classes, and the language's most common words with all others as one
 bin. A document's own histograms are compared with its language's by
 Jensen-Shannon distance (base 2, 0 to 1); a text below a minimum length has no
 verdict from that histogram.
@@ -22,12 +22,13 @@ from riskspark.llm.arrays import PrefixHash, SPACE, Texts, mix, ranges, text_pie
 from riskspark.session import ensure_checkpoint_dir
 
 REPEAT_WINDOW = 8
-#: A common word has at most so many bytes; function words are short.
-COMMON_BYTES = 6
 COMMON_WORDS = 200
 #: Distances above these fail, for texts of at least so many characters and words.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 300
 MAX_WORD_DISTANCE, MIN_WORDS = 0.55, 50
+#: So does a text whose common words are less than this part of what its language's share lets expect,
+#: and by so many standard deviations of a count of that size.
+MIN_COMMON, COMMON_SIGMAS = 0.5, 2.0
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -106,7 +107,7 @@ class References:
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and language: counts of classes and of short words."""
+    """Per batch and language: counts of classes and of words."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         classes: dict = {}
@@ -124,7 +125,7 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[lang] += len(split)
         rows = [(lang, 0, str(c).encode(), int(v)) for lang, row in classes.items() for c, v in enumerate(row)]
         rows += [(lang, 2, b"", n) for lang, n in total.items()]
-        rows += [(lang, 1, w, n) for lang, c in words.items() for w, n in c.items() if len(w) <= COMMON_BYTES]
+        rows += [(lang, 1, w, n) for lang, c in words.items() for w, n in c.items()]
         if rows:
             lang, kind, key, n = zip(*rows)
             yield pa.RecordBatch.from_arrays(
@@ -177,10 +178,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total.ravel() > 0, np.sqrt(np.clip((left + right) / 2, 0, 1)), 0.0)
 
 
-def distances(piece: Texts, langs: list, refs: References) -> tuple[np.ndarray, np.ndarray]:
-    """Class and common-word distance of each text from its language's references."""
+def distances(piece: Texts, langs: list, refs: References,
+              min_common: float = MIN_COMMON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class and common-word distance of each text from its language's references, and whether
+    it has too few of its language's common words (never, if its language has no reference)."""
     n = len(piece.start)
-    by_class, by_word = np.zeros(n), np.zeros(n)
+    by_class, by_word, few = np.zeros(n), np.zeros(n), np.zeros(n, bool)
     counts = class_counts(piece)
     lower = Texts(0, n, np.frombuffer(piece.data.tobytes().translate(_ASCII_LOWER), np.uint8),
                   piece.start, piece.end)
@@ -200,20 +203,28 @@ def distances(piece: Texts, langs: list, refs: References) -> tuple[np.ndarray,
         seat[rows] = np.arange(len(rows))
         mine = seat[text] >= 0
         table = np.bincount(seat[text[mine]] * bins + place[ids[mine]], minlength=len(rows) * bins)
-        by_word[rows] = js_distance(table.reshape(len(rows), bins), np.array(refs.word_counts[lang], float))
-    return by_class, by_word
+        table, usual = table.reshape(len(rows), bins), np.array(refs.word_counts[lang], float)
+        by_word[rows] = js_distance(table, usual)
+        if lang is not None and usual.sum():
+            expected = table.sum(axis=1) * (1 - usual[-1] / usual.sum())
+            lack = expected - table[:, :-1].sum(axis=1)
+            few[rows] = lack > np.maximum((1 - min_common) * expected, COMMON_SIGMAS * np.sqrt(expected))
+    return by_class, by_word, few
 
 
 def quality_rules(docs: DataFrame, refs: References | None = None,
                   max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-                  min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+                  min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
+                  min_common: float = MIN_COMMON) -> DataFrame:
     """Quality counts and verdict of every document of ``docs(doc_id, text, lang)``.
 
     Returns, one row per input row, ``doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed,
     kept``. Null text is an empty text, which fails the base rules; a null or
     unseen language is compared with all documents; texts under ``min_chars``
-    characters or ``min_words`` words pass the histogram in question. Repeated
+    characters or ``min_words`` words pass the histogram in question. A text with
+    less than ``min_common`` of the common words that its language's share lets
+    expect fails, too, unless its language is null or unseen. Repeated
     rows each come back; empty input gives no rows; other columns are ignored.
     """
     refs = refs or references(docs)
@@ -232,10 +243,10 @@ def quality_rules(docs: DataFrame, refs: References | None = None,
                 raw = piece.data.tobytes()
                 n_dup = [repeated_lines(raw[s:e]) for s, e in zip(piece.start.tolist(), piece.end.tolist())]
                 n_chars = _per_text(leads, piece.start, piece.end)
-                by_class, by_word = distances(piece, langs[piece.lo:piece.hi], refs)
+                by_class, by_word, few = distances(piece, langs[piece.lo:piece.hi], refs, min_common)
                 failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
                 odd = ((by_class > max_class) & (n_chars >= min_chars)
-                       | (by_word > max_word) & (n_words >= min_words))
+                       | ((by_word > max_word) | few) & (n_words >= min_words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.lo, piece.hi - piece.lo), pa.array(n_words.astype(np.int64)),
                      pa.array(_per_text(leads & inside, piece.start, piece.end)),

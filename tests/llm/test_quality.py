@@ -93,6 +93,30 @@ def test_verdicts(spark):
     assert np.mean(clean) > 0.99 and np.mean(bad) < 0.1
 
 
+def test_common_words_of_any_length(documents):
+    refs = references(documents([(k, "собственный также 我們的世界", "ru") for k in range(3)]))
+    assert len(refs.words["ru"]) == 3 and refs.word_counts["ru"] == [3, 3, 3, 0]
+
+
+def test_texts_without_common_words_go(spark):
+    """Random words and texts of another language; the given clean ones stay (above)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    refs = references(docs)
+    rng = random.Random(5)
+    letters = {"en": "abcdefghijklmnop", "fr": "abcdéfghijklmnop", "de": "abcdefghijklmnöp", "es": "abcdefghijklñnop"}
+    rows = [(k, " ".join("".join(rng.choices(letters[lang], k=rng.randint(4, 9))) for _ in range(120)), lang)
+            for lang in letters for k in range(10)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules(made, refs, max_class=2.0).collect()
+    assert not any(r["base_failed"] or r["kept"] for r in got)
+    for true, told in ((a, b) for a in letters for b in letters if a != b):
+        some = docs.filter(docs.lang == true)
+        as_other = some.select("doc_id", "text").selectExpr("doc_id", "text", f"'{told}' AS lang")
+        rows = [r for r in quality_rules(as_other, refs, max_class=2.0).collect()
+                if r["n_words"] >= 50 and not r["base_failed"]]
+        assert np.mean([r["kept"] for r in rows]) < 0.1, (true, told)
+
+
 def test_odd_rows(documents, odd_rows, clashing):
     got = quality_rules(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows)
