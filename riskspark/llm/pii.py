@@ -3,7 +3,7 @@
 Plain identifiers are found in the source text. A chain of transducers then
 rewrites homoglyphs, spelled digits and at/dot disguises, keeping for each
 rewritten stretch which source characters it came from; identifiers found in the
-rewritten text are mapped back and added where no plain one is.
+rewritten text are mapped back and added where no plain one of their kind contains them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskspark.llm.spans import Span, overlaps, texts_of, written
+from riskspark.llm.spans import Span, inside, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -157,7 +157,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     found = []
     for start, kind, end in plain_spans(rewritten.text):
         s, e = rewritten.source(start, end)
-        if text[s:e] != rewritten.text[start:end] and not overlaps((s, kind, e), plain):
+        if text[s:e] != rewritten.text[start:end] and not inside((s, kind, e), plain):
             found.append((s, kind, e))
     return found
 

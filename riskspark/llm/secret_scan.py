@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskspark.llm.spans import Span, overlaps, texts_of, written
+from riskspark.llm.spans import Span, inside, texts_of, written
 
 KINDS = ("assign", "access", "hex", "password")
 ASSIGN, ACCESS, HEX, PASSWORD = range(4)
@@ -133,7 +133,7 @@ def plain_spans(text: str) -> list[Span]:
 
 
 def password_spans(text: str, plain: list[Span], min_guesses: float = MIN_GUESSES) -> list[Span]:
-    """Values in credential contexts that are hard to guess and lie in no plain span."""
+    """Values in credential contexts that are hard to guess and lie in no plain span entirely."""
     lower = text.lower()
     if not any(word in lower for word in _KEYWORDS):
         return []
@@ -141,7 +141,7 @@ def password_spans(text: str, plain: list[Span], min_guesses: float = MIN_GUESSE
     for m in _CONTEXT.finditer(text):
         value = m.group(1).rstrip(".!?)")
         span = (m.start(1), PASSWORD, m.start(1) + len(value))
-        if len(value) >= 4 and not overlaps(span, plain, same_kind=False) and guess_cost(value)[0] >= min_guesses:
+        if len(value) >= 4 and not inside(span, plain, same_kind=False) and guess_cost(value)[0] >= min_guesses:
             found.append(span)
     return found
 

@@ -14,9 +14,10 @@ def written(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def overlaps(span: Span, others: list[Span], same_kind: bool = True) -> bool:
+def inside(span: Span, others: list[Span], same_kind: bool = True) -> bool:
+    """Whether one of the others contains the whole span."""
     start, kind, end = span
-    return any(s < end and start < e and (k == kind or not same_kind) for s, k, e in others)
+    return any(s <= start and end <= e and (k == kind or not same_kind) for s, k, e in others)
 
 
 def texts_of(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[tuple[int, str]]:
