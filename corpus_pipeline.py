@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.decontam import decontaminate
+from riskspark.llm.decontam import contaminated_rows
 from riskspark.llm.langid import UNKNOWN, language_column, train
 from riskspark.llm.line_dedup import remove_aligned_lines
 from riskspark.llm.mixing import mix_sources
@@ -79,11 +79,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark phrase; null texts stay."""
+    """Drops documents that contain a benchmark phrase; null texts stay. Rows of one
+    ``doc_id``, or without one, are judged each by their own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    name = _unused(docs, "_hit")
-    hit = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    id_, row = _unused(docs, "_hit"), _unused(docs, "_hit_row")
+    hit = contaminated_rows(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(row)), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,14 @@ def phrase_matches(index: Index, lists: int = LISTS) -> DataFrame:
     return found.filter(exact).select("pid", "doc_id", "row", "start", F.size("terms").alias("length")).distinct()
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
+    """``doc_id, row`` of the different documents that ``decontaminate`` calls contaminated;
+    ``row`` is the ``xxhash64`` of the text."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    phrases, _ = benchmark_phrases(benchmark, window)
+    return phrase_matches(build_index(docs, phrases, window, lists), lists).select("doc_id", "row").distinct()
+
+
 def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
     """Places where a phrase's two rarest terms stand within ``slop`` of their distance in
     the phrase: ``pid, doc_id, row, start, gap`` (0: the distance is exact)."""

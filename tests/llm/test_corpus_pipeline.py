@@ -57,6 +57,13 @@ def test_contaminated_documents_go(spark, steps):
     assert hit and {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - hit
 
 
+def test_clean_rows_of_a_contaminated_id_stay(spark, documents):
+    leak = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r["text"])
+    rows = [(None, leak), (None, "a clean text"), (None, None), (5, "clean too"), (5, f"so {leak}"), (6, "other")]
+    kept = corpus_pipeline.benchmark_decontamination(spark, documents(rows), SF).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(rows[k]) for k in (1, 2, 3, 5))
+
+
 def test_mixture_meets_its_targets(steps):
     before, after, _ = steps["mixing"]
     by_source = {}
