@@ -194,3 +194,63 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.line_dedup import remove_aligned_lines
     return remove_aligned_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.prefix_trie import shared_prefix_trie
+    return shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT DISTINCT conv_id, encode(conv_id::VARCHAR) AS b FROM own),
+-- CRC-32, byte by byte and bit by bit
+crc AS (
+  WITH RECURSIVE r AS (
+    SELECT conv_id, b, 0 AS k, 4294967295::BIGINT AS c FROM bits
+    UNION ALL
+    SELECT conv_id, b, k + 1, CASE WHEN k % 9 = 0
+             THEN xor(c, ('0x' || substr(hex(b), 2 * (k // 9) + 1, 2))::BIGINT)
+             WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    FROM r WHERE k < 9 * octet_length(b))
+  SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM r WHERE k = 9 * octet_length(b)),
+base AS (SELECT conv_id, h, conv_id - conv_id % 5 AS g FROM crc),
+given AS (SELECT b.conv_id, o.i, o.role, o.text FROM base b JOIN own o ON o.conv_id = b.g AND o.i <= b.h),
+n_given AS (SELECT b.conv_id, b.h, count(g.i) AS n FROM base b LEFT JOIN given g ON g.conv_id = b.conv_id GROUP BY ALL),
+t AS (SELECT * FROM given
+      UNION ALL SELECT o.conv_id, o.i - n.h + n.n, o.role, o.text
+      FROM own o JOIN n_given n ON n.conv_id = o.conv_id AND o.i > n.h),
+paths AS (
+  SELECT conv_id, i AS depth, octet_length(encode(text)) AS size,
+         list(md5(octet_length(encode(role)) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM t
+  UNION ALL SELECT conv_id, 0, 0, [] FROM base),
+len AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+node AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(CASE WHEN depth = n THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM paths JOIN len USING (conv_id) GROUP BY p, depth),
+kids AS (SELECT p[:depth - 1] AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.p = node.p),
+below AS (
+  SELECT p[:d] AS p, sum((n_convs - 1) * size) AS saved, sum((n_children = 0)::INT) AS leaves
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN below ON below.p = w.p LEFT JOIN whole up ON w.depth > 0 AND up.p = w.p[:w.depth - 1]
+"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.token_alignment import align_tokenizers
+    return align_tokenizers(table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"))
