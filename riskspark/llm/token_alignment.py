@@ -28,7 +28,7 @@ from riskspark.llm.tokens import (BYTE_BPE, PIECE_BPE, WordTable, byte_bpe_bytes
                                   piece_bpe_ids, tokenizer_file, word_runs)
 from riskspark.session import ensure_checkpoint_dir
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _LOW = (1 << 32) - 1
 
 
@@ -150,7 +150,7 @@ def _links(docs: DataFrame, tokenizers: str | None, batch_bytes: int) -> DataFra
 
         def make(words):
             found = align_words(words, byte_bpe_ids(a_path, words, True), piece_bpe_ids(b_path, words), vocabulary)
-            return found, sum(len(f[0]) + len(f[1]) for f in found if f)
+            return found, sum(100 + len(f[0]) + len(f[1]) for f in found if f)  # two byte strings and a tuple each
         table, task, number = WordTable(make), TaskContext.get().partitionId(), 0
         identity = np.zeros(len(same), np.int64)
         for batch in batches:

@@ -21,8 +21,8 @@ from riskspark.llm.arrays import text_pieces
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-#: Words and bytes of results that a task keeps before it starts a new table.
-MOST_WORDS, MOST_BYTES = 400_000, 64 << 20
+#: Bytes of words and results that a task keeps before it starts a new table; a word costs some more.
+MOST_BYTES, WORD_BYTES = 80 << 20, 160
 
 # Before a space a cut is safe if the character before it is visible ASCII, or if it is no space
 # and the next one is surely no white space: visible ASCII or a letter block without any.
@@ -133,13 +133,13 @@ class WordTable:
 
     def get(self, words: list[bytes]) -> list:
         """The results of ``words`` (distinct), in order."""
-        if len(self.known) > MOST_WORDS or self.size > MOST_BYTES:
+        if self.size > MOST_BYTES:
             self.known, self.size = {}, 0
         new = [w for w in words if w not in self.known]
         if new:
             results, size = self.make(new)
             self.known.update(zip(new, results))
-            self.size += size + sum(map(len, new))
+            self.size += size + sum(map(len, new)) + WORD_BYTES * len(new)
         return [self.known[w] for w in words]
 
 
