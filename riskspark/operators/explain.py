@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import feature_label
+from riskspark.operators.boosting import BoostedTrees
 
 
 def _flatten(java_node, out: dict) -> int:
@@ -49,7 +50,9 @@ def _flatten(java_node, out: dict) -> int:
 
 
 def extract_trees(pipeline_model) -> list:
-    """GBT stage of a fitted pipeline -> list of (weight, dict of numpy arrays)."""
+    """Boosted trees, or the GBT stage of a fitted pipeline -> list of (weight, dict of numpy arrays)."""
+    if isinstance(pipeline_model, BoostedTrees):
+        return pipeline_model.flat_trees()
     gbt = pipeline_model.stages[-1]
     trees = []
     for w, t in zip(gbt.treeWeights, gbt.trees):

@@ -129,18 +129,29 @@ class FeatureSelector:
         self.cfg, self.include_leakage, self.top_k = cfg, include_leakage, top_k
 
     def fit(self, df: DataFrame, features: list[str], y: str = "y") -> FeatureModel:
-        spark = df.sparkSession
-        present = self.cfg.leakage in features
-        feats = [f for f in features if self.include_leakage or f != self.cfg.leakage]  # B8
-        from riskspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        counts = value_counts(df, feats, y).checkpoint()  # one pass over the data
-        median_rows = exact_medians(counts).checkpoint()
-        # feature-sized results (one row per column) come back to the driver
-        medians = {r["feature"]: r["median"] for r in median_rows.collect()}
-        mi = mutual_information(impute_long(counts, median_rows)).checkpoint()
-        mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
-        sel = select_features(spark, mi, feats, self.cfg, self.include_leakage, self.top_k)
+        return fit_selectors([self], df, features, y)[0]
+
+
+def fit_selectors(selectors: list[FeatureSelector], df: DataFrame, features: list[str],
+                  y: str = "y") -> list[FeatureModel]:
+    """Fit several selectors on the same training rows: medians and MI of a column don't depend on the others,
+    so they are computed once."""
+    from riskspark.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    allowed = [[f for f in features if s.include_leakage or f != s.cfg.leakage] for s in selectors]  # B8
+    every = [f for f in features if any(f in a for a in allowed)]
+    counts = value_counts(df, every, y).checkpoint()  # one pass over the data
+    median_rows = exact_medians(counts).checkpoint()
+    # feature-sized results (one row per column) come back to the driver
+    medians = {r["feature"]: r["median"] for r in median_rows.collect()}
+    mi = mutual_information(impute_long(counts, median_rows)).checkpoint()
+    mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
+    out = []
+    for s, feats in zip(selectors, allowed):
+        sel = select_features(spark, mi.where(F.col("feature").isin(feats)), feats, s.cfg, s.include_leakage, s.top_k)
         chosen = [r["feature"] for r in sel.orderBy("rank").collect()]
-        return FeatureModel(chosen, {f: medians.get(f, 0.0) for f in chosen}, mi_scores,
-                            present, self.include_leakage)
+        out.append(FeatureModel(chosen, {f: medians.get(f, 0.0) for f in chosen},
+                                {f: v for f, v in mi_scores.items() if f in feats},
+                                s.cfg.leakage in features, s.include_leakage))
+    return out

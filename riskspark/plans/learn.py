@@ -1,44 +1,40 @@
-"""Model training and scoring (D5, D7-D13, A7) with Spark ML.
+"""Model training and scoring.
 
-``train_one`` is the reference recipe re-expressed on DataFrames: hash-based
+``train_many`` is the reference recipe re-expressed on DataFrames: hash-based
 stratified hold-out, feature selection fitted on training rows only, k-fold
 out-of-fold predictions with SMOTE applied strictly inside each fold's training
-part, F1-tuned threshold, then a final fit on the (oversampled) training split.
-Every fit is a distributed ``GBTClassifier``; the prepared frame, each
-fold's oversampled training part and the out-of-fold scores are checkpointed
-to the shared folder, which keeps plans short and survives lost executors.
+part, F1-tuned threshold, and a fit on the whole (oversampled) training split.
+The fits of all folds and models are one joint run of ``operators.boosting``: a
+training row is prepared, stored and read once for all the fits that use it.
+Intermediate frames are checkpointed to the shared folder, which keeps plans
+short and survives lost executors.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.config import DEFAULT_CONFIG, RiskConfig
+from riskspark.operators.boosting import BoostedTrees, BoostParams, Fit, boost
 from riskspark.operators.clean import CleaningModel
 from riskspark.operators.metrics import ranking_metrics, tune_threshold
 from riskspark.operators.sampling import stratified_folds, stratified_split
-from riskspark.operators.selection import FeatureModel, FeatureSelector
+from riskspark.operators.selection import FeatureModel, FeatureSelector, fit_selectors
 
 DEFAULT_TREES = 300
-ROWS_PER_PARTITION = 20_000
 
 
 @dataclass
 class GBTParams:
-    """The reference booster settings mapped to Spark's GBT."""
+    """The reference booster settings."""
 
     max_iter: int = DEFAULT_TREES
     max_depth: int = 4
@@ -48,6 +44,12 @@ class GBTParams:
     min_instances_per_node: int = 1
     max_bins: int = 256
     seed: int = 42
+    l2: float = 1.0
+
+    def booster(self) -> BoostParams:
+        return BoostParams(self.max_iter, self.max_depth, self.step_size, self.subsampling_rate,
+                           float(self.feature_subset), float(self.min_instances_per_node), self.l2, self.max_bins,
+                           self.seed)
 
 
 def class_weight(df: DataFrame, y: str, cfg: RiskConfig) -> float:
@@ -62,25 +64,16 @@ def with_weight(df: DataFrame, y: str, w: float) -> DataFrame:
     return df.select("*", F.when(F.col(y) == 1, F.lit(w)).otherwise(F.lit(1.0)).alias("_w"))
 
 
-def fit_gbt(df: DataFrame, features: list[str], y: str, params: GBTParams, weight: float) -> PipelineModel:
-    """One weighted GBT fit on an already-imputed feature table."""
-    asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="_features", labelCol=y, weightCol="_w",
-                        maxIter=params.max_iter, maxDepth=params.max_depth, stepSize=params.step_size,
-                        subsamplingRate=params.subsampling_rate,
-                        featureSubsetStrategy=params.feature_subset,
-                        minInstancesPerNode=params.min_instances_per_node,
-                        maxBins=params.max_bins, seed=params.seed)
-    data = with_weight(df, y, weight).select(*features, F.col(y).cast("double").alias(y), "_w")
-    # a fit runs a job per tree level; partitions of a size keep its tasks from being mostly overhead
-    data = data.coalesce(max(1, math.ceil(data.count() / ROWS_PER_PARTITION)))
-    return Pipeline(stages=[asm, gbt]).fit(data)
+def fit_gbt(df: DataFrame, features: list[str], y: str, params: GBTParams, weight: float) -> BoostedTrees:
+    """One weighted fit on an already-imputed feature table."""
+    rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(y).cast("int").alias("y"),
+                     F.lit(1).cast("long").alias("fits"), F.xxhash64(*[f"`{f}`" for f in features], y).alias("hash"))
+    return boost(rows, features, [Fit(list(range(len(features))), weight)], params.booster())[0]
 
 
-def predict_proba(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def predict_proba(model: BoostedTrees, df: DataFrame, out: str = "p") -> DataFrame:
     """Positive-class probability as a plain double column."""
-    scored = model.transform(df)
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
+    return df.select("*", model.probability(*[F.col(f"`{f}`").cast("double") for f in model.features]).alias(out))
 
 
 @dataclass
@@ -94,7 +87,7 @@ class TrainedModel:
     name: str
     include_leakage: bool
     features: FeatureModel
-    model: PipelineModel
+    model: BoostedTrees
     threshold: float = 0.5
     cv_pr_auc: float = 0.0
     train_time_s: float = 0.0
@@ -122,8 +115,9 @@ class TrainedModel:
         return scored.select(*[F.col(f"`_in_{c}`").alias(c) for c in df.columns], out)
 
     def save(self, path: str, spark: SparkSession) -> None:
-        """Spark ML persistence for the booster, one JSON row for the rest."""
-        self.model.write().overwrite().save(f"{path}/model")
+        """One JSON row for the trees, one for the rest."""
+        spark.createDataFrame([(self.model.to_json(),)], "model string").coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/model")
         meta = {"name": self.name, "include_leakage": self.include_leakage,
                 "features": self.features.to_json(), "threshold": self.threshold,
                 "cv_pr_auc": self.cv_pr_auc, "train_time_s": self.train_time_s,
@@ -137,7 +131,7 @@ class TrainedModel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         return TrainedModel(meta["name"], meta["include_leakage"],
                             FeatureModel.from_json(meta["features"]),
-                            PipelineModel.load(f"{path}/model"), meta["threshold"],
+                            BoostedTrees.from_json(spark.read.text(f"{path}/model").first()[0]), meta["threshold"],
                             meta["cv_pr_auc"], meta["train_time_s"], meta["n_train"], meta["meta"],
                             CleaningModel(**meta["cleaner"]) if meta.get("cleaner") else None)
 
@@ -160,66 +154,89 @@ def choose_model(models: dict, name: str = "B") -> TrainedModel:
     return models[name]
 
 
-def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: str,
-              cfg: RiskConfig = DEFAULT_CONFIG, params: GBTParams | None = None,
-              n_folds: int = 5, use_smote: bool = True, y: str = "y",
-              top_k: int | None = None, split: DataFrame | None = None) -> tuple[TrainedModel, DataFrame]:
-    """Returns the trained bundle and the split frame (``is_test`` column).
-
-    The folds' fits and the final one don't depend on each other, so their jobs run
-    side by side: one fit of a few hundred small trees can't keep a cluster busy.
-    """
+def train_many(df: DataFrame, features: list[str], models: dict[str, bool], cfg: RiskConfig = DEFAULT_CONFIG,
+               params: GBTParams | None = None, n_folds: int = 5, use_smote: bool = True, y: str = "y",
+               top_k: int | None = None, split: DataFrame | None = None) -> tuple[dict, DataFrame]:
+    """The trained bundles by name (``models``: name to whether the leak column is allowed) and the split
+    frame (``is_test`` column). Each model has a fit per fold, on all other folds' rows, and one on all rows."""
     from riskspark.operators.smote import smote
+    from riskspark.session import ensure_checkpoint_dir
 
     params = params or GBTParams()
-    key = cfg.key
-    t0 = time.time()
+    spark, key, t0 = df.sparkSession, cfg.key, time.time()
+    ensure_checkpoint_dir(spark)
     marks: dict = {}
 
     def mark(label):
         marks[label] = round(time.time() - t0, 2)
-    # intermediate frames are checkpointed (shared folder): short plans, no recomputation
-    from riskspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+
     if split is None:
         split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
     train = split.where(~F.col("is_test"))
     mark("split")
-    fm = FeatureSelector(cfg, include_leakage, top_k).fit(train, features, y)
+    chosen = fit_selectors([FeatureSelector(cfg, leak, top_k) for leak in models.values()], train, features, y)
     mark("selection")
-    feats = fm.selected
-    prepared = stratified_folds(fm.transform(train, keep=(key, y)), n_folds, y, key, cfg.seed + 1) \
-        .checkpoint()
+    # a column's median is the same in all models, so one prepared table serves them all
+    union = list(dict.fromkeys(f for fm in chosen for f in fm.selected))
+    medians = {f: m for fm in chosen for f, m in fm.medians.items()}
+    prepared = stratified_folds(FeatureModel(union, medians).transform(train, keep=(key, y)), n_folds, y, key,
+                                cfg.seed + 1).checkpoint()
     weight = class_weight(prepared, y, cfg)
     mark("folds")
 
-    def fit_without(fold: int | None) -> PipelineModel:
-        """Fit on all training rows but one fold's (None: on all)."""
-        rows = prepared if fold is None else prepared.where(F.col("fold") != fold)
-        rows = rows.drop("fold")
-        if use_smote:
-            rows = smote(rows, feats, y, key, seed=cfg.seed if fold is None else cfg.seed + 10 + fold).checkpoint()
-        m = fit_gbt(rows, feats, y, params, weight)
-        mark("final_fit" if fold is None else f"fit_{fold}")
-        return m
-
-    with ThreadPoolExecutor(n_folds + 1) as pool:
-        *fold_models, model = pool.map(inheritable_thread_target(df.sparkSession)(fit_without),
-                                       [*range(n_folds), None])
-    oof = reduce(DataFrame.unionByName, [
-        predict_proba(m, prepared.where(F.col("fold") == f).drop("fold")).select(key, y, "p")
-        for f, m in enumerate(fold_models)]).checkpoint()
-    cv = ranking_metrics(oof, y, "p").first()
-    thr_row = tune_threshold(oof, y, "p").first()
-    threshold = float(thr_row["threshold"]) if thr_row and thr_row["threshold"] is not None else 0.5
+    # fit number: model * (folds + 1) + the fold it leaves out (or ``n_folds``: none)
+    numbers = [(m, fold) for m in range(len(chosen)) for fold in [*range(n_folds), n_folds]]
+    masks = [sum(1 << k for k, (_, fold) in enumerate(numbers) if fold != own) for own in range(n_folds)]
+    label = F.col(y).cast("int").alias("y")
+    real = prepared.select(*union, label, F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]),
+                                                      F.col("fold") + 1).alias("fits"),
+                           F.xxhash64(F.col(key).cast("string"), F.lit(params.seed)).alias("hash"))
+
+    def synthetic(number: int) -> DataFrame:
+        m, fold = numbers[number]
+        feats = chosen[m].selected
+        rows = prepared.where(F.col("fold") != fold).select(key, y, *feats)
+        rows = smote(rows, feats, y, key, seed=cfg.seed if fold == n_folds else cfg.seed + 10 + fold)
+        columns = [F.col(f) if f in feats else F.lit(None).cast("double").alias(f) for f in union]
+        return rows.where("synthetic").select(*columns, label, F.lit(1 << number).cast("long").alias("fits"),
+                                              F.xxhash64(*feats, F.lit(number)).alias("hash")).checkpoint()
+
+    rows = real
+    if use_smote:
+        with ThreadPoolExecutor(len(numbers)) as pool:
+            rows = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(synthetic),
+                                                          range(len(numbers))), rows)
+    mark("smote")
+    fits = [Fit([union.index(f) for f in chosen[m].selected], weight) for m, _ in numbers]
+    grown = boost(rows, union, fits, params.booster())
+    mark("boosting")
+
+    def tuned(m: int) -> tuple[float, float]:
+        oof = reduce(DataFrame.unionByName, [
+            predict_proba(grown[k], prepared.where(F.col("fold") == fold)).select(key, y, "p")
+            for k, (of, fold) in enumerate(numbers) if of == m and fold < n_folds]).checkpoint()
+        best = tune_threshold(oof, y, "p").first()
+        found = best is not None and best["threshold"] is not None
+        return float(ranking_metrics(oof, y, "p").first()["pr_auc"] or 0.0), float(best["threshold"]) if found else 0.5
+    with ThreadPoolExecutor(len(chosen)) as pool:
+        scores = list(pool.map(inheritable_thread_target(spark)(tuned), range(len(chosen))))
     mark("oof_metrics")
 
     n_train = prepared.count()
-    bundle = TrainedModel(name, include_leakage, fm, model, threshold,
-                          float(cv["pr_auc"] or 0.0), round(time.time() - t0, 2), n_train,
-                          {"pos_weight": weight, "n_features": len(feats), "trees": params.max_iter,
-                           "phase_seconds": marks})
-    return bundle, split
+    out = {}
+    for m, ((name, leak), fm, (pr_auc, threshold)) in enumerate(zip(models.items(), chosen, scores)):
+        out[name] = TrainedModel(name, leak, fm, grown[numbers.index((m, n_folds))], threshold, pr_auc,
+                                 round(time.time() - t0, 2), n_train,
+                                 {"pos_weight": weight, "n_features": len(fm.selected), "trees": params.max_iter,
+                                  "phase_seconds": marks})
+    return out, split
+
+
+def train_one(df: DataFrame, features: list[str], include_leakage: bool, name: str, cfg: RiskConfig = DEFAULT_CONFIG,
+              params: GBTParams | None = None, **kw) -> tuple[TrainedModel, DataFrame]:
+    """One trained bundle and the split frame."""
+    out, split = train_many(df, features, {name: include_leakage}, cfg, params, **kw)
+    return out[name], split
 
 
 def train_models(df: DataFrame, features: list[str], cfg: RiskConfig = DEFAULT_CONFIG,
@@ -227,9 +244,8 @@ def train_models(df: DataFrame, features: list[str], cfg: RiskConfig = DEFAULT_C
     """Model A (leak column allowed) and model B (leak column excluded)."""
     if "y" not in df.columns:
         raise ValueError("training needs a label column 'y'")
-    a, split = train_one(df, features, True, "A", cfg, params, **kw)
-    b, _ = train_one(df, features, False, "B", cfg, params, split=split, **kw)
-    return {"A": a, "B": b, "split": split}
+    out, split = train_many(df, features, {"A": True, "B": False}, cfg, params, **kw)
+    return {**out, "split": split}
 
 
 def training_summary(spark: SparkSession, models: dict) -> DataFrame:
