@@ -100,6 +100,20 @@ def class_means(counts: DataFrame) -> DataFrame:
         F.sum("pos").alias("n_mule"), F.sum("neg").alias("n_legit"))
 
 
+def means_by_class(df: DataFrame, features: list[str], y: str = "y") -> DataFrame:
+    """G7 from the wide table: one aggregate of a few columns (the hints), no long form."""
+    positive = F.col(y).eqNullSafe(1)
+
+    def of(f, label):
+        return F.when(label, F.col(f"`{f}`").cast("double"))
+    row = df.agg(*[agg.alias(f"{name}{k}") for k, f in enumerate(features) for name, agg in (
+        ("m", F.avg(of(f, positive))), ("l", F.avg(of(f, ~positive))),
+        ("p", F.count(of(f, positive))), ("n", F.count(of(f, ~positive))))])
+    stats = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{k}").alias("mule_mean"), F.col(f"l{k}").alias("legit_mean"),
+                               F.col(f"p{k}").alias("n_mule"), F.col(f"n{k}").alias("n_legit")) for k, f in enumerate(features)])
+    return row.select(F.inline(stats))
+
+
 def ks_statistic(counts: DataFrame) -> DataFrame:
     """Two-sample KS per feature = max |ECDF_mule - ECDF_legit|, from ``value_counts``.
 
@@ -129,10 +143,9 @@ def hint_table(spark: SparkSession, df: DataFrame, y: str = "y",
     meaning = F.coalesce(map_lookup(cfg.hint_meanings, F.col("feature")),
                          F.concat(F.lit("Feature "), F.col("feature")))
     if present and y in df.columns:
-        from riskspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        counts = value_counts(df, present, y).checkpoint()
-        stats = class_means(counts).join(ks_statistic(counts), "feature", "left")
+        from riskspark.operators.refine import ks_statistics
+        ks = spark.createDataFrame(list(ks_statistics(df, present, y).items()), "feature string, ks_stat double")
+        stats = means_by_class(df, present, y).join(F.broadcast(ks), "feature", "left")  # a row per hint
     else:
         stats = spark.createDataFrame([], "feature string, mule_mean double, legit_mean double, "
                                           "n_mule long, n_legit long, ks_stat double")
@@ -216,7 +229,19 @@ def leakage_report(counts: DataFrame, mi: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum(F.when(flag, n)), F.lit(0)).alias("n_flagged"),
         F.coalesce(F.sum(F.when(flag, F.col("pos"))), F.lit(0)).alias("tp"),
         F.sum("pos").alias("n_pos"))
+    return _flag_shares(rep, mi)
+
+
+def _flag_shares(rep: DataFrame, mi: DataFrame | None) -> DataFrame:
     rep = rep.select("feature", "n_flagged",
                      F.try_divide(F.col("tp").cast("double"), F.col("n_flagged")).alias("flag_precision"),
                      F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("flag_recall"))
     return rep.join(mi, "feature", "left") if mi is not None else rep
+
+
+def wide_leakage_report(df: DataFrame, features: list[str], y: str = "y", mi: DataFrame | None = None) -> DataFrame:
+    """D14 from the wide table: the columns' flag counts in one pass, without a row per value."""
+    from riskspark.operators.refine import flag_counts
+    n_pos = df.where(F.col(y) == 1).count()
+    rows = [(f, p + n, p, n_pos) for f, (p, n) in flag_counts(df, features, y).items()]
+    return _flag_shares(df.sparkSession.createDataFrame(rows, "feature string, n_flagged long, tp long, n_pos long"), mi)

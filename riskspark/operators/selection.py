@@ -19,7 +19,7 @@ from riskspark.config import DEFAULT_CONFIG, RiskConfig
 from riskspark.functions.columns import num
 from riskspark.operators.clean import MISSING_SUFFIX
 from riskspark.operators.cumulative import running_sums
-from riskspark.operators.profile import exact_medians, value_counts
+from riskspark.operators import refine
 
 
 def impute_long(long: DataFrame, medians: DataFrame) -> DataFrame:
@@ -63,6 +63,11 @@ def mutual_information(counts: DataFrame, n_bins: int = 20, discrete_max: int =
         F.sum(term(F.col("pos"), F.col("P")) + term(F.col("neg"), F.col("Q"))).alias("mi"))
 
 
+def information_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
+    """``(feature, mi)`` of ``refine.label_information``'s result."""
+    return spark.createDataFrame(list(scores.items()), "feature string, mi double")
+
+
 def select_features(spark: SparkSession, mi: DataFrame, features: list[str],
                     cfg: RiskConfig = DEFAULT_CONFIG, include_leakage: bool = True,
                     top_k: int | None = None) -> DataFrame:
@@ -141,12 +146,10 @@ def fit_selectors(selectors: list[FeatureSelector], df: DataFrame, features: lis
     ensure_checkpoint_dir(spark)
     allowed = [[f for f in features if s.include_leakage or f != s.cfg.leakage] for s in selectors]  # B8
     every = [f for f in features if any(f in a for a in allowed)]
-    counts = value_counts(df, every, y).checkpoint()  # one pass over the data
-    median_rows = exact_medians(counts).checkpoint()
-    # feature-sized results (one row per column) come back to the driver
-    medians = {r["feature"]: r["median"] for r in median_rows.collect()}
-    mi = mutual_information(impute_long(counts, median_rows)).checkpoint()
-    mi_scores = {r["feature"]: r["mi"] for r in mi.collect()}
+    # one number per column comes back to the driver
+    medians = refine.medians(df, every, y)
+    mi_scores = refine.label_information(df, every, medians, y)
+    mi = information_table(spark, mi_scores)
     out = []
     for s, feats in zip(selectors, allowed):
         sel = select_features(spark, mi.where(F.col("feature").isin(feats)), feats, s.cfg, s.include_leakage, s.top_k)

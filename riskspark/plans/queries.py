@@ -152,9 +152,9 @@ def q_class_rate(spark, sf_dir):
 
 @register("column_medians")
 def q_medians(spark, sf_dir):
-    from riskspark.operators.profile import exact_medians, value_counts
+    from riskspark.operators.refine import medians
     model, clean = cleaning(spark, sf_dir)
-    return exact_medians(value_counts(clean, model.features))
+    return spark.createDataFrame(list(medians(clean, model.features).items()), "feature string, median double")
 
 
 @register("feature_labels")
@@ -218,23 +218,24 @@ def q_fold_counts(spark, sf_dir):
     return s.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def value_counts_p(spark, sf_dir) -> DataFrame:
-    """Counts of each feature's values by label, the input of medians, MI and leakage."""
-    from riskspark.operators.profile import value_counts
+_PROFILE: dict = {}
 
-    def build(s, d):
-        model, clean = cleaning(s, d)
-        return value_counts(clean, model.output_features)
-    return persisted(spark, sf_dir, "value_counts", build)
+
+def column_profile(spark, sf_dir) -> tuple[dict, dict]:
+    """Medians and mutual information of the cleaned columns, once per application."""
+    from riskspark.operators.refine import label_information, medians
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PROFILE:
+        model, clean = cleaning(spark, sf_dir)
+        middle = medians(clean, model.output_features)
+        _PROFILE[key] = middle, label_information(clean, model.output_features, middle)
+    return _PROFILE[key]
 
 
 def _mi(spark, sf_dir, features=None) -> DataFrame:
-    from riskspark.operators.profile import exact_medians
-    from riskspark.operators.selection import impute_long, mutual_information
-    counts = value_counts_p(spark, sf_dir)
-    if features is not None:
-        counts = counts.where(F.col("feature").isin(*features))
-    return mutual_information(impute_long(counts, exact_medians(counts)))
+    from riskspark.operators.selection import information_table
+    scores = column_profile(spark, sf_dir)[1]
+    return information_table(spark, {f: v for f, v in scores.items() if features is None or f in features})
 
 
 @register("mutual_information")
@@ -273,12 +274,9 @@ def q_top_mi(spark, sf_dir):
 
 @register("imputed_features")
 def q_imputed(spark, sf_dir):
-    from riskspark.operators.profile import exact_medians
     from riskspark.operators.selection import FeatureModel
     model, clean = cleaning(spark, sf_dir)
-    medians = {r["feature"]: r["median"]  # one row per column
-               for r in exact_medians(value_counts_p(spark, sf_dir)).collect()}
-    fm = FeatureModel(list(model.output_features), medians)
+    fm = FeatureModel(list(model.output_features), column_profile(spark, sf_dir)[0])
     return fm.transform(clean, keep=("account_id", "y"))
 
 
@@ -321,6 +319,14 @@ def q_training_summary(spark, sf_dir):
         "model", "includes_leakage", "n_features", "n_train")
 
 
+@register("model_feature_importance")
+def q_model_feature_importance(spark, sf_dir):
+    """M9: share of the split gain by feature and model."""
+    ms = trained_models(spark, sf_dir)
+    rows = [(m, f, float(v)) for m in ("A", "B") for f, v in ms[m].model.importance().items()]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
+
+
 @register("held_out_scores")
 def q_held_out_scores(spark, sf_dir):
     ms = trained_models(spark, sf_dir)
@@ -626,8 +632,9 @@ def q_schema_violations(spark, sf_dir):
 @register("leakage_report")
 def q_leakage_report(spark, sf_dir):
     """Per feature, precision / recall of value >= 1 as a mule flag, with its MI."""
-    from riskspark.operators.profile import leakage_report
-    return leakage_report(value_counts_p(spark, sf_dir), _mi(spark, sf_dir))
+    from riskspark.operators.profile import wide_leakage_report
+    model, clean = cleaning(spark, sf_dir)
+    return wide_leakage_report(clean, model.output_features, "y", _mi(spark, sf_dir))
 
 
 @register("pipeline_cases")
