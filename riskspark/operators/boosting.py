@@ -122,7 +122,8 @@ class BoostedTrees:
         @F.pandas_udf(T.DoubleType())
         def score(*values: pd.Series) -> pd.Series:
             return pd.Series(sigmoid(model.margin(np.column_stack([v.to_numpy(float) for v in values]))))
-        return score(*columns)
+        # columns that use the score often must not repeat it: the optimizer copies deterministic expressions only
+        return score.asNondeterministic()(*columns)
 
     def importance(self) -> dict[str, float]:
         """Share of the total split gain that each feature brought."""
