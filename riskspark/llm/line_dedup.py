@@ -5,9 +5,9 @@ and backward from each line, that reach the size of a block are evidence of
 overlap: each document that has a run is paired with the first document that has
 it, so a run shared by n documents gives n - 1 pairs. Every line of a block that
 two documents share lies in such a run of it, so each block has a partner that
-holds it. Each pair's sequences are aligned with patience diff; the common blocks,
-and those that moved or are repeated, go from the later document. Only hashes
-travel; the texts are shuffled once, to be cut.
+holds it. Each pair's sequences are aligned with patience diff, again and again on
+what is still unmatched; the common blocks of these alignments go from the later
+document. Only hashes travel; the texts are shuffled once, to be cut.
 """
 
 from __future__ import annotations
@@ -126,28 +126,41 @@ def _tuples(seq: list[int], sizes: list[int], min_chars: int) -> list[tuple[int,
     return [(s, e, tuple(seq[s:e])) for s, e in zip(start.tolist(), end.tolist())]
 
 
-def _elsewhere(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> set[int]:
-    """Places in ``a`` inside runs of at least ``min_chars`` characters that ``b`` has anywhere."""
-    size = dict(zip(a, sizes))
-    has: set[tuple[int, ...]] = set()
+def _places(b: list[int], size: dict[int, int], min_chars: int) -> dict[tuple[int, ...], int]:
+    """Where ``b`` has each of its shortest runs first, in lines that ``size`` knows."""
+    places: dict[tuple[int, ...], int] = {}
     part: list[int] = []
-    for x in [*b, None]:
+    for j, x in enumerate([*b, None]):
         if x in size:
             part.append(x)
         elif part:
-            has.update(run for _, _, run in _tuples(part, [size[k] for k in part], min_chars))
+            for s, _, run in _tuples(part, [size[k] for k in part], min_chars):
+                places.setdefault(run, j - len(part) + s)
             part = []
-    return {k for s, e, run in _tuples(a, sizes, min_chars) if run in has for k in range(s, e)}
+    return places
 
 
 def common_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> list[int]:
-    """Places in ``a`` inside common blocks (runs that both sides have without a gap) of
-    at least ``min_chars`` characters: those of the alignment, and where that leaves
-    some of ``a``, those that stand in another order or are repeated."""
-    aligned = _aligned_blocks(a, sizes, b, min_chars)
-    if len(aligned) == len(a):
-        return aligned
-    return sorted(_elsewhere(a, sizes, b, min_chars).union(aligned))
+    """Places in ``a`` inside common blocks (runs that an alignment matches without a gap) of at least
+    ``min_chars`` characters.
+
+    Patience diff runs again on what is still unmatched of ``a`` until a round gives no block, so blocks that moved
+    or are repeated are aligned too. Where its chain of anchors still runs past a shared run (a run that overlaps an
+    aligned block, or whose lines also stand elsewhere), the run is aligned with its own place in ``b``.
+    """
+    out: set[int] = set()
+    left: list[int | None] = list(a)
+    while found := _aligned_blocks(left, sizes, b, min_chars):
+        out.update(found)
+        for k in found:
+            left[k] = None
+    if len(out) < len(a):
+        places = _places(b, dict(zip(a, sizes)), min_chars)
+        for s, e, run in _tuples(a, sizes, min_chars):
+            if run in places and not out.issuperset(range(s, e)):
+                j = places[run]
+                out.update(s + k for k in _aligned_blocks(a[s:e], sizes[s:e], b[j:j + e - s], min_chars))
+    return sorted(out)
 
 
 def _aligned_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int) -> list[int]:

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,10 @@ class Units:
     codes: np.ndarray
 
 
+#: Words of this many bytes or more are not coded by a polynomial.
+LONG_WORD = 256
+
+
 def byte_units(texts: Texts) -> Units:
     at = np.arange(len(texts.data))
     return Units(texts.data, at, at + 1, texts.start, texts.end, BYTE_CODE[texts.data])
@@ -64,6 +69,9 @@ def word_units(texts: Texts) -> Units:
     at = np.cumsum(lengths + 1) - lengths - 1
     joined[at + lengths] = 32
     codes = mix(PrefixHash(BYTE_CODE[joined]).of(at, at + lengths)) if len(starts) else np.zeros(0, np.uint64)
+    # polynomials over 64-bit integers agree on some long texts of two symbols, whatever the base
+    for k in np.flatnonzero(lengths >= LONG_WORD):
+        codes[k] = xxhash.xxh3_64_intdigest(joined[at[k]:at[k] + lengths[k]].tobytes())
     return Units(joined, at, at + lengths, first[:-1], first[1:], codes)
 
 

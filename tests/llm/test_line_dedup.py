@@ -154,3 +154,21 @@ def test_a_block_that_a_document_holds_twice(documents):
     assert patience(list(range(4)), [7, 1, 2, 8, 1, 2, 9]) == [(1, 1), (2, 2)]
     assert removed_of(documents, ["\n".join(b), "\n".join(a)]) == [0, 2]
     assert removed_of(documents, ["\n".join(a), "\n".join(b)]) == [0, 4]
+
+
+def test_alignment_decides(documents, monkeypatch):
+    """Nothing is deleted that no alignment returns."""
+    from riskspark.llm import line_dedup
+    block = ["first line of the block, long enough", "second line of the block"]
+    a, b = ["u1", *block, "u2", *block], ["v1", *block, "v2"]
+    sizes = [len(x) for x in a]
+    assert common_blocks(a, sizes, b, 50) == [1, 2, 4, 5]
+    monkeypatch.setattr(line_dedup, "patience", lambda x, y: [])
+    assert common_blocks(a, sizes, b, 50) == []
+    monkeypatch.undo()
+    rng = random.Random(12)
+    for _ in range(400):  # every shared run is found: moved, repeated, overlapping
+        a, b = rng.choices(range(6), k=rng.randint(0, 12)), rng.choices(range(6), k=rng.randint(0, 12))
+        want = {k for i in range(len(a)) for j in range(len(b)) for n in range(2, 13)
+                if a[i:i + n] == b[j:j + n] and i + n <= len(a) and j + n <= len(b) for k in range(i, i + n)}
+        assert common_blocks(a, [30] * len(a), b, 50) == sorted(want)

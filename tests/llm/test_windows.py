@@ -156,3 +156,14 @@ def test_whole_table(spark):
     assert sorted(map(tuple, QUERIES["op5_suffix_dedup"](spark, sf).collect())) == sorted(want)
     want = [(i, n, r, sha(kept.encode())) for i, n, r, kept in brute_words(rows, 50)]
     assert sorted(map(tuple, QUERIES["op10_substring_dedup"](spark, sf).collect())) == sorted(want)
+
+
+def test_long_words_of_two_symbols(documents):
+    """Words on which polynomial hashes of 64-bit integers agree are different words."""
+    from riskspark.llm.substring import remove_repeated_words
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    side = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*side, middle, *side]) for middle in (one, other, one)]
+    got = remove_repeated_words(documents(list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 0, 1: 0, 2: 81}
