@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +28,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|credentials?|login|pin)["']?"""
-    r"""\x20{0,8}(?:[:=]|\bis\b)\x20{0,8}["']?([^\s"'<>,;]{4,})""", re.I | re.A)
+    r"""\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]{4,})""", re.I | re.A)
+#: Values that stand for a secret that is elsewhere: variables, templates, addresses without credentials, masks.
+_PLACEHOLDER = re.compile(r"\$\{.*|\$\(.*|\$[A-Z_]+|%[A-Z_]+%|\{\{.*|[a-z][a-z0-9+.-]*://[^@]*|[*x.#-]+", re.I | re.A)
 #: Each context and pattern has one of these.
 _KEYWORDS = ("pass", "pwd", "secret", "token", "api", "credential", "login", "pin")
 
@@ -39,19 +42,20 @@ database oracle mysql postgres windows linux apple google summer winter spring a
 love angel baby lovely charlie daniel jessica thomas jordan hunter soccer hockey batman star computer internet
 hidden redacted none null true false your my the new old secure security service account company team""".split()
 _RANK = {w: math.log10(k + 1) for k, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
 # Characters that stand for letters.
 _LEET = str.maketrans("@4301!|$57", "aaeoiilsst")
-# Keyboard rows and other runs that fingers follow.
-_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
-_NEXT: set[tuple[str, str]] = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])}
-_NEXT |= {(b, a) for a, b in _NEXT}
-_NEXT |= {pair for up, down in zip(_ROWS[:3], _ROWS[1:4]) for a, b in zip(up, down) for pair in ((a, b), (b, a))}
+# The keyboard's rows. A key lies between two keys of the row above, its own place and the next.
+_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+_KEY = {c: (row, k) for row, keys in enumerate(_ROWS) for k, c in enumerate(keys)}
+_STEPS = {(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)}
 _DATE = re.compile(r"(?:19|20)[0-9]{2}(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01]))?"
                    r"|(?:0[1-9]|[12][0-9]|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)[0-9]{2}|[0-9]{2})")
-_REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
-#: A run of letters in one case counts as some word of a language at most.
-_ANY_WORD = 5.0
+#: Characters of a stretch that is no brute force; a repeat of any length is a stretch too.
+LONGEST_STRETCH = 64
+# Prices of a word that is in no list (decimal logarithm of guesses): to begin it, for a letter after one of the
+# other class (vowel or consonant), for a second and for any further one of the same class.
+_WORD_START, _ALTERNATE, _SECOND, _CLUSTER = 2.5, 0.15, 0.35, 1.2
+_LETTERS = re.compile(r"[a-z]{3,}|[A-Z][a-z]{2,}|[A-Z]{4,}")
 
 
 def _per_character(value: str) -> float:
@@ -62,54 +66,96 @@ def _per_character(value: str) -> float:
     return math.log10(max(size, 2))
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def _unlisted_word(word: str) -> float:
+    """Price of letters in one case: it grows with each letter, and fast where they can't be spoken."""
+    cost, run, last = _WORD_START, 0, None
+    for c in word.lower():
+        vowel = c in "aeiouy"
+        run = run + 1 if vowel == last else 1
+        if last is not None:
+            cost += (_ALTERNATE, _SECOND, _CLUSTER)[min(run, 3) - 1]
+        last = vowel
+    return cost
+
+
+def _walk(part: str) -> float | None:
+    """Price of neighbouring keys, or of letters or digits that follow one another; a turn costs more."""
+    places = [_KEY.get(c) for c in part]
+    if None not in places:
+        steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(places, places[1:])]
+        if all(step in _STEPS for step in steps):
+            return math.log10(47 * len(part)) + 0.3 * sum(a != b for a, b in zip(steps, steps[1:]))
+    if part.isascii() and (part.isalpha() or part.isdigit()):
+        steps = {ord(b) - ord(a) for a, b in zip(part, part[1:])}
+        if steps in ({1}, {-1}):
+            return math.log10(36 * len(part))
+    return None
+
+
+def stretch_price(part: str, each: float) -> tuple[float, str] | None:
+    """The least price of a stretch as one thing (word, date, repeat, walk), None if it is none of them.
+    ``each``: price of a character by brute force."""
+    n, lower = len(part), part.lower()
+    prices: list[tuple[float, str]] = []
+    if n >= 3 and len(lower) == n:
+        plain = lower.translate(_LEET)
+        if plain in _RANK:
+            prices.append((_RANK[plain] + 0.3 + (0.6 if part != plain else 0.0), "word"))
+        if _LETTERS.fullmatch(part):
+            prices.append((_unlisted_word(part), "word"))
+    if 4 <= n <= 10 and _DATE.fullmatch(part):
+        prices.append((4.5 if n > 4 else 2.1, "date"))
+    if n >= 3:
+        prices += [(unit * each + math.log10(n // unit), "repeat") for unit in range(1, n // 2 + 1)
+                   if n % unit == 0 and part == part[:unit] * (n // unit)]
+    if n >= 4 and len(lower) == n:
+        walk = _walk(lower)
+        if walk is not None:
+            prices.append((walk, "walk"))
+    return min(prices) if prices else None
+
+
+def _long_repeats(value: str) -> dict[int, list[tuple[int, int]]]:
+    """Start to (end, unit) of the repeats over ``LONGEST_STRETCH`` that can't begin earlier."""
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for unit in range(1, LONGEST_STRETCH // 2 + 1):
+        step = np.diff(np.concatenate([[0], (code[:-unit] == code[unit:]).astype(np.int8), [0]]))
+        for start, end in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+            to = start + unit * (1 + (end - start) // unit)
+            if to - start > LONGEST_STRETCH:
+                found.setdefault(start, []).append((to, unit))
+    return found
+
+
+def guess_cost(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """Decimal logarithm of the guesses a value needs, and the cutting that gives it.
 
-    ``best[i]`` is the least cost of the first ``i`` characters. A stretch of
-    each kind ends at ``i``: brute force grows from the cost before, the others
-    start wherever their kind allows.
+    ``best[i]`` is the least price of the first ``i`` characters over all cuttings into single characters
+    (brute force) and stretches that have a price; inside a long repeat only characters and the repeat itself
+    are tried. It stops, with ``enough`` and no cutting, where no cutting
+    can stay below ``enough``: prices only add up, and each cutting passes one of the last stretch's places.
     """
-    n = len(value)
-    each = _per_character(value)
-    lower = value.lower()
-    plain = lower.translate(_LEET) if len(lower) == n else lower
-    stretches: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for start in range(n):
-        if len(plain) != n:
-            break
-        for end in range(start + 3, min(n, start + _LONGEST_WORD) + 1):
-            rank = _RANK.get(plain[start:end])
-            if rank is not None:
-                changed = value[start:end] != plain[start:end]
-                stretches[end].append((start, rank + 0.3 + (0.6 if changed else 0.0), "word"))
-    for m in re.finditer(r"[a-z]{4,}|[A-Z]?[a-z]{3,}|[A-Z]{4,}", value):
-        stretches[m.end()].append((m.start(), _ANY_WORD, "word"))
-    for start in range(n):
-        for m in filter(None, [_DATE.match(value, start)]):
-            stretches[m.end()].append((start, 4.5 if m.end() - start > 4 else 2.1, "date"))
-            if m.end() - start > 4:
-                stretches[start + 4].append((start, 2.1, "date"))
-    for m in _REPEAT.finditer(value):
-        unit = len(m.group(1))
-        if m.end() - m.start() >= 3:
-            stretches[m.end()].append(
-                (m.start(), unit * each + math.log10((m.end() - m.start()) / unit), "repeat"))
-    walk = 0
-    turns = 0
-    for i in range(1, n + 1):
-        if i < n and (lower[i - 1], lower[i]) in _NEXT:
-            turns += i - 1 > walk and ord(lower[i]) - ord(lower[i - 1]) != ord(lower[i - 1]) - ord(lower[i - 2])
-            continue
-        if i - walk >= 4:
-            stretches[i].append((walk, math.log10(47 * (i - walk)) + 0.3 * turns, "walk"))
-        walk, turns = i, 0
-    best = [0.0] + [math.inf] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    for end in range(1, n + 1):
-        best[end], back[end] = best[end - 1] + each, (end - 1, "brute")
-        for start, cost, kind in stretches[end]:
-            if best[start] + cost < best[end]:
-                best[end], back[end] = best[start] + cost, (start, kind)
+    n, each = len(value), _per_character(value)
+    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    repeats = _long_repeats(value) if n > LONGEST_STRETCH else {}
+    ahead = 0  # the furthest place that a long repeat has reached
+    for end in range(n + 1):
+        if end and best[end - 1] + each < best[end]:
+            best[end], back[end] = best[end - 1] + each, (end - 1, "brute")
+        if end + LONGEST_STRETCH > ahead:
+            for start in range(max(0, end - LONGEST_STRETCH), end - 2):
+                if best[start] < best[end]:
+                    price = stretch_price(value[start:end], each)
+                    if price and best[start] + price[0] < best[end]:
+                        best[end], back[end] = best[start] + price[0], (start, price[1])
+        for to, unit in repeats.get(end, ()):
+            cost = best[end] + unit * each + math.log10((to - end) // unit)
+            ahead = max(ahead, to)
+            if cost < best[to]:
+                best[to], back[to] = cost, (end, "repeat")
+        if end >= ahead and min(best[max(0, end - LONGEST_STRETCH):end + 1]) >= enough:
+            return enough, []
     parts: list[tuple[str, int, int]] = []
     end = n
     while end:
@@ -141,7 +187,8 @@ def password_spans(text: str, plain: list[Span], min_guesses: float = MIN_GUESSE
     for m in _CONTEXT.finditer(text):
         value = m.group(1).rstrip(".!?)")
         span = (m.start(1), PASSWORD, m.start(1) + len(value))
-        if len(value) >= 4 and not inside(span, plain, same_kind=False) and guess_cost(value)[0] >= min_guesses:
+        if (len(value) >= 4 and not _PLACEHOLDER.fullmatch(value) and not inside(span, plain, same_kind=False)
+                and guess_cost(value, min_guesses)[0] >= min_guesses):
             found.append(span)
     return found
 

@@ -1,5 +1,6 @@
 """Personal data and secrets against plain regular expressions, and the methods' own finds."""
 
+import functools
 import hashlib
 import random
 import re
@@ -115,7 +116,43 @@ def test_guess_cost_is_the_least_cutting():
         value = "".join(rng.choices(["a", "B", "7", "!", "admin", "qwer", "1999", "zz"], k=rng.randint(1, 5)))
         total, parts = secret_scan.guess_cost(value)
         assert [p[1] for p in parts] == [0, *[p[2] for p in parts[:-1]]] and parts[-1][2] == len(value)
-        assert total <= len(value) * secret_scan._per_character(value) + 1e-9
+        assert total == pytest.approx(least_cutting(value))
+
+
+def least_cutting(value):
+    each = secret_scan._per_character(value)
+
+    @functools.cache
+    def least(start):
+        if start == len(value):
+            return 0.0
+        ways = [each + least(start + 1)]
+        for end in range(start + 1, len(value) + 1):
+            price = secret_scan.stretch_price(value[start:end], each)
+            if price:
+                ways.append(price[0] + least(end))
+        return min(ways)
+    return least(0)
+
+
+def test_prices():
+    cost = lambda v: secret_scan.guess_cost(v)[0]
+    assert cost("xkqjvbwzmfhtrplgnd") > 15  # letters that nobody can say, in one case
+    assert cost("authentication") < 6 and cost("information") < 6
+    assert cost("authenticationinformationservice") < cost("authenticationinformationservicex")
+    assert cost("1qaz2wsx") < 6 and cost("qwertyuiop1") < 6 and cost("zxcvbnm") < 6 and cost("abcdefgh") < 6
+    assert cost("ab" * 5_000) < 7 and cost("qwerty" * 400) < 12
+    long = "".join(random.Random(1).choices("abcXYZ019!#", k=20_000))
+    assert secret_scan.guess_cost(long, 6.0) == (6.0, [])
+
+
+def test_placeholders_and_far_values():
+    def found(text):
+        return [text[s:e] for s, _, e in secret_scan.password_spans(text, secret_scan.plain_spans(text))]
+    for text in ("pwd=${API_KEY_9x!}", "Login: http://example.com/x9", "password = {{vault.x9#K}}", "secret: ************"):
+        assert found(text) == []
+    assert found("password:" + " " * 30 + "hU7!x#2q") == ["hU7!x#2q"]
+    assert found("pwd=xkqjvbwzmfhtrplgnd") == ["xkqjvbwzmfhtrplgnd"]
 
 
 def test_password_values():
