@@ -2,10 +2,10 @@
 
 The fitted ensemble (trees x nodes, bounded by the model, not the data) is
 flattened once on the driver. Path-dependent TreeSHAP (Lundberg et al., 2018)
-is a sum over leaves of a closed-form term that depends only on which of the
-leaf's path features a row satisfies, so each leaf gets a table of weights per
-satisfaction pattern (2^depth rows) and every Arrow batch in ``mapInPandas`` is
-explained with vectorised comparisons and gathers — no per-row Python. The
+is a sum over leaves of a term that depends only on which of the leaf's path
+features a row satisfies: the integral of a path polynomial, exact with a few
+nodes. Short paths look it up, longer ones compute it; every Arrow batch in
+``mapInPandas`` is explained with vectorised numpy — no per-row Python. The
 output is long ``(key, feature, shap_value, feature_value)``, ranked and
 aggregated afterwards with Spark operators.
 
@@ -15,9 +15,6 @@ so attributions are given on the 2F scale: ``sum(shap) + base = 2F``.
 
 from __future__ import annotations
 
-import itertools
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -91,57 +88,58 @@ def _leaf_paths(tree: dict) -> list:
     return out
 
 
-#: Patterns double with each path feature; deeper trees need another method.
-MAX_PATH_FEATURES = 12
+#: Satisfaction patterns of a leaf that are tabulated before the rows come; longer paths are weighed row by row.
+MAX_PATTERNS = 256
+
 
+def _leaf_weights(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Shapley weights (patterns x features) of one leaf; ``ones``: which path features each pattern satisfies.
 
-def _pattern_weights(zeros: list) -> np.ndarray:
-    """W[pattern, j]: Shapley weight of feature j for one leaf, by which features the row satisfies.
+    phi_j = (o_j - z_j) sum_{S in U\\{j}} |S|! (m-|S|-1)! / m! prod_{i in S} o_i prod_{i not in S, i != j} z_i
 
-    phi_j = v (o_j - z_j) sum_{S in U\\{j}} |S|! (m-|S|-1)! / m! prod_{i in S} o_i prod_{i not in S, i != j} z_i
+    As k! (m-1-k)! / m! is the integral of t^k (1-t)^(m-1-k) over [0, 1], the sum is the integral of the path
+    polynomial prod_{i != j} (o_i t + z_i (1-t)), of degree m - 1: Gauss-Legendre with (m + 1) // 2 nodes is exact.
     """
     m = len(zeros)
-    if m > MAX_PATH_FEATURES:
-        raise ValueError(f"a tree path tests {m} features; the pattern tables hold {MAX_PATH_FEATURES} at most")
-    fact = [math.factorial(k) for k in range(m + 1)]
-    W = np.zeros((1 << m, m))
-    for pat in range(1 << m):
-        o = [(pat >> i) & 1 for i in range(m)]
-        for j in range(m):
-            others = [i for i in range(m) if i != j]
-            total = 0.0
-            for r in range(len(others) + 1):
-                for S in itertools.combinations(others, r):
-                    term = fact[r] * fact[m - r - 1] / fact[m]
-                    for i in others:
-                        term *= o[i] if i in S else zeros[i]
-                    total += term
-            W[pat, j] = (o[j] - zeros[j]) * total
-    return W
+    if m == 0:
+        return np.zeros((len(ones), 0))
+    nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t = ((nodes + 1) / 2)[:, None, None]
+    factors = zeros * (1 - t) + ones * t
+    before, after = np.ones_like(factors), np.ones_like(factors)
+    np.cumprod(factors[..., :-1], axis=-1, out=before[..., 1:])
+    np.cumprod(factors[..., :0:-1], axis=-1, out=after[..., -2::-1])
+    return (ones - zeros) * np.tensordot(weights / 2, before * after, 1)
 
 
 def compile_trees(trees: list) -> list:
-    """Precompute, per tree and leaf, the path conditions and pattern weight tables (driver, model-sized)."""
+    """Per tree and leaf: path features, their conditions and cover ratios, the leaf's value on the 2F scale
+    and, for short paths, the weights of all patterns (driver, model-sized)."""
     compiled = []
     for w, t in trees:
         for value, feats in _leaf_paths(t):
-            fidx = [f for f, _, _ in feats]
-            W = _pattern_weights([z for _, z, _ in feats]) * (2.0 * w * value)
-            compiled.append((fidx, [cs for _, _, cs in feats], W))
+            zeros = np.array([z for _, z, _ in feats], dtype=float)
+            table = None
+            if 1 << len(feats) <= MAX_PATTERNS:
+                patterns = np.arange(1 << len(feats))[:, None] >> np.arange(len(feats)) & 1
+                table = _leaf_weights(zeros, patterns) * (2.0 * w * value)
+            compiled.append(([f for f, _, _ in feats], [cs for _, _, cs in feats], zeros, 2.0 * w * value, table))
     return compiled
 
 
 def shap_matrix(X: np.ndarray, compiled: list) -> np.ndarray:
-    """Vectorised path-dependent TreeSHAP on the 2F scale: rows x features."""
+    """Vectorised path-dependent TreeSHAP on the 2F scale: rows x features. Time and memory grow with
+    a path's length, not with its patterns, so trees may be of any depth."""
     phi = np.zeros(X.shape)
-    for fidx, conds, W in compiled:
-        pat = np.zeros(len(X), dtype=np.int64)
-        for bit, (f, cs) in enumerate(zip(fidx, conds)):
-            ok = np.ones(len(X), dtype=bool)
+    for fidx, conds, zeros, value, table in compiled:
+        ok = np.ones((len(X), len(fidx)), dtype=bool)
+        for j, (f, cs) in enumerate(zip(fidx, conds)):
             for thr, left in cs:
-                ok &= (X[:, f] <= thr) if left else (X[:, f] > thr)
-            pat |= ok.astype(np.int64) << bit
-        phi[:, fidx] += W[pat]
+                ok[:, j] &= (X[:, f] <= thr) if left else (X[:, f] > thr)
+        if table is not None:
+            phi[:, fidx] += table[ok @ (1 << np.arange(len(fidx)))]
+        else:
+            phi[:, fidx] += value * _leaf_weights(zeros, ok)
     return phi
 
 
@@ -160,20 +158,29 @@ def margin(trees: list, x: np.ndarray) -> float:
     return 2.0 * total
 
 
-def explain_rows(df: DataFrame, pipeline_model, features: list[str], key: str = "account_id") -> DataFrame:
-    """Long ``(key, feature, shap_value, feature_value)`` for every row and feature."""
+def explain_rows(df: DataFrame, pipeline_model, features: list[str], key: str = "account_id",
+                 n: int | None = None) -> DataFrame:
+    """Long ``(key, feature, shap_value, feature_value)`` for every row and feature, or for the ``n``
+    features of each row that ``top_attributions`` ranks first (the others don't leave the batch)."""
     compiled = compile_trees(extract_trees(pipeline_model))  # model-sized, shipped with the task
     key_type = df.schema[key].dataType.simpleString()
+    by_name = sorted(range(len(features)), key=lambda j: features[j])
+    width = len(features) if n is None else min(n, len(features))
 
     def run(batches):
+        names = np.asarray(features, dtype=object)
         for pdf in batches:
             X = pdf[features].to_numpy(dtype=float)
             phis = shap_matrix(X, compiled)
+            take = np.broadcast_to(by_name, X.shape)
+            if width < len(features):
+                order = np.argsort(-np.abs(phis[:, by_name]), axis=1, kind="stable")[:, :width]
+                take = np.take(by_name, order)
             yield pd.DataFrame({
-                key: np.repeat(pdf[key].to_numpy(), len(features)),
-                "feature": np.tile(np.asarray(features, dtype=object), len(pdf)),
-                "shap_value": phis.reshape(-1),
-                "feature_value": X.reshape(-1),
+                key: np.repeat(pdf[key].to_numpy(), width),
+                "feature": names[take].reshape(-1),
+                "shap_value": np.take_along_axis(phis, take, axis=1).reshape(-1),
+                "feature_value": np.take_along_axis(X, take, axis=1).reshape(-1),
             })
 
     schema = f"{key} {key_type}, feature string, shap_value double, feature_value double"

@@ -582,7 +582,7 @@ def q_shap_top_cases(spark, sf_dir):
     ms, b, joined = _scored_by_b(spark, sf_dir)
     top = top_cases(assess(joined, "p", b.threshold), "account_id", 25)
     prepared = b.features.transform(top, keep=("account_id",))
-    return top_attributions(explain_rows(prepared, b.model, b.features.selected), 10)
+    return top_attributions(explain_rows(prepared, b.model, b.features.selected, n=10), 10)
 
 
 @register("global_importance")

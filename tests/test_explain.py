@@ -79,3 +79,57 @@ def test_vectorised_equals_recursive():
         for w, t in trees:
             tree_shap(X[r], t, phi, 2.0 * w)
         assert np.allclose(fast[r], phi)
+
+
+def _random_tree(rng, depth, n_features):
+    """A tree with one long path: each node splits off a leaf, on features in turn."""
+    out = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+    def grow(level, cover):
+        node = len(out["feature"])
+        leaf = level == depth
+        row = (-1 if leaf else int(rng.integers(n_features)) if level % 5 == 4 else level % n_features,
+               0.0 if leaf else rng.random(), -1, -1, rng.normal() if leaf else 0.0, cover)
+        for k, v in zip(("feature", "threshold", "left", "right", "value", "cover"), row):
+            out[k].append(v)
+        if not leaf:
+            share = rng.uniform(.2, .8)
+            short, side = depth if level + 1 < depth else level + 1, rng.random() < .5
+            out["left"][node] = grow(short if side else level + 1, cover * share)
+            out["right"][node] = grow(level + 1 if side else short, cover * (1 - share))
+        return node
+
+    grow(0, 1000.0)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("depth", [4, 8, 12, 16, 20])
+def test_long_paths_equal_recursion(depth):
+    from riskspark.operators.explain import compile_trees, shap_matrix
+    rng = np.random.default_rng(depth)
+    trees = [(0.3, _random_tree(rng, depth, 25)), (1.0, _random_tree(rng, depth, 6))]
+    X = rng.random((40, 25))
+    compiled = compile_trees(trees)
+    assert max(len(c[0]) for c in compiled) > 0.6 * depth
+    fast = shap_matrix(X, compiled)
+    for r in range(len(X)):
+        phi = np.zeros(25)
+        for w, t in trees:
+            tree_shap(X[r], t, phi, 2.0 * w)
+        assert np.allclose(fast[r], phi, rtol=1e-8, atol=1e-9)
+    assert np.allclose(fast.sum(axis=1) + base_value(trees), [margin(trees, x) for x in X])
+
+
+def test_top_of_a_batch_equals_top_of_all(spark):
+    from riskspark.operators.explain import top_attributions
+    rng = np.random.default_rng(6)
+    X = rng.random((300, 4))
+    y = ((X[:, 0] + 0.5 * X[:, 1]) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, *map(float, X[i]), int(y[i])) for i in range(300)],
+                               "account_id long, d double, b double, c double, a double, y int")
+    model = fit_gbt(df, ["d", "b", "c", "a"], "y", GBTParams(max_iter=3, max_depth=2), 1.0)
+    few = df.limit(40)  # two of the features are hardly used, so zeros tie
+    whole = top_attributions(explain_rows(few, model, ["d", "b", "c", "a"]), 3)
+    cut = explain_rows(few, model, ["d", "b", "c", "a"], n=3)
+    assert cut.count() == 3 * 40
+    assert sorted(map(str, top_attributions(cut, 3).collect())) == sorted(map(str, whole.collect()))
