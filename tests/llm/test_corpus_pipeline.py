@@ -94,5 +94,5 @@ def test_run(spark):
     from riskspark.llm.queries import QUERIES
     import __spark_entry__
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
