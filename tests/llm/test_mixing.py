@@ -74,3 +74,24 @@ def test_odd_rows(documents, odd_rows, clashing):
     assert all(r["taken"] == 0 and r["target"] == 0 for r in nothing)
     alone = mix_sources(documents([(1, "a b c", "en", "a"), (1, "a b c", "en", "a")])).collect()
     assert [r["taken"] for r in alone] == [3, 3]
+
+
+def test_rows_without_an_id_fill_no_range(spark, documents, monkeypatch):
+    import riskspark.llm.mixing as mixing
+    monkeypatch.setattr(mixing, "COPIES_PER_TASK", 100)
+    rng = random.Random(2)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "w " * rng.randint(0, 9), "en", "ab"[k % 5 == 0])
+            for k in range(6000)]
+    got = mixing.mix_sources(documents(rows), rows_per_range=50).collect()
+    sizes = {s: sum(size_of(t) for _, t, _, x in rows if x == s) for s in "ab"}
+    want = brute_targets(sizes)
+    assert sorted(str((r["doc_id"], r["source"], r["size"])) for r in got) == sorted(
+        str((i, s, size_of(t))) for i, t, _, s in rows)
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == int(want[s] + 1e-9)
+        assert sum(r["taken"] % r["size"] > 0 for r in mine if r["size"]) <= 1
+        # whole documents in order of their keys, then one in part, then none
+        assert len({r["taken"] // r["size"] for r in mine if r["size"]}) <= 2
+    again = mixing.mix_sources(documents(rows[::-1]).repartition(7), rows_per_range=500).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
