@@ -71,7 +71,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.decontam import decontaminate
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 SQL["op9_decontamination"] = r"""
@@ -93,11 +93,28 @@ hits AS (SELECT DISTINCT doc_id, occ.n, i, item_id FROM occ JOIN win ON occ.n =
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit
         FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
 its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
-               array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM hits GROUP BY doc_id)
+               array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM hits GROUP BY doc_id),
+-- one edit leaves the first or the second half of a phrase as it is; the other half follows it, read away from it
+long AS (SELECT item_id, string_split(p, ' ') AS t, n, n // 2 AS h FROM win WHERE n >= 5),
+half AS (SELECT DISTINCT item_id, h AS k, array_to_string(t[:h], ' ') AS p, t[h + 1:] AS r, 1 AS way FROM long
+         UNION ALL SELECT DISTINCT item_id, n - h, array_to_string(t[h + 1:], ' '), list_reverse(t[:h]), -1 FROM long),
+ks AS (SELECT DISTINCT k FROM half),
+place AS (SELECT doc_id, w, k, i, array_to_string(w[i:i + k - 1], ' ') AS p
+          FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw, ks WHERE len(w) >= k)),
+side AS (SELECT doc_id, item_id, r, len(r) AS m,
+           CASE WHEN way = 1 THEN w[i + half.k:i + half.k + len(r)]
+                ELSE list_reverse(w[greatest(1, i - len(r) - 1):i - 1]) END AS d
+         FROM place JOIN half ON place.k = half.k AND place.p = half.p),
+nearly AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM side
+  WHERE list_sum([CASE WHEN r[j] = d[j] THEN 1 ELSE 0 END FOR j IN generate_series(1, m)]) >= m - 1
+     OR list_contains([list_concat(r[:j - 1], r[j + 1:]) = d[:m - 1] FOR j IN generate_series(1, m)], true)
+     OR (len(d) = m + 1 AND list_contains([list_concat(d[:j - 1], d[j + 1:]) = r FOR j IN generate_series(1, m)], true))
+  GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM dw LEFT JOIN pos ON dw.doc_id = pos.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
+LEFT JOIN nearly ON dw.doc_id = nearly.doc_id
 """
 
 
