@@ -77,9 +77,10 @@ class Index:
     probes: DataFrame
 
 
-def build_index(docs: DataFrame, phrases: DataFrame, window: int = WINDOW, lists: int = LISTS) -> Index:
+def build_index(docs: DataFrame, phrases: DataFrame, window: int = WINDOW, lists: int = LISTS,
+                near: bool = True) -> Index:
     """Count the benchmark's terms over all ``docs(doc_id, text)``, choose each phrase's
-    rarest terms and store the postings of these."""
+    rarest terms and store the postings of these; without ``near`` only what exact matches need."""
     tokens = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("_words"))
     placed = phrases.select("pid", F.posexplode("terms").alias("offset", "term")).checkpoint()
     vocabulary = placed.select("term").distinct().checkpoint()
@@ -90,9 +91,9 @@ def build_index(docs: DataFrame, phrases: DataFrame, window: int = WINDOW, lists
                .agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("all"))
                .withColumn("by_count", F.filter("all", lambda t: t["n"].isNotNull()))
                .withColumn("absent", F.size("all") - F.size("by_count"))
-               .filter((F.col("absent") == 0) | ((F.col("absent") == 1) & (F.size("all") >= NEAR_WORDS))))
+               .filter((F.col("absent") == 0) | ((F.col("absent") == 1) & (F.size("all") >= NEAR_WORDS) & F.lit(near))))
     # a phrase of fewer terms than lists repeats them
-    rarest = F.transform(F.sequence(F.lit(0), F.lit(max(lists, 2) - 1)),
+    rarest = F.transform(F.sequence(F.lit(0), F.lit((max(lists, 2) if near else lists) - 1)),
                          lambda k: F.get("by_count", (k % F.size("by_count")).cast("int")))
     probes = (ordered.select("pid", "absent", F.posexplode(rarest).alias("rank", "probe"))
               .select("pid", "rank", F.col("probe.term").alias("term"), F.col("probe.offset").alias("offset"), "absent")
@@ -106,7 +107,7 @@ def build_index(docs: DataFrame, phrases: DataFrame, window: int = WINDOW, lists
                     F.concat("_words", F.array(F.lit("")))).alias("pos", "term"))
                 .join(_fit(wanted), "term")
                 .select("term", "doc_id", "row", "pos", before.alias("before"),
-                        F.when(F.col("best") <= 1, F.slice("_words", F.col("pos") - before + 1, 2 * window + 1))
+                        F.when(F.col("best") <= int(near), F.slice("_words", F.col("pos") - before + 1, 2 * window + 1))
                         .alias("around")).checkpoint())
     ends = postings.filter(F.col("term") == "").select("doc_id", "row", F.col("pos").cast("long").alias("n_words"))
     return Index(postings.filter(F.col("term") != ""), ends, probes)
@@ -140,7 +141,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     ``row`` is the ``xxhash64`` of the text."""
     ensure_checkpoint_dir(docs.sparkSession)
     phrases, _ = benchmark_phrases(benchmark, window)
-    return phrase_matches(build_index(docs, phrases, window, lists), lists).select("doc_id", "row").distinct()
+    return phrase_matches(build_index(docs, phrases, window, lists, near=False), lists).select("doc_id", "row").distinct()
 
 
 def _one_edit() -> Column:
