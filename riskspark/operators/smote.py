@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.operators.knn import exact_knn
+from riskspark.operators.knn import LEAF_SIZE, exact_knn
 from riskspark.operators.cumulative import running_sums
 
 
 def smote(df: DataFrame, features: list[str], y: str = "y", key: str = "account_id",
-          k_max: int = 5, seed: int = 42, leaf_size: int = 256) -> DataFrame:
+          k_max: int = 5, seed: int = 42, leaf_size: int = LEAF_SIZE) -> DataFrame:
     """Return ``df`` plus synthetic minority rows (``key`` NULL, ``y`` = 1, ``synthetic`` true)."""
     counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}  # one row per class
     n_pos, n_neg = counts.get(1, 0), sum(v for c, v in counts.items() if c != 1)

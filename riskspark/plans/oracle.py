@@ -488,6 +488,23 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1
 UNION ALL
 SELECT 1 AS y, true AS synthetic, n_neg - n_pos AS n_rows FROM c WHERE n_pos >= 2 AND n_neg > n_pos
 """
+SQL["minority_neighbours"] = """
+WITH f AS (
+  SELECT d.doc_id AS id, length(text) AS a, length(text) - length(replace(text, ' ', '')) AS b,
+         length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS c,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS e,
+         length(text) - length(replace(text, chr(10), '')) + 1 AS g
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0),
+p AS (SELECT min(id) AS pid, count(*) AS mult, a, b, c, e, g FROM f GROUP BY a, b, c, e, g),
+pairs AS (
+  SELECT x.pid, y.pid AS neighbour, CASE WHEN x.pid = y.pid THEN y.mult - 1 ELSE y.mult END AS mult,
+         sqrt(CAST((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)
+                   + (x.e - y.e) * (x.e - y.e) + (x.g - y.g) * (x.g - y.g) AS DOUBLE)) AS distance
+  FROM p x CROSS JOIN p y),
+copies AS (SELECT pid, neighbour, distance, unnest(range(least(mult, 5))) AS copy FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, neighbour, copy) - 1 AS slot FROM copies)
+SELECT pid, CAST(slot AS INTEGER) AS slot, neighbour, distance FROM ranked WHERE slot < 5
+"""
 SQL["model_training_summary"] = f"""
 WITH alloc AS ({_ALLOC})
 SELECT m.model, m.includes_leakage, m.n_features, (SELECT sum(n_rows - n_test) FROM alloc) AS n_train

@@ -312,6 +312,17 @@ def q_smote_counts(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("minority_neighbours")
+def q_minority_neighbours(spark, sf_dir):
+    """C4: the five nearest minority neighbours of each distinct minority point, by slot."""
+    from riskspark.operators.knn import exact_knn
+    pos = doc_features_p(spark, sf_dir).where(F.col("y") == 1)
+    points = pos.groupBy(F.array(*[F.col(f).cast("double") for f in DOC_FEATURES]).alias("vec")).agg(
+        F.min("account_id").cast("long").alias("pid"), F.count(F.lit(1)).alias("mult"))
+    near = exact_knn(points, 5, len(DOC_FEATURES)).select("pid", F.posexplode("neighbours").alias("slot", "nb"))
+    return near.select("pid", "slot", F.col("nb.nid").alias("neighbour"), F.col("nb.dist").alias("distance"))
+
+
 @register("model_training_summary")
 def q_training_summary(spark, sf_dir):
     from riskspark.plans.learn import training_summary

@@ -1,27 +1,82 @@
-"""Exact kNN equals brute force (with a hot duplicate group); SMOTE counts and convexity."""
+"""Filter-and-refine kNN equals brute force in few and many dimensions (with a hot duplicate group);
+its bounds hold; SMOTE counts, and its points lie between true neighbours."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators.knn import exact_knn
+from riskspark.operators.knn import approximate, centres, distance_bounds, exact_knn, kth_bound
 from riskspark.operators.smote import smote
 
 
+def _points(spark, x):
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "key long, vec array<double>")
+    return df.groupBy("vec").agg(F.min("key").alias("pid"), F.count(F.lit(1)).alias("mult"))
+
+
+def _brute_force(pts, k):
+    p = {r["pid"]: (np.array(r["vec"]), r["mult"]) for r in pts.collect()}
+    return {pid: sorted([0.0] * (m - 1) + [float(np.linalg.norm(v - w)) for q, (w, mm) in p.items() if q != pid
+                                           for _ in range(mm)])[:k] for pid, (v, m) in p.items()}
+
+
 def test_exact_knn_matches_brute_force(spark):
     rng = np.random.default_rng(0)
-    X = rng.normal(size=(300, 3)).round(2)
-    X[250:] = X[0]  # a third-ish of rows are one point
-    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(len(X))], "key long, vec array<double>")
-    pts = df.groupBy("vec").agg(F.min("key").alias("pid"), F.count(F.lit(1)).alias("mult"))
-    k = 4
-    got = {r["pid"]: [x["dist"] for x in r["neighbours"]] for r in exact_knn(pts, k, 3, leaf_size=16).collect()}
-    P = {r["pid"]: (np.array(r["vec"]), r["mult"]) for r in pts.collect()}
-    for pid, (v, m) in P.items():
-        d = [0.0] * (m - 1) + [float(np.linalg.norm(v - w)) for q, (w, mm) in P.items() if q != pid for _ in range(mm)]
-        assert np.allclose(sorted(d)[:k], got[pid])
+    x = rng.normal(size=(300, 3)).round(2)
+    x[250:] = x[0]  # a third-ish of rows are one point
+    pts = _points(spark, x)
+    got = {r["pid"]: [s["dist"] for s in r["neighbours"]] for r in exact_knn(pts, 4, 3, leaf_size=16).collect()}
+    want = _brute_force(pts, 4)
+    assert got.keys() == want.keys()
+    for pid, dist in want.items():
+        assert np.allclose(dist, got[pid])
+
+
+@pytest.mark.parametrize("d", [13, 200])
+def test_many_dimensions_compare_few_pairs(spark, d):
+    """Boxes exclude nothing there; the approximations leave a few exact distances per point."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(1500, d)) * rng.gamma(2.0, size=d)
+    x[700:] += 40.0  # away from the origin
+    pts = _points(spark, x)
+    rows = exact_knn(pts, 5, d, leaf_size=256).collect()
+    square = ((x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * x @ x.T)
+    np.fill_diagonal(square, np.inf)
+    want = np.sqrt(np.sort(square, axis=1)[:, :5])
+    for r in rows:
+        assert np.allclose([s["dist"] for s in r["neighbours"]], want[r["pid"]])
+    share = sum(r["n_compared"] for r in rows) / (len(x) * (len(x) - 1))
+    assert len(rows) == len(x) and share < 0.02, share
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(60, 7)), rng.integers(0, 3, (60, 4)).astype(float), np.full((5, 2), 1e9),
+              rng.normal(size=(40, 5)) * 1e-9 + 1e6, rng.standard_cauchy((50, 6))):
+        for bits in (1, 4, 8):
+            codes, low, step, errors = approximate(x, bits)
+            lower, upper = distance_bounds(x, centres(codes, low, step), errors)
+            dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+            assert (lower <= dist).all() and (dist <= upper).all()
+
+
+def test_kth_bound():
+    upper = np.array([[3.0, 1.0, 2.0], [np.inf, np.inf, 5.0]])
+    assert kth_bound(upper, np.array([1, 1, 1]), 2).tolist() == [2.0, np.inf]
+    assert kth_bound(upper, np.array([1, 2, 1]), 2).tolist() == [1.0, np.inf]
+    assert kth_bound(upper, np.array([1, 1, 1]), 4).tolist() == [np.inf, np.inf]
+
+
+def test_fewer_points_than_neighbours(spark):
+    pts = _points(spark, [[0.0], [0.0], [3.0]])
+    got = {r["pid"]: [(s["dist"], s["nid"]) for s in r["neighbours"]] for r in exact_knn(pts, 5, 1).collect()}
+    assert got == {0: [(0.0, 0), (3.0, 2)], 2: [(3.0, 0), (3.0, 0)]}
+    one = _points(spark, [[1.0]])
+    assert exact_knn(one, 2, 1).collect()[0]["neighbours"] == []
 
 
 def test_smote_balances_and_interpolates(spark):
+    """Each synthetic point lies on the segment from a positive to one of its five nearest."""
     rng = np.random.default_rng(2)
     rows = [(i, float(a), float(b), 1 if i % 5 == 0 else 0) for i, (a, b) in enumerate(rng.random((200, 2)))]
     df = spark.createDataFrame(rows, "account_id long, a double, b double, y int")
@@ -29,9 +84,19 @@ def test_smote_balances_and_interpolates(spark):
     counts = {(r["y"], r["synthetic"]): r["count"] for r in out.groupBy("y", "synthetic").count().collect()}
     assert counts[(1, False)] + counts[(1, True)] == counts[(0, False)]
     pos = np.array([[r[1], r[2]] for r in rows if r[3] == 1])
-    lo, hi = pos.min(axis=0), pos.max(axis=0)
-    for r in out.where("synthetic").collect():  # inside the minority's bounding box
-        assert lo[0] - 1e-9 <= r["a"] <= hi[0] + 1e-9 and lo[1] - 1e-9 <= r["b"] <= hi[1] + 1e-9
+    dist = np.linalg.norm(pos[:, None] - pos[None], axis=2)
+    np.fill_diagonal(dist, np.inf)
+    near = np.argsort(dist, axis=1)[:, :5]
+    a = np.repeat(pos, 5, axis=0)
+    step = pos[near].reshape(-1, 2) - a
+    used = set()
+    for r in out.where("synthetic").collect():
+        p = np.array([r["a"], r["b"]])
+        u = np.clip(((p - a) * step).sum(axis=1) / (step * step).sum(axis=1), 0, 1)
+        off = np.linalg.norm(p - a - u[:, None] * step, axis=1)
+        assert off.min() < 1e-9
+        used.add(int(off.argmin()) // 5)
+    assert len(used) >= len(pos) * 0.9  # all positives are replicated, not a few
 
 
 def test_smote_leaves_single_positive_alone(spark):
