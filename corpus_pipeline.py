@@ -17,14 +17,11 @@ from pyspark.sql import functions as F
 from riskspark.llm.decontam import contaminated_rows
 from riskspark.llm.langid import UNKNOWN, language_column, train
 from riskspark.llm.line_dedup import remove_aligned_lines
-from riskspark.llm.mixing import mix_sources
+from riskspark.llm.mixing import WORD, mix_sources
 from riskspark.llm.simhash import simhash_components
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: An ambiguous text goes if its score is below this.
-MIN_SCORE = 0.5
-
 
 def _unused(docs: DataFrame, name: str) -> str:
     """A column name that the input doesn't have."""
@@ -34,16 +31,17 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language: null text, texts without a letter, and
-    ambiguous texts of a low score go. The model is learned from the input's ``lang``;
-    if there is none to learn from, only texts without a letter go."""
+    """Keeps documents in a known language: null text, texts without a letter, ambiguous
+    texts and texts far from every language go. The model, the gap of ambiguity and the
+    limit of distance are learned from the input's ``lang`` so that no left-out learned
+    document goes; if there is none to learn from, only texts without a letter go."""
     model = train(docs)
     name = _unused(docs, "_found")
     found = docs.withColumn(name, language_column("text", model))
     known = F.col(f"{name}.lang_pred") != UNKNOWN
     if not model.langs:
         known = F.col("text").rlike(r"\p{L}")
-    unsure = F.col(f"{name}.ambiguous") & (F.col(f"{name}.score") < MIN_SCORE)
+    unsure = F.col(f"{name}.ambiguous") | F.col(f"{name}.far")
     return found.filter(known & ~unsure).select(*docs.columns)
 
 
@@ -89,9 +87,23 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source weights: each document it takes, with ``size, source_size,
-    target, taken`` (words) and ``epochs`` (whole repeats; the rest of ``taken`` is the
-    first words of the text)."""
-    return mix_sources(docs).filter(F.col("taken") > 0)
+    target, taken`` (words), ``epochs`` (whole repeats by budget) and ``text``, what the mix
+    takes of it: the whole text as often as it goes into ``taken``, then its first words,
+    joined by a space, for the rest; a newline stands between. Rows that agree in id, text and source
+    are repeats of one document; rows that share only the id, or have none, are documents apart."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                      F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    rows = docs.select("doc_id", key.alias("key"), "text", "source")
+    mix = (mix_sources(rows.select(F.col("key").alias("doc_id"), "text", "source"))
+           .filter(F.col("taken") > 0).withColumnsRenamed({"doc_id": "_key", "source": "_source"}))
+    # repeats carry one text, so any of them serves all
+    texts = rows.filter(F.col("text").isNotNull()).dropDuplicates(["key", "source"])
+    taken = texts.join(mix, (F.col("key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")))
+    rest = F.col("taken") % F.col("size")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, rest.cast("int"))
+    text = F.concat_ws("\n", F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int")),
+                       F.when(rest > 0, F.array_join(words, " ")))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", text.alias("text"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -1,11 +1,15 @@
 """The corpus pipeline: each stage on its own input, and the whole."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
+from riskspark.llm.langid import identify
 from tests_llm_helpers import brute_components, brute_decontaminated, brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,6 +36,21 @@ def test_language_id_keeps_texts_with_a_language(steps):
     assert {r["doc_id"] for r in before if any(c.isalpha() for c in r["text"] or "")} == {r["doc_id"] for r in after}
 
 
+def test_unclear_texts_go(spark, documents):
+    """What the decoding flags goes (too little to tell two languages apart, or none that was learned);
+    every clean text stays."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    odd = [(10**9, "a b c", None), (10**9 + 1, "hän on talossa ja me menemme kotiin koska ilta on jo pitkällä " * 4, None),
+           (10**9 + 2, "123 456", None), (10**9 + 3, "the dog and the cat are in the house", None)]
+    everything = documents(docs + odd)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, everything, SF).collect()}
+    assert {r[0] for r in docs if any(c.isalpha() for c in r[1] or "")} <= kept
+    assert kept & {r[0] for r in odd} == {10**9 + 3}
+    found = {r["doc_id"]: r for r in identify(everything).collect()}
+    assert found[10**9].ambiguous and found[10**9 + 1].far
+    assert kept == {i for i, r in found.items() if r.lang_pred != "und" and not r.ambiguous and not r.far}
+
+
 def test_line_dedup_cuts_and_counts(steps):
     before, after, _ = steps["line_dedup"]
     was = {r["doc_id"]: r["text"] for r in before}
@@ -72,6 +91,23 @@ def test_mixture_meets_its_targets(steps):
     assert {r["source"] for r in before} == set(by_source)
     for rows in by_source.values():
         assert sum(r["taken"] for r in rows) == int(rows[0]["target"])
+    texts = {r["doc_id"]: r["text"] for r in before}
+    for r in after:
+        words = WORDS.findall(texts[r["doc_id"]])
+        assert r["size"] == len(words) and len(WORDS.findall(r["text"])) == r["taken"]
+        assert WORDS.findall(r["text"]) == (words * 4)[:r["taken"]]
+
+
+def test_mixture_of_rows_without_ids(spark, documents):
+    rows = [(None, "a b c", "en", "s"), (None, "d e", "en", "s"), (4, "f g h i", "en", "s"), (4, "j", "en", "s"),
+            (4, "j", "en", "s"), (5, None, "en", "s"), (6, "k l", "en", None)]
+    got = corpus_pipeline.mixing(spark, documents(rows), SF).collect()
+    # two sources of weights 1 and 2; the one of two words stops at three times that
+    assert sum(len(r["text"].split()) for r in got) == sum(r["taken"] for r in got)
+    by_source = {s: sorted((str(r["doc_id"]), r["text"]) for r in got if r["source"] == s) for s in ("s", None)}
+    assert by_source[None] == [("6", "k l\nk l\nk l")]
+    assert {i for i, _ in by_source["s"]} <= {"None", "4"} and sum(
+        r["taken"] for r in got if r["source"] == "s") == int(next(r["target"] for r in got if r["source"] == "s"))
 
 
 def test_odd_rows(spark, documents, odd_rows, clashing):
