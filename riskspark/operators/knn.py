@@ -161,6 +161,25 @@ def _blocks(leaves: DataFrame, k: int, d: int, bits: int) -> DataFrame:
     return leaves.select("cell", "pid", "vec", "mult").groupBy("cell").applyInPandas(pack, BLOCK)
 
 
+def _block_pairs(blocks: DataFrame, boxes: list, levels: int) -> DataFrame:
+    """Each block as queries, with the approximations of every block within reach of its box."""
+    asks, answers = ["pids", "vecs", "bounds"], ["mults", "codes", "low", "step", "errors"]
+    if levels == 0:  # one block, which meets itself
+        return blocks.select(*asks, F.col("pids").alias("nids"), *answers)
+    blocks = blocks.checkpoint()
+    box = boxes[levels].select(F.col("cell").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
+    reach = F.col("farthest") * (1 + ROOM)
+    frontier = blocks.select(F.col("cell").alias("own"), (reach * reach).alias("reach")).join(box, "own") \
+        .select("*", F.lit(0).cast("long").alias("node"))
+    for lvl in range(1, levels + 1):
+        kids = frontier.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
+        near = _boxes_sqdist(F.col("own_lo"), F.col("own_hi"), F.col("lo"), F.col("hi")) <= F.col("reach")
+        frontier = kids.join(boxes[lvl].withColumnRenamed("cell", "node"), "node").where(near) \
+            .select("own", "reach", "own_lo", "own_hi", "node").checkpoint()
+    return (frontier.select("own", "node").join(blocks.select(F.col("cell").alias("own"), *asks), "own")
+            .join(blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), *answers), "node"))
+
+
 def _filter(pairs: DataFrame, k: int, d: int) -> DataFrame:
     """Candidates of every pair of blocks: what a query's bounds in that pair don't exclude."""
     def doubles(value: bytes, *shape: int) -> np.ndarray:
@@ -194,27 +213,13 @@ def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = LEAF_SIZE, see
     are ordered by ``nid``. ``n_compared``: exact distances that the point needed.
     """
     leaves, boxes, levels = build_tree(points, d, leaf_size, seed)
-    blocks = _blocks(leaves, k, d, bits).checkpoint()
-
-    # 1. filter: pairs of blocks by descending the tree, then the bounds of their points
-    box = boxes[levels].select(F.col("cell").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
-    reach = F.col("farthest") * (1 + ROOM)
-    frontier = blocks.select(F.col("cell").alias("own"), (reach * reach).alias("reach")).join(box, "own") \
-        .select("*", F.lit(0).cast("long").alias("node"))
-    for lvl in range(1, levels + 1):
-        kids = frontier.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
-        near = _boxes_sqdist(F.col("own_lo"), F.col("own_hi"), F.col("lo"), F.col("hi")) <= F.col("reach")
-        frontier = kids.join(boxes[lvl].withColumnRenamed("cell", "node"), "node").where(near) \
-            .select("own", "reach", "own_lo", "own_hi", "node").checkpoint()
-    queries = blocks.select(F.col("cell").alias("own"), "pids", "vecs", "bounds")
-    approximated = blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), "mults", "codes",
-                                 "low", "step", "errors")
-    pairs = frontier.select("own", "node").join(queries, "own").join(approximated, "node")
+    # 1. filter: the bounds of the points of near blocks
+    close_blocks = _block_pairs(_blocks(leaves, k, d, bits), boxes, levels)
 
     # 2. the k-th smallest upper bound over all blocks (both windows share one exchange)
     held = Window.partitionBy("pid").orderBy("upper", "nid")
     bound = F.min(F.when(F.col("_held") >= k, F.col("upper"))).over(Window.partitionBy("pid"))
-    close = (_filter(pairs, k, d).withColumn("_held", F.sum(F.least("mult", F.lit(k))).over(held))
+    close = (_filter(close_blocks, k, d).withColumn("_held", F.sum(F.least("mult", F.lit(k))).over(held))
              .withColumn("bound", bound).where(~F.coalesce(F.col("lower") > F.col("bound"), F.lit(False))))
 
     # 3. refine: vectors only for what is left
