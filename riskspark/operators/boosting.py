@@ -1,14 +1,15 @@
 """Joint histogram boosting (D7): all folds and models of a training run grow their trees together.
 
 Every feature is binned once (quantile cuts over the training rows). A *fit* is one
-boosted model; a row names the fits that learn from it in a bit mask, so a row
-shared by ten fits is stored and read once. Rows are packed into blocks of byte
-matrices, and one pass over the blocks per tree level gives the gradient
-histograms of all nodes of all fits. Of two siblings only the lighter one is
-counted, the other is the parent less its sibling. Histograms have a fixed size
-(fits x nodes x features x bins), are added up on the executors, and the driver
-only picks splits. Margins are written to the shared folder every ``REFRESH``
-trees; in between tasks add the newest trees, so a lost executor costs little.
+boosted model; a row names the fits that learn from it in a bit mask. The rows of
+a fit are packed into blocks of byte matrices, dealt evenly over the cores, and one
+pass over the blocks per tree level gives the gradient histograms of all nodes of
+all fits. Of two siblings only the lighter one is counted, the other is the parent
+less its sibling. Histograms have a fixed size (fits x nodes x features x bins), are
+added up on the executors, and the driver only picks splits. A finished tree is
+added to a row's margin once, and the blocks with their margins stay cached until
+the next tree; every ``REFRESH`` trees they are written to the shared folder, so a
+lost executor costs little.
 
 A run whose fits have at most ``rows_per_task`` rows each needs no exchange
 between tasks: there each fit is one task that grows all its trees by the same
@@ -29,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +38,13 @@ from pyspark.sql import types as T
 from riskspark.session import ensure_checkpoint_dir
 
 #: Trees between two written states of the margins.
-REFRESH = 10
+REFRESH = 20
 #: Rows of a block.
 BLOCK_ROWS = 8_192
 #: Rows of one fit that a task may hold; fits with more are grown level by level over all blocks.
 ROWS_PER_TASK = 100_000
+#: Rows of all fits in a partition of blocks, where there are more than the cores' share.
+ROWS_PER_PARTITION = 2_000_000
 #: Relative rank error of the cuts.
 CUT_ERROR = 1.0 / 4096
 
@@ -175,19 +179,19 @@ def _gradients(margin: np.ndarray, y: np.ndarray, used: np.ndarray, weight: floa
 def _histogram(codes: np.ndarray, node: np.ndarray, wanted: list[int], g: np.ndarray, h: np.ndarray,
                used: np.ndarray, columns: list[int], bins: int) -> np.ndarray:
     """Sums of g, h and rows: (wanted nodes, columns, bins, 3). Rows outside the sample count as no rows."""
-    out = np.zeros((3, len(wanted), len(columns), bins))
+    out = np.zeros((len(wanted), len(columns), bins, 3))
     place = np.full(int(node.max(initial=0)) + 1, -1)
     for k, n in enumerate(wanted):
         if n < len(place):
             place[n] = k
     rows = np.flatnonzero((place[node] >= 0) & used)
     if len(rows):
-        base = (place[node[rows]] * len(columns))[None, :] + np.arange(len(columns))[:, None]
-        index = (base * bins + codes[np.ix_(columns, rows)]).ravel()
-        size = len(wanted) * len(columns) * bins
-        for k, values in enumerate((g[rows], h[rows], np.ones(len(rows)))):
-            out[k] = np.bincount(index, np.broadcast_to(values, (len(columns), len(rows))).ravel(), size).reshape(out.shape[1:])
-    return np.moveaxis(out, 0, -1)
+        base, weights, size = place[node[rows]] * bins, (g[rows], h[rows], None), len(wanted) * bins
+        for c, column in enumerate(columns):
+            index = base + codes[column, rows]
+            for k, values in enumerate(weights):
+                out[:, c, :, k] = np.bincount(index, values, size).reshape(len(wanted), bins)
+    return out
 
 
 class _Tree:
@@ -279,64 +283,75 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int = 256) -> list[n
 
 
 def _blocks(rows: DataFrame, features: list[str], cuts: list[np.ndarray], n_fits: int) -> DataFrame:
-    """``rows(features.., y, fits, hash)`` as blocks of byte matrices: ``n, codes, y, fits, hash, margins``."""
+    """``rows(features.., y, fits, hash)`` as blocks of byte matrices, one fit's rows each: ``fit, n, codes, y, hash``."""
     def pack(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(lo, BLOCK_ROWS)
                 codes = np.stack([np.searchsorted(c, part.column(k).to_numpy(zero_copy_only=False), "left")
                                   for k, c in enumerate(cuts)]).astype(np.uint8)
-                n = part.num_rows
                 y, fits, h = (part.column(len(cuts) + k).to_numpy(zero_copy_only=False) for k in range(3))
-                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([codes.tobytes()]),
-                                       pa.array([y.astype(np.uint8).tobytes()]), pa.array([fits.astype(np.int64).tobytes()]),
-                                       pa.array([h.astype(np.int64).tobytes()]),
-                                       pa.array([np.zeros((n_fits, n)).tobytes()])],
-                                      names=["n", "codes", "y", "fits", "hash", "margins"])
+                for fit in range(n_fits):
+                    mine = np.flatnonzero((fits >> fit) & 1)
+                    if len(mine):
+                        yield pa.record_batch([pa.array([fit], pa.int64()), pa.array([len(mine)], pa.int64()),
+                                               pa.array([codes[:, mine].tobytes()]),
+                                               pa.array([y[mine].astype(np.uint8).tobytes()]),
+                                               pa.array([h[mine].astype(np.int64).tobytes()])],
+                                              names=["fit", "n", "codes", "y", "hash"])
     return rows.select(*[f"`{f}`" for f in features], "y", "fits", "hash").mapInArrow(
-        pack, "n long, codes binary, y binary, fits binary, hash binary, margins binary")
+        pack, "fit long, n long, codes binary, y binary, hash binary")
 
 
 def _views(block) -> tuple:
-    n, codes, y, fits, hashes, margins = block
-    return (np.frombuffer(codes, np.uint8).reshape(-1, n), np.frombuffer(y, np.uint8).astype(float),
-            np.frombuffer(fits, np.int64), np.frombuffer(hashes, np.int64), np.frombuffer(margins).reshape(-1, n))
+    fit, n, codes, y, hashes = block[:5]
+    return (fit, np.frombuffer(codes, np.uint8).reshape(-1, n), np.frombuffer(y, np.uint8).astype(float),
+            np.frombuffer(hashes, np.int64))
+
+
+def _merged(part):
+    """The blocks of a partition, those of a fit joined up to ``BLOCK_ROWS`` rows or more, with margins of 0."""
+    held: dict[int, list] = {}
+
+    def joined(blocks):
+        fit, n = blocks[0][0], sum(b[1] for b in blocks)
+        codes = np.concatenate([_views(b)[1] for b in blocks], axis=1)
+        return fit, n, codes.tobytes(), *(b"".join(b[i] for b in blocks) for i in (3, 4)), np.zeros(n).tobytes()
+    for block in part:
+        mine = held.setdefault(block[0], [])
+        mine.append(block)
+        if sum(b[1] for b in mine) >= BLOCK_ROWS:
+            yield joined(held.pop(block[0]))
+    yield from map(joined, held.values())
 
 
 def _grow_levels(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[list[_Tree]]:
     """All trees of all fits, one pass over the blocks per level."""
-    spark = blocks.sparkSession
-    state = blocks.rdd.map(tuple)
+    state = blocks.rdd.mapPartitions(_merged).persist(StorageLevel.MEMORY_AND_DISK)
+    before = None
     done: list[list[_Tree]] = [[] for _ in fits]
-    recent: list[list[tuple]] = [[] for _ in fits]  # trees since the margins were written
-
-    def margin_of(codes, margin, trees):
-        for feature, cut, value in trees:
-            margin = margin + value[_descend(codes, feature, cut, p.depth)]
-        return margin
-
     for t in range(p.trees):
         trees = [_Tree(p, sampled_columns(f, k, t, p)) for k, f in enumerate(fits)]
         for level in range(p.depth):
-            asked = [(k, tree.wanted(), tree.feature, tree.cut, tree.columns) for k, tree in enumerate(trees) if tree.open]
+            asked = {k: (tree.wanted(), tree.feature, tree.cut, tree.columns) for k, tree in enumerate(trees) if tree.open}
             if not asked:
                 break
-            added = [list(r) for r in recent]
 
-            def count(part, asked=asked, added=added, t=t, level=level):
+            def count(part, asked=asked, t=t, level=level):
                 total: dict = {}
                 for block in part:
-                    codes, y, members, hashes, margins = _views(block)
-                    for k, wanted, feature, cut, columns in asked:
-                        rows = np.flatnonzero((members >> k) & 1)
-                        rows = rows[_draw(hashes[rows], k, t, p.seed) < p.rows]
-                        if not len(rows):
-                            continue
-                        mine = codes[:, rows]
-                        every = np.ones(len(rows), bool)
-                        g, h = _gradients(margin_of(mine, margins[k, rows], added[k]), y[rows], every, fits[k].weight)
-                        hist = _histogram(mine, _descend(mine, feature, cut, level), wanted, g, h, every, columns, p.bins)
-                        total[k] = total[k] + hist if k in total else hist
+                    k = block[0]
+                    if k not in asked:
+                        continue
+                    wanted, feature, cut, columns = asked[k]
+                    _, codes, y, hashes = _views(block)
+                    rows = np.flatnonzero(_draw(hashes, k, t, p.seed) < p.rows)
+                    if not len(rows):
+                        continue
+                    codes, every = codes[:, rows], np.ones(len(rows), bool)
+                    g, h = _gradients(np.frombuffer(block[5])[rows], y[rows], every, fits[k].weight)
+                    hist = _histogram(codes, _descend(codes, feature, cut, level), wanted, g, h, every, columns, p.bins)
+                    total[k] = total[k] + hist if k in total else hist
                 yield total
 
             def add(a, b):
@@ -344,42 +359,42 @@ def _grow_levels(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[lis
                     a[k] = a[k] + hist if k in a else hist
                 return a
             counted = state.mapPartitions(count).treeReduce(add)
-            for k, wanted, _, _, columns in asked:
+            if before is not None:  # the first pass of a tree has cached its state
+                before.unpersist()
+                before = None
+            for k, (wanted, _, _, columns) in asked.items():
                 hist = counted.get(k, np.zeros((len(wanted), len(columns), p.bins, 3)))
                 trees[k].split(dict(zip(wanted, hist)))
+        grown = []
         for k, tree in enumerate(trees):
             tree.hist = {}
             done[k].append(tree)
-            recent[k].append((tree.feature, tree.cut, tree.value))
-        if (t + 1) % REFRESH == 0 and t + 1 < p.trees:
-            added = [list(r) for r in recent]
-
-            def refresh(block, added=added):
-                codes, margins = _views(block)[0], _views(block)[4]
-                new = np.stack([margin_of(codes, margins[k], added[k]) for k in range(len(fits))])
-                return (*block[:5], new.tobytes())
-            state = state.map(refresh)
-            state.checkpoint()
-            state.count()
-            recent = [[] for _ in fits]
+            grown.append((tree.feature, tree.cut, tree.value))
+
+        def grow(block, grown=grown):
+            k, codes, _, _ = _views(block)
+            feature, cut, value = grown[k]
+            return (*block[:5], (np.frombuffer(block[5]) + value[_descend(codes, feature, cut, p.depth)]).tobytes())
+        if t + 1 < p.trees:
+            before, state = state, state.map(grow).persist(StorageLevel.MEMORY_AND_DISK)
+            if (t + 1) % REFRESH == 0:
+                state.checkpoint()
+    state.unpersist()
     return done
 
 
 def _grow_alone(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[list[_Tree]]:
     """Each fit in a task of its own; for fits of at most ``ROWS_PER_TASK`` rows."""
     def deal(block):
-        codes, y, members, hashes, _ = _views(block)
-        for k in range(len(fits)):
-            rows = np.flatnonzero((members >> k) & 1)
-            if len(rows):
-                yield k, (codes[:, rows], y[rows], hashes[rows])
+        k, codes, y, hashes = _views(block)
+        return k, (codes, y, hashes)
 
     def grow(item):
         k, parts = item
         codes, y, hashes = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
         order = np.lexsort((y, hashes))
         return k, _grow_fit(codes[:, order], y[order], hashes[order], k, fits[k], p)
-    grown = dict(blocks.rdd.map(tuple).flatMap(deal).groupByKey(len(fits)).map(grow).collect())
+    grown = dict(blocks.rdd.map(deal).groupByKey(len(fits)).map(grow).collect())
     return [grown.get(k, []) for k in range(len(fits))]
 
 
@@ -395,10 +410,11 @@ def boost(rows: DataFrame, features: list[str], fits: list[Fit], params: BoostPa
         raise ValueError("a run holds at most 62 fits")
     ensure_checkpoint_dir(rows.sparkSession)
     cuts = quantile_cuts(rows, features, p.bins)
-    blocks = _blocks(rows, features, cuts, len(fits)).checkpoint()
     mask = [F.count_if(F.col("fits").bitwiseAND(F.lit(1 << k).cast("long")) != 0) for k in range(len(fits))]
-    largest = max(rows.agg(*[m.alias(f"n{k}") for k, m in enumerate(mask)]).first() or [0])
-    grow: Callable = _grow_alone if largest <= rows_per_task else _grow_levels
+    sizes = rows.agg(*[m.alias(f"n{k}") for k, m in enumerate(mask)]).first() or [0]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(sizes) / ROWS_PER_PARTITION))
+    blocks = _blocks(rows, features, cuts, len(fits)).repartition(parts).checkpoint()
+    grow: Callable = _grow_alone if max(sizes) <= rows_per_task else _grow_levels
     return [_model(trees, fit, features, cuts, p) for trees, fit in zip(grow(blocks, fits, p), fits)]
 
 

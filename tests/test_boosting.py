@@ -132,3 +132,16 @@ def test_null_where_unused_and_column_score(spark):
     again = BoostedTrees.from_json(model.to_json())
     assert (again.margin(x[:, :3]) == model.margin(x[:, :3])).all()
     assert sum(model.importance().values()) == pytest.approx(1.0) and set(model.importance()) == {"a", "b", "c"}
+
+
+def test_many_small_pieces_are_dealt_over_the_cores(spark, monkeypatch):
+    """A pass has a task per core, not one per piece of the input; a block holds rows of one fit."""
+    x, y, hashes = table(400, 6)
+    seen, grow = [], boosting._grow_levels
+    monkeypatch.setattr(boosting, "_grow_levels", lambda blocks, *rest: seen.append(blocks) or grow(blocks, *rest))
+    df = frame(spark, x, y, hashes, 1 + np.arange(400) % 3).repartition(40)
+    boost(df, ["a", "b", "c", "d"], [Fit([0, 1]), Fit([1, 2])], BoostParams(trees=2), 0)
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {r["fit"]: r["n"] for r in seen[0].groupBy("fit").agg(F.sum("n").alias("n")).collect()} == {0: 267, 1: 266}
+    merged = seen[0].rdd.mapPartitions(boosting._merged).map(lambda b: b[:2]).collect()
+    assert sum(n for _, n in merged) == 533
