@@ -8,9 +8,11 @@ aggregate row, never the quadratic pair list:
 
 * one-hop propagation needs, per attribute, the best and second-best score
   (so an entity never counts itself);
-* connected components use alternating large-star / small-star rounds on
-  the bipartite graph (O(log^2 n) rounds), checkpointed to the shared folder
-  each round and stopped when both ends of every edge share a parent.
+* connected components link an attribute's entities to the smallest of them,
+  contract that graph twice (every entity is replaced by its smallest neighbour),
+  and finish what is left by alternating large-star / small-star rounds
+  (O(log^2 n)), checkpointed to the shared folder each round and stopped when
+  both ends of every edge share a parent.
 
 Joins of edges with per-attribute aggregates are skewed by hot attributes; AQE
 skew-join splitting (enabled in the session) divides the large side.
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from riskspark.config import CAMPAIGN_EXPOSURE_FACTOR, FLAG_THRESHOLD
 from riskspark.functions.columns import map_lookup
 
+#: Times that the linked entities are replaced by their smallest neighbours before the star rounds.
+CONTRACTIONS = 2
+
 
 def build_links(df: DataFrame, entity: str, attribute_cols: list[str]) -> DataFrame:
     """Bipartite edges ``(entity, attr_type, attribute)`` from attribute columns (NULLs skipped)."""
@@ -88,19 +93,25 @@ def propagate(edges: DataFrame, scores: DataFrame, rounds: int = 3, factor: floa
     return scores.join(cur, "entity", "left").select("entity", "score", "risk")
 
 
-def _node_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bipartite edges -> undirected edges of long ids, and ``(entity, nid)``.
+def _entity_links(edges: DataFrame) -> DataFrame:
+    """Bipartite edges -> links ``(a, b)`` of entities, ``b < a``: every holder of an attribute with the smallest one.
+    An attribute held by one entity gives none."""
+    held = edges.select("entity", "attribute").where(F.col("entity").isNotNull() & F.col("attribute").isNotNull())
+    smallest = held.groupBy("attribute").agg(F.min("entity").alias("b"))
+    return (held.join(smallest, "attribute").where(F.col("entity") != F.col("b"))
+            .select(F.col("entity").alias("a"), "b").distinct())
 
-    Entities (of any type) get even ids and attributes odd ones, from
-    ``monotonically_increasing_id`` over the distinct values, checkpointed once so
-    they are stable (unique, unlike a hash).
-    """
-    unique = F.monotonically_increasing_id() * 2
-    entities = edges.select("entity").distinct().select("entity", unique.alias("nid")).checkpoint()
-    attrs = edges.select("attribute").distinct().select("attribute", (unique + 1).alias("aid")).checkpoint()
-    e = edges.join(entities, "entity").join(attrs, "attribute")
-    fwd = e.select(F.col("nid").alias("src"), F.col("aid").alias("dst"))
-    return fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), entities
+
+def _contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace every entity by its smallest neighbour: ``(a, to)`` of those replaced, and the links between the others.
+
+    Entities linked before have linked or equal successors, so components stay the same; the smallest entity
+    of a component is never replaced."""
+    smaller = links.groupBy("a").agg(F.min("b").alias("to")).checkpoint()
+    of_b = smaller.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+    moved = links.join(smaller, "a").join(of_b, "b", "left").select("to", F.coalesce("to_b", "b").alias("other"))
+    return smaller, moved.where(F.col("to") != F.col("other")).select(
+        F.greatest("to", "other").alias("a"), F.least("to", "other").alias("b")).distinct().checkpoint()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -130,31 +141,35 @@ def _undirected(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(entity, component)`` = smallest entity id reachable through shared attributes.
 
-    Alternating large-star / small-star on the bipartite graph (Kiveris et al.,
-    "Connected Components in MapReduce and Beyond", 2014): O(log^2 n) rounds
-    instead of one round per hop of the diameter, and every step emits edges
-    linear in a node's degree (a hot attribute is a star, never a clique). Each
-    round is checkpointed to the shared folder; it stops when the two ends of
-    every edge have the same parent (smallest node of the closed neighbourhood)
-    and raises if that doesn't come about in ``max_rounds``. Entity ids may be of
-    any type that has an order.
+    An attribute's entities are linked to the smallest of them, a hot attribute is a
+    star, never a clique. ``CONTRACTIONS`` times each entity is replaced by its smallest
+    neighbour, which leaves little of a densely linked graph; alternating large-star /
+    small-star (Kiveris et al., "Connected Components in MapReduce and Beyond",
+    2014) finishes any rest, however long its paths, in O(log^2 n) rounds
+    instead of one round per hop of the diameter. Each round is checkpointed to the
+    shared folder; it stops when the two ends of every edge have the same parent
+    (smallest node of the closed neighbourhood) and raises if that doesn't come about in
+    ``max_rounds``. Entity ids may be of any type that has an order.
     """
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(edges.sparkSession)
-    distinct_edges = edges.select("entity", "attribute").distinct()
-    # an attribute held by one entity links nothing: dropping those leaves is exact and
-    # usually removes most of the graph (near-unique attribute values)
-    shared = distinct_edges.groupBy("attribute").agg(F.count(F.lit(1)).alias("_d")) \
-        .where(F.col("_d") >= 2).select("attribute")
-    linked = distinct_edges.join(shared, "attribute", "left_semi")
-    entities = distinct_edges.select("entity").distinct()
-    return entities.join(_components_of(linked, max_rounds), "entity", "left") \
-        .select("entity", F.coalesce(F.col("component"), F.col("entity")).alias("component"))
-
-
-def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
-    e, entities = _node_ids(edges)
-    e = e.checkpoint()
+    links, steps = _entity_links(edges).checkpoint(), []
+    while not links.isEmpty():
+        if len(steps) == CONTRACTIONS:
+            steps.append(_star_parents(links, max_rounds))
+            break
+        smaller, links = _contract(links)
+        steps.append(smaller)
+    found = edges.select("entity").distinct().select("entity", F.col("entity").alias("component"))
+    for step in steps:
+        found = found.join(step.withColumnRenamed("a", "component"), "component", "left").select(
+            "entity", F.coalesce("to", "component").alias("component"))
+    return found
+
+
+def _star_parents(links: DataFrame, max_rounds: int) -> DataFrame:
+    """``(a, to)``: the smallest entity of the component of every linked entity."""
+    e = _undirected(links).checkpoint()
     for _ in range(max_rounds):
         e = _small_star(_large_star(e)).checkpoint()
         parent = e.groupBy("src").agg(F.min("dst").alias("p")) \
@@ -167,10 +182,7 @@ def _components_of(edges: DataFrame, max_rounds: int) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    # component label: the smallest entity sharing the root (which may be an attribute node)
-    rooted = entities.join(parent, F.col("nid") == F.col("src")).select("entity", "p")
-    label = rooted.groupBy("p").agg(F.min("entity").alias("component"))
-    return rooted.join(label, "p").select("entity", "component")
+    return parent.select(F.col("src").alias("a"), F.col("p").alias("to")).checkpoint()
 
 
 def component_summary(components: DataFrame, scores: DataFrame, edges: DataFrame,

@@ -123,3 +123,25 @@ def test_ego_network_and_case_lookup(spark):
     assert ego_network(E, S, 99).count() == 0              # unknown entity: empty network
     cases = spark.createDataFrame([("C1", 1.0), ("C2", 2.0)], "case_id string, risk_score double")
     assert get_case(cases, "C2").first()["risk_score"] == 2.0 and get_case(cases, "C9").count() == 0
+
+
+def test_components_by_contraction(spark, monkeypatch):
+    """Densely linked entities need no star rounds; null ids, lone holders and repeated edges change nothing."""
+    from riskspark.operators import network
+    rnd = random.Random(5)
+    edges = [(e, f"{e % 3}-{rnd.randrange(6)}") for e in range(90) for _ in range(4)] * 2
+    edges += [(200, "alone"), (None, "0-1"), (None, "x"), (201, None), (202, None), (203, "x")]
+    frame = spark.createDataFrame(edges, "entity long, attribute string")
+    rounds = []
+    star = network._star_parents
+    monkeypatch.setattr(network, "_star_parents", lambda links, most: rounds.append(1) or star(links, most))
+    got = {r["entity"]: r["component"] for r in connected_components(frame).collect()}
+    assert not rounds
+    assert got == {**{e: e % 3 for e in range(90)}, **{e: e for e in (200, 201, 202, 203)}, None: None}
+    # long paths with shuffled ids do
+    ids = list(range(80))
+    rnd.shuffle(ids)
+    chain = [(ids[k], f"p{k // 40}-{k + d}") for k in range(80) for d in (0, 1) if k + d != 40 or k < 40]
+    got = {r["entity"]: r["component"] for r in connected_components(
+        spark.createDataFrame(chain, "entity long, attribute string")).collect()}
+    assert rounds and got == {e: min(half) for half in (ids[:40], ids[40:]) for e in half}
