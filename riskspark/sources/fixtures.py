@@ -5,12 +5,15 @@ per customer; ``scored`` adds a fixed probability so scoring and rules can be
 checked before a model exists; ``doc_features`` and ``entity_attributes``
 feed learning and network operators. Each is a pure DataFrame plan: the
 line-item join shuffles on the order key, every aggregate is partial/final by
-customer, and distinct counts are planned by Catalyst (Expand), which spreads
-a hot customer across (customer, supplier) shuffle keys.
+customer and slice, which spreads a hot customer over ``SLICES`` tasks; distinct
+suppliers and parts are counted in the same shuffle. The number of shuffle
+partitions follows the rows, so a task's memory doesn't grow with the tables.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,9 @@ SEGMENT_OCCUPATION = {  # raw text on purpose: exercises strip / lower-casing
     "MACHINERY": "Agriculture",
 }
 
+#: Rows of a shuffle partition of the account tables, and slices of a customer's rows.
+ROWS_PER_PARTITION, SLICES = 250_000, 8
+
 STANDING_DAYS = ((7, "L7D"), (14, "L14D"), (31, "L31D"), (90, "L90D"),
                  (180, "L180D"), (365, "L365D"))
 
@@ -45,28 +51,49 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     customer = table(spark, sf_dir, "customer")
 
-    o = orders.groupBy("o_custkey").agg(
+    n = max(1, math.ceil(max(lineitem.count(), orders.count(), customer.count()) / ROWS_PER_PARTITION))
+
+    def sliced(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(SLICES)).alias("slice")
+
+    # numeric buffer keeps this a HashAggregate (a string max_by forces a sort aggregate)
+    still_open = F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.lit(1.0))
+    o = orders.select("*", sliced("o_orderkey")).repartition(n, "o_custkey", "slice").groupBy("o_custkey", "slice").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("n_urgent"),
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
-        # numeric buffer keeps this a HashAggregate (a string max_by forces a sort aggregate)
-        F.max_by(F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.lit(1.0)),
-                 F.col("o_orderkey")).alias("last_open"),
+        F.max_by(still_open, F.col("o_orderkey")).alias("last_open"),
+        F.max("o_orderkey").alias("last_key"),
         F.count_if(F.col("o_orderdate") > F.lit(RECENT_SINCE).cast(T.TimestampNTZType()))
         .alias("n_recent"),
-    )
+    ).repartition(n, "o_custkey").groupBy("o_custkey").agg(
+        F.sum("n_orders").alias("n_orders"), F.sum("n_urgent").alias("n_urgent"),
+        F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
+        F.max_by("last_open", "last_key").alias("last_open"), F.sum("n_recent").alias("n_recent"))
     lines = lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_extendedprice",
-                            "l_returnflag") \
-        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    l_agg = lines.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.countDistinct("l_suppkey").alias("n_supp"),
-        F.countDistinct("l_partkey").alias("n_part"),
-        F.sum("l_extendedprice").alias("ext_total"),
-        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))
-              .otherwise(F.lit(0.0))).alias("ext_returned"),
-    )
+                            "l_returnflag").repartition(n, "l_orderkey") \
+        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").repartition(n, "l_orderkey"),
+              "l_orderkey")
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(F.lit(0.0))
+    none = F.lit(None).cast(T.DoubleType())
+    # a line twice, under its supplier (with the sums) and under its part; each value's rows meet in one slice
+    values = lines.select("o_custkey", F.inline(F.array(
+        F.struct(F.lit(True).alias("by_supp"), F.col("l_suppkey").cast("long").alias("value"), F.lit(1).alias("lines"),
+                 F.col("l_extendedprice").alias("total"), returned.alias("back")),
+        F.struct(F.lit(False).alias("by_supp"), F.col("l_partkey").cast("long").alias("value"), F.lit(0).alias("lines"),
+                 none.alias("total"), none.alias("back")))))
+    distinct = values.select("*", sliced("value")).repartition(2 * n, "o_custkey", "slice").groupBy(
+        "o_custkey", "slice", "by_supp", "value").agg(
+        F.sum("lines").alias("lines"), F.sum("total").alias("total"), F.sum("back").alias("back"))
+    known = F.col("value").isNotNull()
+    l_agg = distinct.groupBy("o_custkey", "slice").agg(
+        F.sum("lines").alias("n_lines"),
+        F.count_if(known & F.col("by_supp")).alias("n_supp"),
+        F.count_if(known & ~F.col("by_supp")).alias("n_part"),
+        F.sum("total").alias("ext_total"), F.sum("back").alias("ext_returned"),
+    ).repartition(n, "o_custkey").groupBy("o_custkey").agg(
+        *[F.sum(c).alias(c) for c in ("n_lines", "n_supp", "n_part", "ext_total", "ext_returned")])
 
     last_days = _days_to_ref(F.col("last_order"))
     standing = None
