@@ -129,3 +129,16 @@ def test_one_edit_at_every_place(spark, documents):
     assert found[0] == (True, 1) and found[300] == (True, 1)  # a word ahead leaves the phrase whole
     assert all(v == (False, 1) for k, v in found.items() if 100 <= k < 400 and k != 300)
     assert found[400] == found[401] == (False, 0)
+
+
+def test_words_are_made_once_for_counting(spark, monkeypatch):
+    """The words of odd texts, and a counting pass whose plan makes them once, without a match object per word."""
+    from pyspark.sql import functions as F
+
+    from riskspark.llm import decontam
+    texts = [None, "", " ", "\x00a\x7f", "..A1b ÉÄé z-Z\n", "\U0001F600 x\U0001F600Y", "one", "\tTab\r\n0:9"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["w"] for r in rows.select("doc_id", decontam.words(F.col("text")).alias("w")).collect()}
+    assert got == {k: words(t) for k, t in enumerate(texts)}
+    plan = rows.select(F.explode(decontam.words(F.col("text")))).where("col > ''")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
