@@ -52,9 +52,10 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
 
     n = max(1, math.ceil(max(lineitem.count(), orders.count(), customer.count()) / ROWS_PER_PARTITION))
+    slices = SLICES if n > 1 else 1
 
     def sliced(key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(SLICES)).alias("slice")
+        return F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice")
 
     # numeric buffer keeps this a HashAggregate (a string max_by forces a sort aggregate)
     still_open = F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.lit(1.0))
@@ -77,20 +78,19 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
               "l_orderkey")
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(F.lit(0.0))
     none = F.lit(None).cast(T.DoubleType())
-    # a line twice, under its supplier (with the sums) and under its part; each value's rows meet in one slice
+    # a line three times: with its sums, under its supplier and under its part; equal values meet in one slice
     values = lines.select("o_custkey", F.inline(F.array(
-        F.struct(F.lit(True).alias("by_supp"), F.col("l_suppkey").cast("long").alias("value"), F.lit(1).alias("lines"),
+        F.struct(sliced("l_orderkey"), F.lit("line").alias("kind"), F.lit(None).cast("long").alias("value"),
                  F.col("l_extendedprice").alias("total"), returned.alias("back")),
-        F.struct(F.lit(False).alias("by_supp"), F.col("l_partkey").cast("long").alias("value"), F.lit(0).alias("lines"),
-                 none.alias("total"), none.alias("back")))))
-    distinct = values.select("*", sliced("value")).repartition(2 * n, "o_custkey", "slice").groupBy(
-        "o_custkey", "slice", "by_supp", "value").agg(
-        F.sum("lines").alias("lines"), F.sum("total").alias("total"), F.sum("back").alias("back"))
-    known = F.col("value").isNotNull()
+        *[F.struct(sliced(c), F.lit(kind).alias("kind"), F.col(c).cast("long").alias("value"),
+                   none.alias("total"), none.alias("back"))
+          for kind, c in (("supp", "l_suppkey"), ("part", "l_partkey"))])))
+    distinct = values.repartition(2 * n, "o_custkey", "slice").groupBy("o_custkey", "slice", "kind", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("total").alias("total"), F.sum("back").alias("back"))
     l_agg = distinct.groupBy("o_custkey", "slice").agg(
-        F.sum("lines").alias("n_lines"),
-        F.count_if(known & F.col("by_supp")).alias("n_supp"),
-        F.count_if(known & ~F.col("by_supp")).alias("n_part"),
+        F.sum(F.when(F.col("kind") == "line", F.col("rows")).otherwise(0)).alias("n_lines"),
+        F.count_if(F.col("value").isNotNull() & (F.col("kind") == "supp")).alias("n_supp"),
+        F.count_if(F.col("value").isNotNull() & (F.col("kind") == "part")).alias("n_part"),
         F.sum("total").alias("ext_total"), F.sum("back").alias("ext_returned"),
     ).repartition(n, "o_custkey").groupBy("o_custkey").agg(
         *[F.sum(c).alias(c) for c in ("n_lines", "n_supp", "n_part", "ext_total", "ext_returned")])
