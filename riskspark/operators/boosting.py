@@ -13,7 +13,9 @@ lost executor costs little.
 
 A run whose fits have at most ``rows_per_task`` rows each needs no exchange
 between tasks: there each fit is one task that grows all its trees by the same
-functions. Beyond that bound the levels are grown together as described.
+functions, at a byte per row and feature and about a hundred more per row. Beyond
+that bound the levels are grown together as described: a pass over the blocks is
+a Spark job, and a run has ``trees x depth`` of them.
 
 Loss: weighted logistic, second order. Leaf value ``-G / (H + l2)``, split gain
 ``GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2)``; rows and columns are sampled per tree
@@ -41,8 +43,8 @@ from riskspark.session import ensure_checkpoint_dir
 REFRESH = 20
 #: Rows of a block.
 BLOCK_ROWS = 8_192
-#: Rows of one fit that a task may hold; fits with more are grown level by level over all blocks.
-ROWS_PER_TASK = 100_000
+#: Rows of one fit that a task may hold, and bytes of their bins; larger fits are grown level by level over all blocks.
+ROWS_PER_TASK, BYTES_PER_TASK = 2_000_000, 64 << 20
 #: Rows of all fits in a partition of blocks, where there are more than the cores' share.
 ROWS_PER_PARTITION = 2_000_000
 #: Relative rank error of the cuts.
@@ -163,13 +165,18 @@ def sampled_columns(fit: Fit, number: int, tree: int, p: BoostParams) -> list[in
 
 def _descend(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """The node of each column of ``codes`` (features x rows) after some levels of one tree."""
-    node, row = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
+    node = np.zeros(codes.shape[1], np.int64)
     for _ in range(levels):
-        f = feature[node]
-        node = np.where(f >= 0, 2 * node + 1 + (codes[np.maximum(f, 0), row] > cut[node]), node)
+        node = _step(codes, node, feature, cut)
     return node
 
 
+def _step(codes: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The node of each column of ``codes`` one level below ``node``; a node that doesn't split keeps its rows."""
+    f, row = feature[node], np.arange(codes.shape[1])
+    return np.where(f >= 0, 2 * node + 1 + (codes[np.maximum(f, 0), row] > cut[node]), node)
+
+
 def _gradients(margin: np.ndarray, y: np.ndarray, used: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
     p = sigmoid(margin)
     w = np.where(y > 0, weight, 1.0) * used
@@ -264,8 +271,9 @@ def _grow_fit(codes, y, hashes, number: int, fit: Fit, p: BoostParams) -> list[_
             wanted = tree.wanted()
             hist = _histogram(codes, node, wanted, g, h, used, tree.columns, p.bins)
             tree.split(dict(zip(wanted, hist)))
-            node = _descend(codes, tree.feature, tree.cut, level + 1)
+            node = _step(codes, node, tree.feature, tree.cut)
         margin += tree.value[node]
+        tree.hist = {}
         trees.append(tree)
     return trees
 
@@ -384,14 +392,13 @@ def _grow_levels(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[lis
 
 
 def _grow_alone(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[list[_Tree]]:
-    """Each fit in a task of its own; for fits of at most ``ROWS_PER_TASK`` rows."""
+    """Each fit in a task of its own; for fits of a bounded number of rows (``rows_per_task`` of ``boost``)."""
     def deal(block):
-        k, codes, y, hashes = _views(block)
-        return k, (codes, y, hashes)
+        return block[0], tuple(block[:5])
 
     def grow(item):
         k, parts = item
-        codes, y, hashes = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+        codes, y, hashes = (np.concatenate(p, axis=-1) for p in zip(*[_views(block)[1:] for block in parts]))
         order = np.lexsort((y, hashes))
         return k, _grow_fit(codes[:, order], y[order], hashes[order], k, fits[k], p)
     grown = dict(blocks.rdd.map(deal).groupByKey(len(fits)).map(grow).collect())
@@ -399,15 +406,18 @@ def _grow_alone(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[list
 
 
 def boost(rows: DataFrame, features: list[str], fits: list[Fit], params: BoostParams | None = None,
-          rows_per_task: int = ROWS_PER_TASK) -> list[BoostedTrees]:
+          rows_per_task: int | None = None) -> list[BoostedTrees]:
     """Fit all ``fits`` on ``rows(features.., y, fits, hash)``: ``fits`` is a bit mask of the fits that learn from a
     row, ``hash`` decides what samples it is in. A feature may be null where no fit of the row uses it. At most 62 fits.
+    Fits of at most ``rows_per_task`` rows (what ``ROWS_PER_TASK`` and ``BYTES_PER_TASK`` allow) grow in a task each.
 
     A fit without rows, or with rows of one class only and nothing to split, is a model of margin 0 or of roots.
     """
     p = params or BoostParams()
     if len(fits) > 62:
         raise ValueError("a run holds at most 62 fits")
+    if rows_per_task is None:
+        rows_per_task = min(ROWS_PER_TASK, BYTES_PER_TASK // max(1, len(features)))
     ensure_checkpoint_dir(rows.sparkSession)
     cuts = quantile_cuts(rows, features, p.bins)
     mask = [F.count_if(F.col("fits").bitwiseAND(F.lit(1 << k).cast("long")) != 0) for k in range(len(fits))]

@@ -145,3 +145,23 @@ def test_many_small_pieces_are_dealt_over_the_cores(spark, monkeypatch):
     assert {r["fit"]: r["n"] for r in seen[0].groupBy("fit").agg(F.sum("n").alias("n")).collect()} == {0: 267, 1: 266}
     merged = seen[0].rdd.mapPartitions(boosting._merged).map(lambda b: b[:2]).collect()
     assert sum(n for _, n in merged) == 533
+
+
+def test_fits_that_a_task_can_hold_need_no_job_per_level(spark, monkeypatch):
+    """Fits of over 100,000 rows grow in a task each as long as their bins fit; both ways give the same trees."""
+    df = spark.range(120_000).select((F.col("id") % 97).cast("double").alias("a"),
+                                     (F.col("id") % 31).cast("double").alias("b"),
+                                     ((F.col("id") % 97) > 60).cast("int").alias("y"),
+                                     (F.lit(1) + F.col("id") % 2 * 2).alias("fits"), F.xxhash64("id").alias("hash"))
+    fits, p, levels = [Fit([0, 1], 2.0), Fit([1])], BoostParams(trees=3, depth=2), []
+    grow = boosting._grow_levels
+    monkeypatch.setattr(boosting, "_grow_levels", lambda *a: levels.append(1) or grow(*a))
+    alone = boost(df, ["a", "b"], fits, p)
+    assert not levels
+    monkeypatch.setattr(boosting, "BYTES_PER_TASK", 100_000)  # 50,000 rows of two features
+    level = boost(df, ["a", "b"], fits, p)
+    assert levels
+    for one, other in zip(alone, level):
+        assert (one.feature == other.feature).all() and (one.threshold == other.threshold).all()
+        assert one.value == pytest.approx(other.value, abs=1e-9)
+        assert (one.cover == other.cover).all()
