@@ -87,16 +87,18 @@ class BoostedTrees:
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Sum of the trees' values for the rows of a matrix (columns as ``features``)."""
         out = np.zeros(len(x))
-        depth = int(math.log2(self.feature.shape[1] + 1)) - 1
+        depth, n = int(math.log2(self.feature.shape[1] + 1)) - 1, self.feature.shape[1]
+        first = np.arange(len(self.feature)) * n  # flat places: ``take`` is far faster than indexing by pairs
+        feature, threshold, value = self.feature.ravel(), self.threshold.ravel(), self.value.ravel()
         for lo in range(0, len(x), 2_048):
-            part = x[lo:lo + 2_048]
-            node = np.zeros((len(part), len(self.feature)), np.int64)
-            tree, row = np.arange(len(self.feature)), np.arange(len(part))[:, None]
+            part = np.ascontiguousarray(x[lo:lo + 2_048])
+            node, row = np.zeros((len(part), len(first)), np.int64), np.arange(len(part))[:, None] * x.shape[1]
             for _ in range(depth):
-                f = self.feature[tree, node]
-                right = part[row, np.maximum(f, 0)] > self.threshold[tree, node]
+                at = first + node
+                f = feature.take(at)
+                right = part.take(row + np.maximum(f, 0)) > threshold.take(at)
                 node = np.where(f >= 0, 2 * node + 1 + right, node)
-            out[lo:lo + 2_048] = self.value[tree, node].sum(axis=1)
+            out[lo:lo + 2_048] = value.take(first + node).sum(axis=1)
         return out
 
     def flat_trees(self) -> list[tuple[float, dict]]:

@@ -19,6 +19,9 @@ alone, and the bounds of a pair of blocks are one matrix product. Search:
 2. The k-th smallest upper bound over all blocks drops more of them.
 3. *Refine.* Only for what is left the vectors are fetched and compared.
 
+Points may come in groups that are searched apart in the same passes: each group is
+a tree of its own, whose root cell is the group's number.
+
 No candidate is dropped without that proof, so the result equals brute force. The
 boxes prune in few dimensions; in many (13 to 200 tested) it is the
 approximations that leave few exact distances (``n_compared`` tells how many).
@@ -41,9 +44,9 @@ from riskspark.operators.cumulative import running_sums
 LEAF_SIZE, BITS = 1024, 8
 #: Relative room for rounding in the bounds.
 ROOM = 1e-12
-BLOCK = ("cell long, pids binary, vecs binary, mults binary, bounds binary, farthest double, "
+BLOCK = ("cell long, grp long, pids binary, vecs binary, mults binary, bounds binary, farthest double, "
          "codes binary, low binary, step binary, errors binary")
-CANDIDATE = "pid long, nid long, mult long, lower double, upper double"
+CANDIDATE = "grp long, pid long, nid long, mult long, lower double, upper double"
 
 
 def _sqdist(a: Column, b: Column) -> Column:
@@ -81,14 +84,14 @@ def _median_by_cell(df: DataFrame) -> DataFrame:
 
 
 def build_tree(points: DataFrame, d: int, leaf_size: int = LEAF_SIZE, seed: int = 7):
-    """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels)."""
+    """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels); a group ``grp`` is a tree."""
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(points.sparkSession)
-    n = points.count()
+    n = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     levels = max(0, math.ceil(math.log2(max(1, n) / leaf_size)))
     rng = np.random.default_rng(seed)
     # checkpointed so ``cell`` is data, not a literal the optimizer would fold into a cross join
-    cur = points.select("*", F.lit(0).cast("long").alias("cell")).checkpoint()
+    cur = points.select("*", F.col("grp").alias("cell")).checkpoint()
     boxes = [_box(cur, "cell", d).checkpoint()]
     for _ in range(levels):
         u = rng.standard_normal(d)
@@ -139,6 +142,13 @@ def kth_bound(upper: np.ndarray, mults: np.ndarray, k: int) -> np.ndarray:
     return np.where(held.any(axis=1), upper[at, order[at, first]], np.inf)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions of work that is heavy for its bytes (a block takes a matrix product per pair), which the
+    session would merge by size."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _blocks(leaves: DataFrame, k: int, d: int, bits: int) -> DataFrame:
     """One row per leaf: its points as queries, with a first bound each, and their approximations."""
     def pack(leaf: pd.DataFrame) -> pd.DataFrame:
@@ -153,31 +163,33 @@ def _blocks(leaves: DataFrame, k: int, d: int, bits: int) -> DataFrame:
             rows = mults == own
             bounds[rows] = kth_bound(upper[rows], mults, k - own + 1)
         return pd.DataFrame({
-            "cell": [leaf["cell"].iloc[0]], "pids": [leaf["pid"].to_numpy(np.int64).tobytes()],
+            "cell": [leaf["cell"].iloc[0]], "grp": [leaf["grp"].iloc[0]], "pids": [leaf["pid"].to_numpy(np.int64).tobytes()],
             "vecs": [x.tobytes()], "mults": [mults.tobytes()], "bounds": [bounds.tobytes()],
             "farthest": [float(bounds.max())], "codes": [codes.tobytes()], "low": [low.tobytes()],
             "step": [step.tobytes()], "errors": [errors.tobytes()]})
 
-    return leaves.select("cell", "pid", "vec", "mult").groupBy("cell").applyInPandas(pack, BLOCK)
+    return leaves.select("cell", "grp", "pid", "vec", "mult").repartition(_tasks(leaves), "cell").groupBy("cell").applyInPandas(pack, BLOCK)
 
 
 def _block_pairs(blocks: DataFrame, boxes: list, levels: int) -> DataFrame:
     """Each block as queries, with the approximations of every block within reach of its box."""
-    asks, answers = ["pids", "vecs", "bounds"], ["mults", "codes", "low", "step", "errors"]
-    if levels == 0:  # one block, which meets itself
+    asks, answers = ["grp", "pids", "vecs", "bounds"], ["mults", "codes", "low", "step", "errors"]
+    if levels == 0:  # a block per group, which meets itself
         return blocks.select(*asks, F.col("pids").alias("nids"), *answers)
     blocks = blocks.checkpoint()
     box = boxes[levels].select(F.col("cell").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
     reach = F.col("farthest") * (1 + ROOM)
     frontier = blocks.select(F.col("cell").alias("own"), (reach * reach).alias("reach")).join(box, "own") \
-        .select("*", F.lit(0).cast("long").alias("node"))
+        .select("*", F.shiftright("own", levels).alias("node"))
     for lvl in range(1, levels + 1):
         kids = frontier.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
         near = _boxes_sqdist(F.col("own_lo"), F.col("own_hi"), F.col("lo"), F.col("hi")) <= F.col("reach")
         frontier = kids.join(boxes[lvl].withColumnRenamed("cell", "node"), "node").where(near) \
             .select("own", "reach", "own_lo", "own_hi", "node").checkpoint()
+    n = _tasks(blocks)
     return (frontier.select("own", "node").join(blocks.select(F.col("cell").alias("own"), *asks), "own")
-            .join(blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), *answers), "node"))
+            .repartition(n, "node").join(blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), *answers)
+                                         .repartition(n, "node"), "node"))
 
 
 def _filter(pairs: DataFrame, k: int, d: int) -> DataFrame:
@@ -199,45 +211,50 @@ def _filter(pairs: DataFrame, k: int, d: int) -> DataFrame:
                 # negated, so that what can't be compared (overflow) stays
                 q, n = np.nonzero(~(lower > bound[:, None]) & ~itself)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pids[q]), pa.array(nids[n]), pa.array(mults[n]), pa.array(lower[q, n]),
-                     pa.array(upper[q, n])], ["pid", "nid", "mult", "lower", "upper"])
+                    [pa.array(np.full(len(q), row["grp"])), pa.array(pids[q]), pa.array(nids[n]), pa.array(mults[n]), pa.array(lower[q, n]),
+                     pa.array(upper[q, n])], ["grp", "pid", "nid", "mult", "lower", "upper"])
 
     return pairs.mapInArrow(meet, CANDIDATE)
 
 
 def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = LEAF_SIZE, seed: int = 7,
-              bits: int = BITS) -> DataFrame:
+              bits: int = BITS, group: str | None = None) -> DataFrame:
     """``points(pid, vec, mult)`` -> ``(pid, neighbours ARRAY<STRUCT<dist, nid>>, n_compared)``, k slots.
 
+    ``group`` names a column of small numbers (0 or more, long): neighbours are sought in a point's own group, the
+    column comes first in the result, and a ``pid`` names a point of a group.
+
     Duplicates of a point count as neighbours at distance 0 (``mult - 1`` slots). Equal distances
     are ordered by ``nid``. ``n_compared``: exact distances that the point needed.
     """
-    leaves, boxes, levels = build_tree(points, d, leaf_size, seed)
+    grp = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    leaves, boxes, levels = build_tree(points.select(grp.alias("grp"), "pid", "vec", "mult"), d, leaf_size, seed)
+    point = ["grp", "pid"]
     # 1. filter: the bounds of the points of near blocks
     close_blocks = _block_pairs(_blocks(leaves, k, d, bits), boxes, levels)
 
     # 2. the k-th smallest upper bound over all blocks (both windows share one exchange)
-    held = Window.partitionBy("pid").orderBy("upper", "nid")
-    bound = F.min(F.when(F.col("_held") >= k, F.col("upper"))).over(Window.partitionBy("pid"))
-    close = (_filter(close_blocks, k, d).withColumn("_held", F.sum(F.least("mult", F.lit(k))).over(held))
+    held = Window.partitionBy(*point).orderBy("upper", "nid")
+    bound = F.min(F.when(F.col("_held") >= k, F.col("upper"))).over(Window.partitionBy(*point))
+    close = (_filter(close_blocks, k, d).repartition(_tasks(leaves), *point).withColumn("_held", F.sum(F.least("mult", F.lit(k))).over(held))
              .withColumn("bound", bound).where(~F.coalesce(F.col("lower") > F.col("bound"), F.lit(False))))
 
     # 3. refine: vectors only for what is left
-    vecs = leaves.select("pid", "vec")
-    exact = (close.select("pid", "nid", "mult").join(vecs, "pid")
-             .join(vecs.select(F.col("pid").alias("nid"), F.col("vec").alias("nvec")), "nid")
-             .select("pid", "nid", "mult", F.sqrt(_sqdist(F.col("vec"), F.col("nvec"))).alias("dist")))
-    rank = Window.partitionBy("pid").orderBy("dist", "nid")
-    best = (exact.withColumn("_rank", F.row_number().over(rank)).groupBy("pid").agg(
+    vecs = leaves.select(*point, "vec")
+    exact = (close.select(*point, "nid", "mult").join(vecs, point)
+             .join(vecs.select("grp", F.col("pid").alias("nid"), F.col("vec").alias("nvec")), ["grp", "nid"])
+             .select(*point, "nid", "mult", F.sqrt(_sqdist(F.col("vec"), F.col("nvec"))).alias("dist")))
+    rank = Window.partitionBy(*point).orderBy("dist", "nid")
+    best = (exact.withColumn("_rank", F.row_number().over(rank)).groupBy(*point).agg(
         F.count(F.lit(1)).alias("n_compared"),
         F.array_sort(F.collect_list(F.when(F.col("_rank") <= k, F.struct("dist", "nid", "mult")))).alias("best")))
     slot = "array<struct<dist:double,nid:long,mult:bigint>>"
     itself = F.when(F.col("mult") > 1, F.array(F.struct(F.lit(0.0).alias("dist"), F.col("pid").alias("nid"),
                                                        (F.col("mult") - 1).alias("mult")))) \
         .otherwise(F.array().cast(slot))
-    merged = leaves.select("pid", "mult").join(best, "pid", "left")
+    merged = leaves.select(*point, "mult").join(best, point, "left")
     slots = F.flatten(F.transform(F.concat(itself, F.coalesce(F.col("best"), F.array().cast(slot))),
                                   lambda c: F.array_repeat(F.struct(c["dist"].alias("dist"), c["nid"].alias("nid")),
                                                            F.least(c["mult"], F.lit(k)).cast("int"))))
-    return merged.select("pid", F.slice(slots, 1, k).alias("neighbours"),
+    return merged.select(*([F.col("grp").alias(group)] if group else []), "pid", F.slice(slots, 1, k).alias("neighbours"),
                          F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"))

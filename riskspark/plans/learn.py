@@ -13,23 +13,28 @@ short and survives lost executors.
 from __future__ import annotations
 
 import json
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.config import DEFAULT_CONFIG, RiskConfig
-from riskspark.operators.boosting import BoostedTrees, BoostParams, Fit, boost
+from riskspark.operators.boosting import BoostedTrees, BoostParams, Fit, boost, sigmoid
 from riskspark.operators.clean import CleaningModel
+from riskspark.operators.cumulative import ROWS_PER_BUCKET
 from riskspark.operators.metrics import ranking_metrics, tune_threshold
 from riskspark.operators.sampling import stratified_folds, stratified_split
 from riskspark.operators.selection import FeatureModel, FeatureSelector, fit_selectors
 
 DEFAULT_TREES = 300
+#: Synthetic rows of a partition, where a draw makes more.
+DRAW_ROWS = 100_000
 
 
 @dataclass
@@ -76,6 +81,19 @@ def predict_proba(model: BoostedTrees, df: DataFrame, out: str = "p") -> DataFra
     return df.select("*", model.probability(*[F.col(f"`{f}`").cast("double") for f in model.features]).alias(out))
 
 
+def fold_probability(models: list[BoostedTrees], fold: F.Column) -> F.Column:
+    """Positive-class probability by the model of the row's fold; the models share their features."""
+    @F.pandas_udf("double")
+    def score(folds: pd.Series, *values: pd.Series) -> pd.Series:
+        x, of = np.column_stack([v.to_numpy(float) for v in values]), folds.to_numpy()
+        margin = np.zeros(len(x))
+        for k, model in enumerate(models):
+            mine = np.flatnonzero(of == k)
+            margin[mine] = model.margin(x[mine])
+        return pd.Series(sigmoid(margin))
+    return score(fold, *[F.col(f"`{f}`").cast("double") for f in models[0].features])
+
+
 @dataclass
 class TrainedModel:
     """D10 result: fitted cleaning + selection + booster + tuned threshold + summary.
@@ -159,7 +177,7 @@ def train_many(df: DataFrame, features: list[str], models: dict[str, bool], cfg:
                top_k: int | None = None, split: DataFrame | None = None) -> tuple[dict, DataFrame]:
     """The trained bundles by name (``models``: name to whether the leak column is allowed) and the split
     frame (``is_test`` column). Each model has a fit per fold, on all other folds' rows, and one on all rows."""
-    from riskspark.operators.smote import smote
+    from riskspark.operators.smote import Draw, smote_draws
     from riskspark.session import ensure_checkpoint_dir
 
     params = params or GBTParams()
@@ -182,6 +200,7 @@ def train_many(df: DataFrame, features: list[str], models: dict[str, bool], cfg:
     prepared = stratified_folds(FeatureModel(union, medians).transform(train, keep=(key, y)), n_folds, y, key,
                                 cfg.seed + 1).checkpoint()
     weight = class_weight(prepared, y, cfg)
+    n_train = prepared.count()
     mark("folds")
 
     # fit number: model * (folds + 1) + the fold it leaves out (or ``n_folds``: none)
@@ -192,37 +211,53 @@ def train_many(df: DataFrame, features: list[str], models: dict[str, bool], cfg:
                                                       F.col("fold") + 1).alias("fits"),
                            F.xxhash64(F.col(key).cast("string"), F.lit(params.seed)).alias("hash"))
 
-    def synthetic(number: int) -> DataFrame:
-        m, fold = numbers[number]
-        feats = chosen[m].selected
-        rows = prepared.where(F.col("fold") != fold).select(key, y, *feats)
-        rows = smote(rows, feats, y, key, seed=cfg.seed if fold == n_folds else cfg.seed + 10 + fold)
-        columns = [F.col(f) if f in feats else F.lit(None).cast("double").alias(f) for f in union]
-        return rows.where("synthetic").select(*columns, label, F.lit(1 << number).cast("long").alias("fits"),
-                                              F.xxhash64(*feats, F.lit(number)).alias("hash")).checkpoint()
-
-    rows = real
-    if use_smote:
-        with ThreadPoolExecutor(len(numbers)) as pool:
-            rows = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(synthetic),
-                                                          range(len(numbers))), rows)
+    def synthetic() -> DataFrame | None:
+        draws = [Draw(F.col("fold") != fold, chosen[m].selected,
+                      cfg.seed if fold == n_folds else cfg.seed + 10 + fold) for m, fold in numbers]
+        made = smote_draws(prepared, draws, y, key)
+        if made is None:
+            return None
+
+        def by_model(column) -> F.Column:
+            own = [F.when(F.col("draw").between(m * (n_folds + 1), m * (n_folds + 1) + n_folds), column(fm.selected))
+                   for m, fm in enumerate(chosen)]
+            return F.coalesce(*own)
+        columns = [by_model(lambda sel, f=f: F.col("svec")[sel.index(f)] if f in sel
+                            else F.lit(None).cast("double")).alias(f) for f in union]
+        hashed = by_model(lambda sel: F.xxhash64(*[F.col("svec")[i] for i in range(len(sel))], "draw"))
+        made = made.select(*columns, F.lit(1).cast("int").alias("y"),
+                           F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(len(numbers))]),
+                                        F.col("draw") + 1).alias("fits"), hashed.alias("hash"), "draw")
+        # a draw makes fewer rows than it has, so partitions of a draw hold about ``DRAW_ROWS`` at most
+        share = max(1, math.ceil(n_train / DRAW_ROWS))
+        place = F.col("draw") * share + F.pmod(F.col("hash"), F.lit(share)).cast("int")
+        return made.repartitionById(share * len(numbers), place).drop("draw").checkpoint()
+
+    rows, made = real, synthetic() if use_smote else None
+    if made is not None:
+        rows = rows.unionByName(made)
     mark("smote")
     fits = [Fit([union.index(f) for f in chosen[m].selected], weight) for m, _ in numbers]
     grown = boost(rows, union, fits, params.booster())
     mark("boosting")
 
-    def tuned(m: int) -> tuple[float, float]:
-        oof = reduce(DataFrame.unionByName, [
-            predict_proba(grown[k], prepared.where(F.col("fold") == fold)).select(key, y, "p")
-            for k, (of, fold) in enumerate(numbers) if of == m and fold < n_folds]).checkpoint()
-        best = tune_threshold(oof, y, "p").first()
-        found = best is not None and best["threshold"] is not None
-        return float(ranking_metrics(oof, y, "p").first()["pr_auc"] or 0.0), float(best["threshold"]) if found else 0.5
-    with ThreadPoolExecutor(len(chosen)) as pool:
-        scores = list(pool.map(inheritable_thread_target(spark)(tuned), range(len(chosen))))
+    # out of fold: each row by the fits that left its fold out, all models in one pass
+    held = [fold_probability([grown[numbers.index((m, fold))] for fold in range(n_folds)], F.col("fold"))
+            for m in range(len(chosen))]
+    oof = prepared.select(F.col(y), F.array(*held).alias("_p")).select(
+        y, F.posexplode("_p").alias("model", "p")).checkpoint()
+    n_buckets = math.ceil(n_train / ROWS_PER_BUCKET) or 1
+    with ThreadPoolExecutor(2) as pool:
+        best, ranked = pool.map(inheritable_thread_target(spark)(
+            lambda metric: {r["model"]: r for r in metric(oof, y, "p", ["model"], n_buckets).collect()}),
+            (tune_threshold, ranking_metrics))  # a row per model
+    scores = []
+    for m in range(len(chosen)):
+        found = m in best and best[m]["threshold"] is not None
+        pr_auc = ranked[m]["pr_auc"] if m in ranked else None
+        scores.append((float(pr_auc or 0.0), float(best[m]["threshold"]) if found else 0.5))
     mark("oof_metrics")
 
-    n_train = prepared.count()
     out = {}
     for m, ((name, leak), fm, (pr_auc, threshold)) in enumerate(zip(models.items(), chosen, scores)):
         out[name] = TrainedModel(name, leak, fm, grown[numbers.index((m, n_folds))], threshold, pr_auc,

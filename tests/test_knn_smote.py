@@ -102,3 +102,53 @@ def test_smote_balances_and_interpolates(spark):
 def test_smote_leaves_single_positive_alone(spark):
     df = spark.createDataFrame([(1, .1, 1), (2, .2, 0), (3, .3, 0)], "account_id long, a double, y int")
     assert smote(df, ["a"], "y").count() == 3
+
+
+def test_groups_are_searched_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(g, i, rng.standard_normal(3).round(2).tolist(), 1 + i % 2) for g in (0, 2, 5) for i in range(20 + 30 * g)]
+    pts = spark.createDataFrame(rows, "draw int, pid long, vec array<double>, mult long")
+    joint = exact_knn(pts, 4, 3, leaf_size=16, group="draw")
+    assert joint.columns[0] == "draw"
+    got = {(r["draw"], r["pid"]): r["neighbours"] for r in joint.collect()}
+    assert len(got) == len(rows)
+    for g in (0, 2, 5):
+        alone = exact_knn(pts.where(F.col("draw") == g).drop("draw"), 4, 3, leaf_size=16).collect()
+        assert {r["pid"]: r["neighbours"] for r in alone} == {p: n for (of, p), n in got.items() if of == g}
+
+
+def test_draws_equal_smote_of_each_part(spark):
+    """Subsets of a table with their own features and seeds, in one run and one by one."""
+    from pyspark.sql import functions as F
+
+    from riskspark.operators.smote import Draw, smote_draws
+
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 17 else None, float(a), float(b), int(i % 7 == 0), i % 3)
+            for i, (a, b) in enumerate(rng.integers(0, 9, (150, 2)))]
+    df = spark.createDataFrame(rows, "account_id long, a double, b double, y int, part int")
+    few = (F.col("y") == 0) | (F.col("account_id") < 25)  # three positives: two neighbours
+    draws = [Draw(F.col("part") != 0, ["a", "b"], 4), Draw(F.col("part") != 1, ["b"], 5), Draw(few, ["b", "a"], 6),
+             Draw(F.col("y") == 0, ["a"], 7)]
+    got: dict = {}
+    for r in smote_draws(df, draws).collect():
+        got.setdefault(r["draw"], []).append(tuple(r["svec"]))
+    assert 3 not in got
+    for k, d in enumerate(draws[:3]):
+        alone = smote(df.where(d.rows), d.features, seed=d.seed).where("synthetic").select(*d.features).collect()
+        assert alone and sorted(map(tuple, alone)) == sorted(v[:len(d.features)] for v in got[k])
+
+
+def test_training_oversamples_all_fits_in_one_run(spark, monkeypatch):
+    """The jobs of a training must not grow with its fits: one search of neighbours serves all of them."""
+    import riskspark.operators.smote as module
+    from riskspark.plans.learn import GBTParams, train_many
+
+    calls, search = [], module.exact_knn
+    monkeypatch.setattr(module, "exact_knn", lambda *a, **kw: calls.append(1) or search(*a, **kw))
+    rows = [(i, float(i % 11), float(i % 5), int(i % 6 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "account_id long, a double, b double, y int")
+    models, _ = train_many(df, ["a", "b"], {"A": True, "B": False}, params=GBTParams(max_iter=2), n_folds=3)
+    assert set(models) == {"A", "B"} and len(calls) == 1
