@@ -27,12 +27,13 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -421,9 +422,12 @@ def boost(rows: DataFrame, features: list[str], fits: list[Fit], params: BoostPa
     if rows_per_task is None:
         rows_per_task = min(ROWS_PER_TASK, BYTES_PER_TASK // max(1, len(features)))
     ensure_checkpoint_dir(rows.sparkSession)
-    cuts = quantile_cuts(rows, features, p.bins)
     mask = [F.count_if(F.col("fits").bitwiseAND(F.lit(1 << k).cast("long")) != 0) for k in range(len(fits))]
-    sizes = rows.agg(*[m.alias(f"n{k}") for k, m in enumerate(mask)]).first() or [0]
+    with ThreadPoolExecutor(1) as pool:  # two passes that don't wait for each other
+        counted = pool.submit(inheritable_thread_target(rows.sparkSession)(
+            lambda: rows.agg(*[m.alias(f"n{k}") for k, m in enumerate(mask)]).first() or [0]))
+        cuts = quantile_cuts(rows, features, p.bins)
+        sizes = counted.result()
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(sizes) / ROWS_PER_PARTITION))
     blocks = _blocks(rows, features, cuts, len(fits)).repartition(parts).checkpoint()
     grow: Callable = _grow_alone if max(sizes) <= rows_per_task else _grow_levels

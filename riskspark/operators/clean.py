@@ -10,7 +10,7 @@ cannot drift. Fitting counts columns in chunks; transforming is a single
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +90,8 @@ class CleaningModel:
     missing_columns: list[str]
     n_rows: int = 0
     null_fractions: dict = field(default_factory=dict)
+    #: ``sampling.split_cuts`` of the rows that fitting held out.
+    held_out: list = field(default_factory=list)
 
     @property
     def output_features(self) -> list[str]:
@@ -108,6 +110,12 @@ class CleaningModel:
                  for c in self.missing_columns]
         return coerced.select("*", *flags)
 
+    def split(self, clean: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame | None:
+        """The cleaned rows with ``is_test`` as fitting held them out (what ``stratified_split`` gives for the table
+        that was fitted, without another pass); None if it held out none."""
+        from riskspark.operators.sampling import apply_split
+        return apply_split(clean, self.held_out, "y", self.key, cfg.seed) if self.held_out else None
+
     def metadata(self, spark: SparkSession) -> DataFrame:
         """One summary row of the fitted cleaning."""
         return spark.createDataFrame(
@@ -135,13 +143,14 @@ class Cleaner:
 
     def fit_on_training_rows(self, raw: DataFrame) -> CleaningModel:
         """Fit without the rows that ``stratified_split`` holds out (all rows if there is no target)."""
-        from riskspark.operators.sampling import stratified_split
+        from riskspark.operators.sampling import apply_split, split_cuts
         cfg = self.cfg
         if cfg.target not in raw.columns or cfg.key not in raw.columns:
             return self.fit(raw)
         rows = raw.withColumn("_split_y", target_column(F.col(cfg.target)))
-        split = stratified_split(rows, "_split_y", cfg.key, 0.2, cfg.seed)
-        return self.fit(split.where(~F.col("is_test")).drop("_split_y", "is_test"))
+        cuts = split_cuts(rows, "_split_y", cfg.key, 0.2, cfg.seed)
+        split = apply_split(rows, cuts, "_split_y", cfg.key, cfg.seed)
+        return replace(self.fit(split.where(~F.col("is_test")).drop("_split_y", "is_test")), held_out=cuts)
 
     def fit(self, df: DataFrame) -> CleaningModel:
         cfg = self.cfg

@@ -84,7 +84,8 @@ def _median_by_cell(df: DataFrame) -> DataFrame:
 
 
 def build_tree(points: DataFrame, d: int, leaf_size: int = LEAF_SIZE, seed: int = 7):
-    """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels); a group ``grp`` is a tree."""
+    """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels); a group ``grp`` is a tree.
+    Without levels there are no boxes."""
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(points.sparkSession)
     n = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
@@ -92,7 +93,7 @@ def build_tree(points: DataFrame, d: int, leaf_size: int = LEAF_SIZE, seed: int
     rng = np.random.default_rng(seed)
     # checkpointed so ``cell`` is data, not a literal the optimizer would fold into a cross join
     cur = points.select("*", F.col("grp").alias("cell")).checkpoint()
-    boxes = [_box(cur, "cell", d).checkpoint()]
+    boxes = [_box(cur, "cell", d).checkpoint()] if levels else []  # a single block meets itself, whatever its box
     for _ in range(levels):
         u = rng.standard_normal(d)
         proj = cur.select("*", _dot(F.col("vec"), list(u)).alias("proj"))

@@ -9,8 +9,10 @@ selected columns (absent -> NULL) and fills NULLs with the *training* medians.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from riskspark.functions.columns import num
 from riskspark.operators.clean import MISSING_SUFFIX
 from riskspark.operators.cumulative import running_sums
 from riskspark.operators import refine
+from riskspark.session import ensure_checkpoint_dir, small_table
 
 
 def impute_long(long: DataFrame, medians: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def mutual_information(counts: DataFrame, n_bins: int = 20, discrete_max: int =
 
 def information_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
     """``(feature, mi)`` of ``refine.label_information``'s result."""
-    return spark.createDataFrame(list(scores.items()), "feature string, mi double")
+    return small_table(spark, list(scores.items()), "feature string, mi double")
 
 
 def select_features(spark: SparkSession, mi: DataFrame, features: list[str],
@@ -80,8 +83,8 @@ def select_features(spark: SparkSession, mi: DataFrame, features: list[str],
     the first ``top_k`` ranks and every forced column are kept.
     """
     k = cfg.top_k if top_k is None else top_k
-    columns = spark.createDataFrame(list(enumerate(features)), "place int, feature string")
-    hints = spark.createDataFrame(list(enumerate(cfg.hints)), "hint_place int, hint string")
+    columns = small_table(spark, list(enumerate(features)), "place int, feature string")
+    hints = small_table(spark, list(enumerate(cfg.hints)), "hint_place int, hint string")
     flags = hints.select(F.concat("hint", F.lit(MISSING_SUFFIX)).alias("flag"))
     leak = F.lit(include_leakage) & (F.col("feature") == cfg.leakage)
     tiered = (columns.join(hints, F.col("feature") == F.col("hint"), "left")
@@ -141,7 +144,6 @@ def fit_selectors(selectors: list[FeatureSelector], df: DataFrame, features: lis
                   y: str = "y") -> list[FeatureModel]:
     """Fit several selectors on the same training rows: medians and MI of a column don't depend on the others,
     so they are computed once."""
-    from riskspark.session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     allowed = [[f for f in features if s.include_leakage or f != s.cfg.leakage] for s in selectors]  # B8
@@ -150,11 +152,12 @@ def fit_selectors(selectors: list[FeatureSelector], df: DataFrame, features: lis
     medians = refine.medians(df, every, y)
     mi_scores = refine.label_information(df, every, medians, y)
     mi = information_table(spark, mi_scores)
-    out = []
-    for s, feats in zip(selectors, allowed):
+
+    def model(s: FeatureSelector, feats: list[str]) -> FeatureModel:
         sel = select_features(spark, mi.where(F.col("feature").isin(feats)), feats, s.cfg, s.include_leakage, s.top_k)
         chosen = [r["feature"] for r in sel.orderBy("rank").collect()]
-        out.append(FeatureModel(chosen, {f: medians.get(f, 0.0) for f in chosen},
-                                {f: v for f, v in mi_scores.items() if f in feats},
-                                s.cfg.leakage in features, s.include_leakage))
-    return out
+        return FeatureModel(chosen, {f: medians.get(f, 0.0) for f in chosen},
+                            {f: v for f, v in mi_scores.items() if f in feats},
+                            s.cfg.leakage in features, s.include_leakage)
+    with ThreadPoolExecutor(2) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(model), selectors, allowed))

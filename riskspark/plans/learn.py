@@ -29,7 +29,7 @@ from riskspark.operators.boosting import BoostedTrees, BoostParams, Fit, boost,
 from riskspark.operators.clean import CleaningModel
 from riskspark.operators.cumulative import ROWS_PER_BUCKET
 from riskspark.operators.metrics import ranking_metrics, tune_threshold
-from riskspark.operators.sampling import stratified_folds, stratified_split
+from riskspark.operators.sampling import apply_folds, fold_cuts, stratified_split
 from riskspark.operators.selection import FeatureModel, FeatureSelector, fit_selectors
 
 DEFAULT_TREES = 300
@@ -192,15 +192,19 @@ def train_many(df: DataFrame, features: list[str], models: dict[str, bool], cfg:
         split = stratified_split(df, y, key, 0.2, cfg.seed).checkpoint()
     train = split.where(~F.col("is_test"))
     mark("split")
-    chosen = fit_selectors([FeatureSelector(cfg, leak, top_k) for leak in models.values()], train, features, y)
+    # folds and class weight need keys and labels only: found while the selectors are fitted
+    apart = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(2) as pool:
+        borders = pool.submit(apart(lambda: fold_cuts(train, n_folds, y, key, cfg.seed + 1)))
+        rows_of = pool.submit(apart(lambda: (class_weight(train, y, cfg), train.count())))
+        chosen = fit_selectors([FeatureSelector(cfg, leak, top_k) for leak in models.values()], train, features, y)
+        (weight, n_train), borders = rows_of.result(), borders.result()
     mark("selection")
     # a column's median is the same in all models, so one prepared table serves them all
     union = list(dict.fromkeys(f for fm in chosen for f in fm.selected))
     medians = {f: m for fm in chosen for f, m in fm.medians.items()}
-    prepared = stratified_folds(FeatureModel(union, medians).transform(train, keep=(key, y)), n_folds, y, key,
-                                cfg.seed + 1).checkpoint()
-    weight = class_weight(prepared, y, cfg)
-    n_train = prepared.count()
+    prepared = apply_folds(FeatureModel(union, medians).transform(train, keep=(key, y)), borders, n_folds, y, key,
+                           cfg.seed + 1).checkpoint()
     mark("folds")
 
     # fit number: model * (folds + 1) + the fold it leaves out (or ``n_folds``: none)

@@ -73,7 +73,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame | str, cfg: RiskConfig = DE
     labelled = "y" in clean.columns
     split = None
     if models is None:
-        models = train_models(clean, cleaner.output_features, cfg, params)
+        models = train_models(clean, cleaner.output_features, cfg, params,
+                              split=cleaner.split(clean, cfg) if labelled else None)
         split = models["split"]
         models["A"].cleaner = models["B"].cleaner = cleaner
     b = models["B"]

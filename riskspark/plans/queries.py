@@ -298,7 +298,7 @@ def trained_models(spark, sf_dir) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         model, clean = cleaning(spark, sf_dir)
-        models = train_models(clean, model.output_features)
+        models = train_models(clean, model.output_features, split=model.split(clean))
         models["A"].cleaner = models["B"].cleaner = model
         _TRAINED[key] = models
     return _TRAINED[key]

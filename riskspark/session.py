@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -49,6 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A configuration-sized table as a local relation: a list of Python rows would be an RDD, read by a job with
+    Python workers each time it is used."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=names), schema)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

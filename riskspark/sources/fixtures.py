@@ -13,6 +13,7 @@ partitions follows the rows, so a task's memory doesn't grow with the tables.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     customer = table(spark, sf_dir, "customer")
 
-    n = max(1, math.ceil(max(lineitem.count(), orders.count(), customer.count()) / ROWS_PER_PARTITION))
+    tables = [t.select(F.lit(i).alias("t")) for i, t in enumerate((lineitem, orders, customer))]
+    rows = reduce(DataFrame.union, tables).groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    n = max(1, math.ceil(rows / ROWS_PER_PARTITION))
     slices = SLICES if n > 1 else 1
 
     def sliced(key: str) -> Column:
