@@ -51,6 +51,11 @@ class PrefixHash:
         """Hashes of the ranges ``[start, end)``."""
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
+    def each(self, length: int) -> np.ndarray:
+        """Hashes of all ranges of a length, by start."""
+        n = len(self.sums) - length
+        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread a hash over all 64 bits."""

@@ -1,10 +1,9 @@
 """Suffix-array dedup: bytes covered by a 50-byte string of an earlier document.
 
 Windows that may be shared meet in buckets (see ``windows``). There the suffixes
-that begin at them are merge sorted. Two suffixes are compared by their longest
-common prefix, found by binary search over prefix polynomial hashes, so a
-comparison takes as many steps as the logarithm of the window; neighbours that
-the hashes call equal are compared byte by byte.
+that begin at them are sorted, some bytes a round; suffixes that agree so far and
+whose prefix polynomial hashes agree need no more rounds. Neighbours that the
+hashes call equal are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.arrays import PrefixHash, Texts, mix, sliding_min
+from riskspark.llm.arrays import PrefixHash, Texts
 from riskspark.llm.windows import Plan, Units, byte_units, covered_by_earlier
 
 WINDOW, GRAM = 50, 20
@@ -34,79 +33,55 @@ def common_prefix(prefix: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int)
     return length
 
 
-def before(data: np.ndarray, prefix: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int,
-           or_equal: np.ndarray) -> np.ndarray:
-    """Whether suffix ``a`` sorts before suffix ``b`` by the first ``limit`` bytes."""
-    length = common_prefix(prefix, a, b, limit)
-    same = length >= limit
-    length[same] = 0
-    return np.where(same, or_equal, data[a + length] < data[b + length])
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number that sorts like them (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))
 
 
 def merge_sort(data: np.ndarray, prefix: PrefixHash, at: np.ndarray, segment: np.ndarray,
                limit: int) -> np.ndarray:
-    """Order of the suffixes ``at`` by segment, then by their first ``limit`` bytes.
+    """Order of the suffixes ``at`` by segment (small numbers, 0 or more), then by their first ``limit`` bytes.
 
-    Bottom-up: in each round the runs of a segment are merged in pairs. The place
-    of an element is its place in its own run plus the number of elements of the
-    other run before it, found by binary search for all elements at once.
+    Most significant bytes first: a round sorts by the group so far and as many of
+    the next bytes as fit a 64-bit number beside it. Suffixes still alike go
+    through another round, unless prefix hashes call all of them equal.
     """
-    order = np.argsort(segment, kind="stable")
-    seg = segment[order]
-    start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-    size = np.diff(np.append(start, len(seg)))
-    head, length = np.repeat(start, size), np.repeat(size, size)
-    width = 1
-    while width < size.max():
-        live = np.flatnonzero(length > width)
-        inner = live - head[live]
-        left = (inner // width) % 2 == 0
-        base = head[live] + inner // (2 * width) * (2 * width)
-        stop = head[live] + length[live]
-        other = np.minimum(base + np.where(left, width, 0), stop)
-        lo, hi = other.copy(), np.minimum(other + width, stop)
-        hi = np.where(left, hi, np.minimum(base + width, stop))
-        own = at[order[live]]
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            first = before(data, prefix, at[order[mid]], own[open_], limit, ~left[open_])
-            lo[open_] = np.where(first, mid + 1, lo[open_])
-            hi[open_] = np.where(first, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        place = base + (inner % width) + (lo - other)
-        moved = order.copy()
-        moved[place] = order[live]
-        order = moved
-        width *= 2
+    words, hashes = _words(data), prefix.of(at, at + limit)
+    order = np.arange(len(at))
+    slots, group, done = order.copy(), segment, 0
+    while len(slots) and done < limit:
+        n = min(8 - -(-int(group.max()).bit_length() // 8), limit - done)
+        key = words[at[order[slots]] + done].astype(np.uint64) >> np.uint64(64 - 8 * n)
+        key |= group.astype(np.uint64) << np.uint64(8 * n)
+        sort = np.argsort(key)
+        order[slots] = order[slots][sort]
+        key, h = key[sort], hashes[order[slots]]
+        tied = key[1:] == key[:-1]
+        run = np.concatenate([[0], np.cumsum(~tied)])
+        mixed = np.zeros(int(run[-1]) + 1, bool)
+        mixed[run[1:][tied & (h[1:] != h[:-1])]] = True
+        left = mixed[run]
+        slots, group = slots[left], (np.cumsum(mixed) - 1)[run[left]]
+        done += n
     return order
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Whether the ``limit`` bytes at ``a`` and at ``b`` are the same."""
-    equal = np.ones(len(a), bool)
-    for k in range(limit):
-        equal &= data[a + k] == data[b + k]
+    """Whether the ``limit`` bytes (eight or more) at ``a`` and at ``b`` are the same."""
+    words, equal = _words(data), np.ones(len(a), bool)
+    for k in [*range(0, limit - 8, 8), limit - 8]:
+        equal &= words[a + k] == words[b + k]
     return equal
 
 
 def equal_windows(units: Units, win: np.ndarray, family: np.ndarray, window: int) -> np.ndarray:
-    """Group numbers of the windows at ``win`` (ascending); equal windows alike.
-
-    Equal windows have their minimiser at the same place, so a family's suffixes
-    are sorted apart for each place.
-    """
+    """Group numbers of the windows at ``win``; equal windows alike (and of one family)."""
     prefix = PrefixHash(units.codes)
-    grams = np.arange(len(units.codes) - GRAM + 1)
-    value = mix(prefix.of(grams, grams + GRAM))
-    low = sliding_min(value, window - GRAM + 1)[win]
-    nearest = np.maximum(np.searchsorted(win, grams, "right") - 1, 0)
-    places = np.flatnonzero(value == low[nearest])
-    offset = places[np.searchsorted(places, win)] - win
-    _, segment = np.unique(family * (window + 1) + offset, return_inverse=True)
-    order = merge_sort(units.data, prefix, win, segment, window)
+    order = merge_sort(units.data, prefix, win, family, window)
     a, b = win[order[:-1]], win[order[1:]]
-    same = (segment[order[1:]] == segment[order[:-1]]) & (common_prefix(prefix, a, b, window) >= window)
+    value, sorted_family = prefix.of(win, win + window)[order], family[order]
+    same = (value[1:] == value[:-1]) & (sorted_family[1:] == sorted_family[:-1])
     near = np.flatnonzero(same)
     group = np.empty(len(win), np.int64)
     if not same_bytes(units.data, a[near], b[near], window).all():

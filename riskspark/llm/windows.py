@@ -34,6 +34,8 @@ from riskspark.llm.arrays import BYTE_CODE, PrefixHash, Texts, mix, ranges, slid
 
 #: Bytes of text in a batch; a task's memory is some tens of times this.
 BATCH_BYTES = 4 << 20
+#: Bytes of text whose units are in memory at once (or one longer document): few enough for a core's cache.
+PIECE_BYTES = 1 << 17
 #: From so many windows on, those of a minimiser are dealt one by one.
 HOT_WINDOWS = 1 << 14
 _KEY_BITS = 35
@@ -99,15 +101,20 @@ class Stretches:
 def stretches(units: Units, plan: Plan) -> Stretches | None:
     """Maximal runs of windows with one minimiser; none if no text has a window."""
     counts = np.maximum(units.last - units.first - plan.window + 1, 0)
-    win = ranges(units.first, counts)
-    if not len(win):
+    some = np.flatnonzero(counts)
+    if not len(some):
         return None
-    prefix = PrefixHash(units.codes)
-    at = np.arange(len(units.codes) - plan.gram + 1)
-    low = sliding_min(mix(prefix.of(at, at + plan.gram)), plan.window - plan.gram + 1)[win]
-    text = np.repeat(np.arange(len(counts)), counts)
-    cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])]))
-    return Stretches(text[cut], win[cut], np.diff(np.append(cut, len(win))), low[cut])
+    low = sliding_min(mix(PrefixHash(units.codes).each(plan.gram)), plan.window - plan.gram + 1)
+    # places where windows begin or end, or the minimiser changes
+    first, stop = units.first[some], units.first[some] + counts[some]
+    border = np.concatenate([[True], low[1:] != low[:-1], [True]])
+    border[first] = border[stop] = True
+    cut = np.flatnonzero(border)
+    cut, size = cut[:-1], np.diff(cut)
+    text = np.searchsorted(first, cut, "right") - 1
+    inside = np.flatnonzero((text >= 0) & (cut < stop[text]))
+    cut = cut[inside]
+    return Stretches(some[text[inside]], cut, size[inside], low[cut])
 
 
 def _deal(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +126,16 @@ def _deal(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(docs: pa.Table) -> Iterator[tuple[np.ndarray, Texts]]:
     ids = docs.column("id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
-    for piece in text_pieces(docs.column("text")):
+    for piece in text_pieces(docs.column("text"), PIECE_BYTES):
         yield ids[piece.lo:piece.hi], piece
 
 
 @dataclass
 class _Census:
-    """A batch's stretches by piece, and its distinct (bucket, key) in order: in two
-    documents of the batch or more, and how many windows."""
+    """A batch's stretches by piece with their places among its distinct (bucket, key) in order:
+    in two documents of the batch or more, and how many windows."""
 
-    pieces: list[Stretches | None]
+    pieces: list[tuple[Stretches, np.ndarray] | None]
     bucket: np.ndarray
     key: np.ndarray
     several: np.ndarray
@@ -143,16 +150,22 @@ def _census(docs: pa.Table, plan: Plan, bits: int) -> _Census:
     pieces = [stretches(plan.units(piece), plan) for _, piece in _pieces(docs)]
     some = [(n, p) for n, p in enumerate(pieces) if p]
     if not some:
-        return _Census(pieces, *[np.zeros(0, t) for t in (np.int64, np.uint64, bool, np.int64)])
+        return _Census([None] * len(pieces), *[np.zeros(0, t) for t in (np.int64, np.uint64, bool, np.int64)])
     joint = np.concatenate([_joint(*_deal(p.value, bits)) for _, p in some])
     owner = np.concatenate([p.text + (n << 32) for n, p in some])
     windows = np.concatenate([p.windows for _, p in some])
-    order = np.argsort(joint, kind="stable")  # owners ascend within a key
+    order = np.argsort(joint)
     joint, owner, windows = joint[order], owner[order], windows[order]
-    at = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1]]))
+    new = np.concatenate([[True], joint[1:] != joint[:-1]])
+    at, place = np.flatnonzero(new), np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    ends = np.cumsum([len(p.value) for _, p in some])
+    placed: list = [None] * len(pieces)
+    for (n, p), lo, hi in zip(some, [0, *ends], ends):
+        placed[n] = p, place[lo:hi]
     several = np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at)
     joint, count = joint[at], np.add.reduceat(windows, at)
-    return _Census(pieces, (joint >> np.uint64(_KEY_BITS)).astype(np.int64),
+    return _Census(placed, (joint >> np.uint64(_KEY_BITS)).astype(np.int64),
                    joint & np.uint64((1 << _KEY_BITS) - 1), several, count)
 
 
@@ -220,27 +233,27 @@ class _Shared:
 
     def __init__(self, docs: pa.Table, answers: pa.Table, plan: Plan, bits: int):
         self._census = census = _census(docs, plan, bits)
-        self._joint = _joint(census.bucket, census.key)
         self._flags = np.zeros((len(census.key), 2), bool)
         body = {b: x for b, k, x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "body")))
                 if k == _FLAGS}
         for b, lo, hi in _cuts(census.bucket):
             bits_of = np.unpackbits(np.frombuffer(body[b], np.uint8))[:2 * (hi - lo)]
             self._flags[lo:hi] = bits_of.reshape(-1, 2)
-        self._plan, self._bits = plan, bits
+        self._plan = plan
 
     def candidates(self, docs: pa.Table) -> Iterator[tuple[np.ndarray, Texts, Units, Stretches, np.ndarray]]:
         """Each piece's ids, texts and units, its stretches with a shared minimiser and
         their hashes. Stretches of a hot minimiser are cut into single windows, whose
         own hash takes the minimiser's place."""
         window = self._plan.window
-        for found, (ids, piece) in zip(self._census.pieces, _pieces(docs)):
+        for placed, (ids, piece) in zip(self._census.pieces, _pieces(docs)):
             units = self._plan.units(piece)
-            if not found:
+            if not placed:
                 none = np.zeros(0, np.int64)
                 yield ids, piece, units, Stretches(none, none, none, none.view(np.uint64)), none.view(np.uint64)
                 continue
-            flags = self._flags[np.searchsorted(self._joint, _joint(*_deal(found.value, self._bits)))]
+            found, place = placed
+            flags = self._flags[place]
             cold, hot = np.flatnonzero(flags[:, 0] & ~flags[:, 1]), np.flatnonzero(flags[:, 0] & flags[:, 1])
             prefix = PrefixHash(units.codes)
             n = found.windows[hot]

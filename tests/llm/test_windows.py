@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from riskspark.llm import windows
-from riskspark.llm.arrays import BYTE_CODE, PrefixHash, sliding_min
+from riskspark.llm.arrays import BYTE_CODE, PrefixHash, Texts, sliding_min
 from riskspark.llm.substring import remove_repeated_words
-from riskspark.llm.suffix import common_prefix, merge_sort, remove_repeated_bytes
+from riskspark.llm.suffix import common_prefix, equal_windows, merge_sort, remove_repeated_bytes
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -140,6 +140,46 @@ def test_merge_sort_orders_suffixes():
     assert common_prefix(PrefixHash(BYTE_CODE[data]), a, b, 50).tolist() == want
 
 
+class Counted(np.ndarray):
+    """An array that counts the elements looked up in it."""
+
+    looked_up = 0
+
+    def __getitem__(self, at):
+        out = np.asarray(self).__getitem__(at)
+        Counted.looked_up += np.size(out)
+        return out
+
+
+def test_suffix_sort_looks_up_each_hash_a_few_times(monkeypatch):
+    """Not once per comparison: the work on a bucket grows with its windows, whatever they share."""
+    monkeypatch.setattr(Counted, "looked_up", 0)
+    rng = random.Random(8)
+    raw = b" ".join(rng.choice((b"one passage that many texts have", b"another", b"more")) for _ in range(400))
+    data = np.frombuffer(raw, np.uint8)
+    prefix = PrefixHash(BYTE_CODE[data])
+    prefix.sums = prefix.sums.view(Counted)
+    at = np.arange(len(data) - 50)
+    order = merge_sort(data, prefix, at, np.zeros(len(at), np.int64), 50)
+    keys = [raw[k:k + 50] for k in order]
+    assert keys == sorted(keys) and sorted(order.tolist()) == at.tolist()
+    assert Counted.looked_up <= 4 * len(at)
+
+
+def test_equal_windows_by_their_bytes(monkeypatch):
+    """Windows that only share a hash are told apart, in a family and beside another one."""
+    raw = b"x" * 60 + b"y" * 60 + b"x" * 60
+    data = np.frombuffer(raw, np.uint8)
+    win = np.concatenate([np.arange(10), 60 + np.arange(10), 120 + np.arange(10)])
+    family = np.repeat([0, 1, 0], 10)
+    units = windows.byte_units(Texts(0, 1, data, np.array([0]), np.array([len(raw)])))
+    group = equal_windows(units, win, family, 50)
+    assert [len(set(group[family == f])) for f in (0, 1)] == [1, 1] and group[0] != group[10]
+    units.codes = np.zeros_like(units.codes)  # every hash alike
+    group = equal_windows(units, win, np.zeros(30, np.int64), 50)
+    assert len(set(group[[0, 9, 20, 29]])) == 1 and len({group[0], *group[10:20]}) == 2
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 100, 57).astype(np.uint64)
     for width in (1, 2, 7, 27, 57):
