@@ -13,7 +13,7 @@ lost executor costs little.
 
 A run whose fits have at most ``rows_per_task`` rows each needs no exchange
 between tasks: there each fit is one task that grows all its trees by the same
-functions, at a byte per row and feature and about a hundred more per row. Beyond
+functions, at a byte per row and feature and about forty more per row. Beyond
 that bound the levels are grown together as described: a pass over the blocks is
 a Spark job, and a run has ``trees x depth`` of them.
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -45,7 +44,10 @@ REFRESH = 20
 #: Rows of a block.
 BLOCK_ROWS = 8_192
 #: Rows of one fit that a task may hold, and bytes of their bins; larger fits are grown level by level over all blocks.
-ROWS_PER_TASK, BYTES_PER_TASK = 2_000_000, 64 << 20
+ROWS_PER_TASK, BYTES_PER_TASK = 10_000_000, 128 << 20
+#: Rows that a task handles at once, and from how many rows of a fit on columns of few bins are counted together,
+#: in at most so many cells.
+CHUNK_ROWS, JOINT_ROWS, JOINT_CELLS = 1 << 17, 1 << 18, 1 << 12
 #: Rows of all fits in a partition of blocks, where there are more than the cores' share.
 ROWS_PER_PARTITION = 2_000_000
 #: Relative rank error of the cuts.
@@ -91,15 +93,15 @@ class BoostedTrees:
         depth, n = int(math.log2(self.feature.shape[1] + 1)) - 1, self.feature.shape[1]
         first = np.arange(len(self.feature)) * n  # flat places: ``take`` is far faster than indexing by pairs
         feature, threshold, value = self.feature.ravel(), self.threshold.ravel(), self.value.ravel()
-        for lo in range(0, len(x), 2_048):
-            part = np.ascontiguousarray(x[lo:lo + 2_048])
+        for lo in range(0, len(x), 512):
+            part = np.ascontiguousarray(x[lo:lo + 512])
             node, row = np.zeros((len(part), len(first)), np.int64), np.arange(len(part))[:, None] * x.shape[1]
             for _ in range(depth):
                 at = first + node
                 f = feature.take(at)
                 right = part.take(row + np.maximum(f, 0)) > threshold.take(at)
                 node = np.where(f >= 0, 2 * node + 1 + right, node)
-            out[lo:lo + 2_048] = value.take(first + node).sum(axis=1)
+            out[lo:lo + 512] = value.take(first + node).sum(axis=1)
         return out
 
     def flat_trees(self) -> list[tuple[float, dict]]:
@@ -176,8 +178,13 @@ def _descend(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: in
 
 def _step(codes: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The node of each column of ``codes`` one level below ``node``; a node that doesn't split keeps its rows."""
-    f, row = feature[node], np.arange(codes.shape[1])
-    return np.where(f >= 0, 2 * node + 1 + (codes[np.maximum(f, 0), row] > cut[node]), node)
+    at, splits = np.arange(len(feature)), feature >= 0
+    # flat places and small tables: no code lies above 255, so rows of a node that doesn't split never go right
+    left = np.where(splits, 2 * at + 1, at).astype(node.dtype)
+    limit = np.where(splits, cut, 255).astype(np.uint8)
+    place = (np.maximum(feature, 0) * codes.shape[1]).take(node)
+    place += np.arange(codes.shape[1])
+    return left.take(node) + (codes.ravel().take(place) > limit.take(node))
 
 
 def _gradients(margin: np.ndarray, y: np.ndarray, used: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -260,27 +267,103 @@ class _Tree:
         self.value[n], self.cover[n] = -self.p.rate * g / (h + self.p.l2), rows
 
 
-def _grow_fit(codes, y, hashes, number: int, fit: Fit, p: BoostParams) -> list[_Tree]:
+def _joint_columns(codes: np.ndarray, columns: list[int], bins: int) -> list[tuple[list[int], list[int]]]:
+    """Groups of columns that are counted by one code each, and the columns' numbers of bins: columns of few bins
+    share a group while it has ``JOINT_CELLS`` cells at most. Few rows are counted column by column."""
+    if codes.shape[1] < JOINT_ROWS:
+        return [([c], [bins]) for c in columns]
+    groups: list[tuple[list[int], list[int]]] = []
+    for size, c in sorted((int(codes[c].max()) + 1, c) for c in columns):
+        if groups and math.prod(groups[-1][1]) * size <= JOINT_CELLS:
+            groups[-1][0].append(c)
+            groups[-1][1].append(size)
+        else:
+            groups.append(([c], [size]))
+    return groups
+
+
+def _joint_codes(codes: np.ndarray, groups: list[tuple[list[int], list[int]]]) -> list[np.ndarray]:
+    """Each group's code of the columns of ``codes`` (features x rows)."""
+    out = []
+    for members, sizes in groups:
+        joint = codes[members[0]]
+        for c, size in zip(members[1:], sizes[1:]):
+            joint = joint.astype(np.uint16) * np.uint16(size) + codes[c]
+        out.append(joint)
+    return out
+
+
+class _Chunk:
+    """Some rows of a fit that one task grows, few enough for a core's cache."""
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray, hashes: np.ndarray, groups: list):
+        self.codes, self.y, self.hashes, self.joint = codes, y, hashes, _joint_codes(codes, groups)
+        self.margin = np.zeros(len(y))
+
+    def begin(self, number: int, tree: int, p: BoostParams, weight: float) -> None:
+        """A tree's sample, gradients and root."""
+        self.used = _draw(self.hashes, number, tree, p.seed) < p.rows
+        self.g, self.h = _gradients(self.margin, self.y, self.used, weight)
+        self.node = np.zeros(len(self.y), np.min_scalar_type(2 ** (p.depth + 1)))
+
+    def count(self, wanted: list[int], counted: dict[int, np.ndarray], sizes: list[int]) -> None:
+        """Add the wanted nodes' sums of g, h and rows to the cells of the groups in ``counted``."""
+        place = np.full(2 ** 16 if self.node.dtype.itemsize > 1 else 2 ** 8, -1, np.int64)
+        place[wanted] = np.arange(len(wanted))
+        at = place.take(self.node)
+        rows = np.flatnonzero((at >= 0) & self.used)
+        if not len(rows):
+            return
+        at, g, h = at[rows], self.g[rows], self.h[rows]
+        for k, total in counted.items():
+            index, size = at * sizes[k] + self.joint[k][rows], len(wanted) * sizes[k]
+            for n, values in enumerate((g, h, None)):
+                total[n] += np.bincount(index, values, size)
+
+
+def _grow_chunks(chunks: list[_Chunk], groups: list, number: int, fit: Fit, p: BoostParams) -> list[_Tree]:
     """All trees of one fit over rows that one task holds."""
-    margin, trees = np.zeros(len(y)), []
+    trees, sizes = [], [math.prod(sizes) for _, sizes in groups]
     for t in range(p.trees):
-        used = _draw(hashes, number, t, p.seed) < p.rows
-        g, h = _gradients(margin, y, used, fit.weight)
         tree = _Tree(p, sampled_columns(fit, number, t, p))
-        node = np.zeros(len(y), np.int64)
+        for chunk in chunks:
+            chunk.begin(number, t, p, fit.weight)
         for level in range(p.depth):
             if not tree.open:
                 break
             wanted = tree.wanted()
-            hist = _histogram(codes, node, wanted, g, h, used, tree.columns, p.bins)
+            counted = {k: np.zeros((3, len(wanted) * sizes[k])) for k, (members, _) in enumerate(groups)
+                       if not set(members).isdisjoint(tree.columns)}
+            for chunk in chunks:
+                chunk.count(wanted, counted, sizes)
+            hist = np.zeros((len(wanted), len(tree.columns), p.bins, 3))
+            for k, total in counted.items():
+                members, shape = groups[k]
+                cells = total.reshape(3, len(wanted), *shape)
+                for c in members:
+                    if c in tree.columns:
+                        others = tuple(2 + i for i, m in enumerate(members) if m != c)
+                        sums = cells.sum(axis=others) if others else cells
+                        hist[:, tree.columns.index(c), :sums.shape[2]] = np.moveaxis(sums, 0, -1)
             tree.split(dict(zip(wanted, hist)))
-            node = _step(codes, node, tree.feature, tree.cut)
-        margin += tree.value[node]
+            for chunk in chunks:
+                chunk.node = _step(chunk.codes, chunk.node, tree.feature, tree.cut)
+        for chunk in chunks:
+            chunk.margin += tree.value[chunk.node]
         tree.hist = {}
         trees.append(tree)
     return trees
 
 
+def _grow_fit(codes, y, hashes, number: int, fit: Fit, p: BoostParams) -> list[_Tree]:
+    """All trees of one fit; the rows are put into an order that doesn't depend on where they come from."""
+    order, groups = np.lexsort((y, hashes)), _joint_columns(codes, fit.features, p.bins)
+    cuts = [order[lo:lo + CHUNK_ROWS] for lo in range(0, len(order), CHUNK_ROWS)]
+    chunks = [_Chunk(codes.take(rows, axis=1), y[rows], hashes[rows], groups) for rows in cuts]
+    del codes, y, hashes, order, cuts
+    return _grow_chunks(chunks, groups, number, fit, p)
+
+
 # ---------------------------------------------------------------- Spark
 def quantile_cuts(df: DataFrame, features: list[str], bins: int = 256) -> list[np.ndarray]:
     """At most ``bins - 1`` rising cuts per feature; a value's bin is the number of cuts below it.
@@ -394,17 +477,26 @@ def _grow_levels(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[lis
     return done
 
 
-def _grow_alone(blocks: DataFrame, fits: list[Fit], p: BoostParams) -> list[list[_Tree]]:
-    """Each fit in a task of its own; for fits of a bounded number of rows (``rows_per_task`` of ``boost``)."""
-    def deal(block):
-        return block[0], tuple(block[:5])
-
-    def grow(item):
-        k, parts = item
-        codes, y, hashes = (np.concatenate(p, axis=-1) for p in zip(*[_views(block)[1:] for block in parts]))
-        order = np.lexsort((y, hashes))
-        return k, _grow_fit(codes[:, order], y[order], hashes[order], k, fits[k], p)
-    grown = dict(blocks.rdd.map(deal).groupByKey(len(fits)).map(grow).collect())
+def _grow_alone(blocks: DataFrame, fits: list[Fit], p: BoostParams, sizes: list[int]) -> list[list[_Tree]]:
+    """Each fit in a task of its own; for fits of a bounded number of rows (``rows_per_task`` of ``boost``).
+    ``sizes``: the fits' rows."""
+    def grow(part):
+        held, filled, k = None, 0, 0
+        for block in part:
+            k, *views = _views(block)
+            if held is None:
+                held = [np.empty((*v.shape[:-1], sizes[k]), np.uint8 if v.dtype == float else v.dtype) for v in views]
+            n = views[-1].shape[-1]
+            for to, view in zip(held, views):
+                to[..., filled:filled + n] = view
+            filled += n
+        if held is not None:
+            data, held = held, None
+            yield k, _grow_fit(data.pop(0), data.pop(0), data.pop(0), k, fits[k], p)
+    # the largest fits first, as there may be fewer cores than fits
+    place = np.argsort(np.argsort([-n for n in sizes], kind="stable")).tolist()
+    dealt = blocks.repartitionById(len(fits), F.element_at(F.array(*[F.lit(n) for n in place]), (F.col("fit") + 1).cast("int")))
+    grown = dict(dealt.rdd.mapPartitions(grow).collect())
     return [grown.get(k, []) for k in range(len(fits))]
 
 
@@ -430,8 +522,8 @@ def boost(rows: DataFrame, features: list[str], fits: list[Fit], params: BoostPa
         sizes = counted.result()
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(sizes) / ROWS_PER_PARTITION))
     blocks = _blocks(rows, features, cuts, len(fits)).repartition(parts).checkpoint()
-    grow: Callable = _grow_alone if max(sizes) <= rows_per_task else _grow_levels
-    return [_model(trees, fit, features, cuts, p) for trees, fit in zip(grow(blocks, fits, p), fits)]
+    grown = _grow_alone(blocks, fits, p, list(sizes)) if max(sizes) <= rows_per_task else _grow_levels(blocks, fits, p)
+    return [_model(trees, fit, features, cuts, p) for trees, fit in zip(grown, fits)]
 
 
 def _model(trees: list[_Tree], fit: Fit, features: list[str], cuts: list[np.ndarray], p: BoostParams) -> BoostedTrees:

@@ -1,9 +1,10 @@
 """Exact k-nearest neighbours by filter and refine (C4, used by SMOTE D6).
 
 Points are first de-duplicated (a vector repeated by a third of the rows is
-one point with a multiplicity). A random-projection tree cuts them into leaves
-of at most ``leaf_size`` points, split at the *exact* median of a projection, each
-level checkpointed to the shared folder. A leaf becomes one row, a block:
+one point with a multiplicity). A tree cuts them into leaves of about ``leaf_size``
+points, split at the *exact* median of the cell's widest dimension (ties in it by a
+random projection), each level checkpointed to the shared folder. A leaf becomes one
+row, a block:
 
 * its **vector approximations**: each dimension of the leaf's box is cut into
   ``2^bits`` cells, a point is its cell numbers (a byte each) and the distance
@@ -13,9 +14,9 @@ level checkpointed to the shared folder. A leaf becomes one row, a block:
 ``|q - c| - e <= |q - x| <= |q - c| + e`` bounds a distance by the approximation
 alone, and the bounds of a pair of blocks are one matrix product. Search:
 
-1. *Filter.* Pairs of blocks whose boxes lie within the farthest bound of the first
-   block meet in a task, found by descending the tree. A query keeps the points
-   whose lower bound is within its k-th smallest upper bound there.
+1. *Filter.* A block's queries travel to the blocks whose boxes lie within their own
+   first bounds, those only. A query keeps the points whose lower bound is within its
+   k-th smallest upper bound there.
 2. The k-th smallest upper bound over all blocks drops more of them.
 3. *Refine.* Only for what is left the vectors are fetched and compared.
 
@@ -23,8 +24,8 @@ Points may come in groups that are searched apart in the same passes: each group
 a tree of its own, whose root cell is the group's number.
 
 No candidate is dropped without that proof, so the result equals brute force. The
-boxes prune in few dimensions; in many (13 to 200 tested) it is the
-approximations that leave few exact distances (``n_compared`` tells how many).
+boxes prune where few dimensions hold most of the spread; in many (13 to 200 tested)
+it is the approximations that leave few exact distances (``n_compared`` tells how many).
 """
 
 from __future__ import annotations
@@ -42,10 +43,14 @@ from riskspark.operators.cumulative import running_sums
 
 #: Points of a block, and bits of a dimension's cell number (8 at most: a byte).
 LEAF_SIZE, BITS = 1024, 8
+#: Share of a random projection in a cell's split, which only has to part equal values.
+TILT = 1e-3
+#: Boxes that a block's queries are held against at once (a power of two), and queries that meet a block at once.
+BOXES_BITS, QUERIES = 10, 64
 #: Relative room for rounding in the bounds.
 ROOM = 1e-12
 BLOCK = ("cell long, grp long, pids binary, vecs binary, mults binary, bounds binary, farthest double, "
-         "codes binary, low binary, step binary, errors binary")
+         "codes binary, low binary, high binary, step binary, errors binary")
 CANDIDATE = "grp long, pid long, nid long, mult long, lower double, upper double"
 
 
@@ -58,17 +63,11 @@ def _dot(a: Column, u: list) -> Column:
     return F.aggregate(F.zip_with(a, lit, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _boxes_sqdist(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
-    """Squared distance of two boxes: a lower bound of every distance between their points."""
-    gaps = F.zip_with(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), F.arrays_zip(lo2.alias("lo"), hi2.alias("hi")),
-                      lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"]))
-    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-
-
-def _box(df: DataFrame, cell: str, d: int) -> DataFrame:
-    return df.groupBy(cell).agg(
-        F.array(*[F.min(F.col("vec")[i]) for i in range(d)]).alias("lo"),
-        F.array(*[F.max(F.col("vec")[i]) for i in range(d)]).alias("hi"))
+def _widest(df: DataFrame, d: int) -> DataFrame:
+    """The dimension of the greatest spread in each cell."""
+    spread = F.array(*[F.coalesce(F.var_pop(F.col("vec")[i]), F.lit(0.0)) for i in range(d)])
+    return df.groupBy("cell").agg(spread.alias("_spread")).select(
+        "cell", (F.array_position("_spread", F.array_max("_spread")) - 1).cast("int").alias("_dim"))
 
 
 def _median_by_cell(df: DataFrame) -> DataFrame:
@@ -84,8 +83,7 @@ def _median_by_cell(df: DataFrame) -> DataFrame:
 
 
 def build_tree(points: DataFrame, d: int, leaf_size: int = LEAF_SIZE, seed: int = 7):
-    """Return (points with ``cell`` = leaf id, list of per-level box tables, n_levels); a group ``grp`` is a tree.
-    Without levels there are no boxes."""
+    """Return (points with ``cell`` = leaf id, n_levels); a group ``grp`` is a tree."""
     from riskspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(points.sparkSession)
     n = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
@@ -93,17 +91,16 @@ def build_tree(points: DataFrame, d: int, leaf_size: int = LEAF_SIZE, seed: int
     rng = np.random.default_rng(seed)
     # checkpointed so ``cell`` is data, not a literal the optimizer would fold into a cross join
     cur = points.select("*", F.col("grp").alias("cell")).checkpoint()
-    boxes = [_box(cur, "cell", d).checkpoint()] if levels else []  # a single block meets itself, whatever its box
     for _ in range(levels):
-        u = rng.standard_normal(d)
-        proj = cur.select("*", _dot(F.col("vec"), list(u)).alias("proj"))
+        u = rng.standard_normal(d) * TILT
+        tilted = F.element_at("vec", F.col("_dim") + 1) + _dot(F.col("vec"), list(u))
+        proj = cur.join(_widest(cur, d), "cell").select(*cur.columns, tilted.alias("proj"))
         med = _median_by_cell(proj)
         cur = proj.join(med, "cell").select(
             *[c for c in cur.columns if c != "cell"],
             (F.col("cell") * 2 + F.when(F.col("proj") > F.col("median"), 1).otherwise(0)).alias("cell")
         ).checkpoint()
-        boxes.append(_box(cur, "cell", d).checkpoint())
-    return cur, boxes, levels
+    return cur, levels
 
 
 def approximate(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +133,13 @@ def distance_bounds(q: np.ndarray, c: np.ndarray, errors: np.ndarray) -> tuple[n
 
 def kth_bound(upper: np.ndarray, mults: np.ndarray, k: int) -> np.ndarray:
     """The least bound in each row that ``k`` neighbours (points count ``mults`` times) keep to."""
+    if upper.shape[1] > k:  # points count once or more, so the k least hold it
+        near = np.argpartition(upper, k - 1, axis=1)[:, :k]
+        upper, mults = np.take_along_axis(upper, near, axis=1), mults[near]
+    else:
+        mults = np.broadcast_to(mults, upper.shape)
     order = np.argsort(upper, axis=1, kind="stable")
-    held = np.cumsum(np.minimum(mults, k)[order], axis=1) >= k
+    held = np.cumsum(np.minimum(np.take_along_axis(mults, order, axis=1), k), axis=1) >= k
     first = held.argmax(axis=1)
     at = np.arange(len(upper))
     return np.where(held.any(axis=1), upper[at, order[at, first]], np.inf)
@@ -167,53 +169,70 @@ def _blocks(leaves: DataFrame, k: int, d: int, bits: int) -> DataFrame:
             "cell": [leaf["cell"].iloc[0]], "grp": [leaf["grp"].iloc[0]], "pids": [leaf["pid"].to_numpy(np.int64).tobytes()],
             "vecs": [x.tobytes()], "mults": [mults.tobytes()], "bounds": [bounds.tobytes()],
             "farthest": [float(bounds.max())], "codes": [codes.tobytes()], "low": [low.tobytes()],
-            "step": [step.tobytes()], "errors": [errors.tobytes()]})
+            "high": [x.max(axis=0).tobytes()], "step": [step.tobytes()], "errors": [errors.tobytes()]})
 
     return leaves.select("cell", "grp", "pid", "vec", "mult").repartition(_tasks(leaves), "cell").groupBy("cell").applyInPandas(pack, BLOCK)
 
 
-def _block_pairs(blocks: DataFrame, boxes: list, levels: int) -> DataFrame:
-    """Each block as queries, with the approximations of every block within reach of its box."""
-    asks, answers = ["grp", "pids", "vecs", "bounds"], ["mults", "codes", "low", "step", "errors"]
+def _doubles(value: bytes, *shape: int) -> np.ndarray:
+    return np.frombuffer(value, np.float64).reshape(shape or (-1,))
+
+
+def _block_pairs(blocks: DataFrame, levels: int, d: int) -> DataFrame:
+    """Queries with the approximations of each block whose box is within reach of their bounds."""
+    asks, answers = ["pids", "vecs", "bounds"], ["mults", "codes", "low", "step", "errors"]
     if levels == 0:  # a block per group, which meets itself
-        return blocks.select(*asks, F.col("pids").alias("nids"), *answers)
+        return blocks.select("grp", *asks, F.col("pids").alias("nids"), *answers)
     blocks = blocks.checkpoint()
-    box = boxes[levels].select(F.col("cell").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
-    reach = F.col("farthest") * (1 + ROOM)
-    frontier = blocks.select(F.col("cell").alias("own"), (reach * reach).alias("reach")).join(box, "own") \
-        .select("*", F.shiftright("own", levels).alias("node"))
-    for lvl in range(1, levels + 1):
-        kids = frontier.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
-        near = _boxes_sqdist(F.col("own_lo"), F.col("own_hi"), F.col("lo"), F.col("hi")) <= F.col("reach")
-        frontier = kids.join(boxes[lvl].withColumnRenamed("cell", "node"), "node").where(near) \
-            .select("own", "reach", "own_lo", "own_hi", "node").checkpoint()
+    # a group's boxes go to several tasks, its blocks are dealt over them
     n = _tasks(blocks)
-    return (frontier.select("own", "node").join(blocks.select(F.col("cell").alias("own"), *asks), "own")
-            .repartition(n, "node").join(blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), *answers)
-                                         .repartition(n, "node"), "node"))
+    boxes = blocks.groupBy("grp", F.shiftright("cell", BOXES_BITS)).agg(F.collect_list(F.struct("cell", "low", "high")).alias("boxes")) \
+        .select("grp", "boxes", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("share"))
+    dealt = blocks.select("grp", F.pmod("cell", F.lit(n)).cast("int").alias("share"), *asks)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, bounds = _doubles(row["vecs"], -1, d), _doubles(row["bounds"])
+                pids, room = np.frombuffer(row["pids"], np.int64), bounds * (1 + ROOM)
+                low, high = (np.stack([_doubles(b[c]) for b in row["boxes"]]) for c in ("low", "high"))
+                gaps = np.maximum(0.0, np.maximum(low - q.max(axis=0), q.min(axis=0) - high))
+                # negated, so that what can't be compared (overflow) stays
+                for k in np.flatnonzero(~((gaps * gaps).sum(axis=1) > room.max() ** 2)).tolist():
+                    gap = np.maximum(0.0, np.maximum(low[k] - q, q - high[k]))
+                    near = np.flatnonzero(~((gap * gap).sum(axis=1) > room * room))
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row["grp"]]), pa.array([row["boxes"][k]["cell"]]), *[
+                                pa.array([x[near].tobytes()]) for x in (pids, q, bounds)]], ["grp", "node", *asks])
+
+    asked = dealt.repartition(n, "grp", "share").join(boxes.repartition(n, "grp", "share"), ["grp", "share"]).mapInArrow(
+        reach, "grp long, node long, pids binary, vecs binary, bounds binary")
+    return asked.repartition(n, "node").join(
+        blocks.select(F.col("cell").alias("node"), F.col("pids").alias("nids"), *answers).repartition(n, "node"), "node")
 
 
 def _filter(pairs: DataFrame, k: int, d: int) -> DataFrame:
     """Candidates of every pair of blocks: what a query's bounds in that pair don't exclude."""
-    def doubles(value: bytes, *shape: int) -> np.ndarray:
-        return np.frombuffer(value, np.float64).reshape(shape or (-1,))
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 pids, nids, mults = (np.frombuffer(row[c], np.int64) for c in ("pids", "nids", "mults"))
+                vecs, bounds, errors = _doubles(row["vecs"], -1, d), _doubles(row["bounds"]), _doubles(row["errors"])
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, d)
-                lower, upper = distance_bounds(doubles(row["vecs"], -1, d),
-                                               centres(codes, doubles(row["low"]), doubles(row["step"])),
-                                               doubles(row["errors"]))
-                itself = pids[:, None] == nids[None, :]
-                upper[itself] = np.inf
-                bound = np.minimum(doubles(row["bounds"]), kth_bound(upper, mults, k))
-                # negated, so that what can't be compared (overflow) stays
-                q, n = np.nonzero(~(lower > bound[:, None]) & ~itself)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(q), row["grp"])), pa.array(pids[q]), pa.array(nids[n]), pa.array(mults[n]), pa.array(lower[q, n]),
-                     pa.array(upper[q, n])], ["grp", "pid", "nid", "mult", "lower", "upper"])
+                points = centres(codes, _doubles(row["low"]), _doubles(row["step"]))
+                for lo in range(0, len(pids), QUERIES):  # as many as a core's cache holds
+                    own = pids[lo:lo + QUERIES]
+                    lower, upper = distance_bounds(vecs[lo:lo + QUERIES], points, errors)
+                    itself = own[:, None] == nids[None, :]
+                    upper[itself] = np.inf
+                    bound = np.minimum(bounds[lo:lo + QUERIES], kth_bound(upper, mults, k))
+                    # negated, so that what can't be compared (overflow) stays
+                    q, n = np.nonzero(~(lower > bound[:, None]) & ~itself)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(q), row["grp"])), pa.array(own[q]), pa.array(nids[n]), pa.array(mults[n]),
+                             pa.array(lower[q, n]), pa.array(upper[q, n])], ["grp", "pid", "nid", "mult", "lower", "upper"])
 
     return pairs.mapInArrow(meet, CANDIDATE)
 
@@ -229,10 +248,10 @@ def exact_knn(points: DataFrame, k: int, d: int, leaf_size: int = LEAF_SIZE, see
     are ordered by ``nid``. ``n_compared``: exact distances that the point needed.
     """
     grp = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    leaves, boxes, levels = build_tree(points.select(grp.alias("grp"), "pid", "vec", "mult"), d, leaf_size, seed)
+    leaves, levels = build_tree(points.select(grp.alias("grp"), "pid", "vec", "mult"), d, leaf_size, seed)
     point = ["grp", "pid"]
     # 1. filter: the bounds of the points of near blocks
-    close_blocks = _block_pairs(_blocks(leaves, k, d, bits), boxes, levels)
+    close_blocks = _block_pairs(_blocks(leaves, k, d, bits), levels, d)
 
     # 2. the k-th smallest upper bound over all blocks (both windows share one exchange)
     held = Window.partitionBy(*point).orderBy("upper", "nid")

@@ -32,6 +32,26 @@ def test_exact_knn_matches_brute_force(spark):
         assert np.allclose(dist, got[pid])
 
 
+def test_queries_meet_few_blocks(spark):
+    """Where few dimensions hold most of the spread, a query's bounds exclude most blocks before any product."""
+    from riskspark.operators import knn
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2_000, 13)) * np.array([30.0, 0.1, 8.0, *[0.2] * 10])
+    x[:500, 0] = x[0, 0]  # equal values in the widest dimension
+    pts = _points(spark, x).withColumn("grp", F.lit(0).cast("long"))
+    leaves, levels = knn.build_tree(pts, 13, 125)[0], 4
+    sizes = [r["count"] for r in leaves.groupBy("cell").count().collect()]
+    assert len(sizes) == 2 ** levels and max(sizes) <= 130
+    pairs = knn._block_pairs(knn._blocks(leaves, 5, 13, 8), levels, 13)
+    met = pairs.agg(F.sum(F.length("pids") / 8 * F.length("nids") / 8)).first()[0]
+    assert met < 0.25 * len(x) ** 2, met / len(x) ** 2
+    got = {r["pid"]: [s["dist"] for s in r["neighbours"]] for r in exact_knn(pts, 5, 13, leaf_size=125).collect()}
+    dist = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(axis=2))
+    dist[np.arange(50), np.arange(50)] = np.inf
+    for pid, want in enumerate(np.sort(dist, axis=1)[:, :5]):
+        assert np.allclose(got[pid], want)
+
+
 @pytest.mark.parametrize("d", [13, 200])
 def test_many_dimensions_compare_few_pairs(spark, d):
     """Boxes exclude nothing there; the approximations leave a few exact distances per point."""
@@ -152,3 +172,22 @@ def test_training_oversamples_all_fits_in_one_run(spark, monkeypatch):
     df = spark.createDataFrame(rows, "account_id long, a double, b double, y int")
     models, _ = train_many(df, ["a", "b"], {"A": True, "B": False}, params=GBTParams(max_iter=2), n_folds=3)
     assert set(models) == {"A", "B"} and len(calls) == 1
+
+
+def test_replicas_are_made_after_the_joins(spark):
+    """A join of the replicas would move each point's vector once per synthetic row."""
+    from riskspark.operators.smote import Draw, smote_draws
+    rows = [(k, int(k < 12), float(k % 7), float(k * k % 11)) for k in range(200)]
+    df = spark.createDataFrame(rows, "account_id long, y int, a double, b double")
+    made = smote_draws(df, [Draw(F.lit(True), ["a", "b"])])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence") < plan.index("Join Inner")
+    assert made.count() == 176
+
+
+def test_kth_bound_of_points_that_count_several_times():
+    rng = np.random.default_rng(4)
+    upper, mults = rng.random((30, 50)), rng.integers(1, 4, 50)
+    for k in (1, 5, 40):
+        want = [np.sort(np.repeat(row, mults))[k - 1] for row in upper]
+        assert kth_bound(upper, mults, k).tolist() == want
